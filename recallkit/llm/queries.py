@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallkit.llm import mixing, quality, simhash, tokens
+from recallkit.llm import mixing, quality, simhash, tokens, toxicity
 from recallkit.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,13 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.tokenized(read_table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    scored = toxicity.score_toxicity(docs, labels, held_out, keep=["doc_id"])
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op3_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.compression_bands(read_table(spark, sf_dir, "documents"), keep=["doc_id"])
 
@@ -84,6 +91,7 @@ FROM placed
 def queries() -> dict[str, Query]:
     return {
         "op1_token_ids": op1_token_ids,
+        "op2_toxicity": op2_toxicity,
         "op3_compression_bands": op3_compression_bands,
         "op5_simhash": op5_simhash,
         "op8_mixing": op8_mixing,
