@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallkit.llm import mixing, quality, simhash, tokens, toxicity
+from recallkit.llm import decontaminate, mixing, quality, simhash, tokens, toxicity
 from recallkit.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,11 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(read_table(spark, sf_dir, "documents"), weights)
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
+    return decontaminate.find_leaks(docs, items).withColumn("contaminated", F.lit(True))
+
+
 #: The words, targets and keys of op8 in one statement; windows sort whole sources here.
 OP8_SQL = r"""
 WITH sizes AS (
@@ -95,6 +100,7 @@ def queries() -> dict[str, Query]:
         "op3_compression_bands": op3_compression_bands,
         "op5_simhash": op5_simhash,
         "op8_mixing": op8_mixing,
+        "op10_decontamination": op10_decontamination,
     }
 
 
