@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallkit.llm import decontaminate, mixing, quality, simhash, tokens, toxicity
+from recallkit.llm import decontaminate, mixing, quality, simhash, substrings, tokens, toxicity
 from recallkit.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.remove_repeats(read_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = mixing.quality_weights(read_table(spark, sf_dir, "labels"))
     return mixing.mixture(read_table(spark, sf_dir, "documents"), weights)
@@ -99,6 +104,7 @@ def queries() -> dict[str, Query]:
         "op2_toxicity": op2_toxicity,
         "op3_compression_bands": op3_compression_bands,
         "op5_simhash": op5_simhash,
+        "op6_substrings": op6_substrings,
         "op8_mixing": op8_mixing,
         "op10_decontamination": op10_decontamination,
     }
