@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallkit.llm import decontaminate, mixing, quality, simhash, substrings, tokens, toxicity
+from recallkit.llm import decontaminate, langid, licenses, mixing, pii, quality, simhash, substrings, tokens, toxicity
 from recallkit.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,11 @@ def op3_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.compression_bands(read_table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, docs = read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "documents")
+    return langid.identify_languages(pages, docs)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
     return groups.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
@@ -45,11 +50,19 @@ def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.checked_surrogates(read_table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = mixing.quality_weights(read_table(spark, sf_dir, "labels"))
     return mixing.mixture(read_table(spark, sf_dir, "documents"), weights)
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
     return decontaminate.find_leaks(docs, items).withColumn("contaminated", F.lit(True))
@@ -103,9 +116,12 @@ def queries() -> dict[str, Query]:
         "op1_token_ids": op1_token_ids,
         "op2_toxicity": op2_toxicity,
         "op3_compression_bands": op3_compression_bands,
+        "op4_language_id": op4_language_id,
         "op5_simhash": op5_simhash,
         "op6_substrings": op6_substrings,
+        "op7_surrogates": op7_surrogates,
         "op8_mixing": op8_mixing,
+        "op9_license_scan": op9_license_scan,
         "op10_decontamination": op10_decontamination,
     }
 
