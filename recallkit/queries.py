@@ -1,11 +1,754 @@
-"""Registered queries of the engine and their SQL twins."""
+"""Registered queries of the engine, each beside the SQL that must give the same rows."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+from recallkit.config import ListFilter, SearchStrategy
+from recallkit.functions import classify as classes
+from recallkit.functions import scalars
+from recallkit.operators import dedup, filters, fusion, graph, keyword, links, policy, stats, vector
+from recallkit.plans import lifecycle, search
+from recallkit.sources import text as texts
+from recallkit.sources import views
+from recallkit.streaming import jobs
+
+NOW = "2024-02-01 00:00:00"
+LATER = "2024-06-01 00:00:00"
+QUERY = "the that"
+SEEDS = (1, 2, 3)
+Query = Callable[[SparkSession, str], DataFrame]
+
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+MEM = """memories AS (
+  SELECT d.doc_id AS id, d.text AS content,
+    CASE d.doc_id % 3 WHEN 0 THEN 'episodic' WHEN 1 THEN 'semantic' ELSE 'procedural' END AS memory_type,
+    CASE WHEN d.doc_id % 11 = 0 THEN NULL ELSE d.source END AS project,
+    [d.lang, e.event_type] AS tags,
+    coalesce(CAST(l.quality AS DOUBLE), 0.5::DOUBLE) AS semantic_relevance,
+    least(abs(e.value) / 100, 1.0::DOUBLE) AS importance_score,
+    d.doc_id % 7 AS access_count, e.ts AS created_at,
+    e.ts + to_days(CAST(d.doc_id % 5 AS INT)) AS last_accessed_at,
+    CASE WHEN e.event_type = 'error' THEN e.ts + to_days(3) END AS archived_at,
+    e.props AS source_metadata, CAST(v.embedding AS DOUBLE[]) AS embedding
+  FROM documents d JOIN events e ON e.event_id = d.doc_id
+  LEFT JOIN embeddings v ON v.vec_id = d.doc_id LEFT JOIN labels l ON l.doc_id = d.doc_id)"""
+NEAR = """near AS (
+  SELECT a.id AS query_id, b.id, round(list_cosine_similarity(a.embedding, b.embedding), 6) AS score
+  FROM memories a, memories b WHERE a.embedding IS NOT NULL AND b.embedding IS NOT NULL)"""
+EDGES = f"""{NEAR}, edges AS (
+  SELECT query_id AS from_id, id AS to_id, 'SEMANTICALLY_RELATED' AS edge_type FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM near)
+  WHERE n <= 10 AND score >= 0.3 AND query_id <> id
+  UNION ALL SELECT id, after, 'CHUNK_NEXT' FROM chunks WHERE after IS NOT NULL
+  UNION ALL SELECT after, id, 'CHUNK_PREV' FROM chunks WHERE after IS NOT NULL
+  UNION ALL SELECT id, older, 'SUPERSEDES' FROM (
+    SELECT id, lag(id) OVER (PARTITION BY content ORDER BY id) AS older FROM memories) WHERE older IS NOT NULL)"""
+CHUNKS = """chunks AS (
+  SELECT m.id, lead(m.id) OVER (PARTITION BY d.source ORDER BY m.id) AS after
+  FROM memories m JOIN documents d ON d.doc_id = m.id)"""
+WALK = """walk AS (
+  SELECT id AS node_id, NULL::BIGINT AS from_id, NULL::BIGINT AS to_id, NULL::VARCHAR AS edge_type,
+    0 AS logical_depth, 0 AS physical_depth, [id] AS seen FROM memories WHERE id IN {seeds}
+  UNION ALL
+  SELECT e.to_id, e.from_id, e.to_id, e.edge_type,
+    w.logical_depth + CASE WHEN e.edge_type = 'SUPERSEDES' THEN 0 ELSE 1 END, w.physical_depth + 1,
+    list_append(w.seen, e.to_id)
+  FROM walk w JOIN {edges} e ON e.from_id = w.node_id
+  WHERE w.logical_depth + CASE WHEN e.edge_type = 'SUPERSEDES' THEN 0 ELSE 1 END <= {depth}
+    AND w.physical_depth < 50 AND NOT list_contains(w.seen, e.to_id))"""
+WALKED = "SELECT DISTINCT node_id, from_id, to_id, edge_type, logical_depth, physical_depth FROM walk"
+TOKENS = r"regexp_extract_all(lower(strip_accents(content)), '[\p{L}\p{N}]+')"
+
+
+def bm25_sql(terms: list[str]) -> str:
+    """CTEs up to ``hits(id, score)`` for a query of single-token terms, over all memories."""
+    listed = ", ".join(f"'{t}'" for t in terms)
+    return f"""{MEM}, toks AS (SELECT id, archived_at, {TOKENS} AS t FROM memories),
+    corpus AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM toks),
+    tf AS (SELECT id, archived_at, len(t) AS dl, q.term, len(list_filter(t, lambda x: x = q.term)) AS tf
+           FROM toks, (SELECT unnest([{listed}]) AS term) q),
+    df AS (SELECT term, count(*) FILTER (tf > 0) AS df FROM tf GROUP BY term),
+    hits AS (
+      SELECT id, round(sum(greatest_idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM (
+        SELECT tf.*, avgdl, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0
+                            THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END AS greatest_idf
+        FROM tf JOIN df USING (term), corpus) WHERE tf > 0 AND archived_at IS NULL
+      GROUP BY id HAVING count(*) = {len(terms)})"""
+
+
+DECAY = "power(0.5, greatest(0.0, (epoch_us(TIMESTAMP '{now}') - epoch_us(last_accessed_at)) / 86400000000.0::DOUBLE) / 30.0)"
+VECTOR = """vhits AS (
+  SELECT m.id, round(list_cosine_similarity(m.embedding, q.embedding), 6) AS score
+  FROM memories m, (SELECT embedding FROM memories WHERE id = 7) q
+  WHERE m.archived_at IS NULL AND m.embedding IS NOT NULL {where} ORDER BY score DESC, id LIMIT 10)"""
+
+
+def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql is not None:
+            _SQL[name] = sql
+        return f
+
+    return add
+
+
+def query_vector(memories: DataFrame, row_id: int = 7) -> list[float]:
+    """The vector of one row, as a query."""
+    row = memories.where((F.col("id") == row_id) & F.col("embedding").isNotNull()).select("embedding").first()
+    return list(row["embedding"]) if row else []
+
+
+# -- vectors ---------------------------------------------------------------------------------
+
+
+@register("vector_topk", f"WITH {MEM}, {VECTOR.format(where='')} SELECT * FROM vhits")
+def vector_topk(spark, d):
+    m = views.memories(spark, d)
+    return vector.top_k(m, query_vector(m))
+
+
+@register("vector_topk_project", f"WITH {MEM}, {VECTOR.format(where=chr(65) + 'ND m.project = ' + repr('src7'))} SELECT * FROM vhits")
+def vector_topk_project(spark, d):
+    m = views.memories(spark, d)
+    return vector.top_k(m, query_vector(m), project="src7")
+
+
+@register(
+    "vector_topk_multi",
+    f"""WITH {MEM}, {NEAR} SELECT query_id, id, score, rank FROM (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM near
+        WHERE query_id % 100 = 0) WHERE rank <= 10""",
+)
+def vector_topk_multi(spark, d):
+    vectors = views.memories(spark, d).where("embedding IS NOT NULL").select("id", "embedding")
+    return vector.nearest(vectors.where("id % 100 = 0"), vectors, 10)
+
+
+@register("similarity_pairs", f"WITH {MEM}, {NEAR} SELECT query_id AS id_a, id AS id_b, score FROM near WHERE query_id < id AND score >= 0.35")
+def similarity_pairs(spark, d):
+    return vector.similar_pairs(views.memories(spark, d).where("embedding IS NOT NULL").select("id", "embedding"), 0.35)
+
+
+@register("similarity_pairs_lsh")
+def similarity_pairs_lsh(spark, d):
+    vectors = views.memories(spark, d).where("embedding IS NOT NULL").select("id", "embedding")
+    return vector.similar_pairs_by_planes(vectors, 0.4)
+
+
+@register(
+    "semantic_edges",
+    f"""WITH {MEM}, {NEAR} SELECT query_id AS from_id, id AS to_id, 'SEMANTICALLY_RELATED' AS edge_type, score AS similarity
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM near)
+        WHERE n <= 10 AND score >= 0.3 AND query_id <> id""",
+)
+def semantic_edges(spark, d):
+    return links.semantic_edges(views.memories(spark, d).where("embedding IS NOT NULL").select("id", "embedding"), 0.3)
+
+
+# -- keywords --------------------------------------------------------------------------------
+
+
+@register("keyword_bm25", f"WITH {bm25_sql(['the', 'that'])} SELECT * FROM hits ORDER BY score DESC, id LIMIT 10")
+def keyword_bm25(spark, d):
+    return keyword.bm25(views.memories(spark, d), QUERY)
+
+
+@register("keyword_bm25_all", f"WITH {bm25_sql(['que', 'la'])} SELECT * FROM hits")
+def keyword_bm25_all(spark, d):
+    return keyword.bm25(views.memories(spark, d), "Qué la", None)
+
+
+@register(
+    "keyword_phrase",
+    f"""WITH {MEM}, toks AS (SELECT id, archived_at, {TOKENS} AS t FROM memories),
+    c AS (SELECT id, archived_at, len(t) AS dl,
+      len(list_filter(range(1, greatest(1, len(t))::BIGINT), lambda i: t[i] = 'of' AND t[i + 1] = 'the')) AS tf FROM toks),
+    s AS (SELECT count(*) AS n, avg(dl) AS avgdl, count(*) FILTER (tf > 0) AS df FROM c)
+    SELECT id, round((CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END)
+      * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)), 6) AS score
+    FROM c, s WHERE tf > 0 AND archived_at IS NULL""",
+)
+def keyword_phrase(spark, d):
+    return keyword.bm25(views.memories(spark, d), "of-the", None)
+
+
+@register("keyword_all_blank", f"WITH {MEM} SELECT id, 1.0::DOUBLE AS score FROM memories WHERE archived_at IS NULL ORDER BY created_at DESC, id DESC LIMIT 10")
+def keyword_all_blank(spark, d):
+    return keyword.bm25(views.memories(spark, d), "  ")
+
+
+@register("keyword_substring", f"WITH {MEM} SELECT id, 1.0::DOUBLE AS score FROM memories WHERE archived_at IS NULL AND contains(lower(content), 'license') ORDER BY created_at DESC, id DESC LIMIT 10")
+def keyword_substring(spark, d):
+    return keyword.substring(views.memories(spark, d), "license")
+
+
+@register("keyword_df", f"WITH {MEM}, toks AS (SELECT unnest(list_distinct({TOKENS})) AS term FROM memories) SELECT term, count(*) AS df FROM toks GROUP BY term")
+def keyword_df(spark, d):
+    return keyword.document_frequency(views.memories(spark, d))
+
+
+@register(
+    "keyword_postings",
+    f"""WITH {MEM}, toks AS (SELECT id, {TOKENS} AS t FROM memories),
+    p AS (SELECT id, unnest(t) AS term, unnest(range(0, len(t))) AS pos FROM toks)
+    SELECT term, id, count(*) AS tf, sum(pos)::BIGINT AS places FROM p GROUP BY term, id""",
+)
+def keyword_postings(spark, d):
+    p = keyword.postings(views.memories(spark, d))
+    places = F.aggregate("positions", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return p.select("term", "id", F.size("positions").cast("bigint").alias("tf"), places.alias("places"))
+
+
+# -- fusion and search -----------------------------------------------------------------------
+
+
+def _fused(where: str = "", tail: str = "") -> str:
+    decay = DECAY.format(now=NOW)
+    walk = WALK.format(seeds="(SELECT id FROM vhits ORDER BY score DESC, id LIMIT 3)", edges="edges", depth=2)
+    return f"""WITH RECURSIVE {bm25_sql(['the', 'that'])}, {CHUNKS}, {EDGES}, {VECTOR.format(where='')}, {walk},
+    v AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) - 1 AS r FROM vhits),
+    k AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) - 1 AS r FROM (SELECT * FROM hits ORDER BY score DESC, id LIMIT 10)),
+    g AS (SELECT id, row_number() OVER (ORDER BY depth, coalesce(seed, 0), id) - 1 AS r FROM (
+      SELECT w.node_id AS id, min(w.physical_depth) AS depth, min(s.r + 1) AS seed
+      FROM walk w LEFT JOIN v s ON s.id = w.node_id AND s.r < 3 GROUP BY w.node_id)),
+    fused AS (SELECT m.id, m.project, m.content,
+      (coalesce(0.5 * (1.0::DOUBLE / (61 + v.r)), 0.0) + coalesce(0.2 * (1.0::DOUBLE / (61 + k.r)), 0.0)
+       + coalesce(0.3 * (1.0::DOUBLE / (61 + g.r)), 0.0)) / (0.5::DOUBLE / 61 + 0.2::DOUBLE / 61 + 0.3::DOUBLE / 61) AS rrf,
+      {decay} AS decay, m.importance_score,
+      CASE WHEN g.id IS NOT NULL THEN 'graph' WHEN k.id IS NOT NULL THEN 'keyword' ELSE 'vector' END AS source
+      FROM memories m LEFT JOIN v ON v.id = m.id LEFT JOIN k ON k.id = m.id LEFT JOIN g ON g.id = m.id
+      WHERE v.id IS NOT NULL OR k.id IS NOT NULL OR g.id IS NOT NULL),
+    final AS (SELECT id, project, content, round(rrf, 6) AS rrf_score,
+      round(0.5 * rrf + 0.3 * decay + 0.2 * importance_score, 6) AS final_score, source FROM fused),
+    best AS (SELECT * FROM final {where} ORDER BY final_score DESC, id LIMIT 10)
+    {tail or 'SELECT id, rrf_score, final_score, source FROM best'}"""
+
+
+@register("hybrid_search", _fused())
+def hybrid_search(spark, d):
+    m = views.memories(spark, d)
+    return search.search(m, views.edges(spark, d), QUERY, query_vector(m), NOW)
+
+
+@register("hybrid_search_project", _fused("WHERE project = 'src7'"))
+def hybrid_search_project(spark, d):
+    m = views.memories(spark, d)
+    return search.search(m, views.edges(spark, d), QUERY, query_vector(m), NOW, project="src7")
+
+
+TOKENS_OF = """CASE WHEN length(content) = 0 THEN 0
+  WHEN length(regexp_replace(content, '[^\\x00-\\x7F]', '', 'g')) >= 0.9 * length(content)
+  THEN greatest(1, ceil(length(content) / 4.0::DOUBLE * 1.5)) ELSE greatest(1, ceil(length(content) / 3.0::DOUBLE * 1.5)) END"""
+
+
+@register(
+    "token_budget",
+    _fused(tail=f"""SELECT id, rrf_score, final_score, source FROM (SELECT *, sum({TOKENS_OF}) OVER (
+        ORDER BY final_score DESC, id ROWS UNBOUNDED PRECEDING) AS running FROM best) WHERE running <= 2500"""),
+)
+def token_budget(spark, d):
+    m = views.memories(spark, d)
+    return search.search(m, views.edges(spark, d), QUERY, query_vector(m), NOW, max_tokens=2500)
+
+
+@register(
+    "fuse_single",
+    f"""WITH {MEM}, {VECTOR.format(where='')}, v AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) - 1 AS r FROM vhits)
+    SELECT m.id, round(61.0 * (1.0::DOUBLE / (61 + v.r)), 6) AS rrf_score, round(0.5 * (61.0 * (1.0::DOUBLE / (61 + v.r)))
+      + 0.3 * {DECAY.format(now=NOW)} + 0.2 * importance_score, 6) AS final_score FROM memories m JOIN v USING (id)""",
+)
+def fuse_single(spark, d):
+    m = views.memories(spark, d)
+    return fusion.fuse_single(vector.top_k(m, query_vector(m)), m, NOW)
+
+
+@register(
+    "fuse_rrf",
+    f"""WITH {bm25_sql(['the', 'that'])}, {VECTOR.format(where='')},
+    v AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) - 1 AS r FROM vhits),
+    k AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) - 1 AS r FROM (SELECT * FROM hits ORDER BY score DESC, id LIMIT 10))
+    SELECT m.id, m.project, round(rrf, 6) AS rrf_score, round(0.5 * rrf + 0.3 * {DECAY.format(now=NOW)} + 0.2 * importance_score, 6) AS final_score, source
+    FROM memories m JOIN (SELECT coalesce(v.id, k.id) AS id, CASE WHEN k.id IS NULL THEN 'vector' ELSE 'keyword' END AS source,
+      (coalesce(0.5 * (1.0::DOUBLE / (61 + v.r)), 0.0) + coalesce(0.2 * (1.0::DOUBLE / (61 + k.r)), 0.0))
+        / (0.5::DOUBLE / 61 + 0.2::DOUBLE / 61 + 0.3::DOUBLE / 61) AS rrf FROM v FULL JOIN k ON v.id = k.id) f ON f.id = m.id""",
+)
+def fuse_rrf(spark, d):
+    m = views.memories(spark, d)
+    lists = fusion.ranked(vector.top_k(m, query_vector(m)), "vector").unionByName(
+        fusion.ranked(keyword.bm25(m, QUERY), "keyword")
+    )
+    return fusion.fuse(lists, m, SearchStrategy(), NOW)
+
+
+# -- listings --------------------------------------------------------------------------------
+
+LISTED = "id, memory_type, project, importance_score, created_at"
+
+
+def _listed(f: ListFilter) -> Query:
+    return lambda spark, d: filters.list_rows(views.memories(spark, d), f).select(*LISTED.split(", "))
+
+
+def _listing(name: str, f: ListFilter, where: str, tail: str = "") -> None:
+    register(name, f"WITH {MEM} SELECT {LISTED} FROM memories WHERE {where} {tail}")(_listed(f))
+
+
+_listing("list_filter", ListFilter(project="src3", memory_type="semantic"), "archived_at IS NULL AND project = 'src3' AND memory_type = 'semantic'")
+_listing("list_archived", ListFilter(archived=True, archived_after="2024-01-20 00:00:00", order_by="archived_at ASC, id ASC"), "archived_at >= TIMESTAMP '2024-01-20 00:00:00'")
+_listing(
+    "list_keyset",
+    ListFilter(created_after="2024-01-01 06:00:00", id_after=5, order_by="created_at ASC, id ASC", limit=100),
+    "archived_at IS NULL AND (created_at, id) > (TIMESTAMP '2024-01-01 06:00:00', 5)",
+    "ORDER BY created_at, id LIMIT 100",
+)
+_listing("list_offset", ListFilter(archived=False, order_by="importance_score, id ASC", offset=20, limit=15), "true", "ORDER BY importance_score DESC, id LIMIT 15 OFFSET 20")
+_listing("tags_overlap", ListFilter(tags=("fr", "purchase")), "archived_at IS NULL AND list_has_any(tags, ['fr', 'purchase'])")
+_listing("min_importance", ListFilter(min_importance=0.9), "archived_at IS NULL AND importance_score >= 0.9")
+
+
+@register("json_field", f"WITH {MEM} SELECT id FROM memories WHERE json_extract_string(source_metadata, '$.k') = '7'")
+def json_field(spark, d):
+    return views.memories(spark, d).where(F.get_json_object("source_metadata", "$.k") == "7").select("id")
+
+
+@register("json_session", f"""WITH {MEM}, s AS (SELECT id, '{{"session_id": "s' || (id % 9) || '"}}' AS meta, archived_at FROM memories) SELECT id FROM s WHERE archived_at IS NULL AND json_extract_string(meta, '$.session_id') = 's4'""")
+def json_session(spark, d):
+    m = views.memories(spark, d)
+    m = m.withColumn("source_metadata", F.format_string('{"session_id": "s%d"}', F.col("id") % 9))
+    return m.where(filters.predicate(ListFilter(session_id="s4"))).select("id")
+
+
+@register("count_filter", f"WITH {MEM} SELECT count(*) AS n FROM memories WHERE archived_at IS NULL AND memory_type = 'procedural'")
+def count_filter(spark, d):
+    return filters.count_rows(views.memories(spark, d), ListFilter(memory_type="procedural"))
+
+
+@register("point_get", f"WITH {MEM} SELECT id, content, embedding FROM (SELECT id, content, len(embedding) AS embedding FROM memories) WHERE id = 42")
+def point_get(spark, d):
+    return views.memories(spark, d).where("id = 42").select("id", "content", F.size("embedding").cast("bigint").alias("embedding"))
+
+
+@register("batch_get", f"WITH {MEM}, w AS (SELECT unnest([9, 3, 9, 123456789, 1]) AS id, unnest(range(0, 5)) AS pos) SELECT w.pos::INT AS pos, m.id, m.project FROM w JOIN memories m USING (id) ORDER BY pos")
+def batch_get(spark, d):
+    return filters.batch_get(views.memories(spark, d), [9, 3, 9, 123456789, 1]).select("pos", "id", "project")
+
+
+@register("vector_dimension", "SELECT DISTINCT len(embedding) AS dimension FROM embeddings")
+def vector_dimension(spark, d):
+    return views.table(spark, d, "embeddings").select(F.size("embedding").cast("bigint").alias("dimension")).distinct()
+
+
+@register("valid_embeddings", "SELECT vec_id, len(embedding) = 64 AND NOT list_bool_or(list_transform(embedding, lambda x: isnan(x) OR isinf(x))) AS valid FROM embeddings")
+def valid_embeddings(spark, d):
+    return views.table(spark, d, "embeddings").select("vec_id", scalars.valid_embedding(F.col("embedding"), 64).alias("valid"))
+
+
+# -- counts ----------------------------------------------------------------------------------
+
+COUNTS = "count(*) FILTER (archived_at IS NULL) AS active, count(*) FILTER (archived_at IS NOT NULL) AS archived, count(*) AS total"
+
+
+@register("stats_overall", f"WITH {MEM} SELECT {COUNTS} FROM memories")
+def stats_overall(spark, d):
+    return stats.overall(views.memories(spark, d))
+
+
+@register("stats_by_project", f"WITH {MEM} SELECT project, {COUNTS} FROM memories WHERE project IS NOT NULL GROUP BY project")
+def stats_by_project(spark, d):
+    return stats.by_project(views.memories(spark, d))
+
+
+@register("stats_rollup", f"WITH {MEM} SELECT project, memory_type, {COUNTS}, round(avg(importance_score), 6) AS avg_importance FROM memories WHERE project IS NOT NULL GROUP BY ROLLUP (project, memory_type)")
+def stats_rollup(spark, d):
+    return stats.by_project_and_type(views.memories(spark, d))
+
+
+@register("list_projects", f"WITH {MEM} SELECT DISTINCT project FROM memories WHERE project IS NOT NULL")
+def list_projects(spark, d):
+    return stats.projects(views.memories(spark, d))
+
+
+@register("edge_count", f"WITH {MEM}, {CHUNKS}, {EDGES} SELECT count(*) AS edges FROM edges")
+def edge_count(spark, d):
+    return stats.edge_count(views.edges(spark, d))
+
+
+@register("dashboard_summary", f"WITH {MEM}, {CHUNKS}, {EDGES} SELECT {COUNTS}, count(DISTINCT project) AS projects, (SELECT count(*) FROM edges) AS edges FROM memories")
+def dashboard_summary(spark, d):
+    return stats.summary(views.memories(spark, d), views.edges(spark, d))
+
+
+LOG = "log AS (SELECT ts, event_type AS level, 'user' || (user_id % 5) AS logger, props AS message, event_id AS seq FROM events)"
+
+
+def _log(spark, d):
+    e = views.table(spark, d, "events")
+    return e.select("ts", F.col("event_type").alias("level"), F.concat(F.lit("user"), F.col("user_id") % 5).alias("logger"), F.col("props").alias("message"), F.col("event_id").alias("seq"))
+
+
+@register("log_merge", f"WITH {LOG} SELECT ts, logger, message, arg_max(level, seq) AS level, max(seq) AS seq FROM log GROUP BY ts, logger, message")
+def log_merge(spark, d):
+    return stats.merge_log(_log(spark, d))
+
+
+@register("log_search", f"""WITH {LOG} SELECT * FROM log WHERE level = 'error' AND (contains(lower(message), '"k": 1') OR contains(lower(logger), '"k": 1'))""")
+def log_search(spark, d):
+    return stats.search_log(_log(spark, d), "error", '"K": 1')
+
+
+@register("log_recent", f"WITH {LOG} SELECT * FROM log ORDER BY ts DESC, seq DESC LIMIT 100")
+def log_recent(spark, d):
+    return stats.last_entries(_log(spark, d), 100)
+
+
+# -- graph -----------------------------------------------------------------------------------
+
+
+def _walk_sql(depth: int, edges: str = "edges", tail: str = WALKED) -> str:
+    return f"WITH RECURSIVE {MEM}, {CHUNKS}, {EDGES}, {WALK.format(seeds=SEEDS, edges=edges, depth=depth)} {tail}"
+
+
+@register("traverse_depth2", _walk_sql(2))
+def traverse_depth2(spark, d):
+    return graph.traverse(views.edges(spark, d), views.memories(spark, d), SEEDS, 2)
+
+
+@register("traverse_typed", _walk_sql(3, "(SELECT * FROM edges WHERE edge_type IN ('CHUNK_NEXT', 'SUPERSEDES'))"))
+def traverse_typed(spark, d):
+    return graph.traverse(views.edges(spark, d), views.memories(spark, d), SEEDS, 3, ["CHUNK_NEXT", "SUPERSEDES"])
+
+
+@register("traverse_supersedes", f"WITH RECURSIVE {MEM}, {CHUNKS}, {EDGES}, {WALK.format(seeds='(SELECT from_id FROM edges WHERE edge_type = ' + repr('SUPERSEDES') + ' AND from_id % 7 = 0)', edges='(SELECT * FROM edges WHERE edge_type = ' + repr('SUPERSEDES') + ')', depth=1)} {WALKED}")
+def traverse_supersedes(spark, d):
+    e = views.edges(spark, d)
+    start = [r[0] for r in e.where("edge_type = 'SUPERSEDES' AND from_id % 7 = 0").select("from_id").distinct().collect()]
+    return graph.traverse(e, views.memories(spark, d), start, 1, ["SUPERSEDES"])
+
+
+@register("traverse_undirected", _walk_sql(2, "(SELECT DISTINCT * FROM (SELECT from_id, to_id, edge_type FROM edges WHERE edge_type = 'CHUNK_NEXT' UNION ALL SELECT to_id, from_id, edge_type FROM edges WHERE edge_type = 'CHUNK_NEXT'))"))
+def traverse_undirected(spark, d):
+    return graph.traverse(views.edges(spark, d), views.memories(spark, d), SEEDS, 2, ["CHUNK_NEXT"], direction="both")
+
+
+@register("traverse_summary", _walk_sql(3, tail="SELECT max(logical_depth) AS depth, bool_or(physical_depth >= 50) AS at_limit FROM walk"))
+def traverse_summary(spark, d):
+    return graph.summary(graph.traverse(views.edges(spark, d), views.memories(spark, d), SEEDS, 3))
+
+
+@register("traverse_nodes", _walk_sql(3, tail="SELECT node_id AS id, min(physical_depth) AS depth FROM walk GROUP BY node_id"))
+def traverse_nodes(spark, d):
+    return graph.walk_nodes(graph.traverse(views.edges(spark, d), views.memories(spark, d), SEEDS, 3))
+
+
+@register("induced_edges", f"WITH {MEM}, {CHUNKS}, {EDGES} SELECT * FROM edges WHERE from_id % 3 = 0 AND to_id % 3 = 0")
+def induced_edges(spark, d):
+    return graph.induced(views.edges(spark, d), views.memories(spark, d).where("id % 3 = 0"))
+
+
+@register("layout_top", f"WITH {MEM} SELECT id, substr(content, 1, 80) AS label, memory_type, project FROM memories WHERE archived_at IS NULL ORDER BY importance_score DESC, id LIMIT 500")
+def layout_top(spark, d):
+    return graph.layout(views.memories(spark, d))
+
+
+@register("layout_edges", f"WITH {MEM}, {CHUNKS}, {EDGES}, top AS (SELECT id FROM memories WHERE archived_at IS NULL ORDER BY created_at DESC, id LIMIT 200) SELECT e.* FROM edges e SEMI JOIN top a ON e.from_id = a.id SEMI JOIN top b ON e.to_id = b.id")
+def layout_edges(spark, d):
+    return graph.induced(views.edges(spark, d), graph.layout(views.memories(spark, d), 200, "recency"))
+
+
+@register("delete_cascade", f"WITH {MEM}, {CHUNKS}, {EDGES} SELECT * FROM edges WHERE from_id % 10 <> 0 AND to_id % 10 <> 0")
+def delete_cascade(spark, d):
+    m = views.memories(spark, d)
+    return graph.delete_nodes(views.edges(spark, d), m.select("id"), m.where("id % 10 = 0"))[1]
+
+
+@register("upsert_latest", "WITH a AS (SELECT user_id AS id, event_id AS version, event_type AS state FROM events) SELECT id, arg_max(version, version) AS version, arg_max(state, version) AS state FROM a GROUP BY id")
+def upsert_latest(spark, d):
+    e = views.table(spark, d, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("version"), F.col("event_type").alias("state"))
+    return graph.upsert_nodes(e.where("version % 2 = 0"), e.where("version % 2 = 1"))
+
+
+@register("edge_insert_ignore", f"WITH {MEM}, {CHUNKS}, {EDGES} SELECT DISTINCT from_id, to_id, edge_type FROM edges")
+def edge_insert_ignore(spark, d):
+    e = views.edges(spark, d)
+    return graph.add_edges(e.where("from_id % 2 = 0"), e)
+
+
+# -- links -----------------------------------------------------------------------------------
+
+
+@register("temporal_edges", """WITH t AS (SELECT conv_id * 100 + turn AS id, lag(conv_id * 100 + turn) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations)
+    SELECT before AS from_id, id AS to_id, 'TEMPORAL_NEXT' AS edge_type FROM t WHERE before IS NOT NULL
+    UNION ALL SELECT id, before, 'TEMPORAL_PREV' FROM t WHERE before IS NOT NULL""")
+def temporal_edges(spark, d):
+    return links.turn_edges(views.table(spark, d, "conversations"))
+
+
+@register("temporal_edges_project", f"""WITH {MEM}, t AS (SELECT id, id % 4 AS s, lag(id) OVER w AS before, lag(id % 4) OVER w AS bs FROM memories WINDOW w AS (PARTITION BY project ORDER BY created_at, id))
+    SELECT before AS from_id, id AS to_id, 'TEMPORAL_NEXT' AS edge_type FROM t WHERE before IS NOT NULL AND nullif(s, 0) IS NOT DISTINCT FROM nullif(bs, 0)
+    UNION ALL SELECT id, before, 'TEMPORAL_PREV' FROM t WHERE before IS NOT NULL AND nullif(s, 0) IS NOT DISTINCT FROM nullif(bs, 0)""")
+def temporal_edges_project(spark, d):
+    m = views.memories(spark, d)
+    return links.temporal_edges(m.select("id", "project", "created_at", F.nullif(F.col("id") % 4, F.lit(0)).alias("session_id")))
+
+
+@register("chunk_edges", f"WITH {MEM}, {CHUNKS} SELECT id AS from_id, after AS to_id, 'CHUNK_NEXT' AS edge_type FROM chunks WHERE after IS NOT NULL UNION ALL SELECT after, id, 'CHUNK_PREV' FROM chunks WHERE after IS NOT NULL")
+def chunk_edges(spark, d):
+    docs = views.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("document_id"), F.col("doc_id").alias("chunk_index"))
+    return links.chunk_edges(docs.join(views.memories(spark, d).select("id"), "id"))
+
+
+@register("reference_edges", r"""WITH r AS (SELECT page_id, list_distinct(list_transform(regexp_extract_all(url || ' /a/b/' || page_id || ' /c', 'https?://[^\s"''<>()\[\]{}]+'), lambda u: 'url:' || regexp_replace(u, '[.,!?:;]+$', ''))
+      || ['file:/a/b/' || page_id]) AS refs FROM pages)
+    SELECT CAST(page_id AS VARCHAR) AS from_id, unnest(refs) AS to_id, 'REFERENCES' AS edge_type, true AS stub FROM r""")
+def reference_edges(spark, d):
+    p = views.table(spark, d, "pages")
+    text = F.concat("url", F.lit(" /a/b/"), "page_id", F.lit(" /c"))
+    return links.reference_edges(p.select(F.col("page_id").alias("id"), text.alias("content")))
+
+
+# -- text functions --------------------------------------------------------------------------
+
+
+@register("classify", r"""WITH s AS (SELECT doc_id, text,
+      CASE WHEN regexp_matches(text, '(?i)was done|was completed|decided') THEN 2.0 ELSE 0 END AS e FROM documents),
+    c AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'conversation' WHEN 1 THEN 'manual' ELSE 'url' END AS kind,
+      len(regexp_extract_all(text, '(?i)was done|was completed|decided')) * 2.0::DOUBLE AS verbs,
+      len(regexp_extract_all(text, 'is defined as|refers to|is a type of|is an abbreviation|stands for|# ')) * 1.5::DOUBLE AS facts,
+      len(regexp_extract_all(text, '(?im)step \d+|^\d+\. |^\$ |^> |```|how to|instructions|procedure')) * 1.5::DOUBLE AS steps,
+      len(regexp_extract_all(text, '(?m)^\$\s+\S+|^>\s+\S+|^\d+\.\s+\S+')) AS commands,
+      CASE WHEN regexp_matches(text, '\d{4}[-/]\d{1,2}[-/]\d{1,2}') THEN 2.0::DOUBLE ELSE 0 END AS dated FROM documents),
+    t AS (SELECT doc_id, CASE WHEN kind = 'conversation' THEN 3.0::DOUBLE ELSE 0 END + verbs + dated AS e,
+      CASE WHEN kind = 'url' THEN 2.0::DOUBLE ELSE 0 END + facts AS s,
+      steps + CASE WHEN commands >= 2 THEN commands * 2.0::DOUBLE ELSE 0 END AS p FROM c)
+    SELECT doc_id, CASE WHEN greatest(e, s, p) < 1 THEN 'episodic' WHEN p = greatest(e, s, p) THEN 'procedural'
+        WHEN s = greatest(e, s, p) THEN 'semantic' ELSE 'episodic' END AS memory_type,
+      CASE WHEN greatest(e, s, p) < 1 THEN 0.25::DOUBLE ELSE 0.5::DOUBLE END AS importance, greatest(e, s, p) < 1 AS is_fallback FROM t""")
+def classify(spark, d):
+    kind = F.array(F.lit("conversation"), F.lit("manual"), F.lit("url"))[(F.col("doc_id") % 3).cast("int")]
+    rows = views.table(spark, d, "documents").select("doc_id", classes.classify(F.col("text"), kind).alias("c"))
+    return rows.select("doc_id", "c.memory_type", "c.importance", "c.is_fallback")
+
+
+@register("analyze_query", r"""SELECT conv_id, turn,
+      CASE WHEN regexp_matches(text, '(?i)error|warn|exception') THEN 0.2 WHEN regexp_matches(text, '(?i)why|cause|reason|how did') THEN 0.2 ELSE 0.5 END::DOUBLE AS vector_weight,
+      CASE WHEN regexp_matches(text, '(?i)error|warn|exception') THEN 1 WHEN regexp_matches(text, '(?i)why|cause|reason|how did') THEN 3 ELSE 2 END AS depth,
+      regexp_matches(text, '(?i)yesterday|today|tomorrow|recently') AS time_decay FROM conversations""")
+def analyze_query(spark, d):
+    rows = views.table(spark, d, "conversations").select("conv_id", "turn", classes.analyze_query(F.col("text")).alias("s"))
+    return rows.select("conv_id", "turn", "s.vector_weight", "s.depth", "s.time_decay")
+
+
+@register("token_estimate", f"SELECT doc_id, CAST({TOKENS_OF} AS BIGINT) AS tokens FROM (SELECT doc_id, text AS content FROM documents)")
+def token_estimate(spark, d):
+    return views.table(spark, d, "documents").select("doc_id", scalars.token_estimate(F.col("text")).alias("tokens"))
+
+
+@register("secret_scan", r"""SELECT doc_id, regexp_matches(t, '\bsk-[A-Za-z0-9_-]{16,}\b|\bck_[A-Za-z0-9_-]{16,}\b|\bAKIA[0-9A-Z]{16}\b|\bASIA[0-9A-Z]{16}\b|\bghp_[A-Za-z0-9]{36,}\b|\bglpat-[A-Za-z0-9_-]{20,}\b|\bhf_[A-Za-z0-9]{20,}\b|\bAIza[A-Za-z0-9_-]{35}\b') AS secret
+    FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN text || ' sk-' || repeat('a', CAST(doc_id % 30 AS INT)) ELSE text END AS t FROM documents)""")
+def secret_scan(spark, d):
+    planted = F.concat("text", F.lit(" sk-"), F.repeat(F.lit("a"), (F.col("doc_id") % 30).cast("int")))
+    t = F.when(F.col("doc_id") % 5 == 0, planted).otherwise(F.col("text"))
+    return views.table(spark, d, "documents").select("doc_id", scalars.has_secret(t).alias("secret"))
+
+
+@register("mask_audit", r"""SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)(bearer\s+|sk-|ck-|ghp_|gho_|ghu_|ghs_|ghr_|akia|aiza)[a-zA-Z0-9._~+/-]+|[0-9a-f]{32,}') THEN '**********' ELSE text END AS value FROM documents""")
+def mask_audit(spark, d):
+    return views.table(spark, d, "documents").select("doc_id", scalars.mask_value(F.lit("note"), F.col("text")).alias("value"))
+
+
+@register("mask_url", r"SELECT page_id, regexp_replace(regexp_replace(url, '[?#].*$', ''), '^([A-Za-z][A-Za-z0-9+.\-]*://)[^/]*@', '\1') AS masked FROM pages")
+def mask_url(spark, d):
+    return views.table(spark, d, "pages").select("page_id", scalars.mask_url(F.col("url")).alias("masked"))
+
+
+@register("content_hash", "SELECT doc_id, sha256(text) AS hash FROM documents")
+def content_hash(spark, d):
+    return views.table(spark, d, "documents").select("doc_id", scalars.content_hash(F.col("text")).alias("hash"))
+
+
+@register("unique_content", "SELECT min(doc_id) AS doc_id FROM documents GROUP BY text")
+def unique_content(spark, d):
+    docs = views.table(spark, d, "documents").select("doc_id", scalars.content_hash(F.col("text")).alias("hash"))
+    return docs.groupBy("hash").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+
+
+@register("coerce_values", "SELECT event_id, greatest(0.0, least(1.0, coalesce(TRY_CAST(v AS DOUBLE), 0.5)))::DOUBLE AS score FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'x' ELSE CAST(event_id % 4 AS VARCHAR) END AS v FROM events)")
+def coerce_values(spark, d):
+    v = F.when(F.col("event_id") % 3 == 0, "x").otherwise((F.col("event_id") % 4).cast("string"))
+    return views.table(spark, d, "events").select("event_id", scalars.coerce_score(v).alias("score"))
+
+
+@register("chunk_manual")
+def chunk_manual(spark, d):
+    raw = views.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return texts.chunks(raw)
+
+
+@register("chunk_headings")
+def chunk_headings(spark, d):
+    pages = texts.documents_from_pages(views.table(spark, d, "pages"))
+    return texts.chunks(pages.select("id", "text"), texts.heading_chunks)
+
+
+@register("html_to_text")
+def html_to_text(spark, d):
+    return texts.documents_from_pages(views.table(spark, d, "pages"))
+
+
+@register("conversation_windows", """WITH w AS (SELECT conv_id AS id, turn // 5 AS n, min(turn) AS turn_start, max(turn) AS turn_end,
+      string_agg(CASE role WHEN 'user' THEN 'User: ' WHEN 'assistant' THEN 'Assistant: ' ELSE 'System: ' END || replace(text, chr(10), ' '), chr(10) ORDER BY turn) AS content FROM conversations GROUP BY conv_id, turn // 5)
+    SELECT id, turn_start, turn_end, content FROM w""")
+def conversation_windows(spark, d):
+    line = F.concat(F.initcap("role"), F.lit(": "), F.replace("text", F.lit("\n"), F.lit(" ")))
+    held = views.table(spark, d, "conversations").select("conv_id", F.struct("turn", line.alias("line")).alias("t"))
+    logs = held.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("t"))
+    logs = logs.select(F.col("conv_id").alias("id"), F.array_join("t.line", "\n").alias("text"))
+    return texts.windows_of(texts.turns_of(logs)).select("id", F.col("turn_start").cast("bigint").alias("turn_start"), F.col("turn_end").cast("bigint").alias("turn_end"), "content")
+
+
+# -- duplicates and lifecycle ----------------------------------------------------------------
+
+
+@register("dedup_decision", f"""WITH {MEM}, p AS (SELECT a.id, b.id AS other, round(list_cosine_similarity(a.embedding, b.embedding), 6) AS s
+      FROM memories a JOIN memories b ON a.id % 10 = 0 AND b.id % 10 <> 0 AND b.archived_at IS NULL AND (a.project IS NULL OR a.project = b.project)
+      WHERE a.embedding IS NOT NULL AND b.embedding IS NOT NULL),
+    best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, other) AS n FROM p) WHERE n = 1)
+    SELECT m.id, CASE WHEN s >= 0.3 THEN 'REPLACE' WHEN s >= 0.2 THEN 'MERGE_CANDIDATE' ELSE 'INSERT' END AS action,
+      CASE WHEN s >= 0.2 THEN other END AS existing_id, s AS similarity FROM memories m LEFT JOIN best USING (id) WHERE m.id % 10 = 0""")
+def dedup_decision(spark, d):
+    m = views.memories(spark, d).select("id", "embedding", "project", "archived_at")
+    return dedup.decide(m.where("id % 10 = 0"), m.where("id % 10 <> 0 AND archived_at IS NULL"), 0.3, 0.2)
+
+
+@register("dedup_fold")
+def dedup_fold(spark, d):
+    m = views.memories(spark, d).select("id", F.col("created_at").cast("timestamp").alias("created_at"), "project", "embedding")
+    return dedup.fold(m, 0.45, 0.40)
+
+
+@register("consolidate")
+def consolidate(spark, d):
+    m = views.memories(spark, d).withColumn("created_at", F.col("created_at").cast("timestamp")).withColumn("project", F.lit("all"))
+    return dedup.consolidate(m, 0.45, 0.40)
+
+
+@register("cleanup_counts")
+def cleanup_counts(spark, d):
+    return lifecycle.clean_up(views.memories(spark, d), views.edges(spark, d), LATER).counts
+
+
+SCORE = f"round(0.5 * semantic_relevance + 0.3 * power(0.5, ((epoch_us(TIMESTAMP '{LATER}') - epoch_us(last_accessed_at)) / 86400000000.0::DOUBLE) / 30.0) + 0.2 * importance_score, 6)"
+
+
+@register("decay_scores", f"WITH {MEM} SELECT id, {SCORE} AS score FROM memories")
+def decay_scores(spark, d):
+    return lifecycle.scores(views.memories(spark, d), LATER)
+
+
+@register("archive_candidates", f"WITH {MEM} SELECT id, {SCORE} AS score FROM memories WHERE archived_at IS NULL AND {SCORE} < 0.05")
+def archive_candidates(spark, d):
+    return lifecycle.archive_candidates(views.memories(spark, d), LATER)
+
+
+@register("purge_candidates", f"WITH {MEM} SELECT id, archived_at FROM memories WHERE archived_at < TIMESTAMP '{LATER}' - INTERVAL 90 DAY")
+def purge_candidates(spark, d):
+    return lifecycle.purge_candidates(views.memories(spark, d), LATER)
+
+
+@register("access_feedback", f"WITH {MEM}, h AS (SELECT user_id AS id, count(*) AS n FROM events GROUP BY user_id) SELECT m.id, m.access_count + h.n AS access_count FROM memories m JOIN h USING (id)")
+def access_feedback(spark, d):
+    hits = views.table(spark, d, "events").groupBy(F.col("user_id").alias("id")).agg(F.count("*").alias("n"))
+    return views.memories(spark, d).join(hits, "id").select("id", (F.col("access_count") + F.col("n")).alias("access_count"))
+
+
+# -- streams ---------------------------------------------------------------------------------
+
+FAILED = """SELECT event_id, user_id, ts, failures FROM (SELECT *, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000000
+    RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS failures FROM events WHERE event_type = 'error') WHERE failures >= 2"""
+SESSIONS = """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS no FROM g)
+    SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 6 HOUR AS session_end, count(*) AS n FROM s GROUP BY user_id, no"""
+NTH = """SELECT user_id, event_id, nth FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth FROM events) WHERE nth % 5 = 0"""
+HOURLY = "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL"
+
+
+def _naive(df: DataFrame, *columns: str) -> DataFrame:
+    for c in columns:
+        df = df.withColumn(c, F.col(c).cast("timestamp_ntz"))
+    return df
+
+
+@register("failure_window", FAILED)
+def failure_window(spark, d):
+    return jobs.failure_windows(views.table(spark, d, "events"), 86_400, 2)
+
+
+@register("session_idle", SESSIONS)
+def session_idle(spark, d):
+    return _naive(jobs.sessions(views.table(spark, d, "events"), "6 hours"), "session_start", "session_end")
+
+
+@register("every_n_trigger", NTH)
+def every_n_trigger(spark, d):
+    return jobs.every_nth(views.table(spark, d, "events"), 5)
+
+
+@register("tumbling_counts", HOURLY)
+def tumbling_counts(spark, d):
+    return _naive(jobs.tumbling_counts(views.table(spark, d, "events")), "window_start")
+
+
+@register("stream_tumbling", HOURLY)
+def stream_tumbling(spark, d):
+    stream = jobs.tumbling_counts(jobs.events_stream(spark, d))
+    return _naive(jobs.drain(stream, "stream_tumbling", "complete"), "window_start")
+
+
+@register("stream_sessions", SESSIONS)
+def stream_sessions(spark, d):
+    stream = jobs.sessions(jobs.events_stream(spark, d), "6 hours")
+    return _naive(jobs.drain(stream, "stream_sessions", "complete"), "session_start", "session_end")
+
+
+@register("stream_every_n", NTH)
+def stream_every_n(spark, d):
+    return jobs.drain(jobs.every_nth_stream(jobs.events_stream(spark, d), 5), "stream_every_n")
+
+
+@register("stream_dedup", "SELECT event_id, user_id FROM events")
+def stream_dedup(spark, d):
+    return jobs.drain(jobs.deduplicated(jobs.events_stream(spark, d)), "stream_dedup").select("event_id", "user_id")
+
+
+# -- policies --------------------------------------------------------------------------------
+
+
+@register("allowlist_projection", f"WITH {MEM} SELECT id, project, memory_type AS kind FROM memories")
+def allowlist_projection(spark, d):
+    m = views.memories(spark, d)
+    payload = m.select("id", "content", F.struct("project", F.col("memory_type").alias("kind"), "access_count").alias("about"))
+    allowed = policy.allow(payload, {"id": True, "about": ["project", "kind"], "missing": True})
+    return allowed.select("id", "about.*")
+
+
+@register("capability_narrow", "SELECT user_id, list_sort(list_filter(list_distinct(list(event_type)), lambda x: x IN ('click', 'purchase', 'view') AND x IN ('view', 'click', 'signup'))) AS tools FROM events GROUP BY user_id")
+def capability_narrow(spark, d):
+    asked = views.table(spark, d, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("asked"))
+    intent, agent = F.array(*map(F.lit, ("click", "purchase", "view"))), F.array(*map(F.lit, ("view", "click", "signup")))
+    return asked.select("user_id", policy.grant(F.col("asked"), intent, agent).alias("tools"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
