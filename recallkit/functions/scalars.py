@@ -125,7 +125,7 @@ def mask_map(entries: Column) -> Column:
 
 def header_list(text: Column) -> Column:
     """Names of a comma-separated header, trimmed, without blanks and repeats."""
-    names = F.transform(F.split(F.coalesce(text, F.lit("")), ","), F.trim)
+    names = F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda x: F.trim(x))
     return F.array_distinct(F.filter(names, lambda x: x != ""))
 
 

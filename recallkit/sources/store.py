@@ -13,12 +13,25 @@ from pyspark.sql import types as T
 from recallkit.functions import scalars
 
 SCHEMA_VERSION = 1
-MEMORY = T.StructType.fromDDL(
-    "id string, content string, memory_type string, source_type string, source_metadata map<string,string>, "
-    "embedding array<float>, semantic_relevance double, importance_score double, access_count bigint, "
-    "last_accessed_at timestamp, created_at timestamp, updated_at timestamp, archived_at timestamp, "
-    "tags array<string>, project string"
-)
+_TEXT, _NUMBER, _TIME = T.StringType(), T.DoubleType(), T.TimestampType()
+_COLUMNS = {
+    "id": _TEXT,
+    "content": _TEXT,
+    "memory_type": _TEXT,
+    "source_type": _TEXT,
+    "source_metadata": T.MapType(_TEXT, _TEXT),
+    "embedding": T.ArrayType(T.FloatType()),
+    "semantic_relevance": _NUMBER,
+    "importance_score": _NUMBER,
+    "access_count": T.LongType(),
+    "last_accessed_at": _TIME,
+    "created_at": _TIME,
+    "updated_at": _TIME,
+    "archived_at": _TIME,
+    "tags": T.ArrayType(_TEXT),
+    "project": _TEXT,
+}
+MEMORY = T.StructType([T.StructField(name, kind) for name, kind in _COLUMNS.items()])
 UPDATABLE = frozenset(MEMORY.fieldNames()) - {"id", "created_at"}
 
 
