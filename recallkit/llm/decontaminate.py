@@ -151,13 +151,14 @@ class Index:
             k = int(self.budget[p])
             if high < -k:  # over k letters of the pattern would lie before the text
                 continue
-            start = max(0, low - k)
+            start = low - k
             number = int(np.searchsorted(ends, max(low, 0) + len(pattern) // 2))
             if number >= len(ends):
                 continue
             if best.get((number, item), (k + 1,))[0] == 0:
                 continue
-            region = data[start : high + len(pattern) + k + 1]
+            # before the first letter, letters that match none
+            region = b"\xff" * -min(start, 0) + data[max(start, 0) : high + len(pattern) + k + 1]
             exact = region.find(pattern)
             if exact >= 0:
                 edits, end = 0, exact + len(pattern)

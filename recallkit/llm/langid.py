@@ -105,7 +105,7 @@ class TextModel:
 
     def __init__(self, langs: list[str], grams: dict[str, list[float]]):
         self.place = {gram: i for i, gram in enumerate(grams)}
-        self.table = np.array(list(grams.values())).reshape(-1, len(langs))
+        self.table = np.array(list(grams.values())).reshape(len(grams), len(langs))
 
     def likelihood(self, text: str) -> np.ndarray:
         """Log-likelihood by language, tempered to ``TEXT_WEIGHT`` trigrams."""
