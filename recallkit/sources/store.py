@@ -92,6 +92,13 @@ class Store:
                 raise ValueError("DUPLICATE_CONTENT")
         self._append(rows, "put")
 
+    def commit(self, rows: DataFrame, archived: DataFrame, now: str) -> None:
+        """One batch as one append: new rows, and the rows they replace (``id``) archived."""
+        old = self.current().join(archived.select("id").distinct(), "id", "left_semi")
+        old = old.withColumn("archived_at", F.lit(now).cast("timestamp"))
+        columns = MEMORY.fieldNames()
+        self._append(rows.select(*columns).unionByName(old.select(*columns)), "put")
+
     def update(self, changes: DataFrame) -> None:
         """Replace the given columns of existing rows (``changes``: ``id`` and columns to set)."""
         names = [c for c in changes.columns if c != "id"]
