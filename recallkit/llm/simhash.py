@@ -175,8 +175,9 @@ def hex16(fp: F.Column) -> F.Column:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each group: that of the smallest ``doc_id``; columns unchanged.
 
-    Of repeated rows with that id one stays, the first by text.
+    An id names one document: of rows that repeat it one stays.  Rows without an id stay, since
+    nothing tells which of them a group should keep.
     """
     firsts = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
     kept = docs.join(firsts, docs["doc_id"] == firsts["__id"]).drop("__id")
-    return kept.dropDuplicates(["doc_id"])
+    return kept.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
