@@ -13,7 +13,7 @@ from recallkit.functions.lineage import cut
 from recallkit.operators import graph, stats
 from recallkit.plans import ingest, lifecycle, search
 from recallkit.sources import text as texts
-from recallkit.sources.embedders import Provider, hash_vectors
+from recallkit.sources.embedders import Provider, embed, hash_vectors
 from recallkit.sources.store import ReadOnly, Store
 
 _TEXT = T.StringType()
@@ -25,6 +25,8 @@ RAW = T.StructType(
     + [T.StructField("metadata", T.MapType(_TEXT, _TEXT))]
 )
 
+MAX_LOG_CHARS = 200_000
+
 
 class Engine:
     """Memories and edges under one folder; batches of any size go through the same plans."""
@@ -77,7 +79,9 @@ class Engine:
         return self.save_all(self.spark.createDataFrame([row], RAW), now)
 
     def flush(self, log: str, now: str, session_id: str | None = None, project: str | None = None) -> DataFrame:
-        """Save a transcript by windows of turns."""
+        """Save a transcript by windows of turns; one of over ``MAX_LOG_CHARS`` characters is refused."""
+        if len(log) > MAX_LOG_CHARS:
+            raise ValueError(f"INVALID_PARAMETER: a transcript has at most {MAX_LOG_CHARS} characters")
         turns = texts.turns_of(self.spark.createDataFrame([(session_id or now, log)], "id string, text string"))
         meta = F.create_map(
             F.lit("session_id"), F.col("id"), F.lit("turn_start"), F.col("turn_start").cast("string"),
@@ -132,6 +136,11 @@ class Engine:
             self.store.delete(gone)
         return counts
 
+    def reembed(self, provider: Provider) -> None:
+        """New vectors for all rows, archived ones included, in one distributed pass."""
+        self.store.update(cut(embed(self.memories().select("id", "content"), provider).select("id", "embedding")))
+        self.provider = provider
+
     def stats(self, project: str | None = None) -> DataFrame:
         return stats.overall(self.memories(), project)
 

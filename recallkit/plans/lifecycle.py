@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -89,3 +90,13 @@ def clean_up(
         .crossJoin(purged.agg(F.count("*").alias("purged")))
     )
     return Cleanup(kept, kept_edges, links, counts)
+
+
+def due(saves: int, last_cleanup: str | None, now: str, every: int = 50, hours: int = 24) -> bool:
+    """Whether a clean-up is to start: at each ``every``-th save, or ``hours`` after the last one."""
+    if saves and saves % every == 0:
+        return True
+    if last_cleanup is None:
+        return False
+    gap = dt.datetime.fromisoformat(now) - dt.datetime.fromisoformat(last_cleanup)
+    return gap >= dt.timedelta(hours=hours)

@@ -691,6 +691,14 @@ def failure_window(spark, d):
     return jobs.failure_windows(views.table(spark, d, "events"), 86_400, 2)
 
 
+@register("failure_alerts", """WITH b AS (SELECT *, sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS broken FROM events),
+    c AS (SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000000 RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS failures,
+      count(*) OVER (PARTITION BY user_id, broken ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS in_a_row FROM b WHERE event_type = 'error')
+    SELECT * FROM c WHERE failures >= 3 OR in_a_row >= 3""")
+def failure_alerts(spark, d):
+    return jobs.failure_alerts(views.table(spark, d, "events"), 86_400, 3)
+
+
 @register("session_idle", SESSIONS)
 def session_idle(spark, d):
     return _naive(jobs.sessions(views.table(spark, d, "events"), "6 hours"), "session_start", "session_end")

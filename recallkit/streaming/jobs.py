@@ -15,6 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 FAILURES = 5
 FAILURE_SECONDS = 600
+FAILURE_RUN = 3
 IDLE = "30 minutes"
 EVERY = 50
 
@@ -71,6 +72,19 @@ def failure_windows(events: DataFrame, seconds: int = FAILURE_SECONDS, least: in
     return counted.where(F.col("failures") >= least)
 
 
+def failure_alerts(events: DataFrame, seconds: int = FAILURE_SECONDS, least: int = FAILURES, run: int = FAILURE_RUN) -> DataFrame:
+    """Errors that raise an alarm: ``least`` of the user's within ``seconds``, or ``run`` in a row (batch)."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    failed = F.col("event_type") == "error"
+    breaks = events.withColumn("broken", F.sum((~failed).cast("int")).over(order))
+    span = Window.partitionBy("user_id").orderBy(F.unix_seconds(F.col("ts").cast("timestamp"))).rangeBetween(-seconds, 0)
+    streak = Window.partitionBy("user_id", "broken").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    counted = breaks.where(failed).select(
+        "event_id", "user_id", F.count("*").over(span).alias("failures"), F.count("*").over(streak).alias("in_a_row")
+    )
+    return counted.where((F.col("failures") >= least) | (F.col("in_a_row") >= run))
+
+
 def failure_counts(events: DataFrame, size: str = "600 seconds", slide: str = "60 seconds", late: str = "1 hour") -> DataFrame:
     """Errors in sliding windows (stream or batch)."""
     errors = events.where("event_type = 'error'")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pytest
 
+from recallkit.plans import lifecycle
 from recallkit.plans.engine import Engine
 from recallkit.sources.store import ReadOnly
 
@@ -28,12 +29,22 @@ def test_save_search_prune_delete(spark, tmp_path):
     assert dry.first().purged == 1 and engine.stats().first().total == 4
     engine.prune("2024-06-01 00:00:00", dry_run=False)
     assert engine.stats().first().total == 3
+    engine.reembed(lambda texts: [[float(len(t)), 1.0] for t in texts])
+    assert engine.store.dimension() == 2
+    with pytest.raises(ValueError, match="INVALID_PARAMETER"):
+        engine.flush("x" * 200_001, now)
     engine.delete([r.id for r in engine.memories().where("project = 'q'").collect()])
     assert engine.stats().first().total == 2
     with pytest.raises(ReadOnly):
         Engine(spark, str(tmp_path / "e"), read_only=True).save("x", now)
 
 
+def test_cleanup_is_due():
+    now = "2024-01-02 00:00:00"
+    assert lifecycle.due(100, None, now) and not lifecycle.due(99, None, now) and not lifecycle.due(0, None, now)
+    assert lifecycle.due(1, "2024-01-01 00:00:00", now) and not lifecycle.due(1, "2024-01-01 00:00:01", now)
+
+
 def test_pages(spark, sf_dir, tmp_path):
     engine = Engine(spark, str(tmp_path / "f"))
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").limit(3)
