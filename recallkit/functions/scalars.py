@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -23,8 +24,20 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (norm > 0), dot(a, b) / norm)
 
 
-def vector_literal(values: Sequence[float]) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
+def cosine_to(e: Column, query: Sequence[float]) -> Column:
+    """Cosine similarity to a fixed vector in one pass over ``e``; null for missing, unequal or zero vectors."""
+    length = math.sqrt(sum(float(v) * float(v) for v in query))
+    if not length:
+        return F.lit(None).cast("double")
+    unit = F.array(*[F.lit(float(v) / length) for v in query])
+    pairs = F.zip_with(e, unit, lambda x, y: F.struct(x.cast("double").alias("x"), y.alias("y")))
+    none = F.struct(F.lit(0.0).alias("dot"), F.lit(0.0).alias("square"))
+    return F.aggregate(
+        pairs,
+        none,
+        lambda a, p: F.struct((a["dot"] + p["x"] * p["y"]).alias("dot"), (a["square"] + p["x"] * p["x"]).alias("square")),
+        lambda a: F.when(a["square"] > 0, a["dot"] / F.sqrt(a["square"])),
+    )
 
 
 def valid_embedding(e: Column, dimension: int) -> Column:

@@ -26,8 +26,9 @@ def top_k(memories: DataFrame, query: Sequence[float], k: int = config.TOP_K, pr
         rows = rows.where(F.col("project") == project)
     if not query:
         rows = rows.where(F.lit(False))
-    score = F.round(scalars.cosine(F.col("embedding"), scalars.vector_literal(query)), 6)
-    return rows.select("id", score.alias("score")).where("score IS NOT NULL").orderBy(F.desc("score"), "id").limit(k)
+    score = F.round(scalars.cosine_to(F.col("embedding"), query), 6)
+    best = rows.select("id", score.alias("score")).orderBy(F.desc_nulls_last("score"), "id").limit(k)
+    return best.where("score IS NOT NULL")  # after the cut, so that each score is computed once
 
 
 def _blocks(vectors: DataFrame, n: int) -> DataFrame:
