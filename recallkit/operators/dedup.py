@@ -60,18 +60,24 @@ def _nearest_in_project(new: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def _components(pairs: DataFrame) -> DataFrame:
-    """``id, root`` by repeated least neighbours; each round is checkpointed."""
+    """``id, root`` (the least id reachable) by least neighbours and doubling jumps along roots.
+
+    Rounds grow with the logarithm of the longest path; each is checkpointed.
+    """
     both = pairs.select("id_a", "id_b").unionByName(pairs.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b")))
     both = cut(both.distinct())
     roots = cut(both.select(F.col("id_a").alias("id")).distinct().withColumn("root", F.col("id")))
     while True:
         seen = both.join(roots.withColumnRenamed("id", "id_b"), "id_b").groupBy("id_a").agg(F.min("root").alias("near"))
-        moved = roots.join(seen, F.col("id") == F.col("id_a")).select(
-            "id", F.least("root", "near").alias("root"), (F.col("near") < F.col("root")).alias("moved")
+        near = cut(
+            roots.join(seen, F.col("id") == F.col("id_a")).select(
+                "id", F.col("root").alias("was"), F.least("root", "near").alias("root")
+            )
         )
-        moved = cut(moved)
+        further = near.select(F.col("id").alias("over"), F.col("root").alias("next"))
+        moved = cut(near.join(further, F.col("root") == F.col("over")).select("id", "was", F.least("root", "next").alias("root")))
         roots = moved.select("id", "root")
-        if moved.where("moved").isEmpty():
+        if moved.where("was <> root").isEmpty():
             return roots
 
 

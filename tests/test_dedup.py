@@ -84,3 +84,11 @@ def test_blocks_meet_once(spark, monkeypatch):
     planes = {(r.id_a, r.id_b) for r in vector.similar_pairs_by_planes(frame(spark, rows), 0.85, tables=24, planes=3).collect()}
     exact = {(a, b) for a, b, s in whole if s >= 0.85}
     assert planes <= exact and len(planes) >= 0.9 * len(exact)
+
+
+def test_long_chains_are_one_component(spark):
+    from pyspark.sql import functions as F
+
+    chain = spark.range(200).where("id <> 120").select(F.col("id").alias("id_a"), (F.col("id") + 1).alias("id_b"))
+    found = {r.id: r.root for r in dedup._components(chain).collect()}
+    assert found == {i: 0 if i <= 120 else 121 for i in range(201)}
