@@ -20,7 +20,9 @@ carried.
 from __future__ import annotations
 
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,23 +36,39 @@ END_ID = 0
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 1000
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 1_000_000
+CACHE_CHARS = 48
 BATCH_BYTES = 16 << 20
 
 #: The byte-level pre-tokenisation pattern (a fixed value).
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: A blank that does not start a pre-token, or a control character whose class differs between libraries.
-_ODD_BLANK = re.compile(r" (?=\s|$)|[\x1c-\x1f]")
+#: A blank that does not start a pre-token.
+_ODD_BLANK = re.compile(r" [\s]")
 
 
-def _byte_letters() -> list[str]:
+def _byte_letters() -> dict[int, str]:
     """The printable stand-in of each byte in a byte-level vocabulary.
 
     Printable Latin-1 bytes stand for themselves, the others for U+0100 onwards in order.
     """
     plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
     spare = iter(range(0x100, 0x200))
-    return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
+    return {b: chr(b) if b in plain else chr(next(spare)) for b in range(256)}
+
+
+class _Known(dict):
+    """Ids by text, worked out when first asked for; bounded in number and in length."""
+
+    def __init__(self, ids):
+        self.ids = ids
+
+    def __missing__(self, text: str) -> bytes:
+        found = self.ids(text)
+        if len(text) <= CACHE_CHARS:
+            if len(self) >= CACHE_ENTRIES:
+                self.clear()
+            self[text] = found
+        return found
 
 
 class Encoder:
@@ -71,35 +89,33 @@ class Encoder:
         )
         self.pretokens = regex.compile(PRETOKEN)
         self.letters = _byte_letters()
-        self.pieces: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
-
-    def _pretoken(self, token: str) -> bytes:
-        found = self.known.get(token)
-        if found is None:
-            if len(self.known) >= CACHE_ENTRIES:
-                self.known.clear()
-            letters = "".join([self.letters[b] for b in token.encode()])
-            ids = [t.id for t in self.tokenizer.model.tokenize(letters)]
-            found = self.known[token] = np.array(ids, "<u4").tobytes()
-        return found
+        self.pieces = _Known(self._piece)
+        self.known = _Known(self._ids)
+
+    def _ids(self, pretoken: str) -> bytes:
+        """Ids of one pre-token, by the vocabulary's merges."""
+        letters = pretoken.encode().decode("latin-1").translate(self.letters)
+        ids = array("I", [t.id for t in self.tokenizer.model.tokenize(letters)])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a blank and what follows it; letters alone are one pre-token."""
+        if piece.isalpha():
+            return self._ids(" " + piece)
+        tokens = self.pretokens.findall(" " + piece)
+        return b"".join([self.pieces[t[1:]] if t[1:].isalpha() and t[0] == " " else self.known[t] for t in tokens])
 
     def __call__(self, text: str) -> bytes:
         if not self.piecewise:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         # No pre-token spans the start of a single blank that a non-blank follows.
-        if _ODD_BLANK.search(text):
-            return b"".join([self._pretoken(t) for t in self.pretokens.findall(text)])
+        known = self.known.__getitem__
+        if text.endswith(" ") or _ODD_BLANK.search(text):
+            return b"".join(map(known, self.pretokens.findall(text)))
         first, *rest = text.split(" ")
-        found = list(map(self.pieces.get, rest))
-        if None in found:
-            if len(self.pieces) >= CACHE_ENTRIES:
-                self.pieces.clear()
-            for i, ids in enumerate(found):
-                if ids is None:
-                    tokens = self.pretokens.findall(" " + rest[i])
-                    found[i] = self.pieces[rest[i]] = b"".join([self._pretoken(t) for t in tokens])
-        return b"".join([*[self._pretoken(t) for t in self.pretokens.findall(first)], *found])
+        return b"".join(map(known, self.pretokens.findall(first))) + b"".join(map(self.pieces.__getitem__, rest))
 
 
 _ENCODERS: dict[str, Encoder] = {}
