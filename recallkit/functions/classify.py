@@ -21,6 +21,8 @@ PROCEDURAL_FORMS = (
     "する方法", "のやり方", "手順", "ステップ", r"step \d+", r"^\d+\. ", r"^\$ ", r"^> ", "```", "how to",
     "instructions", "procedure",
 )
+#: Every form that is not ASCII holds one of these letters.
+JAPANESE = "[\u3041-\u30ff\u4e00-\u9fff]"
 TIME_FORM = r"\d{4}[-/]\d{1,2}[-/]\d{1,2}|昨日|今日|先週|先月|今週"
 COMMAND_FORM = r"^\$\s+\S+|^>\s+\S+|^\d+\.\s+\S+"
 #: Intents of queries.
@@ -35,8 +37,13 @@ PENALTY = 0.5
 DEFAULT_IMPORTANCE = 0.5
 
 
-def _count(text: Column, form: str, flags: str = "") -> Column:
-    return F.regexp_count(text, F.lit(f"{flags}{form}"))
+def _count(text: Column, forms: tuple[str, ...], flags: str = "") -> Column:
+    """Matches of the forms; texts without Japanese letters are held against the ASCII forms only."""
+    every, plain = ("|".join(f) for f in (forms, [x for x in forms if x.isascii()]))
+    japanese = text.rlike(JAPANESE)
+    return F.when(japanese, F.regexp_count(text, F.lit(flags + every))).otherwise(
+        F.regexp_count(text, F.lit(flags + plain))
+    )
 
 
 def _tagged(text: Column, kind: str) -> Column:
@@ -45,17 +52,17 @@ def _tagged(text: Column, kind: str) -> Column:
 
 
 def class_scores(text: Column, source_type: Column) -> dict[str, Column]:
-    commands = _count(text, COMMAND_FORM, "(?Umd)")
+    commands = F.regexp_count(text, F.lit("(?Umd)" + COMMAND_FORM))
     return {
         "episodic": _tagged(text, "episodic")
         + (source_type == "conversation").cast("int") * 3.0
-        + _count(text, "|".join(EPISODIC_FORMS), "(?iU)") * 2.0
-        + text.rlike("(?iU)" + TIME_FORM).cast("int") * 2.0,
+        + _count(text, EPISODIC_FORMS, "(?iU)") * 2.0
+        + text.rlike(f"(?U)(?=[\\d昨今先])(?:{TIME_FORM})").cast("int") * 2.0,
         "semantic": _tagged(text, "semantic")
         + (source_type == "url").cast("int") * 2.0
-        + _count(text, "|".join(SEMANTIC_FORMS)) * 1.5,
+        + _count(text, SEMANTIC_FORMS) * 1.5,
         "procedural": _tagged(text, "procedural")
-        + _count(text, "|".join(PROCEDURAL_FORMS), "(?iUmd)") * 1.5
+        + _count(text, PROCEDURAL_FORMS, "(?iUmd)") * 1.5
         + F.when(commands >= 2, commands * 2.0).otherwise(0.0),
     }
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recallkit import config
-from recallkit.functions.tokens import query_phrases, tokenize
+from recallkit.functions.lineage import cut
+from recallkit.functions.tokens import phrase_counts, query_phrases, tokenize
 from recallkit.operators.filters import active
 
 #: Fixed values of the ranking formula.
@@ -26,32 +27,25 @@ def document_frequency(memories: DataFrame) -> DataFrame:
     return terms.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def _occurrences(phrase: list[str]) -> Column:
-    """How often a phrase occurs in the column ``tokens``, at adjacent positions."""
-    words = [F.lit(t) for t in phrase]
-    if len(words) == 1:
-        return F.size(F.filter("tokens", lambda t: t == words[0]))
-    last = F.size("tokens") - len(words) + 1
-    starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    return F.size(F.filter(starts, lambda i: F.slice("tokens", i, len(words)) == F.array(*words)))
-
-
 def bm25(memories: DataFrame, query: str, k: int | None = config.TOP_K, project: str | None = None) -> DataFrame:
     """``id, score`` of active rows with every phrase of the query.
 
-    Counts and lengths of all rows come from one pass without a shuffle of texts; the corpus
-    figures are one row.  Archived rows count for the figures and are left out of the result.
+    One pass over the texts, without a shuffle of them, gives each row's counts and length;
+    these few numbers a row are kept for the corpus figures (one row) and the scores.  Archived
+    rows count for the figures and are left out of the result.
     """
     phrases = query_phrases(query)
     if not phrases:
         return all_rows(memories, k, project)
-    tokens = memories.select("id", "project", "archived_at", tokenize("content").alias("tokens"))
-    counted = tokens.select(
-        "id",
-        "project",
-        "archived_at",
-        F.size("tokens").alias("dl"),
-        *[_occurrences(p).alias(f"tf{i}") for i, p in enumerate(phrases)],
+    rows = memories.select("id", "project", "archived_at", phrase_counts(F.col("content"), phrases).alias("c"))
+    counted = cut(
+        rows.select(
+            "id",
+            "project",
+            "archived_at",
+            "c.dl",
+            *[F.col("c.tf")[i].alias(f"tf{i}") for i in range(len(phrases))],
+        )
     )
     corpus = counted.agg(
         F.count("*").alias("n"),
