@@ -67,17 +67,15 @@ def class_scores(text: Column, source_type: Column) -> dict[str, Column]:
     }
 
 
-def classify(text: Column, source_type: Column) -> Column:
-    """``memory_type, importance, is_fallback, confidence``; ties go to procedural, then semantic."""
-    scores = class_scores(text, source_type)
-    best = F.greatest(*scores.values())
+def _verdict(scores: Column) -> Column:
+    best = F.greatest(scores["episodic"], scores["semantic"], scores["procedural"])
+    fallback = best < 1.0
     kind = (
-        F.when(best < 1.0, "episodic")
+        F.when(fallback, "episodic")
         .when(scores["procedural"] == best, "procedural")
         .when(scores["semantic"] == best, "semantic")
         .otherwise("episodic")
     )
-    fallback = best < 1.0
     return F.struct(
         kind.alias("memory_type"),
         F.when(fallback, DEFAULT_IMPORTANCE * PENALTY).otherwise(DEFAULT_IMPORTANCE).alias("importance"),
@@ -86,6 +84,13 @@ def classify(text: Column, source_type: Column) -> Column:
     )
 
 
+def classify(text: Column, source_type: Column) -> Column:
+    """``memory_type, importance, is_fallback, confidence``; ties go to procedural, then semantic."""
+    scores = F.struct(*[score.alias(kind) for kind, score in class_scores(text, source_type).items()])
+    # passed as a lambda's argument, the scores are worked out once
+    return F.transform(F.array(scores), _verdict)[0]
+
+
 def analyze_query(text: Column) -> Column:
     """Weights, depth and decay flag that suit a query; errors outrank causes."""
     error, cause = text.rlike("(?iU)" + ERROR_FORM), text.rlike("(?iU)" + CAUSE_FORM)
