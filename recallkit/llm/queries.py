@@ -68,6 +68,30 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(docs, items).withColumn("contaminated", F.lit(True))
 
 
+#: Windows of op6 as joined words; the first document of each window is found by one grouping.
+OP6_SQL = r"""
+WITH split AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), words AS (
+  SELECT row, doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS place FROM split
+), windows AS (
+  SELECT *, CASE WHEN count(*) OVER w = 50 THEN md5(string_agg(word, ' ') OVER w) END AS win
+  FROM words WINDOW w AS (PARTITION BY row ORDER BY place ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)
+), firsts AS (
+  SELECT win, min(doc_id) AS earliest FROM windows WHERE win IS NOT NULL GROUP BY win
+), covered AS (
+  SELECT row, word, place, coalesce(bool_or(earliest < doc_id)
+           OVER (PARTITION BY row ORDER BY place ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), false) AS gone
+  FROM windows LEFT JOIN firsts USING (win)
+), kept AS (
+  SELECT row, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY place) FILTER (NOT gone) AS text
+  FROM covered GROUP BY row
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(text, '')) AS kept_sha256
+FROM split LEFT JOIN kept USING (row)
+"""
+
 #: The words, targets and keys of op8 in one statement; windows sort whole sources here.
 OP8_SQL = r"""
 WITH sizes AS (
@@ -127,4 +151,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixing": OP8_SQL}
+    return {"op6_substrings": OP6_SQL, "op8_mixing": OP8_SQL}

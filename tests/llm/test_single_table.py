@@ -271,6 +271,10 @@ def test_substrings_query(spark, sf_dir, docs):
     assert sorted(map(tuple, found), key=repr) == brute_kept(list(docs.items()))
 
 
+def test_substrings_sql(spark, sf_dir, same):
+    same(q.op6_substrings(spark, sf_dir), q.OP6_SQL)
+
+
 def test_substrings_odd_rows(spark):
     found = substrings.remove_repeats(frame(spark)).collect()
     assert {r.doc_id: r.n_removed for r in found if r.doc_id} == {1: 0, 2: 0, 3: 0, 4: 0, 5: 0, 6: 30_000, 7: 0}
