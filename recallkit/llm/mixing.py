@@ -11,7 +11,9 @@ quality weight of the document's label if there is one, else 1.
 
 The order within a source is never sorted in one task: keys fall into ``SLICES`` slices
 by a monotone map, slice totals are summed first, and only the rows of one slice of one
-source are sorted together.
+source are sorted together.  The map is the mean of the distributions that keys of the
+weights in ``SLICE_WEIGHTS`` have, so a slice gets at most ``len(SLICE_WEIGHTS) / SLICES``
+of the rows of any of these weights, however the weights are mixed.
 
 Cases: a null text has size 0; null is a source of its own, after all others; a document
 of size 0 takes 0 words; repeated rows each count (ties in the key are broken by id and
@@ -31,6 +33,8 @@ SHARE = 1.5
 MAX_EPOCHS = 2
 SEED = "mix-1"
 SLICES = 1024
+LOW_WEIGHT = 0.25
+SLICE_WEIGHTS = (1.0, LOW_WEIGHT)
 
 
 def word_count(text: Column) -> Column:
@@ -73,6 +77,12 @@ def exponential_key(doc_id: Column, size: Column, weight: Column) -> Column:
     return -F.ln(u) / weight
 
 
+def key_slice(key: Column) -> Column:
+    """Slice of a key: a monotone map under which keys of every slice weight lie evenly enough."""
+    below = sum((1 - F.exp(-F.lit(w) * key) for w in SLICE_WEIGHTS), F.lit(0.0)) / len(SLICE_WEIGHTS)
+    return F.least(F.lit(SLICES - 1), F.floor(SLICES * below)).cast("int")
+
+
 def mixture(
     docs: DataFrame,
     quality: DataFrame | None = None,
@@ -100,7 +110,7 @@ def mixture(
             "weight", F.coalesce(F.col("quality_weight"), F.lit(1.0))
         )
     keyed = weighed.withColumn("key", exponential_key(F.col("doc_id"), F.col("size"), F.col("weight"))).withColumn(
-        "slice", F.least(F.lit(SLICES - 1), F.floor(SLICES * (1 - F.exp(-F.col("key"))))).cast("int")
+        "slice", key_slice(F.col("key"))
     )
     slices = keyed.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
     earlier = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -160,6 +170,6 @@ def mix_documents(docs: DataFrame, quality: DataFrame | None = None) -> DataFram
 
 
 def quality_weights(labels: DataFrame) -> DataFrame:
-    """``doc_id, weight`` of labelled documents: 1 for quality 1, 0.25 for quality 0."""
-    weight = F.when(F.col("quality") == 1, F.lit(1.0)).when(F.col("quality") == 0, F.lit(0.25))
+    """``doc_id, weight`` of labelled documents: 1 for quality 1, ``LOW_WEIGHT`` for quality 0."""
+    weight = F.when(F.col("quality") == 1, F.lit(1.0)).when(F.col("quality") == 0, F.lit(LOW_WEIGHT))
     return labels.select("doc_id", weight.alias("weight")).where("weight IS NOT NULL")

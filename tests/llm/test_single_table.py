@@ -357,6 +357,17 @@ def test_mixture_equals_sql(spark, sf_dir, same):
     same(q.op8_mixing(spark, sf_dir), q.OP8_SQL)
 
 
+@pytest.mark.parametrize("weight", [1.0, 0.25])
+def test_mixing_slices(spark, weight):
+    """Slices follow the order of the keys, and none holds more than its bound (and chance) of one weight."""
+    keys = spark.range(100_000).select(mixing.exponential_key(F.col("id"), F.lit(5), F.lit(weight)).alias("key"))
+    rows = keys.select("key", mixing.key_slice(F.col("key")).alias("slice")).orderBy("key").collect()
+    slices = [r.slice for r in rows]
+    assert slices == sorted(slices)
+    expected = 100_000 * len(mixing.SLICE_WEIGHTS) / mixing.SLICES
+    assert max(Counter(slices).values()) < expected + 6 * expected**0.5
+
+
 def test_targets(spark):
     sizes = {"a": 10, "b": 1000, "c": 400, None: 90}
     df = spark.createDataFrame([(k, n) for k, n in sizes.items()], "source string, size long")
