@@ -8,18 +8,20 @@ ids.  ``encoding`` chooses dictionary pages (default: token ids are a skewed voc
 or delta binary packing.
 
 Text is encoded after the shuffle that orders it: text is smaller than its ids there, and
-a lost executor re-encodes only its own partitions.  A tokenizer with byte-level
+a lost executor re-encodes only its own partitions.  Rows of one id are dealt by the hash of
+their text as well, so no id has to fit in one task.  A tokenizer with byte-level
 pre-tokenisation is run on the pre-tokens a worker has not met yet; ids of known ones come
-from a bounded cache.  Other tokenizers encode whole texts.
+from a cache bounded in bytes.  Other tokenizers, and texts that hold one of the
+tokenizer's added tokens, are encoded whole by the library.
 
-Cases: null and empty texts have the end id alone; repeated rows are encoded each; rows
-with a null id come first; an empty table gives an empty result; other columns are not
+Cases: null and empty texts have the end id alone; a very long text is encoded whole, as one
+row; repeated rows are encoded each, rows of one id in the order of a hash of their texts;
+rows with a null id come first; an empty table gives an empty result; other columns are not
 carried.
 """
 
 from __future__ import annotations
 
-import re
 import sys
 import zlib
 from array import array
@@ -36,14 +38,15 @@ END_ID = 0
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 1000
-CACHE_ENTRIES = 1_000_000
+#: Bound of a worker's caches together, keys and values, and of the length of what they keep.
+CACHE_BYTES = 96 << 20
 CACHE_CHARS = 48
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 #: The byte-level pre-tokenisation pattern (a fixed value).
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: A blank that does not start a pre-token.
-_ODD_BLANK = re.compile(r" [\s]")
+#: Bytes that an entry takes in a dictionary beside its key and value.
+_SLOT = 110
 
 
 def _byte_letters() -> dict[int, str]:
@@ -57,16 +60,26 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Known(dict):
-    """Ids by text, worked out when first asked for; bounded in number and in length."""
+    """Ids by text, worked out when first asked for; bounded in bytes.
 
-    def __init__(self, ids):
-        self.ids = ids
+    Entries live in two generations: when the young one reaches half the bound it becomes the
+    old one, whose entries come back when they are asked for; what is not asked for goes.
+    """
+
+    def __init__(self, work_out, limit: int):
+        self.work_out, self.half = work_out, limit // 2
+        self.old: dict[str, bytes | None] = {}
+        self.used = 0
 
-    def __missing__(self, text: str) -> bytes:
-        found = self.ids(text)
+    def __missing__(self, text: str) -> bytes | None:
+        found = self.old[text] if text in self.old else self.work_out(text)
         if len(text) <= CACHE_CHARS:
-            if len(self) >= CACHE_ENTRIES:
+            cost = sys.getsizeof(text) + sys.getsizeof(found) + _SLOT
+            if self.used + cost > self.half:
+                self.old = dict(self)
                 self.clear()
+                self.used = 0
+            self.used += cost
             self[text] = found
         return found
 
@@ -79,7 +92,6 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         pre = self.tokenizer.pre_tokenizer
         self.piecewise = (
             self.tokenizer.normalizer is None
@@ -87,35 +99,48 @@ class Encoder:
             and not pre.add_prefix_space
             and getattr(pre, "use_regex", True)
         )
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pretokens = regex.compile(PRETOKEN)
         self.letters = _byte_letters()
-        self.pieces = _Known(self._piece)
-        self.known = _Known(self._ids)
+        self.model = self.tokenizer.model
+        self.pieces = _Known(self._piece, CACHE_BYTES * 3 // 4)
+        self.known = _Known(self._ids, CACHE_BYTES // 4)
 
     def _ids(self, pretoken: str) -> bytes:
         """Ids of one pre-token, by the vocabulary's merges."""
-        letters = pretoken.encode().decode("latin-1").translate(self.letters)
-        ids = array("I", [t.id for t in self.tokenizer.model.tokenize(letters)])
+        if pretoken.isascii() and pretoken.isprintable():
+            letters = pretoken.replace(" ", self.letters[32])
+        else:
+            letters = pretoken.encode().decode("latin-1").translate(self.letters)
+        ids = array("I", [t.id for t in self.model.tokenize(letters)])
         if sys.byteorder == "big":
             ids.byteswap()
         return ids.tobytes()
 
-    def _piece(self, piece: str) -> bytes:
-        """Ids of a blank and what follows it; letters alone are one pre-token."""
+    def _piece(self, piece: str) -> bytes | None:
+        """Ids of a blank and what follows it up to the next; None if a blank or nothing follows."""
+        if not piece or piece[0].isspace():
+            return None
         if piece.isalpha():
             return self._ids(" " + piece)
+        if piece[:-1].isalpha() and piece[-1] in ".,":
+            return self.pieces[piece[:-1]] + self.known[piece[-1]]
         tokens = self.pretokens.findall(" " + piece)
-        return b"".join([self.pieces[t[1:]] if t[1:].isalpha() and t[0] == " " else self.known[t] for t in tokens])
+        pieces, known = self.pieces, self.known
+        return b"".join([pieces[t[1:]] if t[0] == " " and t[1:].isalpha() else known[t] for t in tokens])
 
     def __call__(self, text: str) -> bytes:
-        if not self.piecewise:
+        if not self.piecewise or any(a in text for a in self.added):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         # No pre-token spans the start of a single blank that a non-blank follows.
         known = self.known.__getitem__
-        if text.endswith(" ") or _ODD_BLANK.search(text):
-            return b"".join(map(known, self.pretokens.findall(text)))
         first, *rest = text.split(" ")
-        return b"".join(map(known, self.pretokens.findall(first))) + b"".join(map(self.pieces.__getitem__, rest))
+        ids = list(map(self.pieces.__getitem__, rest))
+        try:
+            after = b"".join(ids)
+        except TypeError:  # a None: some blank does not start a pre-token
+            return b"".join(map(known, self.pretokens.findall(text)))
+        return b"".join(map(known, self.pretokens.findall(first))) + after
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -170,7 +195,8 @@ def write_tokens(
     spark = docs.sparkSession
     source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     files = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = source.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id")
+    spread = F.xxhash64("text")
+    ordered = source.repartitionByRange(files, "doc_id", spread).sortWithinPartitions("doc_id", spread)
     delta = encoding == "delta"
     (
         encode(ordered, vocabulary)
@@ -193,11 +219,12 @@ def read_tokens(spark: SparkSession, path: str, columns: tuple[str, ...] = ("doc
 def digest(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` from token files.
 
-    ``start`` counts the ids of all earlier documents: totals of files, in the order of their
-    names, then of rows within a file.  Only file totals meet in one window.
+    ``start`` counts the ids of all earlier documents: totals of files, in the order of the
+    numbers in their names, then of rows within a file.  Only file totals meet in one window.
     """
+    file = F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1).cast("long")
     rows = spark.read.parquet(path).select(
-        "doc_id", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"), "n_tokens", "ids"
+        "doc_id", file.alias("file"), F.col("_metadata.row_index").alias("row"), "n_tokens", "ids"
     )
     kind = rows.schema["doc_id"].dataType.simpleString()
 
@@ -212,8 +239,8 @@ def digest(spark: SparkSession, path: str) -> DataFrame:
                 names=["doc_id", "file", "row", "n_tokens", "ids_crc32"],
             )
 
-    hashed = rows.mapInArrow(run, f"doc_id {kind}, file string, row bigint, n_tokens bigint, ids_crc32 bigint")
-    lengths = spark.read.parquet(path).select(F.col("_metadata.file_name").alias("f"), "n_tokens")
+    hashed = rows.mapInArrow(run, f"doc_id {kind}, file bigint, row bigint, n_tokens bigint, ids_crc32 bigint")
+    lengths = spark.read.parquet(path).select(file.alias("f"), "n_tokens")
     earlier_files = Window.orderBy("f").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         lengths.groupBy("f")

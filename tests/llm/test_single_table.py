@@ -52,7 +52,6 @@ def test_tokens_equal_whole_text_encoding(spark, sf_dir, docs):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(q.vocabulary())
-    t.encode_special_tokens = True
     start, expected = 0, {}
     for i in sorted(docs):
         ids = [*t.encode(docs[i], add_special_tokens=False).ids, 0]
@@ -62,13 +61,20 @@ def test_tokens_equal_whole_text_encoding(spark, sf_dir, docs):
     assert found == expected
 
 
-def test_encoder_on_odd_blanks():
-    e = tokens.Encoder(q.vocabulary())
+@pytest.mark.parametrize("cache_bytes", [64 << 20, 2000])
+def test_encoder_on_odd_blanks(monkeypatch, cache_bytes):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "CACHE_BYTES", cache_bytes)
+    e, plain = tokens.Encoder(q.vocabulary()), Tokenizer.from_file(q.vocabulary())
+    for text in ("hi <|endoftext|> there", "a<|endoftext|>b", "<|endoftext|>", "<|endoftext"):
+        assert np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes() == e(text)
     draw, letters = random.Random(1), list("ab É \n\t'st'll12  .,!_\x1c\x85　漢é́<|endoftext|>")
     for _ in range(3000):
         text = "".join(draw.choice(letters) for _ in range(draw.randint(0, 12)))
-        ids = e.tokenizer.encode(text, add_special_tokens=False).ids
+        ids = plain.encode(text, add_special_tokens=False).ids
         assert np.array(ids, "<u4").tobytes() == e(text)
+        assert max(x.used for x in (e.pieces, e.known)) <= max(cache_bytes, 500)
 
 
 @pytest.mark.parametrize("encoding", ["dictionary", "delta"])
