@@ -14,6 +14,9 @@ pre-tokenisation is run on the pre-tokens a worker has not met yet; ids of known
 from a cache bounded in bytes.  Other tokenizers, and texts that hold one of the
 tokenizer's added tokens, are encoded whole by the library.
 
+The cache is a hash table in arrays (:class:`IdTable`): strings are known by 64-bit hashes, so
+a million of them take some 40 MB, and a batch of texts is looked up in a few array steps.
+
 Cases: null and empty texts have the end id alone; a very long text is encoded whole, as one
 row; repeated rows are encoded each, rows of one id in the order of a hash of their texts;
 rows with a null id come first; an empty table gives an empty result; other columns are not
@@ -22,13 +25,12 @@ carried.
 
 from __future__ import annotations
 
-import sys
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,17 +40,16 @@ END_ID = 0
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 1000
-#: Bound of a worker's caches together, keys and values, and of the length of what they keep.
-CACHE_BYTES = 96 << 20
-CACHE_CHARS = 48
-BATCH_BYTES = 8 << 20
+#: Slots of a worker's table (13 bytes each) and ids it holds (4 bytes each) before it starts anew.
+TABLE_BITS = 21
+POOL_IDS = 6_000_000
+#: Strings looked up at once.
+CHUNK = 100_000
+#: Bytes of text encoded at once.
+BATCH_BYTES = 4 << 20
 
 #: The byte-level pre-tokenisation pattern (a fixed value).
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Bytes that an entry takes in a dictionary beside its key and value.
-_SLOT = 110
-
-
 def _byte_letters() -> dict[int, str]:
     """The printable stand-in of each byte in a byte-level vocabulary.
 
@@ -59,39 +60,75 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in plain else chr(next(spare)) for b in range(256)}
 
 
-class _Known(dict):
-    """Ids by text, worked out when first asked for; bounded in bytes.
+class IdTable:
+    """Token ids by the 64-bit hash of a string: open addressing over arrays, bounded in size.
 
-    Entries live in two generations: when the young one reaches half the bound it becomes the
-    old one, whose entries come back when they are asked for; what is not asked for goes.
+    Two strings of one hash would share ids; with a million entries that befalls one new
+    string in 10**13.
     """
 
-    def __init__(self, work_out, limit: int):
-        self.work_out, self.half = work_out, limit // 2
-        self.old: dict[str, bytes | None] = {}
-        self.used = 0
-
-    def __missing__(self, text: str) -> bytes | None:
-        found = self.old[text] if text in self.old else self.work_out(text)
-        if len(text) <= CACHE_CHARS:
-            cost = sys.getsizeof(text) + sys.getsizeof(found) + _SLOT
-            if self.used + cost > self.half:
-                self.old = dict(self)
-                self.clear()
-                self.used = 0
-            self.used += cost
-            self[text] = found
+    def __init__(self, bits: int, pool: int):
+        self.mask, self.limit, self.pool_limit = np.uint64((1 << bits) - 1), (1 << bits) * 6 // 10, pool
+        self.reset()
+
+    def reset(self) -> None:
+        size = int(self.mask) + 1
+        self.keys = np.zeros(size, np.uint64)
+        self.size = np.zeros(size, np.int32)  # number of ids; -1 for strings that have none
+        self.start = np.zeros(size, np.uint32)
+        self.pool = np.empty(1 << 16, np.uint32)
+        self.held = self.used = 0
+
+    def make_room(self, strings: int) -> None:
+        if self.held + strings > self.limit or self.used > self.pool_limit:
+            self.reset()
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Slot of each key, -1 where it is not held."""
+        found = np.full(len(keys), -1, np.int64)
+        left, slot = np.arange(len(keys)), keys & self.mask
+        while len(left):
+            there = self.keys[slot]
+            hit = there == keys[left]
+            found[left[hit]] = slot[hit]
+            on = ~hit & (there != 0)
+            left, slot = left[on], (slot[on] + np.uint64(1)) & self.mask
         return found
 
+    def insert(self, keys: np.ndarray, rows: list[np.ndarray | None]) -> None:
+        """Add distinct keys that are not held."""
+        sizes = np.array([-1 if r is None else len(r) for r in rows], np.int32)
+        new = np.concatenate([r for r in rows if r is not None] or [np.empty(0, np.uint32)])
+        if self.used + len(new) > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.used], np.empty(self.used + len(new), np.uint32)])
+        self.pool[self.used : self.used + len(new)] = new
+        starts = self.used + np.cumsum(np.maximum(sizes, 0)) - np.maximum(sizes, 0)
+        self.used += len(new)
+        self.held += len(keys)
+        left, slot = np.arange(len(keys)), keys & self.mask
+        while len(left):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = keys[left[free]]  # of keys that want one slot the last gets it
+            won = self.keys[slot] == keys[left]
+            self.start[slot[won]], self.size[slot[won]] = starts[left[won]], sizes[left[won]]
+            left, slot = left[~won], (slot[~won] + np.uint64(1)) & self.mask
+
+    def gather(self, slots: np.ndarray) -> np.ndarray:
+        """The ids of all slots in turn."""
+        n = np.maximum(self.size[slots], 0).astype(np.int64)
+        before = np.cumsum(n) - n
+        return self.pool[np.repeat(self.start[slots].astype(np.int64) - before, n) + np.arange(n.sum())]
+
 
 class Encoder:
-    """Token ids of texts as little-endian unsigned 32-bit bytes, without the end id."""
+    """Token ids of texts as unsigned 32-bit integers, without the end id."""
 
     def __init__(self, path: str):
         import regex
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         pre = self.tokenizer.pre_tokenizer
         self.piecewise = (
             self.tokenizer.normalizer is None
@@ -102,45 +139,72 @@ class Encoder:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pretokens = regex.compile(PRETOKEN)
         self.letters = _byte_letters()
-        self.model = self.tokenizer.model
-        self.pieces = _Known(self._piece, CACHE_BYTES * 3 // 4)
-        self.known = _Known(self._ids, CACHE_BYTES // 4)
+        self.table = IdTable(TABLE_BITS, POOL_IDS)
 
-    def _ids(self, pretoken: str) -> bytes:
+    def _pretoken(self, text: str) -> list[int]:
         """Ids of one pre-token, by the vocabulary's merges."""
-        if pretoken.isascii() and pretoken.isprintable():
-            letters = pretoken.replace(" ", self.letters[32])
+        if text.isascii() and text.isprintable():
+            letters = text.replace(" ", self.letters[32])
         else:
-            letters = pretoken.encode().decode("latin-1").translate(self.letters)
-        ids = array("I", [t.id for t in self.model.tokenize(letters)])
-        if sys.byteorder == "big":
-            ids.byteswap()
-        return ids.tobytes()
+            letters = text.encode().decode("latin-1").translate(self.letters)
+        return [t.id for t in self.model.tokenize(letters)]
 
-    def _piece(self, piece: str) -> bytes | None:
+    def _piece(self, piece: str) -> list[int] | None:
         """Ids of a blank and what follows it up to the next; None if a blank or nothing follows."""
         if not piece or piece[0].isspace():
             return None
         if piece.isalpha():
-            return self._ids(" " + piece)
-        if piece[:-1].isalpha() and piece[-1] in ".,":
-            return self.pieces[piece[:-1]] + self.known[piece[-1]]
-        tokens = self.pretokens.findall(" " + piece)
-        pieces, known = self.pieces, self.known
-        return b"".join([pieces[t[1:]] if t[0] == " " and t[1:].isalpha() else known[t] for t in tokens])
-
-    def __call__(self, text: str) -> bytes:
-        if not self.piecewise or any(a in text for a in self.added):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        # No pre-token spans the start of a single blank that a non-blank follows.
-        known = self.known.__getitem__
-        first, *rest = text.split(" ")
-        ids = list(map(self.pieces.__getitem__, rest))
-        try:
-            after = b"".join(ids)
-        except TypeError:  # a None: some blank does not start a pre-token
-            return b"".join(map(known, self.pretokens.findall(text)))
-        return b"".join(map(known, self.pretokens.findall(first))) + after
+            return self._pretoken(" " + piece)
+        return [i for t in self.pretokens.findall(" " + piece) for i in self._pretoken(t)]
+
+    def _ids(self, strings: list[str], work_out, salt: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all strings in turn, and the number of each string (-1: ``work_out`` gave None)."""
+        ids, sizes = [], []
+        for at in range(0, len(strings), CHUNK):
+            part = strings[at : at + CHUNK]
+            self.table.make_room(len(part))
+            keys = np.fromiter(map(hash, part), np.int64, len(part)).view(np.uint64) ^ np.uint64(salt)
+            keys[keys == 0] = 1
+            slots = self.table.find(keys)
+            missing = np.flatnonzero(slots < 0)
+            if len(missing):
+                new, first = np.unique(keys[missing], return_index=True)
+                rows = [work_out(part[i]) for i in missing[first].tolist()]
+                self.table.insert(new, [None if r is None else np.array(r, np.uint32) for r in rows])
+                slots[missing] = self.table.find(keys[missing])
+            ids.append(self.table.gather(slots))
+            sizes.append(self.table.size[slots])
+        return np.concatenate(ids or [np.empty(0, np.uint32)]), np.concatenate(sizes or [np.empty(0, np.int32)])
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        if not self.piecewise:
+            return [self._whole(t) for t in texts]
+        out: list = [self._whole(t) if any(a in t for a in self.added) else None for t in texts]
+        # No pre-token spans the start of a single blank that a non-blank follows: such texts are cut at blanks.
+        left = [i for i, found in enumerate(out) if found is None]
+        cut = [texts[i].split(" ") for i in left]
+        heads = [self.pretokens.findall(pieces[0]) for pieces in cut]
+        tails = self._split([pieces[1:] for pieces in cut], self._piece, 0)
+        odd = [k for k, tail in enumerate(tails) if tail is None]
+        for k in odd:
+            heads[k] = self.pretokens.findall(texts[left[k]])
+        for i, head, tail in zip(left, self._split(heads, self._pretoken, 1 << 40), tails):
+            out[i] = head if tail is None else np.concatenate([head, tail])
+        return out
+
+    def _split(self, groups: list[list[str]], work_out, salt: int) -> list[np.ndarray | None]:
+        """The ids of each group of strings; None for a group with a string that has none."""
+        ids, sizes = self._ids([x for group in groups for x in group], work_out, salt)
+        ends = np.cumsum([0, *map(len, groups)])
+        total = np.append(0, np.cumsum(np.maximum(sizes, 0)))
+        bad = np.append(0, np.cumsum(sizes < 0))
+        return [
+            None if bad[b] > bad[a] else ids[total[a] : total[b]] for a, b in zip(ends.tolist(), ends[1:].tolist())
+        ]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -160,25 +224,25 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = encoder(vocabulary)
-        end = np.array([END_ID], "<u4").tobytes()
-
-        def packed(doc_ids: list, rows: list[bytes]) -> pa.RecordBatch:
-            counts = np.fromiter(map(len, rows), np.int64, len(rows)) // 4
-            offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
-            ids = pa.array(np.frombuffer(b"".join(rows), "<i4"))
-            lists = pa.ListArray.from_arrays(offsets, ids)
-            return pa.RecordBatch.from_arrays(
-                [pa.concat_arrays(doc_ids), pa.array(counts), lists], names=["doc_id", "n_tokens", "ids"]
-            )
+        end = np.array([END_ID], np.uint32)
+
+        def packed(doc_ids: pa.Array, rows: list[np.ndarray]) -> pa.RecordBatch:
+            counts = np.fromiter(map(len, rows), np.int64, len(rows)) + 1
+            ends = np.cumsum(counts)
+            ids = np.concatenate([x for row in rows for x in (row, end)]).view(np.int32)
+            offsets = pa.array(np.append(0, ends).astype(np.int32))
+            lists = pa.ListArray.from_arrays(offsets, pa.array(ids))
+            return pa.RecordBatch.from_arrays([doc_ids, pa.array(counts), lists], names=["doc_id", "n_tokens", "ids"])
 
         for batch in batches:
-            rows, start, held = [], 0, 0
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                rows.append(one(text or "") + end)
-                held += len(rows[-1])
-                if held >= BATCH_BYTES or i + 1 == batch.num_rows:
-                    yield packed([batch.column(0).slice(start, len(rows))], rows)
-                    rows, start, held = [], i + 1, 0
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+            first = 0
+            while first < batch.num_rows:
+                before = sizes[first - 1] if first else 0
+                last = max(first + 1, int(np.searchsorted(sizes, before + BATCH_BYTES)))
+                texts = [t or "" for t in batch.column(1).slice(first, last - first).to_pylist()]
+                yield packed(batch.column(0).slice(first, last - first), one.encode(texts))
+                first = last
 
     return source.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids array<int>")
 
