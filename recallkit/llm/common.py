@@ -19,13 +19,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share.
+    """Folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    It is the session's ``spark.checkpoint.dir``; only a session that names none (as in
-    tests) gets a folder beside its warehouse.
+    Only a session in local mode (as in tests) may name none; it gets a folder beside its
+    warehouse.  On a cluster that would be a folder of one machine, so it is an error.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
 
 
 def stage_path(spark: SparkSession, label: str) -> str:
@@ -50,6 +54,48 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a staged table that nothing reads any more."""
+    spark = df.sparkSession
+    folders = {name.rsplit("/", 1)[0] for name in df.inputFiles()}
+    for folder in folders:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: A key with over one in so many rows is a heavy one; there are fewer of them than this.
+HEAVY_KEYS = 2000
+
+
+def join_heavy(left: DataFrame, right: DataFrame, keys: list[str], count: str, how: str = "inner") -> DataFrame:
+    """Join ``left`` to ``right`` (one row a key, ``count`` rows of ``left`` each) whatever the skew.
+
+    Keys with over ``1 / HEAVY_KEYS`` of all rows are fewer than ``HEAVY_KEYS``, so their side is
+    broadcast; the rows of all other keys meet by a shuffle, and none of them is large.  Keys
+    compare null-safe.  Both sides should be staged or cheap: each is read twice.
+    """
+    bounds = right.agg(F.sum(count).alias("total")).first()
+    heavy_at = (bounds["total"] or 0) / HEAVY_KEYS
+    names = [f"__key{i}" for i in range(len(keys))]
+    renamed = right.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], *[c for c in right.columns if c not in keys])
+    on = [left[k].eqNullSafe(F.col(n)) for k, n in zip(keys, names)]
+    heavy = renamed.where(F.col(count) > heavy_at)
+    light = renamed.where(F.col(count) <= heavy_at)
+    few = F.broadcast(heavy.limit(HEAVY_KEYS))
+    rest = left.join(F.broadcast(heavy.select(*names).limit(HEAVY_KEYS)), on, "left_anti")
+    return left.join(few, on).drop(*names).unionByName(rest.join(light, on, how).drop(*names))
+
+
+def bounded_labels(labels: DataFrame, column: str, limit: int, id_col: str = "doc_id") -> DataFrame:
+    """``doc_id`` and ``column`` (0 or 1, the largest of an id) of at most ``limit`` ids, by hash."""
+    usable = labels.where(F.col(column).isin(0, 1)).groupBy(id_col).agg(F.max(column).alias(column))
+    n = usable.count()
+    if n > limit:
+        draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(column)), F.lit(1 << 30))
+        usable = usable.where(draw < int(0.97 * limit / n * (1 << 30)))
+    return usable.limit(limit)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recallkit.llm.common import staged
+from recallkit.llm.common import discard, staged
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -42,4 +42,5 @@ def components(links: DataFrame, left: str, right: str) -> DataFrame:
                 now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
             )
         mark = tuple(seen)
-        now = staged(_small_star(_large_star(now)), "links")
+        before, now = now, staged(_small_star(_large_star(now)), "links")
+        discard(before)

@@ -32,7 +32,8 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.compression_bands(read_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    return quality.compression_bands(docs, keep=["doc_id"], bands=quality.fit_bands(docs, labels))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,12 +9,16 @@ are retained, and these are verified bit by bit.
 
 A posting list of over ``LIST_MAX`` fingerprints is split by two more of its bytes (of the
 five remaining bytes at least two are shared, so again no pair is lost).  A list that fixes
-five bytes has at most 2**24 members whatever the input.  A list emits a spanning forest of
-its links, never all pairs, so links grow with the fingerprints.
+five bytes has at most 2**24 members whatever the input.  Lists of over ``SCAN_MAX`` members
+find the candidates of each by its flipped bits, tally their shared bytes and verify them like
+any other.  A list emits a spanning forest of its links, never all pairs, so links grow with
+the fingerprints.  Posting under single bytes would put 1/256 of all fingerprints into each
+list, which no task could hold; triples keep the guarantee and the tally.
 
 Cases: null and wordless texts have fingerprint zero and are linked like any other; texts
-of one or two words are one shingle; repeated rows share a component; empty table, empty
-result; columns besides id and text are ignored.
+of one or two words are one shingle; very long texts are hashed whole, in steps; repeated
+rows share a component; rows with a null id take part (the component of null ids alone is
+null); empty table, empty result; columns besides id and text are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recallkit.llm.common import add_columns, staged
+from recallkit.llm.common import add_columns, join_heavy, staged
 from recallkit.llm.components import components
 
 SHINGLE = 3
@@ -39,6 +43,8 @@ MIN_SHARED = 8 - MAX_BITS
 LIST_MAX = 1024
 #: Lists above this look neighbours up by flipped bits instead of scanning.
 SCAN_MAX = 8192
+#: Parts in which a crowded list is dealt; crowded lists are at most one in LIST_MAX postings.
+SALTS = 32
 #: Byte positions of an index key: any five of the eight contain one of these triples.
 TRIPLES = [*combinations(range(4), 3), *combinations(range(4, 8), 3)]
 
@@ -64,14 +70,16 @@ def fingerprint(text: bytes) -> int:
     return int.from_bytes(np.packbits(2 * bits > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp`` with the fingerprint as a signed long."""
+def fingerprints(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None
+) -> DataFrame:
+    """``doc_id, fp`` with the fingerprint as a signed long, beside the columns in ``keep``."""
 
     def compute(texts: list[bytes]) -> list[pa.Array]:
         return [pa.array(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))]
 
     added = T.StructType([T.StructField("fp", T.LongType())])
-    return add_columns(docs, text_col, added, compute, [id_col]).withColumnRenamed(id_col, "doc_id")
+    return add_columns(docs, text_col, added, compute, [id_col, *(keep or [])]).withColumnRenamed(id_col, "doc_id")
 
 
 def forest(values: np.ndarray) -> list[tuple[int, int]]:
@@ -99,22 +107,27 @@ def _forest_by_flips(values: np.ndarray) -> list[tuple[int, int]]:
     spread = int(np.bitwise_or.reduce(values ^ values[0]))
     free = [1 << b for b in range(64) if spread >> b & 1]
     root = np.arange(len(values))
-    for n in range(1, MAX_BITS + 1):
-        for chosen in combinations(free, n):
-            other = values ^ np.uint64(sum(chosen))
-            at = np.minimum(np.searchsorted(values, other), len(values) - 1)
-            hit = values[at] == other
-            np.minimum.at(root, np.flatnonzero(hit), at[hit])
+    for at, hit in _flipped(values, free):
+        np.minimum.at(root, np.flatnonzero(hit), at[hit])
     # the smallest neighbour links most members; the rest of the links come from a sweep over roots
     links = [(int(values[i]), int(values[r])) for i, r in enumerate(root) if r != i]
+    for at, hit in _flipped(values, free):
+        hit = hit & (root != root[at])
+        ends = np.unique(np.stack([root[hit], root[at[hit]]], 1), axis=0)
+        links += [(int(values[a]), int(values[b])) for a, b in ends if a < b]
+    return links
+
+
+def _flipped(values: np.ndarray, free: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each choice of bits: where each value with these bits flipped would stand, and whether it does."""
     for n in range(1, MAX_BITS + 1):
         for chosen in combinations(free, n):
             other = values ^ np.uint64(sum(chosen))
             at = np.minimum(np.searchsorted(values, other), len(values) - 1)
-            hit = (values[at] == other) & (root != root[at])
-            ends = np.unique(np.stack([root[hit], root[at[hit]]], 1), axis=0)
-            links += [(int(values[a]), int(values[b])) for a, b in ends if a < b]
-    return links
+            hit = values[at] == other
+            shared = ((values[at] ^ values)[hit].view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
+            hit[hit] = shared >= MIN_SHARED
+            yield at, hit
 
 
 def _key(number: int, positions: tuple[int, ...]) -> F.Column:
@@ -128,9 +141,14 @@ def links(prints: DataFrame) -> DataFrame:
     """``x, y``: fingerprint links of a spanning forest; ``prints`` has distinct ``fp``."""
     posted = prints.select("fp", F.explode(F.array(*[_key(i, t) for i, t in enumerate(TRIPLES)])).alias("key"))
     posted = posted.select("fp", "key.k", "key.v")
-    sizes = posted.groupBy("k", "v").agg(F.count("*").alias("n")).where("n > 1")
-    listed = posted.join(sizes, ["k", "v"])
-    small = listed.where(F.col("n") <= LIST_MAX).select("k", "v", "fp")
+    # a crowded list is dealt over SALTS tasks when its members learn that it is
+    sizes = posted.groupBy("k", "v").agg(F.count("*").alias("n"))
+    crowded = sizes.where(F.col("n") > LIST_MAX).select(
+        "k", "v", F.lit(True).alias("crowded"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    )
+    salted = posted.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
+    listed = salted.join(crowded, ["k", "v", "salt"], "left")
+    small = listed.where("crowded IS NULL").select("k", "v", "fp")
     finer = []
     for i, triple in enumerate(TRIPLES):
         rest = [p for p in range(8) if p not in triple]
@@ -139,7 +157,7 @@ def links(prints: DataFrame) -> DataFrame:
     by_triple = F.lit(None)
     for i in range(len(TRIPLES)):
         by_triple = F.when(F.col("k") == i, F.array(*[key for k, key in finer if k == i])).otherwise(by_triple)
-    large = listed.where(F.col("n") > LIST_MAX).select("fp", F.explode(by_triple).alias("key"))
+    large = listed.where("crowded").select("fp", F.explode(by_triple).alias("key"))
     large = large.select("key.k", "key.v", "fp")
     lists = small.unionByName(large).groupBy("k", "v").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
 
@@ -155,17 +173,21 @@ def links(prints: DataFrame) -> DataFrame:
     return lists.select("fps").mapInArrow(run, "x bigint, y bigint").distinct()
 
 
+def roots(prints: DataFrame) -> DataFrame:
+    """``fp, root`` of every different fingerprint: the smallest one it reaches."""
+    distinct = prints.select("fp").distinct()
+    found = components(links(distinct), "x", "y").withColumnRenamed("node", "fp")
+    return distinct.join(found, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, fp, component_id`` for every row of ``docs``."""
     prints = staged(fingerprints(docs, id_col, text_col), "fingerprints")
-    groups = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = components(links(groups.select("fp")), "x", "y")
-    rooted = groups.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
-        "root", F.coalesce("root", "fp")
-    )
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    groups = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    rooted = staged(groups.join(roots(prints), "fp"), "rooted")
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("m"))
+    named = staged(join_heavy(rooted, least, ["root"], "m").select("fp", "component_id", "n"), "named")
+    return join_heavy(prints, named, ["fp"], "n").select("doc_id", "fp", "component_id")
 
 
 def hex16(fp: F.Column) -> F.Column:
@@ -173,11 +195,20 @@ def hex16(fp: F.Column) -> F.Column:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each group: that of the smallest ``doc_id``; columns unchanged.
+    """One row of each group; columns unchanged.
 
-    An id names one document: of rows that repeat it one stays.  Rows without an id stay, since
-    nothing tells which of them a group should keep.
+    The row of the smallest ``doc_id`` stays (rows without an id come last), of rows that
+    repeat an id the one with the smallest hash of its text; rows equal in both are told apart
+    by a hash of all their columns, and of equal rows one stays.
     """
-    firsts = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(firsts, docs["doc_id"] == firsts["__id"]).drop("__id")
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
+    mark = F.xxhash64(F.col("text").cast("string"))
+    prints = staged(fingerprints(docs.select("doc_id", "text", mark.alias("mark")), keep=["mark"]), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")
+    groups = prints.groupBy("fp").agg(F.min(order).alias("first"))
+    firsts = groups.join(roots(prints), "fp").groupBy("root").agg(F.min("first").alias("first"))
+    firsts = firsts.select(F.col("first.doc_id").alias("__id"), F.col("first.mark").alias("__mark"))
+    marked = docs.withColumn("__own", mark)
+    kept = marked.join(firsts, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__mark")))
+    every = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    one = kept.groupBy("__id", "__mark").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), every).alias("row"))
+    return one.select("row.*")
