@@ -7,30 +7,37 @@ of its q-grams, on diagonals that span at most ``k``.  Shared q-grams are counte
 of ``2 * (k + 1)`` diagonals that overlap by half; a band reaching the bound is retained, and
 verified by a banded alignment of the pattern with the region.
 
-Whole documents are scanned, many at once as one array of q-gram codes.  The benchmark
-goes to the executors in blocks of at most ``BLOCK_BYTES``; a larger one takes more passes
-over the documents.
-
-Cases: null and empty texts match nothing; items with under ``Q`` bytes after
-normalisation are no evidence and are ignored; repeated rows and items each give their
-own rows; an empty table on either side gives an empty result; other columns are ignored.
+Whole documents are scanned, many at once as one array of q-gram codes.  The benchmark is a
+stated query set: it goes to the executors in blocks of at most ``BLOCK_BYTES``, one after the
+other; the driver holds one block, and each further block is one more scan of the documents.
+An item is never split, so the rows do not depend on the size of the blocks.
+
+Cases: null and empty texts match nothing; a very long text is one row of the scan; items of
+under ``MIN_ITEM`` bytes after normalisation say too little and are ignored, as are null texts;
+item ids of any type, null included, are carried as they are; repeated rows and repeated items
+(equal ids or equal texts) each give their own rows; of equally good places the first counts;
+an empty table on either side gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from recallkit.llm.common import texts_of
+from recallkit.llm.common import staged, texts_of
 
 Q = 8
 PATTERN = 120
 ERROR_RATE = 0.1
+MIN_ITEM = 40
 BLOCK_BYTES = 2 << 20
 SCAN_BYTES = 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -43,16 +50,19 @@ def normalise(text: bytes) -> bytes:
     return b" ".join(text.lower().split())
 
 
-def patterns(items: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
-    """``item_id`` and bytes of each pattern; the last pattern of an item ends with it."""
+Item = tuple[Any, bytes]
+
+
+def patterns(items: list[Item], least: int) -> list[tuple[int, bytes]]:
+    """Number of the item and bytes of each pattern; the last pattern of an item ends with it."""
     found = []
-    for item, text in items:
+    for number, (_, text) in enumerate(items):
         text = normalise(text)
-        if len(text) < Q:
+        if len(text) < max(Q, least):
             continue
         last = max(0, len(text) - PATTERN)
         for at in [*range(0, last, PATTERN // 2), last]:
-            found.append((item, text[at : at + PATTERN]))
+            found.append((number, text[at : at + PATTERN]))
     return found
 
 
@@ -91,8 +101,9 @@ def align(pattern: bytes, region: bytes, band: int) -> tuple[int, int]:
 class Index:
     """Q-grams of the patterns: a bit table, sorted codes and their places."""
 
-    def __init__(self, items: list[tuple[int, bytes]]):
-        self.patterns = patterns(items)
+    def __init__(self, items: list[Item], least: int = MIN_ITEM):
+        self.names = [name for name, _ in items]
+        self.patterns = patterns(items, least)
         grams = [codes(p) for _, p in self.patterns]
         flat = np.concatenate(grams) if grams else np.empty(0, np.uint64)
         owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
@@ -141,7 +152,7 @@ class Index:
                 yield p, b * 2 * h - shift * h, b * 2 * h - shift * h + 2 * h - 1
 
     def matches(self, data: bytes, ends: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-        """Text number, item, edits and place of the best match of each item in each text.
+        """Text number, item number, edits and place of the best match of each item in each text.
 
         ``data`` is texts joined by blocks of zero bytes; text ``i`` ends at ``ends[i]``.
         """
@@ -155,8 +166,6 @@ class Index:
             number = int(np.searchsorted(ends, max(low, 0) + len(pattern) // 2))
             if number >= len(ends):
                 continue
-            if best.get((number, item), (k + 1,))[0] == 0:
-                continue
             # before the first letter, letters that match none
             region = b"\xff" * -min(start, 0) + data[max(start, 0) : high + len(pattern) + k + 1]
             exact = region.find(pattern)
@@ -171,55 +180,63 @@ class Index:
         return [(number, item, *found) for (number, item), found in sorted(best.items())]
 
 
-def blocks(benchmark: DataFrame, id_col: str, text_col: str) -> list[list[tuple[int, bytes]]]:
-    """The benchmark's items in blocks of at most ``BLOCK_BYTES`` (or one item)."""
+def blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[Item]]:
+    """The benchmark's items in blocks of at most ``BLOCK_BYTES`` (or one item), one at a time."""
     rows = benchmark.select(F.col(f"`{id_col}`").alias("i"), F.encode(F.col(f"`{text_col}`"), "utf-8").alias("t"))
-    found, size = [[]], 0
-    for row in rows.where("i IS NOT NULL AND t IS NOT NULL").orderBy("i", "t").toLocalIterator():
-        if size + len(row["t"]) > BLOCK_BYTES and found[-1]:
-            found.append([])
-            size = 0
-        found[-1].append((row["i"], bytes(row["t"])))
+    block, size = [], 0
+    for row in rows.where("t IS NOT NULL").toLocalIterator():
+        if block and size + len(row["t"]) > BLOCK_BYTES:
+            yield block
+            block, size = [], 0
+        block.append((row["i"], bytes(row["t"])))
         size += len(row["t"])
-    return found
+    yield block
+
+
+def _joined(batch_texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
+    """First row and normalised texts of runs of about ``SCAN_BYTES``."""
+    first, held, size = 0, [], 0
+    for i, text in enumerate(batch_texts):
+        held.append(normalise(text))
+        size += len(held[-1]) + 2 * PATTERN
+        if size >= SCAN_BYTES or i + 1 == len(batch_texts):
+            yield first, held
+            first, held, size = i + 1, [], 0
+
+
+def _matches(index: Index, texts: list[bytes]) -> tuple[list[tuple], np.ndarray]:
+    """Matches of texts scanned as one, and where each text begins."""
+    gap = bytes(2 * PATTERN)
+    ends = np.cumsum([len(t) + len(gap) for t in texts])
+    return index.matches(gap.join([*texts, b""]), ends), np.append(0, ends)
 
 
-def _scan(docs: DataFrame, items: list[tuple[int, bytes]], id_kind: str) -> DataFrame:
+def _scan(docs: DataFrame, items: list[Item], item_type: T.DataType) -> DataFrame:
+    """Matches of one block of items; ``docs`` has ``doc_id`` and ``text``."""
     shared = docs.sparkSession.sparkContext.broadcast(items)  # at most BLOCK_BYTES
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("item_id", item_type)])
+    for name, kind in (("edits", T.IntegerType()), ("start", T.LongType()), ("end", T.LongType())):
+        schema = schema.add(name, kind)
+    item_kind = to_arrow_type(item_type)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(shared.value)
-        gap = bytes(2 * PATTERN)
-
-        def flush(ids: list, texts: list[bytes]) -> pa.RecordBatch:
-            ends = np.cumsum([len(t) + len(gap) for t in texts])
-            found = index.matches(gap.join([*texts, b""]), ends)
-            begins = np.append(0, ends)
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([ids[n] for n, *_ in found], doc_kind),
-                    pa.array([item for _, item, *_ in found], pa.int64()),
-                    pa.array([edits for _, _, edits, *_ in found], pa.int32()),
-                    pa.array([max(0, a - int(begins[n])) for n, _, _, a, _ in found], pa.int64()),
-                    pa.array([b - int(begins[n]) for n, _, _, _, b in found], pa.int64()),
-                ],
-                names=["doc_id", "item_id", "edits", "start", "end"],
-            )
-
         for batch in batches:
-            doc_kind = batch.column(0).type
-            ids, texts, size = [], [], 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
-                ids.append(doc_id)
-                texts.append(normalise(text))
-                size += len(texts[-1]) + len(gap)
-                if size >= SCAN_BYTES:
-                    yield flush(ids, texts)
-                    ids, texts, size = [], [], 0
-            if ids:
-                yield flush(ids, texts)
-
-    return docs.mapInArrow(run, f"doc_id {id_kind}, item_id bigint, edits int, start bigint, end bigint")
+            for first, texts in _joined(texts_of(batch.column(1))):
+                found, begins = _matches(index, texts)
+                rows = pa.array([first + n for n, *_ in found], pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).take(rows),
+                        pa.array([index.names[item] for _, item, *_ in found], item_kind),
+                        pa.array([edits for _, _, edits, *_ in found], pa.int32()),
+                        pa.array([max(0, a - int(begins[n])) for n, _, _, a, _ in found], pa.int64()),
+                        pa.array([b - int(begins[n]) for n, _, _, _, b in found], pa.int64()),
+                    ],
+                    names=schema.fieldNames(),
+                )
+
+    return docs.mapInArrow(run, schema)
 
 
 def find_leaks(
@@ -235,32 +252,38 @@ def find_leaks(
     Places count bytes of the normalised text.
     """
     source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    kind = source.schema["doc_id"].dataType.simpleString()
-    parts = [_scan(source, items, kind) for items in blocks(benchmark, item_col, item_text_col)]
+    kind = benchmark.schema[item_col].dataType
+    parts: list[DataFrame] = []
+    for items in blocks(benchmark, item_col, item_text_col):
+        if parts:
+            parts[-1] = staged(parts[-1], "leaks")  # a block is done before the next is fetched
+        parts.append(_scan(source, items, kind))
     return reduce(DataFrame.unionByName, parts)
 
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without a match, columns unchanged; scans, no shuffle."""
+    """The rows of ``docs`` without a match, columns unchanged.
+
+    A scan without a shuffle while the benchmark is one block; each further block reads what
+    the ones before it have kept.
+    """
     at = docs.columns.index("text")
-    for items in blocks(benchmark, "item_id", "text"):
-        shared = docs.sparkSession.sparkContext.broadcast(items)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    def without(rows: DataFrame, items: list[Item]) -> DataFrame:
+        shared = rows.sparkSession.sparkContext.broadcast(items)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = Index(shared.value)
-            gap = bytes(2 * PATTERN)
             for batch in batches:
-                texts = [normalise(t) for t in texts_of(batch.column(at))]
-                clean, first, size = np.ones(len(texts), bool), 0, 0
-                for i, text in enumerate(texts):
-                    size += len(text) + len(gap)
-                    if size >= SCAN_BYTES or i + 1 == len(texts):
-                        part = texts[first : i + 1]
-                        ends = np.cumsum([len(t) + len(gap) for t in part])
-                        for number, *_ in index.matches(gap.join([*part, b""]), ends):
-                            clean[first + number] = False
-                        first, size = i + 1, 0
+                clean = np.ones(batch.num_rows, bool)
+                for first, texts in _joined(texts_of(batch.column(at))):
+                    for number, *_ in _matches(index, texts)[0]:
+                        clean[first + number] = False
                 yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+        return rows.mapInArrow(run, rows.schema)
+
+    kept = None
+    for items in blocks(benchmark, "item_id", "text"):
+        kept = without(docs, items) if kept is None else without(staged(kept, "unleaked"), items)
+    return kept

@@ -9,16 +9,17 @@ boundary gives only the words still wanted, so each source meets its target to t
 ``u`` comes from a hash of seed, document and length, so reruns agree.  The weight is the
 quality weight of the document's label if there is one, else 1.
 
-The order within a source is never sorted in one task: keys fall into ``SLICES`` slices
-by a monotone map, slice totals are summed first, and only the rows of one slice of one
+The order within a source is never sorted in one task: keys fall into slices, one for each
+``SLICE_ROWS`` rows of the table, by a monotone map, slice totals are summed first, and only the rows of one slice of one
 source are sorted together.  The map is the mean of the distributions that keys of the
-weights in ``SLICE_WEIGHTS`` have, so a slice gets at most ``len(SLICE_WEIGHTS) / SLICES``
+weights in ``SLICE_WEIGHTS`` have, so one of ``n`` slices gets at most ``len(SLICE_WEIGHTS) / n``
 of the rows of any of these weights, however the weights are mixed.
 
 Cases: a null text has size 0; null is a source of its own, after all others; a document
-of size 0 takes 0 words; repeated rows each count (ties in the key are broken by id and
-then share the order arbitrarily between equal rows); empty table, empty result; all
-columns beside id, text and source are ignored by :func:`mixture`.
+of size 0 takes 0 words; repeated rows each count and each take their own share (ties in the
+key are broken by id, then by a hash of the text); rows with a null id draw by that hash; a
+very long text is one document like any other; empty table, empty result; all columns beside
+id, text and source are ignored by :func:`mixture`.
 """
 
 from __future__ import annotations
@@ -32,7 +33,9 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MAX_EPOCHS = 2
 SEED = "mix-1"
-SLICES = 1024
+#: Rows a slice, about; a small table has ``MIN_SLICES``.
+SLICE_ROWS = 50_000
+MIN_SLICES = 64
 LOW_WEIGHT = 0.25
 SLICE_WEIGHTS = (1.0, LOW_WEIGHT)
 
@@ -70,17 +73,18 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return filled.select("source", "source_size", target.alias("target"))
 
 
-def exponential_key(doc_id: Column, size: Column, weight: Column) -> Column:
-    """``-ln(u) / weight`` with ``u`` in (0, 1) from 52 hashed bits."""
-    digest = F.md5(F.concat_ws("|", F.lit(SEED), doc_id.cast("string"), size.cast("string")))
+def exponential_key(doc_id: Column, size: Column, weight: Column, mark: Column | None = None) -> Column:
+    """``-ln(u) / weight`` with ``u`` in (0, 1) from 52 hashed bits; ``mark`` names rows without an id."""
+    name = F.coalesce(doc_id.cast("string"), F.lit(None) if mark is None else F.concat(F.lit("#"), mark.cast("string")))
+    digest = F.md5(F.concat_ws("|", F.lit(SEED), name, size.cast("string")))
     u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)
     return -F.ln(u) / weight
 
 
-def key_slice(key: Column) -> Column:
-    """Slice of a key: a monotone map under which keys of every slice weight lie evenly enough."""
+def key_slice(key: Column, slices: int) -> Column:
+    """Slice of a key, of so many: a monotone map under which keys of every slice weight lie evenly enough."""
     below = sum((1 - F.exp(-F.lit(w) * key) for w in SLICE_WEIGHTS), F.lit(0.0)) / len(SLICE_WEIGHTS)
-    return F.least(F.lit(SLICES - 1), F.floor(SLICES * below)).cast("int")
+    return F.least(F.lit(slices - 1), F.floor(slices * below)).cast("int")
 
 
 def mixture(
@@ -100,17 +104,24 @@ def mixture(
             F.col(f"`{id_col}`").alias("doc_id"),
             F.col(f"`{source_col}`").alias("source"),
             word_count(F.col(f"`{text_col}`")).alias("size"),
+            F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("mark"),
         ),
         "sizes",
     )
+    return _shares(sizes, quality).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def _shares(sizes: DataFrame, quality: DataFrame | None) -> DataFrame:
+    """``sizes`` (``doc_id, source, size, mark``, staged) with ``source_size, target, taken``."""
+    n_slices = max(MIN_SLICES, -(-sizes.count() // SLICE_ROWS))
     weighed = sizes.withColumn("weight", F.lit(1.0))
     if quality is not None:
         per_id = quality.groupBy("doc_id").agg(F.max("weight").alias("quality_weight"))
         weighed = sizes.join(per_id, "doc_id", "left").withColumn(
             "weight", F.coalesce(F.col("quality_weight"), F.lit(1.0))
         )
-    keyed = weighed.withColumn("key", exponential_key(F.col("doc_id"), F.col("size"), F.col("weight"))).withColumn(
-        "slice", key_slice(F.col("key"))
+    keyed = weighed.withColumn("key", exponential_key(*map(F.col, ("doc_id", "size", "weight", "mark")))).withColumn(
+        "slice", key_slice(F.col("key"), n_slices)
     )
     slices = keyed.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
     earlier = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -123,7 +134,7 @@ def mixture(
     )
     within = (
         Window.partitionBy("source", "slice")
-        .orderBy("key", "doc_id")
+        .orderBy("key", "doc_id", "mark")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     placed = keyed.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0))).join(
@@ -133,32 +144,28 @@ def mixture(
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
     left = budget - epochs * F.col("source_size") - F.col("offset") - F.col("before")
     part = F.greatest(F.lit(0), F.least(F.col("size"), left))
-    return placed.select(
-        "doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken")
-    )
+    taken = (epochs * F.col("size") + part).cast("long").alias("taken")
+    return placed.select("doc_id", "source", "size", "mark", "source_size", "target", taken)
 
 
 def mix_documents(docs: DataFrame, quality: DataFrame | None = None) -> DataFrame:
     """The mix itself: rows of ``docs`` (``doc_id, text, source`` and more), repeated or cut.
 
     A document appears once per complete epoch, and once more with its first words if the
-    budget ends within it.  ``n_chars``, where there is one, follows the text.  Rows equal in
-    id, source and size share the largest share any of them drew.
+    budget ends within it.  ``n_chars``, where there is one, follows the text.  Of rows equal in
+    id, source and text each takes one of the shares they drew.
     """
-    shares = (
-        mixture(docs, quality)
-        .where("taken > 0")
-        .groupBy("doc_id", "source", "size")
-        .agg(F.max("taken").alias("__taken"))
-        .select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__n"), "__taken")
-    )
-    sized = docs.withColumn("__size", word_count(F.col("text")))
-    joined = sized.join(
-        shares,
-        sized["doc_id"].eqNullSafe(shares["__id"])
-        & sized["source"].eqNullSafe(shares["__source"])
-        & (sized["__size"] == shares["__n"]),
+    text = F.col("text").cast("string")
+    name = F.xxhash64("doc_id", F.col("doc_id").isNull(), "source", F.col("source").isNull())
+    keyed = docs.select("*", word_count(text).alias("__size"), name.alias("__name"), F.xxhash64(text).alias("__mark"))
+    sizes = staged(keyed.select("doc_id", "source", F.col("__size").alias("size"), F.col("__mark").alias("mark")), "sizes")
+    # 128 bits name a row; the window and the join deal the texts once
+    shares = _shares(sizes, quality).where("taken > 0").groupBy(name.alias("__name"), F.col("mark").alias("__mark")).agg(
+        F.sort_array(F.collect_list("taken"), asc=False).alias("__shares")
     )
+    same = Window.partitionBy("__name", "__mark").orderBy(F.lit(1))
+    joined = keyed.withColumn("__number", F.row_number().over(same)).join(shares, ["__name", "__mark"])
+    joined = joined.withColumn("__taken", F.try_element_at("__shares", F.col("__number"))).where("__taken > 0")
     copies = joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("__taken") / F.col("__size")))))
     words = F.least(F.col("__size"), F.col("__taken") - (F.col("__copy") - 1) * F.col("__size")).cast("int")
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), F.lit(1), words), " ")

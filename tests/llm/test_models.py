@@ -93,7 +93,8 @@ def test_pipeline_stages(spark, sf_dir):
     assert [n for n, _ in p.STAGES] == ["quality", "near_dedup", "decontaminate", "mix", "tokens"]
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     good = p.quality_rules(spark, documents, sf_dir)
-    verdicts = quality.compression_bands(documents, keep=["doc_id"]).where("kept").select("doc_id").collect()
+    bands = quality.fit_bands(documents, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    verdicts = quality.compression_bands(documents, keep=["doc_id"], bands=bands).where("kept").select("doc_id").collect()
     assert sorted(r.doc_id for r in good.collect()) == sorted(r.doc_id for r in verdicts)
     one = p.near_dedup(spark, good, sf_dir)
     groups = {r.component_id for r in simhash.near_duplicates(good).collect()}
@@ -110,3 +111,24 @@ def test_pipeline_stages(spark, sf_dir):
     rows = p.run(spark, sf_dir).orderBy("start").collect()
     assert len(rows) == mixed.count() and rows[0].start == 0
     assert all(a.start + a.n_tokens == b.start for a, b in zip(rows, rows[1:]))
+
+
+def test_pipeline_odd_rows(spark, sf_dir):
+    import corpus_pipeline as p
+
+    words = [f"{a}{b}" for a in "the of and to in that was his with had".split() for b in ("", "n", "ly", "er", "ing")]
+    draw = random.Random(3)
+    say = lambda n: " ".join(draw.choice(words) + draw.choice(words) for _ in range(n))
+    long, one, two = say(40_000), say(300), say(300)
+    rows = [(1, None, None), (2, "", "a"), (3, long, "a"), (3, one, "a"), (3, one, "a"), (None, one, "b"), (None, two, "b"), (4, two, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs = docs.select("*", F.lit("de").alias("lang"), F.lit(1).alias("n_chars"), *[F.lit("x").alias(c) for c in ("fp", "mark", "kept", "taken")])
+    seen = {}
+    for name, stage in p.STAGES[:-1]:
+        docs = stage(spark, docs, sf_dir)
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0
+        seen[name] = sorted(((r.doc_id or 0, r.text) for r in docs.collect()))
+    assert seen["quality"] == sorted((i or 0, t) for i, t, _ in rows[2:])
+    assert seen["near_dedup"] == seen["decontaminate"] == sorted([(3, long), (3, one), (4, two)])
+    found = p.STAGES[-1][1](spark, docs, sf_dir)
+    assert found.count() == len(seen["mix"]) and p.STAGES[-1][1](spark, docs.limit(0), sf_dir).count() == 0
