@@ -1,6 +1,14 @@
 """From raw documents to token files: five stages, each on all that its predecessor kept.
 
 The query ``pipeline`` runs them; it counts as part of ``recallkit.llm``.
+
+Cases, by stage: ``quality`` lets null, empty and wordless texts go, and judges very long texts,
+ties and repeated rows one by one; ``near_dedup`` keeps one row of each group (that of the
+smallest id; of rows that repeat an id with different texts each is judged by its own group;
+rows without an id come last); ``decontaminate`` judges row by row; ``mix`` gives each row,
+repeated ones too, its own share, a null source being a source; ``tokens`` has one row for each
+row it gets.  Empty tables give empty results at every stage.  All but the last carry every
+column of the documents, whatever its name; names starting with two underscores are ours.
 """
 
 from __future__ import annotations
@@ -10,17 +18,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from recallkit.llm import decontaminate, mixing, quality, simhash, tokens
-from recallkit.llm.common import read_table, stage_path
+from recallkit.llm.common import discard, read_table, stage_path
 from recallkit.llm.queries import vocabulary
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the compression bands reject go."""
-    return quality.keep_acceptable(docs)
+    """Documents that the base rules or the compression bands, fitted to labelled ones, reject go."""
+    bands = quality.fit_bands(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return quality.keep_acceptable(docs, bands=bands)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays: that with the smallest id."""
+    """One row of each SimHash group stays: that with the smallest id."""
     return simhash.keep_one(docs)
 
 
@@ -55,9 +64,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages; each result is written as Parquet and read again for the next."""
     docs = read_table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
+    for number, (name, stage) in enumerate(STAGES[:-1]):
         path = stage_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
+        if number:
+            discard(docs)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
 
