@@ -10,7 +10,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -100,6 +102,23 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of text that a worker turns into Python objects at once.
+SLICE_BYTES = 2 << 20
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches cut into runs of about ``limit`` bytes of a text column (at least one row each)."""
+    for batch in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+        first = 0
+        while first < batch.num_rows:
+            before = sizes[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(sizes, before + limit)))
+            yield batch.slice(first, last - first)
+            first = last
+        pa.default_memory_pool().release_unused()
+
+
 def texts_of(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """UTF-8 bytes of each text; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
@@ -123,7 +142,7 @@ def add_columns(
     schema = T.StructType([source.schema[i] for i in range(len(carried))] + list(added))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, len(carried)):
             new = compute(texts_of(batch.column(len(carried))))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(i) for i in range(len(carried))] + new, names=schema.fieldNames()
@@ -137,7 +156,7 @@ def filter_rows(df: DataFrame, text_col: str, accept: Callable[[list[bytes]], li
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, at):
             yield batch.filter(pa.array(accept(texts_of(batch.column(at))), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

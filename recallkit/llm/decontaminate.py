@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from recallkit.llm.common import staged, texts_of
+from recallkit.llm.common import slices, staged, texts_of
 
 Q = 8
 PATTERN = 120
@@ -221,7 +221,7 @@ def _scan(docs: DataFrame, items: list[Item], item_type: T.DataType) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(shared.value)
-        for batch in batches:
+        for batch in slices(batches, 1):
             for first, texts in _joined(texts_of(batch.column(1))):
                 found, begins = _matches(index, texts)
                 rows = pa.array([first + n for n, *_ in found], pa.int64())
@@ -274,7 +274,7 @@ def drop_leaked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = Index(shared.value)
-            for batch in batches:
+            for batch in slices(batches, at):
                 clean = np.ones(batch.num_rows, bool)
                 for first, texts in _joined(texts_of(batch.column(at))):
                     for number, *_ in _matches(index, texts)[0]:

@@ -19,9 +19,12 @@ a window can match:
   split further, by the whole window: least id by window, then the windows of entries with
   a larger id are removed.  The outcome is the same and no task holds the anchor's entries.
 
-Segments and windows are named by 128 bits of independent hashes.
+Joins on anchors, entries and windows deal the few heavy keys by broadcast, the others by a
+shuffle (:func:`~recallkit.llm.common.join_heavy`).  Segments and windows are named by 128 bits
+of independent hashes, which are not compared word by word again.
 
-Cases: null or short texts have no window and stay; a null id is neither smaller nor
+Cases: null or short texts have no window and stay; a very long text is many segments, dealt
+like those of any others; a null id is neither smaller nor
 larger, so that row stays and removes nothing; rows that repeat an id do not remove each
 other's text; an empty table gives an empty result; columns besides id and text are
 ignored.
@@ -39,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recallkit.llm.common import add_columns, staged, texts_of
+from recallkit.llm.common import add_columns, discard, join_heavy, slices, staged, texts_of
 
 WINDOW = 50
 GRAM = 8
@@ -161,7 +164,7 @@ def _runs(docs: DataFrame, window: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             ids, marks, anchors, entries, firsts, sizes, rows = [], [], [], [], [], [], []
             for i, text in enumerate(texts_of(batch.column(1))):
                 words = text.split()
@@ -268,29 +271,33 @@ def _by_window(contents: DataFrame, window: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names=names)
 
     schema = f"anchor bigint, entry bigint, least {kind}, begin int, w1 bigint, w2 bigint"
-    windows = contents.select("anchor", "entry", "least", "words").mapInArrow(run, schema)
-    first = windows.groupBy("w1", "w2").agg(F.min("least").alias("earliest"))
-    late = windows.join(first, ["w1", "w2"]).where("earliest < least")
+    windows = staged(contents.select("anchor", "entry", "least", "words").mapInArrow(run, schema), "windows")
+    first = windows.groupBy("w1", "w2").agg(F.min("least").alias("earliest"), F.count("*").alias("n"))
+    late = join_heavy(windows, staged(first.where("n > 1"), "firsts"), ["w1", "w2"], "n").where("earliest < least")
     return late.select("anchor", "entry", "begin", (F.col("begin") + window).alias("end"))
 
 
 def repeated_spans(docs: DataFrame, packed: DataFrame, window: int = WINDOW) -> DataFrame:
     """``doc_id, mark, spans``: word ranges to remove, of documents that have any."""
     runs = staged(_runs(docs, window), "runs")
-    shared = runs.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
-    runs = staged(runs.join(shared.select("anchor"), "anchor"), "shared-runs")
-    entries = runs.groupBy("anchor", "entry").agg(F.min(F.struct("doc_id", "mark", "first", "size")).alias("at"))
-    differing = entries.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    wanted = entries.join(differing, "anchor").select("anchor", "entry", "at.*", "n")
+    met = runs.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n"))
+    shared = staged(met.where("a < b").select("anchor", "n"), "shared")
+    every, runs = runs, staged(join_heavy(runs, shared, ["anchor"], "n").drop("n"), "shared-runs")
+    discard(every)
+    at = F.min(F.struct("doc_id", "mark", "first", "size")).alias("at")
+    entries = staged(runs.groupBy("anchor", "entry").agg(at, F.count("*").alias("holders")), "anchored")
+    differing = staged(entries.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "differing")
+    wanted = join_heavy(entries, differing, ["anchor"], "n").select("anchor", "entry", "at.*", "n")
     contents = staged(_contents(packed, wanted), "entries")
     parts = _by_automaton(contents.where(F.col("n") <= SHARD_MAX), window).unionByName(
         _by_window(contents.where(F.col("n") > SHARD_MAX), window)
     )
     parts = parts.groupBy("anchor", "entry").agg(F.collect_list(F.struct("begin", "end")).alias("parts"))
-    known = entries.select("anchor", "entry", F.col("at.doc_id").alias("least")).join(parts, ["anchor", "entry"], "left")
+    least = entries.select("anchor", "entry", "holders", F.col("at.doc_id").alias("least"))
+    known = staged(least.join(parts, ["anchor", "entry"], "left"), "known")
     whole = F.array(F.struct(F.lit(0).alias("begin"), F.col("size").alias("end")))
     # a document that is not the entry's first has all its windows in the first
-    removed = runs.join(known, ["anchor", "entry"]).withColumn(
+    removed = join_heavy(runs, known, ["anchor", "entry"], "holders").withColumn(
         "parts", F.when(F.col("doc_id") > F.col("least"), whole).otherwise(F.col("parts"))
     )
     placed = removed.where("parts IS NOT NULL").select(

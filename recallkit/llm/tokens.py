@@ -15,7 +15,7 @@ from a cache bounded in bytes.  Other tokenizers, and texts that hold one of the
 tokenizer's added tokens, are encoded whole by the library.
 
 The cache is a hash table in arrays (:class:`IdTable`): strings are known by 64-bit hashes, so
-a million of them take some 40 MB, and a batch of texts is looked up in a few array steps.
+600,000 of them take some 30 MB, and a batch of texts is looked up in a few array steps.
 
 Cases: null and empty texts have the end id alone; a very long text is encoded whole, as one
 row; repeated rows are encoded each, rows of one id in the order of a hash of their texts;
@@ -30,23 +30,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from recallkit.llm.common import stage_path
+from recallkit.llm.common import slices, stage_path
 
 END_ID = 0
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 1000
-#: Slots of a worker's table (13 bytes each) and ids it holds (4 bytes each) before it starts anew.
-TABLE_BITS = 21
-POOL_IDS = 6_000_000
+#: Slots of a worker's table (16 bytes each) and ids it holds (4 bytes each) before it starts anew.
+TABLE_BITS = 20
+POOL_IDS = 4_000_000
 #: Strings looked up at once.
 CHUNK = 100_000
-#: Bytes of text encoded at once.
-BATCH_BYTES = 4 << 20
 
 #: The byte-level pre-tokenisation pattern (a fixed value).
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -234,15 +231,8 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
             lists = pa.ListArray.from_arrays(offsets, pa.array(ids))
             return pa.RecordBatch.from_arrays([doc_ids, pa.array(counts), lists], names=["doc_id", "n_tokens", "ids"])
 
-        for batch in batches:
-            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
-            first = 0
-            while first < batch.num_rows:
-                before = sizes[first - 1] if first else 0
-                last = max(first + 1, int(np.searchsorted(sizes, before + BATCH_BYTES)))
-                texts = [t or "" for t in batch.column(1).slice(first, last - first).to_pylist()]
-                yield packed(batch.column(0).slice(first, last - first), one.encode(texts))
-                first = last
+        for batch in slices(batches, 1):
+            yield packed(batch.column(0), one.encode([t or "" for t in batch.column(1).to_pylist()]))
 
     return source.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids array<int>")
 
