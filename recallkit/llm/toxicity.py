@@ -1,21 +1,25 @@
 """Toxicity (operator 2): a weighted finite-state pattern grammar over clauses.
 
-A text is read as symbols: a lexical transducer maps each word to insult, threat, target,
-negation, report, mark of quotation, end of clause or other, with a weight.  Three further
-transducers rewrite that string: *negation* (an insult or threat up to three words after a
-negator is negated), *reported speech* (after a verb of saying or inside quotation marks it
-is reported) and *target* (within four words of an address to someone it is aimed).  The
-machines are composed once into one table, so each word costs one step.
-
-A clause's score is the weight of what it matched, by output symbol; a document's score is
-a logistic function of these sums.  Words of insult and threat, whole or as stems, with
-their weights (log-odds of documents) are learnt from labelled rows, beside a few fixed
-words of the closed classes; so are the weights of the output symbols.  Learning reads at
-most ``MAX_TRAIN`` labelled rows, chosen by hash; all of them are used if there are fewer.
-
-Cases: null, empty and wordless texts match nothing and get the score of the intercept;
-repeated rows score alike; labels other than 0 and 1 are ignored; with no labelled rows of
-both kinds the grammar is empty and every score is ``NO_EVIDENCE``; an empty table gives an
+A text is read as symbols: a lexical transducer maps each word to insult, harm, intent, target,
+negator, report, mark of quotation, end of clause or other, the closed classes first.  Four
+transducers rewrite that string: *negation* (an insult or a verb of harm up to three words
+after a negator is negated), *threat* (intent, then harm, then a person as its object, each
+within a few words; or a clause that opens with harm: the object becomes a threat), *reported
+speech* (after a verb of saying or inside quotation marks) and *target* (an insult within four
+words of an address to someone is aimed).  They are composed once into one table, so each word
+costs one step.
+
+What is scored is the clause: the weights of its matches are summed by path (kind and what
+the transducers found), and a logistic function of the paths gives the probability that the
+clause is toxic.  A document's score is the noisy-or of its matched clauses and a base rate.
+Words of insult, whole or as stems, with their weights (log-odds of documents above a
+threshold) are learnt from labelled rows, and so are the weights of the paths, drawn to the
+prior in ``PATHS``.  Learning reads at most ``MAX_TRAIN`` labelled rows, chosen by hash; all of
+them are used if there are fewer.
+
+Cases: null, empty and wordless texts match nothing and get the base rate; very long texts are
+read whole; repeated rows score alike; labels other than 0 and 1 are ignored; with no labelled
+rows of both kinds the lexicon is empty and paths have their priors; an empty table gives an
 empty result; other columns are carried, those with names of the results replaced.
 """
 
@@ -32,28 +36,42 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recallkit.llm.common import add_columns, texts_of
+from recallkit.llm.common import add_columns, bounded_labels, texts_of
 
 MAX_TRAIN = 20_000
-MAX_LEXICON = 2_000
 STEMS = range(4, 9)
 MIN_SUPPORT = 3
 MIN_WEIGHT = 1.5
-NO_EVIDENCE = 0.1
 NEGATION_REACH = 3
 TARGET_REACH = 4
+INTENT_REACH = 5
+OBJECT_REACH = 3
 
-OTHER, INSULT, THREAT, TARGET, NEGATOR, REPORT, QUOTE, END = range(8)
+OTHER, INSULT, HARM, INTENT, TARGET, NEGATOR, REPORT, QUOTE, END, THREAT = range(10)
 #: Fixed words of the closed classes (English, French, German, Spanish).
 CLOSED = {
-    THREAT: "kill hurt destroy punch stab shoot strangle tuer frapper détruire töten schlagen matar golpear",
-    TARGET: "you your u he she they tu toi vous ton du dich ihr dein tú usted vosotros tus",
-    NEGATOR: "not never no nobody don't doesn't isn't aren't wasn't ne pas jamais nicht nie kein keine nunca jamás",
-    REPORT: "said says say called wrote claimed reported dit disait écrit sagte schrieb behauptete dijo escribió",
+    HARM: "kill hurt destroy punch stab shoot strangle murder beat burn crush hang "
+    "tuer frapper détruire étrangler brûler töten umbringen schlagen verprügeln erschießen matar golpear destruir quemar",
+    INTENT: "will i'll we'll gonna going shall want must should let's hope wish vais veux allons werde werden will muss soll voy quiero vamos",
+    TARGET: "you your u yourself he him she her they them their tu te toi vous ils du dich ihr euch dein sie tú te ti usted vosotros tus ellos",
+    NEGATOR: "not never no nobody don't doesn't isn't aren't wasn't won't can't ne pas jamais nicht nie kein keine nunca jamás",
+    REPORT: "said says say called calls wrote claimed reported dit disait écrit sagte sagt schrieb behauptete dijo dice escribió",
 }
 _TOKEN = re.compile(r"[^\W_]+(?:'[^\W_]+)?|[.!?;\n\"“”«»]")
 _MARKS = {**dict.fromkeys(".!?;\n", END), **dict.fromkeys("\"“”«»", QUOTE)}
-_THREAT_PRIOR = 1.0
+#: Weight of a verb of harm; insults have theirs from the labels.
+HARM_WEIGHT = 3.0
+#: The paths of a clause with the prior of their weights.
+PATHS = {
+    (INSULT, ""): 1.0,
+    (INSULT, "aimed"): 1.5,
+    (INSULT, "negated"): 0.0,
+    (INSULT, "reported"): 0.3,
+    (THREAT, ""): 2.5,
+    (THREAT, "negated"): 0.0,
+    (THREAT, "reported"): 0.3,
+}
+CLAUSE_PRIOR, BASE_PRIOR = -2.0, -4.0
 
 Step = Callable[[Hashable, tuple], tuple]
 
@@ -65,10 +83,29 @@ def negation(state: int, symbol: tuple) -> tuple:
         return 0, symbol
     if kind == NEGATOR:
         return NEGATION_REACH, symbol
-    out = (kind, flags | {"negated"}) if state and kind in (INSULT, THREAT) else symbol
+    out = (kind, flags | {"negated"}) if state and kind in (INSULT, HARM) else symbol
     return max(0, state - 1), out
 
 
+def threat(state: tuple, symbol: tuple) -> tuple:
+    """States: clause start, idle, (intent, steps left), (harm, steps left, its flags)."""
+    kind, flags = symbol
+    stage, left, held = state
+    if kind == END:
+        return ("start", 0, frozenset()), symbol
+    if kind == HARM and stage in ("start", "intent"):
+        return ("harm", OBJECT_REACH, flags), symbol
+    if kind == TARGET and stage == "harm":
+        return ("idle", 0, frozenset()), (THREAT, flags | held)
+    if kind == INTENT:
+        return ("intent", INTENT_REACH, frozenset()), symbol
+    if stage in ("intent", "harm") and left > 1:
+        return (stage, left - 1, held), symbol
+    if kind == QUOTE and stage == "start":
+        return state, symbol
+    return ("idle", 0, frozenset()), symbol
+
+
 def reported(state: tuple, symbol: tuple) -> tuple:
     kind, flags = symbol
     said, quoted = state
@@ -87,8 +124,7 @@ def aimed(state: int, symbol: tuple) -> tuple:
         return 0, symbol
     if kind == TARGET:
         return TARGET_REACH, symbol
-    out = (kind, flags | {"aimed"}) if state and kind in (INSULT, THREAT) else symbol
-    return max(0, state - 1), out
+    return max(0, state - 1), (kind, flags | {"aimed"}) if state and kind == INSULT else symbol
 
 
 def compose(first: Step, second: Step) -> Step:
@@ -102,39 +138,32 @@ def compose(first: Step, second: Step) -> Step:
     return step
 
 
-def _outputs() -> list[tuple[int, frozenset]]:
-    flags = [frozenset(), frozenset({"aimed"}), frozenset({"negated"}), frozenset({"reported"})]
-    return [(kind, f) for kind in (INSULT, THREAT) for f in flags]
+_NUMBER = {path: i for i, path in enumerate(PATHS)}
 
 
-OUTPUTS = _outputs()
-
-
-def _slot(kind: int, flags: frozenset) -> int:
-    """The output symbol of a match; reported speech outranks negation, negation a target."""
-    for name in ("reported", "negated", "aimed"):
-        if name in flags:
-            return OUTPUTS.index((kind, frozenset({name})))
-    return OUTPUTS.index((kind, frozenset()))
+def _path(kind: int, flags: frozenset) -> int:
+    """The path of a match; reported speech outranks negation, negation a target."""
+    named = [f for f in ("reported", "negated", "aimed") if f in flags and (kind, f) in PATHS]
+    return _NUMBER[kind, named[0] if named else ""]
 
 
 def compile_grammar() -> tuple[list[list[int]], list[list[int]]]:
-    """The composed machine as tables ``next[state][class]`` and ``slot[state][class]`` (-1: none)."""
-    machine = compose(compose(negation, reported), aimed)
-    start = ((0, (False, False)), 0)
-    number, queue, moves, slots = {start: 0}, [start], [], []
+    """The composed machine as tables ``next[state][class]`` and ``path[state][class]`` (-1: no match)."""
+    machine = compose(compose(compose(negation, threat), reported), aimed)
+    start = (((0, ("start", 0, frozenset())), (False, False)), 0)
+    number, queue, moves, paths = {start: 0}, [start], [], []
     for state in queue:
         row, out = [], []
-        for kind in range(8):
-            after, (_, flags) = machine(state, (kind, frozenset()))
+        for kind in range(THREAT):
+            after, (made, flags) = machine(state, (kind, frozenset()))
             if after not in number:
                 number[after] = len(queue)
                 queue.append(after)
             row.append(number[after])
-            out.append(_slot(kind, flags) if kind in (INSULT, THREAT) else -1)
+            out.append(_path(made, flags) if made in (INSULT, THREAT) else -1)
         moves.append(row)
-        slots.append(out)
-    return moves, slots
+        paths.append(out)
+    return moves, paths
 
 
 class Lexicon(dict):
@@ -147,37 +176,73 @@ class Lexicon(dict):
         self.closed = {w: k for k, words in CLOSED.items() for w in words.split()} | _MARKS
 
     def __missing__(self, word: str) -> tuple[int, float]:
-        best = max([self.learnt.get(word, 0.0), *(self.learnt.get(word[:k] + "*", 0.0) for k in STEMS)])
-        kind = self.closed.get(word, OTHER)
-        if best and kind != THREAT:
-            found = (INSULT, best)
+        kind = self.closed.get(word)
+        if kind is None:
+            best = max([self.learnt.get(word, 0.0), *(self.learnt.get(word[:k] + "*", 0.0) for k in STEMS)])
+            found = (INSULT, best) if best else (OTHER, 0.0)
         else:
-            found = (kind, max(best, _THREAT_PRIOR) if kind == THREAT else 0.0)
+            found = (kind, 0.0)
         if len(self) >= self.LIMIT:
             self.clear()
         self[word] = found
         return found
 
 
-def match(text: str, lexicon: Lexicon, grammar: tuple) -> tuple[np.ndarray, int]:
-    """Weight matched in the text by output symbol, and its number of tokens."""
-    moves, slots = grammar
-    found = np.zeros(len(OUTPUTS))
+def match(text: str, lexicon: Lexicon, grammar: tuple) -> list[list[float]]:
+    """The clauses of the text that match: weight by path."""
+    moves, paths = grammar
     read = [lexicon[t] for t in _TOKEN.findall(text.lower())]
-    if any(kind == INSULT or kind == THREAT for kind, _ in read):
-        state = 0
-        for kind, weight in read:
-            slot = slots[state][kind]
-            if slot >= 0:
-                found[slot] += weight
-            state = moves[state][kind]
-    return found, len(read)
-
-
-def features(found: np.ndarray, size: int) -> np.ndarray:
-    """What the logistic function sees: sums by symbol, their total, and its density."""
-    total = found.sum()
-    return np.concatenate([np.log1p(found), [np.log1p(total), total / (20.0 + size), float(total > 0)]])
+    if not any(kind == INSULT or kind == HARM for kind, _ in read):
+        return []
+    clauses, found, state = [], None, 0
+    for kind, weight in read:
+        path = paths[state][kind]
+        if path >= 0:
+            found = found or [0.0] * len(PATHS)
+            found[path] += weight or HARM_WEIGHT
+        state = moves[state][kind]
+        if kind == END and found:
+            clauses.append(found)
+            found = None
+    return clauses + [found] if found else clauses
+
+
+class Scores:
+    """Clause weights (a bias, one a path) and base rate; documents by noisy-or."""
+
+    def __init__(self, weights: np.ndarray | None = None):
+        self.weights = np.array([CLAUSE_PRIOR, *PATHS.values(), BASE_PRIOR]) if weights is None else weights
+
+    def parts(self, clauses: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Inputs of the logistic function and probability of each clause."""
+        x = np.column_stack([np.ones(len(clauses)), np.log1p(clauses)])
+        return x, 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1], -30, 30)))
+
+    def of(self, owner: np.ndarray, clauses: np.ndarray, n: int) -> np.ndarray:
+        """Score of ``n`` documents; clause ``i`` belongs to document ``owner[i]``."""
+        clean = np.full(n, -np.logaddexp(0, self.weights[-1]))
+        np.add.at(clean, owner, np.log1p(-np.minimum(self.parts(clauses)[1], 1 - 1e-12)))
+        return -np.expm1(clean)
+
+    def fit(self, owner: np.ndarray, clauses: np.ndarray, toxic: np.ndarray, steps: int = 600) -> "Scores":
+        """Weights of greatest likelihood, drawn to the prior, by gradient steps (Adam)."""
+        prior, n = self.weights.copy(), len(toxic)
+        first, second = np.zeros_like(prior), np.zeros_like(prior)
+        for step in range(1, steps + 1):
+            x, p = self.parts(clauses)
+            score = np.clip(self.of(owner, clauses, n), 1e-9, 1 - 1e-9)
+            outer = np.where(toxic == 1, (1 - score) / score, -1.0)  # of the log-likelihood by -log(clean)
+            slope = np.append(x.T @ (outer[owner] * p), outer.sum() / (1 + np.exp(-self.weights[-1])))
+            slope -= 0.5 * (self.weights - prior)
+            first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope**2
+            self.weights = self.weights + 0.05 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-9)
+        return self
+
+
+def stacked(found: list[list[list[float]]]) -> tuple[np.ndarray, np.ndarray]:
+    """Owner and weights of all clauses of some documents."""
+    owner = np.repeat(np.arange(len(found)), [len(x) for x in found])
+    return owner, np.array([c for x in found for c in x], float).reshape(-1, len(PATHS))
 
 
 def word_features(text: str) -> set[str]:
@@ -187,13 +252,9 @@ def word_features(text: str) -> set[str]:
 
 def training_rows(docs: DataFrame, labels: DataFrame, held_out: Column) -> DataFrame:
     """``text, toxic`` of at most ``MAX_TRAIN`` labelled rows (about, as hashes fall)."""
-    usable = labels.where(F.col("toxic").isin(0, 1) & ~held_out).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    n = usable.count()
-    if n > MAX_TRAIN:
-        draw = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 30))
-        usable = usable.where(draw < int(0.97 * MAX_TRAIN / n * (1 << 30)))
+    usable = bounded_labels(labels.where(~held_out), "toxic", MAX_TRAIN)
     # at most MAX_TRAIN pairs of numbers: a broadcast of bounded size
-    return docs.join(F.broadcast(usable.limit(MAX_TRAIN)), "doc_id").select(F.col("text").cast("string"), "toxic")
+    return docs.join(F.broadcast(usable), "doc_id").select(F.col("text").cast("string"), "toxic")
 
 
 def fold(text: bytes) -> int:
@@ -237,43 +298,32 @@ def learn_lexicons(rows: DataFrame) -> list[dict[str, float]]:
             counted.where((F.col("feature") != "") & (a >= MIN_SUPPORT))
             .select("feature", sure.alias("sure"))
             .where(F.col("sure") >= MIN_WEIGHT)
-            .orderBy(F.desc("sure"), "feature")
-            .limit(MAX_LEXICON)
-        )
+        )  # words of the bounded training rows
         learnt.append({r["feature"]: float(r["sure"]) for r in best.collect()})
     counted.unpersist()
     return learnt
 
 
-def learn_weights(rows: DataFrame, by_fold: list[dict[str, float]]) -> np.ndarray:
-    """Logistic weights (intercept last) by ridge-penalised Newton steps on the bounded rows.
+def learn_weights(rows: DataFrame, by_fold: list[dict[str, float]]) -> Scores:
+    """Weights of the paths from the bounded training rows.
 
     A row is matched with the lexicon of the other fold, so no word vouches for itself.
     """
-    width = len(OUTPUTS) + 3
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicons, grammar = [Lexicon(x) for x in by_fold], compile_grammar()
         for batch in batches:
             texts = texts_of(batch.column(0))
-            found = [features(*match(t.decode(), lexicons[1 - fold(t)], grammar)).tolist() for t in texts]
+            found = [match(t.decode(), lexicons[1 - fold(t)], grammar) for t in texts]
+            flat = [[w for clause in clauses for w in clause] for clauses in found]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(found, pa.list_(pa.float64())), batch.column(1)], names=["x", "toxic"]
+                [pa.array(flat, pa.list_(pa.float64())), batch.column(1)], names=["x", "toxic"]
             )
 
     kind = rows.schema["toxic"].dataType.simpleString()
     sample = rows.mapInArrow(vectors, f"x array<double>, toxic {kind}").collect()
-    x = np.array([[*r["x"], 1.0] for r in sample]).reshape(-1, width + 1)
-    y = np.array([r["toxic"] for r in sample], float)
-    w = np.zeros(width + 1)
-    ridge = np.diag([0.1] * width + [1e-6])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ w)
-        w += np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-8:
-            break
-    return w
+    clauses = [np.array(r["x"], float).reshape(-1, len(PATHS)).tolist() for r in sample]
+    return Scores().fit(*stacked(clauses), np.array([r["toxic"] for r in sample]))
 
 
 def score_toxicity(
@@ -285,16 +335,13 @@ def score_toxicity(
     """
     rows = training_rows(docs, labels, held_out).persist()
     *by_fold, learnt = learn_lexicons(rows)
-    weights = learn_weights(rows, by_fold) if learnt else None
+    weights = (learn_weights(rows, by_fold) if learnt else Scores()).weights
     rows.unpersist()
 
     def compute(texts: list[bytes]) -> list[pa.Array]:
-        if weights is None:
-            scores = np.full(len(texts), NO_EVIDENCE)
-        else:
-            lexicon, grammar = _cached(learnt)
-            x = np.array([features(*match(t.decode(), lexicon, grammar)) for t in texts]).reshape(-1, len(weights) - 1)
-            scores = 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
+        lexicon, grammar = _cached(learnt)
+        found = [match(t.decode(), lexicon, grammar) for t in texts]
+        scores = Scores(weights).of(*stacked(found), len(texts))
         return [pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32))]
 
     added = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import numpy as np
@@ -24,28 +25,46 @@ def test_toxicity_on_held_out_rows(spark):
 
 
 def test_grammar():
-    lexicon, grammar = toxicity.Lexicon({"idiot": 3.0, "vile*": 2.0}), toxicity.compile_grammar()
+    lexicon, grammar = toxicity.Lexicon({"idiot": 3.0, "vile*": 2.0, "you": 9.0}), toxicity.compile_grammar()
 
     def matched(text):
-        found, _ = toxicity.match(text, lexicon, grammar)
-        return {(k, tuple(sorted(f))): v for (k, f), v in zip(toxicity.OUTPUTS, found) if v}
+        return [{k: v for k, v in zip(toxicity.PATHS, clause) if v} for clause in toxicity.match(text, lexicon, grammar)]
 
     insult, threat = toxicity.INSULT, toxicity.THREAT
-    assert matched("An idiot, a vileness.") == {(insult, ()): 5.0}
-    assert matched("You are an idiot.") == {(insult, ("aimed",)): 3.0}
-    assert matched("He is not an idiot. idiot") == {(insult, ("negated",)): 3.0, (insult, ()): 3.0}
-    assert matched('"idiot" she said.') == {(insult, ("reported",)): 3.0}
-    assert matched("He said: idiot! Idiot.") == {(insult, ("reported",)): 3.0, (insult, ()): 3.0}
-    assert matched("I will kill you") == {(threat, ()): 1.0}
-    assert matched("you, I will kill") == {(threat, ("aimed",)): 1.0}
-    assert matched("the weather is fine") == {}
+    assert matched("An idiot, a vileness.") == [{(insult, ""): 5.0}]
+    assert matched("You are an idiot.") == [{(insult, "aimed"): 3.0}]
+    assert matched("He is not an idiot. idiot") == [{(insult, "negated"): 3.0}, {(insult, ""): 3.0}]
+    assert matched('"idiot" she said.') == [{(insult, "reported"): 3.0}]
+    assert matched("He said: idiot! Idiot.") == [{(insult, "reported"): 3.0}, {(insult, ""): 3.0}]
+    for text in ("I will kill you", "I want to murder you", "Kill them all", "we are going to really hurt him"):
+        assert matched(text) == [{(threat, ""): 3.0}], text
+    assert matched("I will not kill you") == [{(threat, "negated"): 3.0}]
+    assert matched("she said I will kill you") == [{(threat, "reported"): 3.0}]
+    for text in ("kill the process", "I will kill the process now, and then you rest", "the weather is fine", "you"):
+        assert matched(text) == [], text
+
+
+def test_clause_scores():
+    """Noisy-or by its definition; what a text's clauses say decides, not its words alone."""
+    lexicon, grammar = toxicity.Lexicon({"idiot": 3.0}), toxicity.compile_grammar()
+    scores = toxicity.Scores()
+    texts = ["", "idiot", "You are an idiot. I will kill you.", "He is not an idiot.", "You are an idiot."]
+    found = [toxicity.match(t, lexicon, grammar) for t in texts]
+    got = scores.of(*toxicity.stacked(found), len(texts))
+    for clauses, score in zip(found, got):
+        clean = 1 - 1 / (1 + math.exp(-toxicity.BASE_PRIOR))
+        for clause in clauses:
+            a = toxicity.CLAUSE_PRIOR + sum(w * math.log1p(x) for w, x in zip(toxicity.PATHS.values(), clause))
+            clean *= 1 - 1 / (1 + math.exp(-a))
+        assert abs(score - (1 - clean)) < 1e-9
+    assert got[2] > 0.8 > got[4] > got[1] > got[3] > got[0]
 
 
 def test_toxicity_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "a b", "x"), (3, "a b", "x")], "doc_id long, text string, score string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
     found = toxicity.score_toxicity(docs, none, F.lit(False)).collect()
-    assert [r.score for r in found] == [toxicity.NO_EVIDENCE] * 4
+    assert len({r.score for r in found}) == 1 and found[0].score < 0.05
     draw = random.Random(1)
     train = [(i, f"you {'fool' if i % 2 else 'friend'} {draw.random()}", "") for i in range(400)]
     labels = spark.createDataFrame([(i, i % 2) for i in range(400)] + [(500, 7), (501, None)], "doc_id long, toxic int")
@@ -65,13 +84,35 @@ def test_languages(spark, sf_dir):
 
 def test_text_model_on_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    langs, grams = langid.learn_trigrams(docs.where("doc_id % 5 <> 0"))
-    model = langid.TextModel(langs, grams)
+    langs, table = langid.learn_trigrams(docs.where("doc_id % 5 <> 0"))
+    model = langid.TextModel(table)
     rows = docs.where("doc_id % 5 = 0 AND n_chars > 200").collect()
     right = [langs[int(model.likelihood(r.text).argmax())] == r.lang for r in rows]
     assert np.mean(right) > 0.9
 
 
+def test_languages_of_held_out_documents(spark):
+    """Pages made of documents of known language that the model has not seen; a third declares another language."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    wrong = {"en": "de", "de": "fr", "fr": "es", "es": "en"}
+    rows = []
+    for r in docs.where("doc_id % 5 = 0 AND n_chars > 200").collect():
+        said = [f' lang="{wrong[r.lang]}"', f' lang="{r.lang}"', ""][r.doc_id // 5 % 3]
+        rows.append((r.doc_id, f"https://h{r.doc_id % 7}.{r.lang}.example/{r.doc_id}", f"<html{said}><p>{r.text}</p></html>", r.lang))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, truth string")
+    found = {r.page_id: r.lang for r in langid.identify_languages(pages, docs.where("doc_id % 5 <> 0")).collect()}
+    assert np.mean([found[i] == truth for i, _, _, truth in rows]) > 0.95
+
+
+def test_own_vote_is_left_out(spark):
+    """A lone page on a host of its own, its text unclear, follows the others of its suffix."""
+    docs = spark.createDataFrame([("the cat sat", "en"), ("der hund und die katze", "de")], "text string, lang string")
+    rows = [(i, f"http://h{i}.site{i}.de/", "<p>der hund und die katze</p>") for i in range(12)]
+    pages = spark.createDataFrame(rows + [(99, "http://lone.de/", "<p>at</p>"), (None, "http://lone.de/", None)], "page_id long, url string, html string")
+    found = {r.page_id: r for r in langid.identify_languages(pages, docs).collect()}
+    assert found[99].text_lang == "en" and found[99].lang == "de" and found[None].lang == "de"
+
+
 def test_evidence_decides_without_text(spark):
     docs = spark.createDataFrame([("the cat sat", "en"), ("der hund und die katze", "de")], "text string, lang string")
     rows = [(i, "http://a.site.de/x", '<html lang="de"><p>der hund und die katze</p>') for i in range(9)]
