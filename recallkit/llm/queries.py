@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from recallkit.llm import decontaminate, langid, licenses, mixing, pii, quality, simhash, substrings, tokens, toxicity
 from recallkit.llm.common import read_table
 
+#: Key of the registered query over test data; real data need a secret one.
+PII_KEY = "key of the test query"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -52,7 +54,7 @@ def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.checked_surrogates(read_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return pii.checked_surrogates(read_table(spark, sf_dir, "documents"), PII_KEY, keep=["doc_id"])
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
