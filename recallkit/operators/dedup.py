@@ -81,55 +81,80 @@ def _components(pairs: DataFrame) -> DataFrame:
             return roots
 
 
-def fold(
-    memories: DataFrame,
-    replace: float = config.REPLACE_THRESHOLD,
-    merge: float = config.MERGE_THRESHOLD,
-) -> DataFrame:
-    """``id, action, existing_id`` of rows ingested in order of (created_at, id).
+def _fold_pairs(pairs: DataFrame, rows: DataFrame, replace: float) -> DataFrame:
+    """``id, action, existing_id, similarity`` of the new rows that have a pair.
 
-    Each row is compared with the rows before it that no replacement has archived; a
-    replacement archives its match.  ``memories``: ``id, created_at, project, embedding``.
+    ``pairs``: ``id_a, id_b, score``; ``rows``: ``id, place, project, is_new``.  New rows come in
+    order of (place, id), after all others; each is compared with the rows before it that no
+    replacement has archived, within its project if it has one, and a replacement archives its match.
     """
-    pairs = vector.similar_pairs(memories.where("embedding IS NOT NULL").select("id", "embedding"), merge)
-    pairs = cut(pairs)
     rooted = _components(pairs)
-    kind = memories.schema["id"].dataType.simpleString()
-    facts = memories.select("id", "created_at", "project")
+    kind = rows.schema["id"].dataType.simpleString()
     sides = pairs.select(F.col("id_a").alias("id"), F.col("id_b").alias("other"), "score").unionByName(
         pairs.select(F.col("id_b").alias("id"), F.col("id_a").alias("other"), "score")
     )
-    rows = sides.join(rooted, "id").join(facts, "id")
+    joined = sides.join(rooted, "id").join(rows, "id")
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         near: dict = {}
         for r in part.itertuples(index=False):
             near.setdefault(r.id, []).append((-r.score, r.other))
-        about = part.drop_duplicates("id").set_index("id")
-        order = about.reset_index().sort_values(["created_at", "id"])["id"].tolist()
-        before, archived, found = set(), set(), []
-        for now in order:
-            project = about.at[now, "project"]
-            action, existing = "INSERT", None
-            for score, other in sorted(near[now]):
-                if other not in before or other in archived:
-                    continue
-                if project is not None and about.at[other, "project"] != project:
-                    continue
-                action, existing = ("REPLACE" if -score >= replace else "MERGE_CANDIDATE"), other
+        about = part.drop_duplicates("id").sort_values(["place", "id"])
+        project = dict(zip(about["id"], about["project"]))
+        before = set(about["id"][~about["is_new"]])
+        archived, found = set(), []
+        for now in about["id"][about["is_new"]]:
+            live = [(s, o) for s, o in sorted(near[now]) if o in before and o not in archived]
+            own = project[now]
+            live = [(s, o) for s, o in live if own is None or project.get(o) == own]
+            if live:
+                score, other = -live[0][0], live[0][1]
+                action = "REPLACE" if score >= replace else "MERGE_CANDIDATE"
                 if action == "REPLACE":
                     archived.add(other)
-                break
+                found.append((now, action, other, score))
             before.add(now)
-            found.append((now, action, existing))
-        out = pd.DataFrame(found, columns=["id", "action", "existing_id"])
-        out["existing_id"] = out["existing_id"].astype(about.index.dtype.name.replace("int64", "Int64"))
-        return out
-
-    folded = rows.groupBy("root").applyInPandas(run, f"id {kind}, action string, existing_id {kind}")
-    alone = memories.select("id").join(rooted.select("id"), "id", "left_anti")
-    none = F.lit(None).cast(kind)
-    return folded.unionByName(alone.select("id", F.lit("INSERT").alias("action"), none.alias("existing_id")))
+        return pd.DataFrame(found, columns=["id", "action", "existing_id", "similarity"])
+
+    return joined.groupBy("root").applyInPandas(run, f"id {kind}, action string, existing_id {kind}, similarity double")
+
+
+def _with_inserts(new: DataFrame, found: DataFrame) -> DataFrame:
+    """``found`` and an INSERT for each row of ``new`` that is not in it."""
+    return new.select("id").join(found, "id", "left").withColumn("action", F.coalesce("action", F.lit("INSERT")))
+
+
+def fold(
+    memories: DataFrame,
+    replace: float = config.REPLACE_THRESHOLD,
+    merge: float = config.MERGE_THRESHOLD,
+) -> DataFrame:
+    """``id, action, existing_id`` of rows ingested in order of (created_at, id)."""
+    pairs = cut(vector.similar_pairs(memories.where("embedding IS NOT NULL").select("id", "embedding"), merge))
+    rows = memories.select("id", F.col("created_at").alias("place"), "project", F.lit(True).alias("is_new"))
+    found = _fold_pairs(pairs, rows, replace).select("id", "action", "existing_id")
+    return _with_inserts(memories, found)
+
+
+def decide_batch(
+    new: DataFrame,
+    stored: DataFrame,
+    replace: float = config.REPLACE_THRESHOLD,
+    merge: float = config.MERGE_THRESHOLD,
+) -> DataFrame:
+    """As :func:`decide`, with the new rows taken one after the other in order of (place, id).
+
+    ``new``: ``id, embedding, project, place``; ``stored``: ``id, embedding, project``.  A new row
+    may replace one of its own batch, and nothing is replaced twice.
+    """
+    names = ["id", "embedding", "project"]
+    every = new.select(*names).unionByName(stored.select(*names)).where("embedding IS NOT NULL").select("id", "embedding")
+    met = vector.pairs_between(new.where("embedding IS NOT NULL").select("id", "embedding"), every, merge)
+    ends = [F.least("query_id", "id").alias("id_a"), F.greatest("query_id", "id").alias("id_b")]
+    pairs = cut(met.where("query_id <> id").select(*ends, "score").distinct())
+    rows = new.select("id", F.col("place"), "project", F.lit(True).alias("is_new"))
+    old = stored.select("id", F.lit(None).cast(new.schema["place"].dataType).alias("place"), "project", F.lit(False).alias("is_new"))
+    return _with_inserts(new, _fold_pairs(pairs, rows.unionByName(old), replace))
 
 
 def consolidate(

@@ -29,18 +29,32 @@ def chunk_edges(chunks: DataFrame) -> DataFrame:
 def temporal_edges(memories: DataFrame) -> DataFrame:
     """TEMPORAL_NEXT and TEMPORAL_PREV to the previous row (``id, session_id, project, created_at``).
 
-    The previous row is the latest one of the project (of all rows without a project when it is
-    null); a pair is linked when both have one session, or when neither has a session.
+    A row of a session follows the latest row of its session and project.  A row without one
+    follows the latest row of its project, if that has no session either; rows with neither
+    follow none.  ``place``, if there is such a column, orders rows of one time.
     """
-    order = Window.partitionBy("project").orderBy("created_at", "id")
-    previous = memories.select(
-        "id", "session_id", F.lag("id").over(order).alias("before"), F.lag("session_id").over(order).alias("session")
+    then = ["created_at", *(["place"] if "place" in memories.columns else []), "id"]
+    session = Window.partitionBy("project", "session_id").orderBy(*then)
+    project = Window.partitionBy("project").orderBy(*then)
+    alone = memories.where("session_id IS NULL OR project IS NOT NULL")
+    in_session = memories.where("session_id IS NOT NULL").select("id", F.lag("id").over(session).alias("before"))
+    in_project = (
+        alone.where("project IS NOT NULL")
+        .select("id", "session_id", F.lag("id").over(project).alias("before"), F.lag("session_id").over(project).alias("other"))
+        .where("session_id IS NULL AND other IS NULL")
+        .select("id", "before")
     )
-    linked = previous.where(F.col("before").isNotNull() & F.col("session_id").eqNullSafe(F.col("session")))
+    linked = in_session.unionByName(in_project).where("before IS NOT NULL")
     pair = _pairs(F.col("before"), F.col("id"), "TEMPORAL_NEXT", "TEMPORAL_PREV")
     return linked.select(pair.alias("e")).select("e.*")
 
 
+def last_of_sessions(memories: DataFrame) -> DataFrame:
+    """The latest row (by ``created_at, place, id``) of each project and session: all that later rows can follow."""
+    last = memories.groupBy("project", "session_id").agg(F.max(F.struct("created_at", "place", "id")).alias("last"))
+    return last.select("last.id", "session_id", "project", "last.created_at")
+
+
 def turn_edges(turns: DataFrame) -> DataFrame:
     """Temporal edges between consecutive turns of conversations (``conv_id, turn``)."""
     node = F.col("conv_id") * 100 + F.col("turn")
@@ -51,16 +65,40 @@ def turn_edges(turns: DataFrame) -> DataFrame:
     return temporal_edges(rows)
 
 
-def semantic_edges(vectors: DataFrame, threshold: float = config.SEMANTIC_THRESHOLD, k: int = config.SEMANTIC_TOP_K) -> DataFrame:
-    """SEMANTICALLY_RELATED to those of the ``k`` nearest rows (itself counted) that reach the threshold."""
-    near = vector.nearest(vectors, vectors, k)
-    kept = near.where((F.col("score") >= threshold) & (F.col("query_id") != F.col("id")))
-    return kept.select(
+def _semantic(near: DataFrame) -> DataFrame:
+    return near.where("query_id <> id").select(
         F.col("query_id").alias("from_id"), F.col("id").alias("to_id"),
         F.lit("SEMANTICALLY_RELATED").alias("edge_type"), F.col("score").alias("similarity"),
     )
 
 
+def semantic_edges(vectors: DataFrame, threshold: float = config.SEMANTIC_THRESHOLD, k: int = config.SEMANTIC_TOP_K) -> DataFrame:
+    """SEMANTICALLY_RELATED to those of the ``k`` nearest of all rows (itself counted) that reach the threshold."""
+    return _semantic(vector.nearest(vectors, vectors, k).where(F.col("score") >= threshold))
+
+
+def related_edges(
+    new: DataFrame, known: DataFrame, threshold: float = config.SEMANTIC_THRESHOLD, k: int = config.SEMANTIC_TOP_K
+) -> DataFrame:
+    """SEMANTICALLY_RELATED from new rows to active rows of their project (of any, if it is null).
+
+    ``new`` and ``known`` hold ``id, embedding, project`` and, if rows become known one after the
+    other, ``place``: then a row sees those before it only (null: before all).  Of the ``k`` nearest,
+    itself counted if it is known, those that reach the threshold are linked.
+    """
+    placed = "place" in new.columns and "place" in known.columns
+    met = vector.pairs_between(
+        new.where("embedding IS NOT NULL").select("id", "embedding"), known.where("embedding IS NOT NULL").select("id", "embedding"), threshold
+    )
+    own = new.select(F.col("id").alias("query_id"), F.col("project").alias("own"), *([F.col("place").alias("at")] if placed else []))
+    other = known.select("id", "project", *(["place"] if placed else []))
+    seen = met.join(own, "query_id").join(other, "id").where("own IS NULL OR own = project")
+    if placed:
+        seen = seen.where("place IS NULL OR place < at OR query_id = id")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return _semantic(seen.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
+
+
 def equal_text_edges(memories: DataFrame) -> DataFrame:
     """SUPERSEDES from each row to the next lower id with the same text."""
     order = Window.partitionBy(F.sha2("content", 256)).orderBy("id")

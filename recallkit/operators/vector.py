@@ -14,6 +14,9 @@ from recallkit.functions import scalars
 from recallkit.operators.filters import active
 
 BLOCK_ROWS = 4096
+#: Rows of a bucket of sign bits on average, and the parts one side of a bucket is dealt in.
+BUCKET_ROWS = 256
+PARTS = 4
 
 
 def top_k(memories: DataFrame, query: Sequence[float], k: int = config.TOP_K, project: str | None = None) -> DataFrame:
@@ -112,15 +115,54 @@ def similar_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
     return _meet(a, b, block_pairs, f"id_a {kind}, id_b {kind}, score double")
 
 
+def pairs_between(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """``query_id, id, score`` of rows of ``left`` and of ``right`` at a cosine of ``threshold`` or more.
+
+    The work is the product of both sides: new rows against stored ones, not all against all.
+    """
+    a, b = _pairs_of_blocks(left, right, False)
+    kind = left.schema["id"].dataType.simpleString()
+
+    def block_pairs(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        if not len(one) or not len(two):
+            return pd.DataFrame({"query_id": one["query_id"][:0], "id": two["vector_id"][:0], "score": []})
+        scores = np.round(_unit(one["query"]) @ _unit(two["vector"]).T, 6)
+        i, j = np.nonzero(scores >= threshold)
+        return pd.DataFrame(
+            {"query_id": one["query_id"].to_numpy()[i], "id": two["vector_id"].to_numpy()[j], "score": scores[i, j]}
+        )
+
+    return _meet(a, b, block_pairs, f"query_id {kind}, id {kind}, score double")
+
+
+def tables_for(threshold: float, planes: int, recall: float) -> int:
+    """How many tables of so many planes find a pair at ``threshold`` with probability ``recall``."""
+    together = (1 - np.arccos(threshold) / np.pi) ** planes
+    return int(np.ceil(np.log(1 - recall) / np.log(1 - together)))
+
+
 def similar_pairs_by_planes(
-    vectors: DataFrame, threshold: float, tables: int = 16, planes: int = 8, seed: int = 7
+    vectors: DataFrame,
+    threshold: float,
+    tables: int | None = None,
+    planes: int | None = None,
+    seed: int = 7,
+    recall: float = 0.95,
 ) -> DataFrame:
     """As :func:`similar_pairs` among vectors that share the signs of ``planes`` random projections
-    in one of ``tables`` tables: linear cost, at a recall that the two numbers set."""
-    dimension = vectors.select(F.size("embedding").alias("n")).first()
-    if dimension is None:
+    in one of ``tables`` tables, by default as many as ``recall`` takes.
+
+    ``planes`` grows with the logarithm of the number of vectors, so buckets hold some
+    ``BUCKET_ROWS`` rows on average; crowded ones are dealt in parts.  The lower the threshold the
+    more tables it takes: far below 0.7 the exact join is the cheaper one.  A pair is compared in
+    the first table that brings it together only.
+    """
+    about = vectors.agg(F.max(F.size("embedding")).alias("dimension"), F.count("*").alias("n")).first()
+    if not about["n"]:
         return similar_pairs(vectors, threshold)
-    normals = np.random.default_rng(seed).normal(size=(tables * planes, dimension["n"]))
+    planes = planes or max(4, int(np.ceil(np.log2(max(1, about["n"] / BUCKET_ROWS)))))
+    tables = tables or tables_for(threshold, planes, recall)
+    normals = np.random.default_rng(seed).normal(size=(tables * planes, about["dimension"]))
     kind = vectors.schema["id"].dataType.simpleString()
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -131,12 +173,16 @@ def similar_pairs_by_planes(
                 yield pd.DataFrame({"id": rows["id"], "embedding": rows["embedding"], "keys": list(code.astype(np.int64))})
 
     keyed = vectors.select("id", "embedding").mapInPandas(keys, f"id {kind}, embedding array<float>, keys array<bigint>")
-    dealt = keyed.select("id", "embedding", F.explode("keys").alias("key"))
-    a, b = dealt.alias("a"), dealt.alias("b")
+    a = keyed.select("id", "embedding", "keys", F.explode("keys").alias("key"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    b = keyed.select("id", "embedding", "keys", F.explode("keys").alias("key")).withColumn(
+        "part", F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int")
+    )
+    a, b = a.alias("a"), b.alias("b")
+    first = F.element_at(F.filter(F.zip_with("a.keys", "b.keys", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull()), 1)
     score = F.round(scalars.cosine(F.col("a.embedding"), F.col("b.embedding")), 6)
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")))
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.id") < F.col("b.id")))
     return (
-        pairs.select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), score.alias("score"))
+        pairs.where(F.col("a.key") == first)
+        .select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), score.alias("score"))
         .where(F.col("score") >= threshold)
-        .distinct()
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,7 +18,7 @@ from recallkit.sources.store import ReadOnly, Store
 
 _TEXT = T.StringType()
 EDGE = T.StructType(
-    [T.StructField(n, _TEXT) for n in ("from_id", "to_id", "edge_type")] + [T.StructField("props", T.MapType(_TEXT, _TEXT))]
+    [T.StructField(n, _TEXT) for n in ("from_id", "to_id", "edge_type")] + [T.StructField("props", T.MapType(_TEXT, _TEXT)), T.StructField("stub", T.BooleanType())]
 )
 RAW = T.StructType(
     [T.StructField(n, _TEXT) for n in ("id", "text", "source_type", "project")]
@@ -28,6 +28,15 @@ RAW = T.StructType(
 MAX_LOG_CHARS = 200_000
 
 
+def _given(tags: Sequence[str] = (), importance: float | None = None) -> dict[str, str]:
+    """What a caller sets, as metadata."""
+    return ({"tags": ",".join(tags)} if tags else {}) | ({} if importance is None else {"importance": str(importance)})
+
+
+def _pairs(values: dict[str, str]) -> list[Column]:
+    return [F.lit(x) for pair in values.items() for x in pair]
+
+
 class Engine:
     """Memories and edges under one folder; batches of any size go through the same plans."""
 
@@ -40,25 +49,39 @@ class Engine:
         return self.store.current()
 
     def edges(self) -> DataFrame:
-        """Edges between rows that exist, one of a key."""
+        """Edges between rows that exist, and references (``stub``) of such rows; one of a key."""
         try:
             rows = self.spark.read.schema(EDGE).parquet(self.edge_path)
         except Exception as error:  # nothing has been written yet
             if "PATH_NOT_FOUND" not in str(error):
                 raise
             rows = self.spark.createDataFrame([], EDGE)
-        once = rows.groupBy("from_id", "to_id", "edge_type").agg(F.first("props").alias("props"))
-        return graph.induced(once, self.memories())
+        once = rows.groupBy("from_id", "to_id", "edge_type").agg(
+            F.max_by("props", F.size("props")).alias("props"), F.bool_or(F.coalesce("stub", F.lit(False))).alias("stub")
+        )
+        m = self.memories()
+        held = m.select(F.col("id").alias("from_id"))
+        return graph.induced(once.where("NOT stub"), m).unionByName(once.where("stub").join(held, "from_id", "left_semi"))
+
+    def links(self) -> DataFrame:
+        """The edges that searches follow."""
+        return self.edges().where("NOT stub").drop("stub")
 
     def _add_edges(self, edges: DataFrame) -> None:
+        edges = edges if "stub" in edges.columns else edges.withColumn("stub", F.lit(False))
         edges.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in EDGE]).write.mode("append").parquet(self.edge_path)
 
     def save_all(self, raw: DataFrame, now: str) -> DataFrame:
-        """Ingest raw texts (``id, text, source_type, project, metadata``); gives the decisions."""
+        """Ingest raw texts (``id, text, source_type, project, metadata``); gives the decisions.
+
+        ``tags`` (with commas) and ``importance`` in the metadata set those columns.  Texts that
+        could not be ingested are in ``failures``.
+        """
         if self.read_only:
             raise ReadOnly(self.store.path)
         active = self.memories().where("archived_at IS NULL")
-        batch = ingest.ingest(raw, cut(active), now, self.provider)
+        batch = ingest.ingest(raw, cut(active), now, self.provider, promote_metadata=True)
+        self.failures = cut(batch.failed)
         edges = cut(batch.edges)
         replaced = batch.decisions.where("action = 'REPLACE'").select(F.col("existing_id").alias("id"))
         self.store.commit(batch.memories, replaced, now)
@@ -72,20 +95,23 @@ class Engine:
         source: str = "conversation",
         project: str | None = None,
         metadata: dict[str, str] | None = None,
+        tags: Sequence[str] = (),
+        importance: float | None = None,
     ) -> DataFrame:
         """Save one text; an unknown source counts as a conversation."""
         kind = source if source in config.SOURCE_TYPES else "conversation"
-        row = (f"{now}|{content}", content, kind, project, metadata or {})
+        row = (f"{now}|{content}", content, kind, project, {**(metadata or {}), **_given(tags, importance)})
         return self.save_all(self.spark.createDataFrame([row], RAW), now)
 
-    def flush(self, log: str, now: str, session_id: str | None = None, project: str | None = None) -> DataFrame:
+    def flush(self, log: str, now: str, session_id: str | None = None, project: str | None = None,
+              tags: Sequence[str] = ()) -> DataFrame:
         """Save a transcript by windows of turns; one of over ``MAX_LOG_CHARS`` characters is refused."""
         if len(log) > MAX_LOG_CHARS:
             raise ValueError(f"INVALID_PARAMETER: a transcript has at most {MAX_LOG_CHARS} characters")
         turns = texts.turns_of(self.spark.createDataFrame([(session_id or now, log)], "id string, text string"))
         meta = F.create_map(
             F.lit("session_id"), F.col("id"), F.lit("turn_start"), F.col("turn_start").cast("string"),
-            F.lit("turn_end"), F.col("turn_end").cast("string"),
+            F.lit("turn_end"), F.col("turn_end").cast("string"), *_pairs(_given(tags)),
         )
         raw = texts.windows_of(turns).select(
             F.concat_ws("|", "id", "turn_start").alias("id"), F.col("content").alias("text"),
@@ -93,18 +119,20 @@ class Engine:
         )
         return self.save_all(raw, now)
 
-    def save_pages(self, pages: DataFrame, now: str, project: str | None = None) -> DataFrame:
+    def save_pages(
+        self, pages: DataFrame, now: str, project: str | None = None, tags: Sequence[str] = ()
+    ) -> DataFrame:
         """Save fetched pages (``page_id, url, html``)."""
         raw = texts.documents_from_pages(pages).select(
             F.concat_ws("|", F.col("id").cast("string"), "url").alias("id"), "text", F.lit("url").alias("source_type"),
-            F.lit(project).cast("string").alias("project"), F.create_map(F.lit("url"), F.col("url")).alias("metadata"),
+            F.lit(project).cast("string").alias("project"), F.create_map(F.lit("url"), F.col("url"), *_pairs(_given(tags))).alias("metadata"),
         )
         return self.save_all(raw, now)
 
     def search(self, query: str, now: str, feedback: bool = True, **options) -> DataFrame:
         """Rows as ``memory_id, content, score, source_type, metadata``; hits count as accesses."""
         m, vector = self.memories(), self.provider([query])[0]
-        found = cut(search.search(m, self.edges(), query, vector, now, **options))
+        found = cut(search.search(m, self.links(), query, vector, now, **options))
         if feedback and not self.read_only:
             self.store.touch(found.select("id"), now)
         return search.response(found, m)
@@ -114,7 +142,7 @@ class Engine:
         project: str | None = None, strict: bool = False,
     ) -> DataFrame:
         m, vector = self.memories(), self.provider([query])[0]
-        found = search.search_graph(m, self.edges(), query, vector, now, edge_types, depth, project, strict)
+        found = search.search_graph(m, self.links(), query, vector, now, edge_types, depth, project, strict)
         return search.response(found, m)
 
     def delete(self, ids: Sequence[str]) -> None:
@@ -125,7 +153,7 @@ class Engine:
         """Archive, consolidate and purge; ``checked, archived, consolidated, purged``."""
         m = self.memories()
         naive = m.withColumn("archived_at", F.col("archived_at").cast("timestamp_ntz"))
-        result = lifecycle.clean_up(naive, self.edges(), now, retention_days=older_than_days)
+        result = lifecycle.clean_up(naive, self.links(), now, retention_days=older_than_days)
         counts = cut(result.counts)
         if not dry_run:
             kept = cut(result.memories.select("id", F.col("archived_at").cast("timestamp").alias("archived_at")))

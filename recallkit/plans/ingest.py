@@ -56,6 +56,12 @@ def prepare(raw: DataFrame, now: str, provider: Provider = hash_vectors, promote
         "project",
         "document_id",
         "chunk_index",
+        F.concat_ws(
+            "\t",
+            F.lpad(F.coalesce(F.col("metadata")["turn_start"].try_cast("bigint"), F.lit(0)).cast("string"), 12, "0"),
+            F.col("id").cast("string"),
+            F.lpad(F.col("chunk_index").cast("string"), 9, "0"),
+        ).alias("place"),
         scalars.content_hash(F.col("chunk")).alias("content_hash"),
     )
     if promote_metadata:
@@ -67,24 +73,46 @@ def prepare(raw: DataFrame, now: str, provider: Provider = hash_vectors, promote
     return embed(rows, provider)
 
 
-def ingest(raw: DataFrame, stored: DataFrame, now: str, provider: Provider = hash_vectors) -> Batch:
-    """A batch against the active stored rows: every chunk is saved, replaced rows are to be archived."""
-    failed = raw.where("text IS NULL OR trim(text) = ''").select("id", F.lit("EMPTY_CONTENT").alias("error"))
-    rows = cut(prepare(raw.where("text IS NOT NULL AND trim(text) <> ''"), now, provider))
-    decisions = cut(
-        dedup.decide(
-            rows.select("id", "embedding", "project"),
-            stored.where("archived_at IS NULL").select("id", "embedding", "project"),
-        )
+def ingest(
+    raw: DataFrame, stored: DataFrame, now: str, provider: Provider = hash_vectors, promote_metadata: bool = False
+) -> Batch:
+    """A batch against the active stored rows, its rows one after the other.
+
+    Every chunk is saved; rows that a later one of the batch replaces are saved archived, stored
+    ones are to be archived by the caller.  All five kinds of edges are built: chunks, sessions and
+    projects in time, similar rows of a project, references and replacements.
+    """
+    usable = F.col("text").isNotNull() & (F.trim("text") != "")
+    failed = raw.where(~F.coalesce(usable, F.lit(False))).select("id", F.lit("EMPTY_CONTENT").alias("error"))
+    rows = cut(prepare(raw.where(usable), now, provider, promote_metadata))
+    active = stored.where("archived_at IS NULL")
+    decisions = cut(dedup.decide_batch(rows.select("id", "embedding", "project", "place"), active.select("id", "embedding", "project")))
+    replaced = decisions.where("action = 'REPLACE'").select(F.col("existing_id").alias("id")).distinct()
+    gone = replaced.withColumn("gone", F.lit(True))
+    rows = cut(
+        rows.join(gone, "id", "left")
+        .withColumn("archived_at", F.when(F.col("gone"), F.lit(now).cast("timestamp")))
+        .drop("gone")
     )
-    chunk = links.chunk_edges(rows.select("id", "document_id", "chunk_index"))
     none = F.create_map().cast("map<string,string>")
-    near = links.semantic_edges(rows.select("id", "embedding").unionByName(stored.select("id", "embedding")))
-    near = near.join(rows.select(F.col("id").alias("from_id")), "from_id", "left_semi").select(
-        "from_id", "to_id", "edge_type", F.create_map(F.lit("similarity"), F.col("similarity").cast("string")).alias("props")
-    )
-    refs = links.reference_edges(rows).select("from_id", "to_id", "edge_type", none.alias("props"))
-    edges = (
-        chunk.withColumn("props", none).unionByName(near).unionByName(refs).unionByName(links.supersedes_edges(decisions))
+    chunk = links.chunk_edges(rows.select("id", "document_id", "chunk_index")).withColumn("props", none)
+    session = F.col("source_metadata")["session_id"]
+    timed = rows.select("id", session.alias("session_id"), "project", "created_at", "place")
+    meta = F.col("source_metadata")
+    spot = [F.coalesce(meta[k].try_cast("bigint"), F.lit(0)) for k in ("turn_start", "chunk_index")]
+    last = links.last_of_sessions(
+        active.select("id", session.alias("session_id"), "project", "created_at", F.struct(*spot).alias("place"))
     )
-    return Batch(rows, decisions, edges, failed)
+    last = last.withColumn("place", F.lit(None).cast(rows.schema["place"].dataType))
+    time = links.temporal_edges(timed.unionByName(last)).withColumn("props", none)
+    fresh = rows.select(F.col("id").alias("fresh"))
+    time = time.join(fresh, (F.col("from_id") == F.col("fresh")) | (F.col("to_id") == F.col("fresh")), "left_semi")
+    names = ["id", "embedding", "project", "place"]
+    known = active.join(replaced, "id", "left_anti").withColumn("place", F.lit(None).cast(rows.schema["place"].dataType))
+    known = known.select(*names).unionByName(rows.where("archived_at IS NULL").select(*names))
+    near = links.related_edges(rows.select(*names), known)
+    similarity = F.create_map(F.lit("similarity"), F.col("similarity").cast("string"))
+    near = near.select("from_id", "to_id", "edge_type", similarity.alias("props"))
+    refs = links.reference_edges(rows).select("from_id", "to_id", "edge_type", none.alias("props"), "stub")
+    plain = chunk.unionByName(time).unionByName(near).unionByName(links.supersedes_edges(decisions))
+    return Batch(rows, decisions, plain.withColumn("stub", F.lit(False)).unionByName(refs), failed)

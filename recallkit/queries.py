@@ -144,15 +144,38 @@ def similarity_pairs_lsh(spark, d):
 
 
 @register(
-    "semantic_edges",
+    "semantic_edges_all",
     f"""WITH {MEM}, {NEAR} SELECT query_id AS from_id, id AS to_id, 'SEMANTICALLY_RELATED' AS edge_type, score AS similarity
         FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM near)
         WHERE n <= 10 AND score >= 0.3 AND query_id <> id""",
 )
-def semantic_edges(spark, d):
+def semantic_edges_all(spark, d):
     return links.semantic_edges(views.memories(spark, d).where("embedding IS NOT NULL").select("id", "embedding"), 0.3)
 
 
+@register(
+    "semantic_edges",
+    f"""WITH {MEM}, pairs AS (
+          SELECT a.id AS query_id, b.id, round(list_cosine_similarity(a.embedding, b.embedding), 6) AS score
+          FROM memories a, memories b WHERE a.embedding IS NOT NULL AND b.embedding IS NOT NULL
+            AND a.archived_at IS NULL AND b.archived_at IS NULL AND (a.project IS NULL OR a.project = b.project)),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM pairs WHERE score >= 0.2)
+        SELECT query_id AS from_id, id AS to_id, 'SEMANTICALLY_RELATED' AS edge_type, score AS similarity
+        FROM ranked WHERE n <= 10 AND query_id <> id""",
+)
+def semantic_edges(spark, d):
+    rows = views.memories(spark, d).where("archived_at IS NULL").select("id", "embedding", "project")
+    return links.related_edges(rows, rows, 0.2)
+
+
+@register("ingest_decisions")
+def ingest_decisions(spark, d):
+    """Odd rows, in order of id, against even ones; thresholds that these vectors reach."""
+    rows = views.memories(spark, d).where("archived_at IS NULL")
+    new = rows.where("id % 2 = 1").select("id", "embedding", "project", F.col("id").alias("place"))
+    return dedup.decide_batch(new, rows.where("id % 2 = 0").select("id", "embedding", "project"), 0.35, 0.3)
+
+
 # -- keywords --------------------------------------------------------------------------------
 
 
@@ -302,7 +325,7 @@ def _listing(name: str, f: ListFilter, where: str, tail: str = "") -> None:
 
 
 _listing("list_filter", ListFilter(project="src3", memory_type="semantic"), "archived_at IS NULL AND project = 'src3' AND memory_type = 'semantic'")
-_listing("list_archived", ListFilter(archived=True, archived_after="2024-01-20 00:00:00", order_by="archived_at ASC, id ASC"), "archived_at >= TIMESTAMP '2024-01-20 00:00:00'")
+_listing("list_archived", ListFilter(archived=True, archived_after="2024-01-04 06:00:00", order_by="archived_at ASC, id ASC"), "archived_at >= TIMESTAMP '2024-01-04 06:00:00'")
 _listing(
     "list_keyset",
     ListFilter(created_after="2024-01-01 06:00:00", id_after=5, order_by="created_at ASC, id ASC", limit=100),
@@ -491,9 +514,13 @@ def temporal_edges(spark, d):
     return links.turn_edges(views.table(spark, d, "conversations"))
 
 
-@register("temporal_edges_project", f"""WITH {MEM}, t AS (SELECT id, id % 4 AS s, lag(id) OVER w AS before, lag(id % 4) OVER w AS bs FROM memories WINDOW w AS (PARTITION BY project ORDER BY created_at, id))
-    SELECT before AS from_id, id AS to_id, 'TEMPORAL_NEXT' AS edge_type FROM t WHERE before IS NOT NULL AND nullif(s, 0) IS NOT DISTINCT FROM nullif(bs, 0)
-    UNION ALL SELECT id, before, 'TEMPORAL_PREV' FROM t WHERE before IS NOT NULL AND nullif(s, 0) IS NOT DISTINCT FROM nullif(bs, 0)""")
+@register("temporal_edges_project", f"""WITH {MEM}, t AS (
+      SELECT id, project, nullif(id % 4, 0) AS s, lag(id) OVER (PARTITION BY project, id % 4 ORDER BY created_at, id) AS in_session,
+        lag(id) OVER w AS in_project, lag(nullif(id % 4, 0)) OVER w AS other
+      FROM memories WINDOW w AS (PARTITION BY project ORDER BY created_at, id)),
+    l AS (SELECT id, CASE WHEN s IS NOT NULL THEN in_session WHEN project IS NOT NULL AND other IS NULL THEN in_project END AS before FROM t)
+    SELECT before AS from_id, id AS to_id, 'TEMPORAL_NEXT' AS edge_type FROM l WHERE before IS NOT NULL
+    UNION ALL SELECT id, before, 'TEMPORAL_PREV' FROM l WHERE before IS NOT NULL""")
 def temporal_edges_project(spark, d):
     m = views.memories(spark, d)
     return links.temporal_edges(m.select("id", "project", "created_at", F.nullif(F.col("id") % 4, F.lit(0)).alias("session_id")))
@@ -539,11 +566,13 @@ def classify(spark, d):
 
 @register("analyze_query", r"""SELECT conv_id, turn,
       CASE WHEN regexp_matches(text, '(?i)error|warn|exception') THEN 0.2 WHEN regexp_matches(text, '(?i)why|cause|reason|how did') THEN 0.2 ELSE 0.5 END::DOUBLE AS vector_weight,
+      CASE WHEN regexp_matches(text, '(?i)error|warn|exception') THEN 0.6 WHEN regexp_matches(text, '(?i)why|cause|reason|how did') THEN 0.1 ELSE 0.2 END::DOUBLE AS keyword_weight,
+      CASE WHEN regexp_matches(text, '(?i)error|warn|exception') THEN 0.2 WHEN regexp_matches(text, '(?i)why|cause|reason|how did') THEN 0.7 ELSE 0.3 END::DOUBLE AS graph_weight,
       CASE WHEN regexp_matches(text, '(?i)error|warn|exception') THEN 1 WHEN regexp_matches(text, '(?i)why|cause|reason|how did') THEN 3 ELSE 2 END AS depth,
       regexp_matches(text, '(?i)yesterday|today|tomorrow|recently') AS time_decay FROM conversations""")
 def analyze_query(spark, d):
     rows = views.table(spark, d, "conversations").select("conv_id", "turn", classes.analyze_query(F.col("text")).alias("s"))
-    return rows.select("conv_id", "turn", "s.vector_weight", "s.depth", "s.time_decay")
+    return rows.select("conv_id", "turn", "s.*")
 
 
 @register("token_estimate", f"SELECT doc_id, CAST({TOKENS_OF} AS BIGINT) AS tokens FROM (SELECT doc_id, text AS content FROM documents)")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pytest
 
 from recallkit.plans import lifecycle
-from recallkit.plans.engine import Engine
+from recallkit.plans.engine import RAW, Engine
 from recallkit.sources.store import ReadOnly
 
 
@@ -51,3 +53,26 @@ def test_pages(spark, sf_dir, tmp_path):
     engine.save_pages(pages, "2024-01-01 00:00:00")
     rows = engine.memories().select("source_metadata").collect()
     assert len(rows) >= 3 and all("url" in r.source_metadata for r in rows)
+
+
+def test_edges_and_decisions_of_batches(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "g"))
+    log = "User: one\nAI: two\nUser: three\nAI: four\nUser: five\nAI: six\nUser: see https://a.example/x"
+    engine.flush(log, "2024-01-01 00:00:00", "s1", "p", tags=["x", "y"])
+    engine.flush("User: later words of the same session", "2024-01-02 00:00:00", "s1", "p")
+    engine.flush("User: another session speaks", "2024-01-03 00:00:00", "s2", "p")
+    kinds = Counter(r.edge_type for r in engine.edges().collect())
+    assert kinds["TEMPORAL_NEXT"] == kinds["TEMPORAL_PREV"] == 2 and kinds["REFERENCES"] == 1
+    assert engine.links().where("edge_type = 'REFERENCES'").count() == 0
+    names = {r.id: r.content[:11] for r in engine.memories().collect()}
+    after = {(names[r.from_id], names[r.to_id]) for r in engine.edges().where("edge_type = 'TEMPORAL_NEXT'").collect()}
+    assert after == {("User: one\nA", "AI: six\nUse"), ("AI: six\nUse", "User: later")}
+    assert {tuple(r.tags) for r in engine.memories().where("source_metadata['turn_end'] = '4'").collect()} == {("x", "y")}
+    raw = [(str(i), t, "manual", "q", {}) for i, t in enumerate(["same words here", "same words here", None, "same words here"])]
+    decisions = engine.save_all(spark.createDataFrame(raw, RAW), "2024-01-04 00:00:00").collect()
+    assert Counter(r.action for r in decisions) == {"INSERT": 1, "REPLACE": 2}
+    rows = engine.memories().where("project = 'q'").collect()
+    assert len(rows) == 3 and sum(r.archived_at is None for r in rows) == 1
+    assert [tuple(r) for r in engine.failures.collect()] == [("2", "EMPTY_CONTENT")]
+    assert engine.save("weighty", "2024-01-05 00:00:00", "manual", "q", importance=0.9).count() == 1
+    assert engine.memories().where("importance_score = 0.9").count() == 1
