@@ -15,7 +15,7 @@ from a cache bounded in bytes.  Other tokenizers, and texts that hold one of the
 tokenizer's added tokens, are encoded whole by the library.
 
 The cache is a hash table in arrays (:class:`IdTable`): strings are known by 64-bit hashes, so
-600,000 of them take some 30 MB, and a batch of texts is looked up in a few array steps.
+a million of them take some 60 MB, and a batch of texts is looked up in a few array steps.
 
 Cases: null and empty texts have the end id alone; a very long text is encoded whole, as one
 row; repeated rows are encoded each, rows of one id in the order of a hash of their texts;
@@ -40,8 +40,8 @@ ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 1000
 #: Slots of a worker's table (16 bytes each) and ids it holds (4 bytes each) before it starts anew.
-TABLE_BITS = 20
-POOL_IDS = 4_000_000
+TABLE_BITS = 21
+POOL_IDS = 6_000_000
 #: Strings looked up at once.
 CHUNK = 100_000
 
