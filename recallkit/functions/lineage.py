@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame
 def cut(df: DataFrame) -> DataFrame:
     """The rows of ``df``, checkpointed to the shared folder that ``spark.checkpoint.dir`` names.
 
-    Only a session that names none, as in tests, gets a folder beside its warehouse.
+    Only a session in local mode, as in tests, may name none; it gets a folder beside its warehouse.
     """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
     return df.checkpoint()

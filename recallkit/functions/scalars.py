@@ -125,6 +125,11 @@ def has_secret(text: Column) -> Column:
     return F.coalesce(text.rlike("|".join(SECRET_FORMS)), F.lit(False))
 
 
+def holds_secret(payload: Column) -> Column:
+    """Whether a text, or any key or text within a map, struct or array, has the form of a secret."""
+    return has_secret(F.regexp_replace(F.to_json(F.struct(payload.alias("v"))), r"\\(?:u[0-9a-fA-F]{4}|.)", " "))
+
+
 def mask_value(key: Column, value: Column) -> Column:
     """The value, or a mask if its key or its form is sensitive."""
     name = F.lower(key)

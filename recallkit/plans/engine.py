@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recallkit import config
+from recallkit.config import SearchStrategy
 from recallkit.functions.lineage import cut
 from recallkit.operators import graph, stats
 from recallkit.plans import ingest, lifecycle, search
@@ -137,6 +138,13 @@ class Engine:
             self.store.touch(found.select("id"), now)
         return search.response(found, m)
 
+    def answer(self, query: str, now: str, strategy: SearchStrategy | None = None, **options) -> DataFrame:
+        """A search as one row: query, strategy, number of rows before the cut, and the results."""
+        strategy = strategy or SearchStrategy()
+        m, vector = self.memories(), self.provider([query])[0]
+        found = cut(search.search(m, self.links(), query, vector, now, strategy=strategy, with_total=True, **options))
+        return search.answer(query, strategy, found, m)
+
     def search_graph(
         self, query: str, now: str, edge_types: Sequence[str] | None = None, depth: int = 2,
         project: str | None = None, strict: bool = False,

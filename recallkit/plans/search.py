@@ -41,9 +41,12 @@ def search(
     strategy: SearchStrategy | None = None,
     policy: Policy | None = None,
     pushdown_project: bool = False,
+    with_total: bool = False,
 ) -> DataFrame:
     """``id, rrf_score, final_score, source`` of the best ``top_k`` rows.
 
+    ``with_total`` adds ``total_count``, the fused rows that passed the filters before the cut.
+
     A source of weight 0 is not planned.  The project is tested after fusion unless
     ``pushdown_project`` asks for it within each source.
     """
@@ -70,7 +73,10 @@ def search(
         fused = fused.join(kinds, "id", "left_semi")
     best = fused.orderBy(F.desc("final_score"), "id").limit(k)
     best = fusion.within_budget(best, memories, clamp_max_tokens(max_tokens))
-    return best.select("id", "rrf_score", "final_score", "source")
+    names = ["id", "rrf_score", "final_score", "source"]
+    if not with_total:
+        return best.select(*names)
+    return best.select(*names).crossJoin(fused.agg(F.count("*").alias("total_count")))  # one row
 
 
 def _keyword_ranks(memories: DataFrame, query: str, project: str | None) -> DataFrame:
@@ -108,3 +114,13 @@ def response(results: DataFrame, memories: DataFrame) -> DataFrame:
         F.col("id").cast("string").alias("memory_id"), "content", F.col("final_score").alias("score"),
         F.col("source").alias("source_type"), "metadata",
     )
+
+
+def answer(query: str, strategy: SearchStrategy, results: DataFrame, memories: DataFrame) -> DataFrame:
+    """One row: ``query, strategy, total_count, results`` of a search made ``with_total``."""
+    shown = response(results, memories)
+    listed = shown.agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("order"), *shown.columns))).alias("r"))
+    listed = listed.select(F.transform("r", lambda x: x.dropFields("order")).alias("results"))  # at most top_k rows
+    total = results.agg(F.coalesce(F.max("total_count"), F.lit(0)).alias("total_count"))
+    weights = F.struct(*[F.lit(getattr(strategy, n)).alias(n) for n in ("vector", "keyword", "graph", "depth", "time_decay")])
+    return listed.crossJoin(total).select(F.lit(query).alias("query"), weights.alias("strategy"), "total_count", "results")

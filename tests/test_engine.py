@@ -76,3 +76,5 @@ def test_edges_and_decisions_of_batches(spark, tmp_path):
     assert [tuple(r) for r in engine.failures.collect()] == [("2", "EMPTY_CONTENT")]
     assert engine.save("weighty", "2024-01-05 00:00:00", "manual", "q", importance=0.9).count() == 1
     assert engine.memories().where("importance_score = 0.9").count() == 1
+    whole = engine.answer("words", "2024-01-06 00:00:00", top_k=1).first()
+    assert whole.query == "words" and whole.strategy.depth == 2 and len(whole.results) == 1 < whole.total_count

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from recallkit.functions import classify as classes
 from recallkit.functions import scalars
 from recallkit.functions.tokens import query_phrases, tokens_of
-from recallkit.operators import keyword, links
+from recallkit.operators import keyword, links, policy
 from recallkit.sources import text as t
 
 
@@ -163,3 +163,27 @@ def test_content_types(spark):
     values = ["text/html; charset=utf-8", "application/json", "image/png", None]
     df = spark.createDataFrame([(v,) for v in values], "v string")
     assert [r[0] for r in df.select(t.allowed_content_type(F.col("v"))).collect()] == [True, True, False, False]
+
+
+def test_secrets_in_nested_values(spark):
+    from pyspark.sql import Row
+
+    key = "sk-" + "a" * 20
+    rows = [Row(i=1, m={"a": ["x", "y\n" + key]}), Row(i=2, m={key: ["x"]}), Row(i=3, m={"a": ["plain", "task-list"]}), Row(i=4, m=None)]
+    df = spark.createDataFrame(rows, "i int, m map<string,array<string>>")
+    assert [r.h for r in df.orderBy("i").select(scalars.holds_secret(F.col("m")).alias("h")).collect()] == [True, True, False, False]
+
+
+def test_grants_and_faults(spark):
+    agents = spark.createDataFrame([("a", ["read", "gone"])], "name string, intents array<string>")
+    intents = spark.createDataFrame([("read", "f", ["x", "y"]), ("write", "g", ["z"])], "name string, filter string, tools array<string>")
+    asked = [("a", "read", None), ("a", "read", ["y", "z"]), ("a", "read", []), ("a", "write", ["z"]), ("b", "read", None), ("a", "gone", None), ("a", "read", ["q"])]
+    found = policy.grants(spark.createDataFrame(asked, "agent string, intent string, asked array<string>"), agents, intents).collect()
+    by = {(r.agent, r.intent, tuple(r.asked) if r.asked is not None else None): (r.tools, r.error) for r in found}
+    assert by["a", "read", None] == (["x", "y"], None) and by["a", "read", ("y", "z")] == (["y"], None)
+    assert {k: e for k, (t, e) in by.items() if t is None} == {
+        ("a", "read", ()): "NOTHING_ASKED", ("a", "write", ("z",)): "INTENT_NOT_ALLOWED", ("b", "read", None): "UNKNOWN_AGENT",
+        ("a", "gone", None): "UNKNOWN_INTENT", ("a", "read", ("q",)): "NO_TOOL_ALLOWED",
+    }
+    filters = spark.createDataFrame([("f", "structural_allowlist", ["x", "z"]), ("g", "structural_allowlist", None), ("h", "none", None)], "name string, type string, schemas array<string>")
+    assert {(r.kind, r.name, r.missing) for r in policy.filter_faults(filters, intents).collect()} == {("schema", "f", "z"), ("filter", "g", "schemas")}
