@@ -83,18 +83,19 @@ def related_edges(
     """SEMANTICALLY_RELATED from new rows to active rows of their project (of any, if it is null).
 
     ``new`` and ``known`` hold ``id, embedding, project`` and, if rows become known one after the
-    other, ``place``: then a row sees those before it only (null: before all).  Of the ``k`` nearest,
-    itself counted if it is known, those that reach the threshold are linked.
+    other, ``place``: then a row sees those before it only (null: before all), and of these the ones
+    that no row up to it has replaced (``until`` of ``known``: the place of the row that does).  Of
+    the ``k`` nearest, itself counted if it is known, those that reach the threshold are linked.
     """
     placed = "place" in new.columns and "place" in known.columns
     met = vector.pairs_between(
         new.where("embedding IS NOT NULL").select("id", "embedding"), known.where("embedding IS NOT NULL").select("id", "embedding"), threshold
     )
     own = new.select(F.col("id").alias("query_id"), F.col("project").alias("own"), *([F.col("place").alias("at")] if placed else []))
-    other = known.select("id", "project", *(["place"] if placed else []))
+    other = known.select("id", "project", *(["place", "until"] if placed else []))
     seen = met.join(own, "query_id").join(other, "id").where("own IS NULL OR own = project")
     if placed:
-        seen = seen.where("place IS NULL OR place < at OR query_id = id")
+        seen = seen.where("(place IS NULL OR place < at OR query_id = id) AND (until IS NULL OR at < until)")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return _semantic(seen.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
 

@@ -108,8 +108,10 @@ def ingest(
     fresh = rows.select(F.col("id").alias("fresh"))
     time = time.join(fresh, (F.col("from_id") == F.col("fresh")) | (F.col("to_id") == F.col("fresh")), "left_semi")
     names = ["id", "embedding", "project", "place"]
-    known = active.join(replaced, "id", "left_anti").withColumn("place", F.lit(None).cast(rows.schema["place"].dataType))
-    known = known.select(*names).unionByName(rows.where("archived_at IS NULL").select(*names))
+    places = rows.select("id", F.col("place").alias("until"))
+    until = decisions.where("action = 'REPLACE'").join(places, "id").select(F.col("existing_id").alias("id"), "until")
+    known = active.withColumn("place", F.lit(None).cast(rows.schema["place"].dataType)).select(*names)
+    known = known.unionByName(rows.select(*names)).join(until, "id", "left")
     near = links.related_edges(rows.select(*names), known)
     similarity = F.create_map(F.lit("similarity"), F.col("similarity").cast("string"))
     near = near.select("from_id", "to_id", "edge_type", similarity.alias("props"))

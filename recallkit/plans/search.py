@@ -119,8 +119,10 @@ def response(results: DataFrame, memories: DataFrame) -> DataFrame:
 def answer(query: str, strategy: SearchStrategy, results: DataFrame, memories: DataFrame) -> DataFrame:
     """One row: ``query, strategy, total_count, results`` of a search made ``with_total``."""
     shown = response(results, memories)
-    listed = shown.agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("order"), *shown.columns))).alias("r"))
-    listed = listed.select(F.transform("r", lambda x: x.dropFields("order")).alias("results"))  # at most top_k rows
+    best_first = lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).when(
+        a["memory_id"] < b["memory_id"], -1
+    ).otherwise(1)
+    listed = shown.agg(F.array_sort(F.collect_list(F.struct(*shown.columns)), best_first).alias("results"))  # at most top_k rows
     total = results.agg(F.coalesce(F.max("total_count"), F.lit(0)).alias("total_count"))
     weights = F.struct(*[F.lit(getattr(strategy, n)).alias(n) for n in ("vector", "keyword", "graph", "depth", "time_decay")])
     return listed.crossJoin(total).select(F.lit(query).alias("query"), weights.alias("strategy"), "total_count", "results")

@@ -93,10 +93,26 @@ def test_ingestion(spark):
     stored = spark.createDataFrame([row("old", "手順: how to", hash_vectors(["手順: how to"])[0], project="p")], MEMORY)
     batch = ingest.ingest(raw, stored, "2024-01-02 00:00:00")
     assert batch.memories.count() == 4 and [r.error for r in batch.failed.collect()] == ["EMPTY_CONTENT"]
-    actions = {r.action: r.existing_id for r in batch.decisions.collect()}
-    assert actions["REPLACE"] == "old"
+    # of the two equal chunks of the third text the second replaces the first, as rows come one after the other
+    parts = {r.id: (r.content[:2], r.chunk_index) for r in batch.memories.collect()}
+    decided = {parts[r.id]: (r.action, parts.get(r.existing_id, r.existing_id)) for r in batch.decisions.collect()}
+    assert decided == {
+        ("手順", 0): ("REPLACE", "old"), ("xx", 0): ("INSERT", None), ("xx", 1): ("REPLACE", ("xx", 0)), ("xx", 2): ("INSERT", None),
+    }
     kinds = {r.edge_type for r in batch.edges.collect()}
-    assert {"CHUNK_NEXT", "CHUNK_PREV", "SUPERSEDES", "SEMANTICALLY_RELATED"} <= kinds
+    assert {"CHUNK_NEXT", "CHUNK_PREV", "SUPERSEDES", "TEMPORAL_NEXT", "TEMPORAL_PREV"} == kinds
+
+
+def test_related_rows_are_those_active_at_the_time(spark):
+    vectors = {"a": [1.0, 0.0, 0.0], "b": [0.8, 0.6, 0.0], "c": [1.0, 0.01, 0.0], "d": [0.8, 0.0, 0.6], "e": [0.8, 0.6, 0.001]}
+    schema = "id int, text string, source_type string, project string, metadata map<string,string>"
+    raw = spark.createDataFrame([(i, t, "manual", "q" if t == "d" else "p", {}) for i, t in enumerate("abcde")], schema)
+    batch = ingest.ingest(raw, spark.createDataFrame([], MEMORY), "2024-01-02 00:00:00", lambda ts: [vectors[t] for t in ts])
+    name = {r.id: r.content for r in batch.memories.collect()}
+    edges = {(name[r.from_id], name[r.to_id]) for r in batch.edges.where("edge_type = 'SEMANTICALLY_RELATED'").collect()}
+    # b saw a; c replaced a and saw b; d is of another project; e replaced b and saw c
+    assert edges == {("b", "a"), ("c", "b"), ("e", "c")}
+    assert {(name[r.id], name.get(r.existing_id)) for r in batch.decisions.where("action = 'REPLACE'").collect()} == {("c", "a"), ("e", "b")}
 
 
 def test_retention_is_strict(spark):
