@@ -7,6 +7,7 @@ are taken from the UTF-8 form of a text.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -102,10 +103,35 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of an Arrow batch between the JVM and a worker; some more if its last row is long.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def map_arrow(df: DataFrame, run: Callable, schema: T.StructType | str) -> DataFrame:
+    """``mapInArrow`` over batches of ``BATCH_BYTES``.
+
+    By default a batch may hold 64 MB of long texts, and the JVM and the worker of each core hold one.
+    The bound is a setting of the session: one that names its own keeps it, others get ours.
+    """
+    conf = df.sparkSession.conf
+    if _BATCH_SETTING not in conf.getAll:
+        conf.set(_BATCH_SETTING, BATCH_BYTES)
+    return df.mapInArrow(run, schema)
+
+
 #: Bytes of text that a worker turns into Python objects at once.
 SLICE_BYTES = 2 << 20
 
 
+def give_back() -> None:
+    """Return what a worker has freed to the system; workers outlive stages, and what they keep adds up."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc; others return memory by themselves
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Batches cut into runs of about ``limit`` bytes of a text column (at least one row each)."""
     for batch in batches:
@@ -116,7 +142,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = SLICE_BY
             last = max(first + 1, int(np.searchsorted(sizes, before + limit)))
             yield batch.slice(first, last - first)
             first = last
-        pa.default_memory_pool().release_unused()
+        give_back()
 
 
 def texts_of(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
@@ -148,7 +174,7 @@ def add_columns(
                 [batch.column(i) for i in range(len(carried))] + new, names=schema.fieldNames()
             )
 
-    return source.mapInArrow(run, schema)
+    return map_arrow(source, run, schema)
 
 
 def filter_rows(df: DataFrame, text_col: str, accept: Callable[[list[bytes]], list[bool]]) -> DataFrame:
@@ -159,4 +185,4 @@ def filter_rows(df: DataFrame, text_col: str, accept: Callable[[list[bytes]], li
         for batch in slices(batches, at):
             yield batch.filter(pa.array(accept(texts_of(batch.column(at))), pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return map_arrow(df, run, df.schema)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from recallkit.llm.common import slices, staged, texts_of
+from recallkit.llm.common import map_arrow, slices, staged, texts_of
 
 Q = 8
 PATTERN = 120
@@ -236,7 +236,7 @@ def _scan(docs: DataFrame, items: list[Item], item_type: T.DataType) -> DataFram
                     names=schema.fieldNames(),
                 )
 
-    return docs.mapInArrow(run, schema)
+    return docs.transform(map_arrow, run, schema)
 
 
 def find_leaks(
@@ -281,7 +281,7 @@ def drop_leaked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                         clean[first + number] = False
                 yield batch.filter(pa.array(clean))
 
-        return rows.mapInArrow(run, rows.schema)
+        return rows.transform(map_arrow, run, rows.schema)
 
     kept = None
     for items in blocks(benchmark, "item_id", "text"):

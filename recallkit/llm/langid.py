@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recallkit.llm.common import join_heavy, slices, staged
+from recallkit.llm.common import join_heavy, map_arrow, slices, staged
 
 GRAM = 3
 BUCKETS = 1 << 17
@@ -109,7 +109,7 @@ def learn_trigrams(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
             )
 
     source = docs.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    counts = source.where("lang IS NOT NULL").mapInArrow(count, "lang string, bucket int, n bigint")
+    counts = source.where("lang IS NOT NULL").transform(map_arrow, count, "lang string, bucket int, n bigint")
     found = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # BUCKETS rows a language at most
     langs = sorted(found["lang"].unique())
     table = np.zeros((BUCKETS, len(langs)))
@@ -175,7 +175,7 @@ def identify_languages(
             )
 
     schema = f"page_id {kind}, host string, declared string, text array<double>"
-    read_pages = staged(raw.mapInArrow(read, schema), "page-text")
+    read_pages = staged(raw.transform(map_arrow, read, schema), "page-text")
     labels = F.regexp_count("host", F.lit(r"\."))
     split = read_pages.select(
         "*",

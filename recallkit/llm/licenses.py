@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recallkit.llm.common import slices
+from recallkit.llm.common import map_arrow, slices
 
 THRESHOLD = 0.8
 
@@ -261,4 +261,4 @@ def scan_licenses(
             )
 
     schema = f"doc_id {kind}, license string, template int, dice double, first_word bigint, n_words bigint"
-    return source.mapInArrow(run, schema)
+    return source.transform(map_arrow, run, schema)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recallkit.llm.common import slices, staged
+from recallkit.llm.common import map_arrow, slices, staged
 
 ROUNDS = 6
 
@@ -305,7 +305,7 @@ def with_surrogates(
                 columns + ([pa.array(reports, pa.list_(row))] if report else []), names=schema.fieldNames()
             )
 
-    return source.mapInArrow(run, schema)
+    return source.transform(map_arrow, run, schema)
 
 
 def collisions(table: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recallkit.llm.common import add_columns, join_heavy, staged
+from recallkit.llm.common import add_columns, join_heavy, map_arrow, staged
 from recallkit.llm.components import components
 
 SHINGLE = 3
@@ -170,7 +170,7 @@ def links(prints: DataFrame) -> DataFrame:
             ends = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["x", "y"])
 
-    return lists.select("fps").mapInArrow(run, "x bigint, y bigint").distinct()
+    return lists.select("fps").transform(map_arrow, run, "x bigint, y bigint").distinct()
 
 
 def roots(prints: DataFrame) -> DataFrame:

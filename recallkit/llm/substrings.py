@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recallkit.llm.common import add_columns, discard, join_heavy, slices, staged, texts_of
+from recallkit.llm.common import add_columns, discard, join_heavy, map_arrow, slices, staged, texts_of
 
 WINDOW = 50
 GRAM = 8
@@ -196,7 +196,7 @@ def _runs(docs: DataFrame, window: int) -> DataFrame:
             )
 
     schema = f"doc_id {kind.simpleString()}, mark bigint, anchor bigint, entry bigint, first int, size int"
-    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(run, schema)
+    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").transform(map_arrow, run, schema)
 
 
 def _contents(packed: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -223,7 +223,7 @@ def _contents(packed: DataFrame, wanted: DataFrame) -> DataFrame:
             )
 
     schema = f"anchor bigint, entry bigint, least {kind}, n bigint, words binary"
-    return joined.select("doc_id", "packed", "parts").mapInArrow(run, schema).dropDuplicates(["anchor", "entry"])
+    return joined.select("doc_id", "packed", "parts").transform(map_arrow, run, schema).dropDuplicates(["anchor", "entry"])
 
 
 def _by_automaton(contents: DataFrame, window: int) -> DataFrame:
@@ -249,7 +249,7 @@ def _by_automaton(contents: DataFrame, window: int) -> DataFrame:
                 names=["anchor", "entry", "begin", "end"],
             )
 
-    return shards.mapInArrow(run, "anchor bigint, entry bigint, begin int, end int")
+    return shards.transform(map_arrow, run, "anchor bigint, entry bigint, begin int, end int")
 
 
 def _by_window(contents: DataFrame, window: int) -> DataFrame:
@@ -271,7 +271,7 @@ def _by_window(contents: DataFrame, window: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names=names)
 
     schema = f"anchor bigint, entry bigint, least {kind}, begin int, w1 bigint, w2 bigint"
-    windows = staged(contents.select("anchor", "entry", "least", "words").mapInArrow(run, schema), "windows")
+    windows = staged(contents.select("anchor", "entry", "least", "words").transform(map_arrow, run, schema), "windows")
     first = windows.groupBy("w1", "w2").agg(F.min("least").alias("earliest"), F.count("*").alias("n"))
     late = join_heavy(windows, staged(first.where("n > 1"), "firsts"), ["w1", "w2"], "n").where("earliest < least")
     return late.select("anchor", "entry", "begin", (F.col("begin") + window).alias("end"))
@@ -348,6 +348,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 names=["doc_id", "n_words", "n_removed", "text"],
             )
 
-    return joined.select("doc_id", "packed", "spans").mapInArrow(
+    return joined.select("doc_id", "packed", "spans").transform(
+        map_arrow,
         run, f"doc_id {kind}, n_words bigint, n_removed bigint, text string"
     )

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from recallkit.llm.common import slices, stage_path
+from recallkit.llm.common import give_back, map_arrow, slices, stage_path
 
 END_ID = 0
 ROW_GROUP_BYTES = 32 << 20
@@ -234,7 +234,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
         for batch in slices(batches, 1):
             yield packed(batch.column(0), one.encode([t or "" for t in batch.column(1).to_pylist()]))
 
-    return source.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids array<int>")
+    return source.transform(map_arrow, run, f"doc_id {kind}, n_tokens bigint, ids array<int>")
 
 
 def write_tokens(
@@ -292,8 +292,9 @@ def digest(spark: SparkSession, path: str) -> DataFrame:
                 [batch.column(i) for i in range(4)] + [pa.array(crc, pa.int64())],
                 names=["doc_id", "file", "row", "n_tokens", "ids_crc32"],
             )
+            give_back()
 
-    hashed = rows.mapInArrow(run, f"doc_id {kind}, file bigint, row bigint, n_tokens bigint, ids_crc32 bigint")
+    hashed = rows.transform(map_arrow, run, f"doc_id {kind}, file bigint, row bigint, n_tokens bigint, ids_crc32 bigint")
     lengths = spark.read.parquet(path).select(file.alias("f"), "n_tokens")
     earlier_files = Window.orderBy("f").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (

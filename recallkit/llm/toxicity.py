@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recallkit.llm.common import add_columns, bounded_labels, texts_of
+from recallkit.llm.common import add_columns, bounded_labels, map_arrow, texts_of
 
 MAX_TRAIN = 20_000
 STEMS = range(4, 9)
@@ -282,7 +282,7 @@ def learn_lexicons(rows: DataFrame) -> list[dict[str, float]]:
         )
 
     schema = "feature string, " + ", ".join(f"{n} bigint" for n in names)
-    counted = rows.mapInArrow(count, schema).groupBy("feature").agg(*[F.sum(n).alias(n) for n in names])
+    counted = rows.transform(map_arrow, count, schema).groupBy("feature").agg(*[F.sum(n).alias(n) for n in names])
     counted = counted.where(F.col("toxic0") + F.col("toxic1") >= MIN_SUPPORT).persist()
     sizes = counted.where("feature = ''").first()
     learnt = []
@@ -321,7 +321,7 @@ def learn_weights(rows: DataFrame, by_fold: list[dict[str, float]]) -> Scores:
             )
 
     kind = rows.schema["toxic"].dataType.simpleString()
-    sample = rows.mapInArrow(vectors, f"x array<double>, toxic {kind}").collect()
+    sample = rows.transform(map_arrow, vectors, f"x array<double>, toxic {kind}").collect()
     clauses = [np.array(r["x"], float).reshape(-1, len(PATHS)).tolist() for r in sample]
     return Scores().fit(*stacked(clauses), np.array([r["toxic"] for r in sample]))
 
