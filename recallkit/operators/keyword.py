@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recallkit import config
@@ -47,20 +47,26 @@ def bm25(memories: DataFrame, query: str, k: int | None = config.TOP_K, project:
             *[F.col("c.tf")[i].alias(f"tf{i}") for i in range(len(phrases))],
         )
     )
-    corpus = counted.agg(
-        F.count("*").alias("n"),
-        F.avg("dl").alias("avgdl"),
-        *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(phrases))],
-    )
+    corpus = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *frequencies(len(phrases)))
+    return scored(counted, corpus, len(phrases), k, project)
+
+
+def frequencies(n: int) -> list[Column]:
+    """Aggregates: the rows that hold each of ``n`` phrases."""
+    return [F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(n)]
+
+
+def scored(counted: DataFrame, corpus: DataFrame, n: int, k: int | None, project: str | None) -> DataFrame:
+    """``id, score`` from counts a row (``dl`` and ``tf0`` to ``tf{n-1}``) and the one row of corpus figures."""
     hits = counted.where(active())
     if project is not None:
         hits = hits.where(F.col("project") == project)
-    for i in range(len(phrases)):
+    for i in range(n):
         hits = hits.where(F.col(f"tf{i}") > 0)
     score = F.lit(0.0)
-    for i in range(len(phrases)):
-        n, tf = F.col(f"df{i}"), F.col(f"tf{i}")
-        odds = F.ln((F.col("n") - n + 0.5) / (n + 0.5))
+    for i in range(n):
+        df, tf = F.col(f"df{i}"), F.col(f"tf{i}")
+        odds = F.ln((F.col("n") - df + 0.5) / (df + 0.5))
         idf = F.when(odds > 0, odds).otherwise(LEAST_IDF)
         score += idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     found = hits.crossJoin(F.broadcast(corpus)).select("id", F.round(score, 6).alias("score"))  # one row

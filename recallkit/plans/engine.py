@@ -15,6 +15,7 @@ from recallkit.operators import graph, stats
 from recallkit.plans import ingest, lifecycle, search
 from recallkit.sources import text as texts
 from recallkit.sources.embedders import Provider, embed, hash_vectors
+from recallkit.sources.index import Index
 from recallkit.sources.store import ReadOnly, Store
 
 _TEXT = T.StringType()
@@ -45,6 +46,7 @@ class Engine:
         self.spark, self.provider, self.read_only = spark, provider, read_only
         self.store = Store(spark, f"{path}/memories", read_only)
         self.edge_path = f"{path}/edges"
+        self.index = Index(spark, f"{path}/index")
 
     def memories(self) -> DataFrame:
         return self.store.current()
@@ -85,6 +87,7 @@ class Engine:
         self.failures = cut(batch.failed)
         edges = cut(batch.edges)
         replaced = batch.decisions.where("action = 'REPLACE'").select(F.col("existing_id").alias("id"))
+        self.index.add(batch.memories)  # first: what the store lacks is not found
         self.store.commit(batch.memories, replaced, now)
         self._add_edges(edges)
         return batch.decisions
@@ -133,7 +136,7 @@ class Engine:
     def search(self, query: str, now: str, feedback: bool = True, **options) -> DataFrame:
         """Rows as ``memory_id, content, score, source_type, metadata``; hits count as accesses."""
         m, vector = self.memories(), self.provider([query])[0]
-        found = cut(search.search(m, self.links(), query, vector, now, **options))
+        found = cut(search.search(m, self.links(), query, vector, now, index=self.index, degrade=True, **options))
         if feedback and not self.read_only:
             self.store.touch(found.select("id"), now)
         return search.response(found, m)
@@ -142,7 +145,8 @@ class Engine:
         """A search as one row: query, strategy, number of rows before the cut, and the results."""
         strategy = strategy or SearchStrategy()
         m, vector = self.memories(), self.provider([query])[0]
-        found = cut(search.search(m, self.links(), query, vector, now, strategy=strategy, with_total=True, **options))
+        found = cut(search.search(m, self.links(), query, vector, now, strategy=strategy, with_total=True,
+                                  index=self.index, degrade=True, **options))
         return search.answer(query, strategy, found, m)
 
     def search_graph(
@@ -150,7 +154,8 @@ class Engine:
         project: str | None = None, strict: bool = False,
     ) -> DataFrame:
         m, vector = self.memories(), self.provider([query])[0]
-        found = search.search_graph(m, self.links(), query, vector, now, edge_types, depth, project, strict)
+        found = search.search_graph(m, self.links(), query, vector, now, edge_types, depth, project, strict,
+                                    index=self.index, degrade=True)
         return search.response(found, m)
 
     def delete(self, ids: Sequence[str]) -> None:
@@ -158,11 +163,14 @@ class Engine:
         self.store.delete(self.spark.createDataFrame([(i,) for i in ids], "id string"))
 
     def prune(self, now: str, older_than_days: int = config.RETENTION_DAYS, dry_run: bool = True) -> DataFrame:
-        """Archive, consolidate and purge; ``checked, archived, consolidated, purged``."""
+        """Archive, consolidate and purge; ``checked, archived, consolidated, purged``.
+
+        Rows into which others were merged get new vectors.
+        """
         m = self.memories()
         naive = m.withColumn("archived_at", F.col("archived_at").cast("timestamp_ntz"))
         result = lifecycle.clean_up(naive, self.links(), now, retention_days=older_than_days)
-        counts = cut(result.counts)
+        counts, kept_on = cut(result.counts), cut(result.survivors)
         if not dry_run:
             kept = cut(result.memories.select("id", F.col("archived_at").cast("timestamp").alias("archived_at")))
             gone = cut(m.select("id").join(kept.select("id"), "id", "left_anti"))
@@ -170,8 +178,14 @@ class Engine:
             self.store.update(cut(changed.where("was IS NULL AND archived_at IS NOT NULL").select("id", "archived_at")))
             self._add_edges(result.new_edges)
             self.store.delete(gone)
+            stayed = self.memories().join(kept_on, "id", "left_semi").select("id", "content")
+            self.store.update(cut(embed(stayed, self.provider).select("id", "embedding")))
         return counts
 
+    def reindex(self) -> None:
+        """Index all rows anew, as after a change of texts in the store."""
+        self.index.add(cut(self.memories().select("id", "content")))
+
     def reembed(self, provider: Provider) -> None:
         """New vectors for all rows, archived ones included, in one distributed pass."""
         self.store.update(cut(embed(self.memories().select("id", "content"), provider).select("id", "embedding")))

@@ -50,6 +50,7 @@ class Cleanup:
     edges: DataFrame
     new_edges: DataFrame
     counts: DataFrame
+    survivors: DataFrame
 
 
 def clean_up(
@@ -89,7 +90,8 @@ def clean_up(
         .crossJoin(merged.agg(F.count("*").alias("consolidated")))
         .crossJoin(purged.agg(F.count("*").alias("purged")))
     )
-    return Cleanup(kept, kept_edges, links, counts)
+    survivors = merged.select(F.col("survivor").alias("id")).distinct()
+    return Cleanup(kept, kept_edges, links, counts, survivors)
 
 
 def due(saves: int, last_cleanup: str | None, now: str, every: int = 50, hours: int = 24) -> bool:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -10,19 +11,25 @@ from pyspark.sql import functions as F
 
 from recallkit import config
 from recallkit.config import SearchStrategy
+from recallkit.functions.lineage import cut
 from recallkit.operators import fusion, graph, keyword, vector
 from recallkit.operators.filters import clamp_max_tokens, clamp_top_k
+from recallkit.sources.index import Index
 
 Policy = Callable[[str, SearchStrategy], SearchStrategy]
 
 
-def graph_hits(memories: DataFrame, edges: DataFrame, seeds: Sequence, depth: int, types: Sequence[str] | None = None) -> DataFrame:
+def graph_hits(
+    memories: DataFrame, edges: DataFrame, seeds: Sequence, depth: int, types: Sequence[str] | None = None,
+    seconds: float | None = None,
+) -> DataFrame:
     """``id, source, rank`` of the nodes a traversal meets (seeds included), by depth, seed order and id.
 
-    Nodes that are no memories are left out.
+    Nodes that are no memories are left out.  No hop starts after ``seconds``; what was met by then ranks.
     """
-    walk = graph.traverse(edges, memories.select("id"), seeds, depth, types)
-    met = graph.walk_nodes(walk).join(memories.select("id"), "id", "left_semi")
+    step = cut(edges.select("from_id", "to_id", "edge_type"))  # each hop reads the edges
+    found, _ = graph.reachable(step, memories.select("id"), seeds, depth, types, deadline=seconds)
+    met = found.select("id", F.col("physical_depth").alias("depth")).join(memories.select("id"), "id", "left_semi")
     place = F.coalesce(F.array_position(F.array(*map(F.lit, seeds)), F.col("id")), F.lit(0)) if seeds else F.lit(0)
     order = Window.orderBy("depth", place, "id")
     return met.select("id", F.lit("graph").alias("source"), (F.row_number().over(order) - 1).alias("rank"))
@@ -42,29 +49,46 @@ def search(
     policy: Policy | None = None,
     pushdown_project: bool = False,
     with_total: bool = False,
+    index: Index | None = None,
+    degrade: bool = False,
+    graph_seconds: float | None = None,
 ) -> DataFrame:
     """``id, rrf_score, final_score, source`` of the best ``top_k`` rows.
 
     ``with_total`` adds ``total_count``, the fused rows that passed the filters before the cut.
 
     A source of weight 0 is not planned.  The project is tested after fusion unless
-    ``pushdown_project`` asks for it within each source.
+    ``pushdown_project`` asks for it within each source.  With ``index`` the keyword source reads
+    stored postings.  With ``degrade`` a source that fails is logged and gives no hits.
     """
     strategy = strategy or SearchStrategy()
     if policy is not None:
         strategy = policy(query, strategy)
+    if max(strategy.vector, strategy.keyword) <= 0:
+        raise ValueError("a search needs a source of positive weight")
     k, scope = clamp_top_k(top_k), project if pushdown_project else None
-    nearest = vector.top_k(memories, query_vector, config.TOP_K, scope)
-    lists = []
+    none = memories.select("id", F.lit("").alias("source"), F.lit(0).alias("rank")).where("false")
+
+    def hits(name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        if not degrade:
+            return make()
+        try:
+            return cut(make())
+        except Exception as error:
+            logging.getLogger(__name__).error("the %s source of a search failed: %s", name, error)
+            return none
+
+    lists, seeds = [], []
     if strategy.vector > 0:
-        lists.append(fusion.ranked(nearest, "vector"))
+        # ten rows, read twice
+        nearest = hits("vector", lambda: fusion.ranked(cut(vector.top_k(memories, query_vector, config.TOP_K, scope)), "vector"))
+        lists.append(nearest)
+        if strategy.graph > 0:
+            seeds = [r["id"] for r in nearest.where(F.col("rank") < config.SEED_COUNT).orderBy("rank").collect()]  # three rows
     if strategy.keyword > 0:
-        lists.append(_keyword_ranks(memories, query, scope))
-    if strategy.graph > 0 and strategy.vector > 0:
-        seeds = [r["id"] for r in nearest.limit(config.SEED_COUNT).collect()]  # three rows
-        lists.append(graph_hits(memories, edges, seeds, strategy.depth))
-    if not lists:
-        raise ValueError("a search needs a source of positive weight")
+        lists.append(hits("keyword", lambda: _keyword_ranks(memories, query, scope, index)))
+    if seeds:
+        lists.append(hits("graph", lambda: graph_hits(memories, edges, seeds, strategy.depth, seconds=graph_seconds)))
     fused = fusion.fuse(reduce(DataFrame.unionByName, lists), memories, strategy, now)
     if project is not None:
         fused = fused.where(F.col("project") == project)
@@ -79,10 +103,11 @@ def search(
     return best.select(*names).crossJoin(fused.agg(F.count("*").alias("total_count")))  # one row
 
 
-def _keyword_ranks(memories: DataFrame, query: str, project: str | None) -> DataFrame:
+def _keyword_ranks(memories: DataFrame, query: str, project: str | None, index: Index | None = None) -> DataFrame:
     """Keyword hits with their rank; a blank query ranks by time."""
     if query.strip():
-        return fusion.ranked(keyword.bm25(memories, query, config.TOP_K, project), "keyword")
+        find = keyword.bm25 if index is None else index.bm25
+        return fusion.ranked(find(memories, query, config.TOP_K, project), "keyword")
     rows = keyword.all_rows(memories, config.TOP_K, project).join(memories.select("id", "created_at"), "id")
     order = Window.orderBy(F.desc("created_at"), F.desc("id"))
     return rows.select("id", F.lit("keyword").alias("source"), (F.row_number().over(order) - 1).alias("rank"))
@@ -98,13 +123,16 @@ def search_graph(
     depth: int = 2,
     project: str | None = None,
     strict: bool = False,
+    index: Index | None = None,
+    degrade: bool = False,
 ) -> DataFrame:
     """Search for five rows; ``strict`` honours edge types and depth, which are ignored otherwise."""
+    how = {"top_k": 5, "index": index, "degrade": degrade}
     if not strict:
-        return search(memories, edges, query, query_vector, now, project, top_k=5)
+        return search(memories, edges, query, query_vector, now, project, **how)
     chosen = graph.of_types(edges, edge_types)
     strategy = SearchStrategy(depth=depth)
-    return search(memories, chosen, query, query_vector, now, project, top_k=5, strategy=strategy)
+    return search(memories, chosen, query, query_vector, now, project, strategy=strategy, **how)
 
 
 def response(results: DataFrame, memories: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,10 +12,12 @@ from pyspark.sql import functions as F
 from recallkit.config import ListFilter, SearchStrategy
 from recallkit.functions import classify as classes
 from recallkit.functions import scalars
+from recallkit.functions.lineage import shared_folder
 from recallkit.operators import dedup, filters, fusion, graph, keyword, links, policy, stats, vector
 from recallkit.plans import lifecycle, search
 from recallkit.sources import text as texts
 from recallkit.sources import views
+from recallkit.sources.index import Index
 from recallkit.streaming import jobs
 
 NOW = "2024-02-01 00:00:00"
@@ -203,6 +206,16 @@ def keyword_phrase(spark, d):
     return keyword.bm25(views.memories(spark, d), "of-the", None)
 
 
+@register("keyword_indexed", f"WITH {bm25_sql(['the', 'that'])} SELECT * FROM hits")
+def keyword_indexed(spark, d):
+    """Builds the index of the table, adds half the rows again, and searches it."""
+    m = views.memories(spark, d)
+    index = Index(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+    index.add(m)
+    index.add(m.where("id % 2 = 0"))
+    return index.bm25(m, QUERY, None)
+
+
 @register("keyword_all_blank", f"WITH {MEM} SELECT id, 1.0::DOUBLE AS score FROM memories WHERE archived_at IS NULL ORDER BY created_at DESC, id DESC LIMIT 10")
 def keyword_all_blank(spark, d):
     return keyword.bm25(views.memories(spark, d), "  ")
@@ -728,6 +741,14 @@ def failure_alerts(spark, d):
     return jobs.failure_alerts(views.table(spark, d, "events"), 86_400, 3)
 
 
+@register("failure_alerts_large", """WITH b AS (SELECT *, sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS broken FROM events),
+    c AS (SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000000 RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS failures,
+      count(*) OVER (PARTITION BY user_id, broken ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS in_a_row, value FROM b WHERE event_type = 'error')
+    SELECT event_id, user_id, failures, in_a_row FROM c WHERE (failures >= 2 OR in_a_row >= 2) AND value >= 10""")
+def failure_alerts_large(spark, d):
+    return jobs.failure_alerts(views.table(spark, d, "events"), 86_400, 2, 2, "value", 10.0)
+
+
 @register("session_idle", SESSIONS)
 def session_idle(spark, d):
     return _naive(jobs.sessions(views.table(spark, d, "events"), "6 hours"), "session_start", "session_end")

@@ -16,6 +16,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 FAILURES = 5
 FAILURE_SECONDS = 600
 FAILURE_RUN = 3
+FAILURE_BYTES = 100 << 20
 IDLE = "30 minutes"
 EVERY = 50
 
@@ -72,16 +73,24 @@ def failure_windows(events: DataFrame, seconds: int = FAILURE_SECONDS, least: in
     return counted.where(F.col("failures") >= least)
 
 
-def failure_alerts(events: DataFrame, seconds: int = FAILURE_SECONDS, least: int = FAILURES, run: int = FAILURE_RUN) -> DataFrame:
-    """Errors that raise an alarm: ``least`` of the user's within ``seconds``, or ``run`` in a row (batch)."""
+def failure_alerts(
+    events: DataFrame, seconds: int = FAILURE_SECONDS, least: int = FAILURES, run: int = FAILURE_RUN,
+    size_col: str | None = None, least_size: float = FAILURE_BYTES,
+) -> DataFrame:
+    """Errors that raise an alarm: ``least`` of the user's within ``seconds``, or ``run`` in a row (batch).
+
+    With ``size_col`` only those whose size is ``least_size`` or more; a null size raises none.
+    """
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     failed = F.col("event_type") == "error"
     breaks = events.withColumn("broken", F.sum((~failed).cast("int")).over(order))
     span = Window.partitionBy("user_id").orderBy(F.unix_seconds(F.col("ts").cast("timestamp"))).rangeBetween(-seconds, 0)
     streak = Window.partitionBy("user_id", "broken").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     counted = breaks.where(failed).select(
-        "event_id", "user_id", F.count("*").over(span).alias("failures"), F.count("*").over(streak).alias("in_a_row")
-    )
+        "event_id", "user_id", F.count("*").over(span).alias("failures"), F.count("*").over(streak).alias("in_a_row"),
+        (F.lit(True) if size_col is None else F.col(size_col) >= least_size).alias("large"),
+    )
+    counted = counted.where("large").drop("large")
     return counted.where((F.col("failures") >= least) | (F.col("in_a_row") >= run))
 
 

@@ -6,6 +6,7 @@ from collections import Counter
 
 import pytest
 
+from recallkit.operators import keyword
 from recallkit.plans import lifecycle
 from recallkit.plans.engine import RAW, Engine
 from recallkit.sources.store import ReadOnly
@@ -78,3 +79,49 @@ def test_edges_and_decisions_of_batches(spark, tmp_path):
     assert engine.memories().where("importance_score = 0.9").count() == 1
     whole = engine.answer("words", "2024-01-06 00:00:00", top_k=1).first()
     assert whole.query == "words" and whole.strategy.depth == 2 and len(whole.results) == 1 < whole.total_count
+
+
+def test_stored_index_finds_what_a_scan_finds(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "i"))
+    texts = ["that that that the", "of the people of the land", "Qu\u00e9 la of-the", "the of", "x"]
+    raw = [(str(i), t, "manual", "r", {}) for i, t in enumerate(texts)]
+    engine.save_all(spark.createDataFrame(raw, RAW), "2024-01-01 00:00:00")
+
+    def same() -> None:
+        m = engine.memories()
+        for query in ("of-the", "that-that the", "absent"):
+            scan = {tuple(r) for r in keyword.bm25(m, query, None).collect()}
+            assert {tuple(r) for r in engine.index.bm25(m, query, None).collect()} == scan, query
+
+    same()
+    first = engine.memories().where("content = 'the of'").first().id
+    engine.store.update(spark.createDataFrame([(first, "that of-the other")], "id string, content string"))
+    engine.reindex()
+    engine.delete([engine.memories().where("content = 'x'").first().id])
+    same()
+
+
+def test_a_source_that_fails_gives_no_hits(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "j"))
+    engine.save("the red fox jumps", "2024-01-01 00:00:00", "manual", "p")
+
+    class Broken:
+        def bm25(self, *_):
+            raise RuntimeError("no index")
+
+    engine.index = Broken()
+    assert [h.content for h in engine.search("red fox", "2024-01-02 00:00:00").collect()] == ["the red fox jumps"]
+    engine.index, engine.provider = type(engine.index)(), lambda texts: [[1.0] * 3 for _ in texts]
+    assert engine.search("red fox", "2024-01-02 00:00:00").count() == 0
+
+
+def test_survivors_of_consolidation_get_new_vectors(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "k"))
+    engine.save("one", "2024-01-01 00:00:00", "manual", "p")
+    engine.save("two", "2024-01-02 00:00:00", "manual", "p")
+    ids = [(r.id, [1.0, 0.0]) for r in engine.memories().collect()]
+    engine.store.update(spark.createDataFrame(ids, "id string, embedding array<double>"))
+    engine.provider = lambda texts: [[float(len(t)), 2.0] for t in texts]
+    assert engine.prune("2024-01-03 00:00:00", dry_run=False).first().consolidated == 1
+    rows = {r.content: (list(r.embedding), r.archived_at is None) for r in engine.memories().collect()}
+    assert rows == {"one": ([1.0, 0.0], False), "two": ([3.0, 2.0], True)}
