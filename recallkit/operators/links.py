@@ -10,13 +10,12 @@ from recallkit.operators import vector
 
 
 def _pairs(first: Column, second: Column, forward: str, backward: str) -> Column:
-    """Two edges between a pair, one each way."""
-    return F.explode(
-        F.array(
-            F.struct(first.alias("from_id"), second.alias("to_id"), F.lit(forward).alias("edge_type")),
-            F.struct(second.alias("from_id"), first.alias("to_id"), F.lit(backward).alias("edge_type")),
-        )
+    """Two edges between a pair, one each way; none from a row to itself."""
+    both = F.array(
+        F.struct(first.alias("from_id"), second.alias("to_id"), F.lit(forward).alias("edge_type")),
+        F.struct(second.alias("from_id"), first.alias("to_id"), F.lit(backward).alias("edge_type")),
     )
+    return F.explode(F.when(first != second, both))
 
 
 def chunk_edges(chunks: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from recallkit.plans import ingest, lifecycle, search
 from recallkit.sources import text as texts
 from recallkit.sources.embedders import Provider, embed, hash_vectors
 from recallkit.sources.index import Index
+from recallkit.sources.manifest import Manifest, new_batch
 from recallkit.sources.store import ReadOnly, Store
 
 _TEXT = T.StringType()
@@ -27,6 +28,7 @@ RAW = T.StructType(
     + [T.StructField("metadata", T.MapType(_TEXT, _TEXT))]
 )
 
+FAILURE = "id string, error string, at timestamp"
 MAX_LOG_CHARS = 200_000
 
 
@@ -44,21 +46,17 @@ class Engine:
 
     def __init__(self, spark: SparkSession, path: str, provider: Provider = hash_vectors, read_only: bool = False):
         self.spark, self.provider, self.read_only = spark, provider, read_only
-        self.store = Store(spark, f"{path}/memories", read_only)
-        self.edge_path = f"{path}/edges"
-        self.index = Index(spark, f"{path}/index")
+        self.manifest = Manifest(spark, f"{path}/manifest")
+        self.store = Store(spark, f"{path}/memories", read_only, manifest=self.manifest)
+        self.path = path.rstrip("/")
+        self.index = Index(spark, f"{path}/index", self.manifest)
 
     def memories(self) -> DataFrame:
         return self.store.current()
 
     def edges(self) -> DataFrame:
         """Edges between rows that exist, and references (``stub``) of such rows; one of a key."""
-        try:
-            rows = self.spark.read.schema(EDGE).parquet(self.edge_path)
-        except Exception as error:  # nothing has been written yet
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            rows = self.spark.createDataFrame([], EDGE)
+        rows = self.manifest.read(self.path, "edges", EDGE)
         once = rows.groupBy("from_id", "to_id", "edge_type").agg(
             F.max_by("props", F.size("props")).alias("props"), F.bool_or(F.coalesce("stub", F.lit(False))).alias("stub")
         )
@@ -70,26 +68,39 @@ class Engine:
         """The edges that searches follow."""
         return self.edges().where("NOT stub").drop("stub")
 
-    def _add_edges(self, edges: DataFrame) -> None:
+    def _write_edges(self, batch: str, edges: DataFrame) -> list[str]:
         edges = edges if "stub" in edges.columns else edges.withColumn("stub", F.lit(False))
-        edges.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in EDGE]).write.mode("append").parquet(self.edge_path)
+        rows = edges.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in EDGE])
+        rows.write.parquet(f"{self.path}/edges/batch={batch}")
+        return ["edges"]
+
+    def _add_edges(self, edges: DataFrame) -> None:
+        batch = new_batch()
+        self.manifest.commit(batch, self._write_edges(batch, edges))
+
+    def failures(self) -> DataFrame:
+        """``id, error, at`` of all texts that could not be ingested."""
+        return self.manifest.read(self.path, "failures", FAILURE).drop("version")
 
     def save_all(self, raw: DataFrame, now: str) -> DataFrame:
         """Ingest raw texts (``id, text, source_type, project, metadata``); gives the decisions.
 
         ``tags`` (with commas) and ``importance`` in the metadata set those columns.  Texts that
-        could not be ingested are in ``failures``.
+        could not be ingested are in :meth:`failures`.  Rows, edges, postings and failures are one
+        batch: it is seen whole once the manifest lists it, and not at all if a step fails.
         """
         if self.read_only:
             raise ReadOnly(self.store.path)
-        active = self.memories().where("archived_at IS NULL")
-        batch = ingest.ingest(raw, cut(active), now, self.provider, promote_metadata=True)
-        self.failures = cut(batch.failed)
-        edges = cut(batch.edges)
+        active = cut(self.memories().where("archived_at IS NULL"))
+        check = lambda rows: self.store.checked(rows)
+        batch = ingest.ingest(raw, active, now, self.provider, promote_metadata=True, check=check)
         replaced = batch.decisions.where("action = 'REPLACE'").select(F.col("existing_id").alias("id"))
-        self.index.add(batch.memories)  # first: what the store lacks is not found
-        self.store.commit(batch.memories, replaced, now)
-        self._add_edges(edges)
+        name = new_batch()
+        parts = [*self.index.write(name, batch.memories), *self._write_edges(name, batch.edges), "failures"]
+        batch.failed.select(F.col("id").cast("string").alias("id"), "error", F.lit(now).cast("timestamp").alias("at")).write.parquet(
+            f"{self.path}/failures/batch={name}"
+        )
+        self.store.commit(batch.memories, replaced, now, name, parts)
         return batch.decisions
 
     def save(
@@ -183,8 +194,17 @@ class Engine:
         return counts
 
     def reindex(self) -> None:
-        """Index all rows anew, as after a change of texts in the store."""
-        self.index.add(cut(self.memories().select("id", "content")))
+        """Index all rows anew, as after a change of texts in the store; older postings are read no more."""
+        at = self.manifest.last()
+        self.index.rebuild(self.store.current(at).select("id", "content"), at)
+
+    def compact(self) -> None:
+        """Rows and accesses as one batch, edges as another, postings anew."""
+        self.store.compact()
+        at, batch = self.manifest.last(), new_batch()
+        parts = self._write_edges(batch, cut(self.edges()))
+        self.manifest.commit(batch, parts, base=parts, upto=at)
+        self.reindex()
 
     def reembed(self, provider: Provider) -> None:
         """New vectors for all rows, archived ones included, in one distributed pass."""

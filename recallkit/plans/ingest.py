@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -25,6 +26,27 @@ class Batch:
     failed: DataFrame
 
 
+def usable(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows to ingest, and those that cannot be (``id, error``).
+
+    A repeated row (id, text, source and project) counts once.  Other texts of an id get ids of their
+    own, ``id#hash``; the text of the smallest hash keeps the id, whatever the order of the rows.
+    """
+    blank = ~F.coalesce(F.trim("text") != "", F.lit(False))
+    error = F.when(F.col("id").isNull(), "MISSING_ID").when(blank, "EMPTY_CONTENT")
+    marked = raw.withColumn("error", error)
+    failed = marked.where("error IS NOT NULL").select("id", "error")
+    key = F.sha2(F.to_json(F.struct("text", "source_type", "project")), 256)
+    sound = marked.where("error IS NULL").drop("error").withColumn("key", key)
+    others = [c for c in sound.columns if c not in ("id", "key")]
+    # maps have no order: the metadata's entries do
+    last = F.max_by(F.struct(*others), F.to_json(F.map_entries("metadata")).alias("m")) if "metadata" in others else F.first(F.struct(*others))
+    once = cut(sound.withColumn("metadata", F.coalesce("metadata", F.create_map().cast("map<string,string>"))).groupBy("id", "key").agg(last.alias("row")))
+    least = once.groupBy("id").agg(F.min("key").alias("least"))
+    own = F.when(F.col("key") == F.col("least"), F.col("id").cast("string")).otherwise(F.concat_ws("#", "id", F.left("key", F.lit(16))))
+    return once.join(least, "id").select(own.alias("id"), "row.*"), failed
+
+
 def prepare(raw: DataFrame, now: str, provider: Provider = hash_vectors, promote_metadata: bool = False) -> DataFrame:
     """Chunks of raw texts (``id, text, source_type, project, metadata``) as rows of memories.
 
@@ -74,18 +96,25 @@ def prepare(raw: DataFrame, now: str, provider: Provider = hash_vectors, promote
 
 
 def ingest(
-    raw: DataFrame, stored: DataFrame, now: str, provider: Provider = hash_vectors, promote_metadata: bool = False
+    raw: DataFrame,
+    stored: DataFrame,
+    now: str,
+    provider: Provider = hash_vectors,
+    promote_metadata: bool = False,
+    check: Callable[[DataFrame], object] = lambda rows: None,
 ) -> Batch:
     """A batch against the active stored rows, its rows one after the other.
 
     Every chunk is saved; rows that a later one of the batch replaces are saved archived, stored
     ones are to be archived by the caller.  All five kinds of edges are built: chunks, sessions and
-    projects in time, similar rows of a project, references and replacements.
+    projects in time, similar rows of a project, references and replacements.  Stored rows of the
+    batch's ids are taken for an earlier try of it and left out of account.  ``check`` may refuse the
+    rows, with their vectors, by an error.
     """
-    usable = F.col("text").isNotNull() & (F.trim("text") != "")
-    failed = raw.where(~F.coalesce(usable, F.lit(False))).select("id", F.lit("EMPTY_CONTENT").alias("error"))
-    rows = cut(prepare(raw.where(usable), now, provider, promote_metadata))
-    active = stored.where("archived_at IS NULL")
+    sound, failed = usable(raw)
+    rows = cut(prepare(sound, now, provider, promote_metadata))
+    check(rows)
+    active = stored.where("archived_at IS NULL").join(rows.select("id"), "id", "left_anti")
     decisions = cut(dedup.decide_batch(rows.select("id", "embedding", "project", "place"), active.select("id", "embedding", "project")))
     replaced = decisions.where("action = 'REPLACE'").select(F.col("existing_id").alias("id")).distinct()
     gone = replaced.withColumn("gone", F.lit(True))
@@ -105,8 +134,9 @@ def ingest(
     )
     last = last.withColumn("place", F.lit(None).cast(rows.schema["place"].dataType))
     time = links.temporal_edges(timed.unionByName(last)).withColumn("props", none)
-    fresh = rows.select(F.col("id").alias("fresh"))
-    time = time.join(fresh, (F.col("from_id") == F.col("fresh")) | (F.col("to_id") == F.col("fresh")), "left_semi")
+    ends = [rows.select(F.col("id").alias(c)) for c in ("from_id", "to_id")]
+    later = time.join(ends[0], "from_id", "left_anti").join(ends[1], "to_id", "left_semi")
+    time = time.join(ends[0], "from_id", "left_semi").unionByName(later)
     names = ["id", "embedding", "project", "place"]
     places = rows.select("id", F.col("place").alias("until"))
     until = decisions.where("action = 'REPLACE'").join(places, "id").select(F.col("existing_id").alias("id"), "until")

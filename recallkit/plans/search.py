@@ -138,10 +138,11 @@ def search_graph(
 def response(results: DataFrame, memories: DataFrame) -> DataFrame:
     """Rows as the tool returns them: ``memory_id, content, score, source_type, metadata``."""
     shown = memories.select("id", "content", F.col("source_metadata").alias("metadata"))
-    return results.join(shown, "id").select(
+    rows = results.join(shown, "id").select(
         F.col("id").cast("string").alias("memory_id"), "content", F.col("final_score").alias("score"),
         F.col("source").alias("source_type"), "metadata",
     )
+    return rows.orderBy(F.desc("score"), "memory_id")  # top_k rows
 
 
 def answer(query: str, strategy: SearchStrategy, results: DataFrame, memories: DataFrame) -> DataFrame:

@@ -11,47 +11,58 @@ from recallkit import config
 from recallkit.functions.lineage import cut
 from recallkit.functions.tokens import query_phrases, tokenize
 from recallkit.operators import keyword
+from recallkit.sources.manifest import Manifest, new_batch
+
+
+POSTING = "term string, id string, positions array<int>"
+LENGTH = "id string, dl int"
 
 
 class Index:
-    """Postings and lengths under a path.
+    """Postings and lengths under a path, in the batches of a manifest.
 
-    Rows are appended with a version; of an id that was added again the last version counts, and ids
-    that the searched rows lack do not.  Postings lie in order of (term, id), so a search reads the
-    row groups of its terms alone, and a frequent term is spread over files by id.
+    Of an id that was added again the last batch counts, and ids that the searched rows lack do not.
+    Postings lie in order of (term, id), so a search reads the row groups of its terms alone, and a
+    frequent term is spread over files by id.  A rebuild replaces all batches before it.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, manifest: Manifest | None = None):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.manifest = manifest or Manifest(spark, f"{self.path}/manifest")
 
-    def _lengths(self) -> DataFrame | None:
-        try:
-            return self.spark.read.parquet(f"{self.path}/lengths")
-        except Exception as error:  # nothing has been added yet
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            return None
+    def write(self, batch: str, memories: DataFrame) -> list[str]:
+        """Files of rows (``id, content``) for a batch that is not listed yet; gives the parts it has then."""
+        rows = memories.select(F.col("id").cast("string").alias("id"), "content")
+        lists = keyword.postings(rows).select("term", "id", "positions")
+        lists = lists.repartitionByRange("term", "id").sortWithinPartitions("term", "id")
+        lists.write.parquet(f"{self.path}/postings/batch={batch}")
+        sizes = rows.select("id", F.size(tokenize("content")).alias("dl"))
+        sizes.write.parquet(f"{self.path}/lengths/batch={batch}")
+        return ["postings", "lengths"]
 
     def add(self, memories: DataFrame) -> None:
-        """Index rows (``id, content``), postings first: without its length a row is not found."""
-        held = self._lengths()
-        version = 1 + (0 if held is None else held.agg(F.max("version").alias("v")).first()["v"] or 0)
-        stamp = F.lit(version).cast("bigint").alias("version")
-        lists = keyword.postings(memories).select("term", "id", stamp, "positions")
-        lists.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("append").parquet(f"{self.path}/postings")
-        sizes = memories.select("id", stamp, F.size(tokenize("content")).alias("dl"))
-        sizes.write.mode("append").parquet(f"{self.path}/lengths")
+        """Index rows as a batch of its own."""
+        batch = new_batch()
+        self.manifest.commit(batch, self.write(batch, memories))
+
+    def rebuild(self, memories: DataFrame, upto: int) -> None:
+        """Index all rows as of a number of the manifest; what was listed up to it is read no more."""
+        batch = new_batch()
+        parts = self.write(batch, memories)
+        self.manifest.commit(batch, parts, base=parts, upto=upto)
 
     def bm25(self, memories: DataFrame, query: str, k: int | None = config.TOP_K, project: str | None = None) -> DataFrame:
         """As :func:`recallkit.operators.keyword.bm25`; of ``memories`` no text is read."""
         phrases = query_phrases(query)
-        held = self._lengths()
-        if not phrases or held is None:
+        if not phrases or not self.manifest.visible("lengths"):
             return keyword.bm25(memories, query, k, project)
+        kind = memories.schema["id"].dataType
+        held = self.manifest.read(self.path, "lengths", LENGTH).withColumn("id", F.col("id").cast(kind))
         last = held.groupBy("id").agg(F.max_by(F.struct("version", "dl"), "version").alias("last"))
         rows = memories.select("id", "project", "archived_at").join(last, "id").select("id", "project", "archived_at", "last.*")
         terms = sorted({t for p in phrases for t in p})
-        lists = self.spark.read.parquet(f"{self.path}/postings").where(F.col("term").isin(*terms))
+        lists = self.manifest.read(self.path, "postings", POSTING).where(F.col("term").isin(*terms))
+        lists = lists.withColumn("id", F.col("id").cast(kind))
         places = {t: f"p{i}" for i, t in enumerate(terms)}
         met = lists.groupBy("id", "version").agg(
             *[F.max(F.when(F.col("term") == t, F.col("positions"))).alias(name) for t, name in places.items()]

@@ -74,7 +74,7 @@ def test_edges_and_decisions_of_batches(spark, tmp_path):
     assert Counter(r.action for r in decisions) == {"INSERT": 1, "REPLACE": 2}
     rows = engine.memories().where("project = 'q'").collect()
     assert len(rows) == 3 and sum(r.archived_at is None for r in rows) == 1
-    assert [tuple(r) for r in engine.failures.collect()] == [("2", "EMPTY_CONTENT")]
+    assert [tuple(r) for r in engine.failures().select("id", "error").collect()] == [("2", "EMPTY_CONTENT")]
     assert engine.save("weighty", "2024-01-05 00:00:00", "manual", "q", importance=0.9).count() == 1
     assert engine.memories().where("importance_score = 0.9").count() == 1
     whole = engine.answer("words", "2024-01-06 00:00:00", top_k=1).first()
