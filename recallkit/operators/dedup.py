@@ -7,13 +7,15 @@ the pair graph; components never influence one another.
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recallkit import config
 from recallkit.functions.lineage import cut
-from recallkit.operators import vector
+from recallkit.operators import cells, vector
 
 
 def decide(
@@ -46,17 +48,13 @@ def decide(
 
 
 def _nearest_in_project(new: DataFrame, stored: DataFrame) -> DataFrame:
-    from recallkit.functions.scalars import cosine
-
-    a = new.where("embedding IS NOT NULL AND project IS NOT NULL").select(
-        F.col("id").alias("query_id"), F.col("embedding").alias("qv"), "project"
-    )
-    b = stored.where("embedding IS NOT NULL").select("id", "embedding", F.col("project").alias("p"))
-    scored = a.join(b, F.col("project") == F.col("p")).select(
-        "query_id", "id", F.round(cosine(F.col("qv"), F.col("embedding")), 6).alias("score")
-    )
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
+    """``query_id, id, score`` of the nearest stored row of each new row's project, whatever its score."""
+    names = ["id", "embedding", "project"]
+    near = cells.near_rows(
+        new.where("project IS NOT NULL").select(*names), stored.where("project IS NOT NULL").select(*names), -1.0, 1,
+        lambda left, right: left["q_project"].to_numpy()[:, None] == right["v_project"].to_numpy()[None, :],
+    )
+    return near
 
 
 def _components(pairs: DataFrame) -> DataFrame:
@@ -81,42 +79,70 @@ def _components(pairs: DataFrame) -> DataFrame:
             return roots
 
 
-def _fold_pairs(pairs: DataFrame, rows: DataFrame, replace: float) -> DataFrame:
-    """``id, action, existing_id, similarity`` of the new rows that have a pair.
+def _fold(rows: DataFrame, replace: float, merge: float) -> DataFrame:
+    """``id, action, existing_id, similarity`` of the new rows that have a similar row before them.
 
-    ``pairs``: ``id_a, id_b, score``; ``rows``: ``id, place, project, is_new``.  New rows come in
-    order of (place, id), after all others; each is compared with the rows before it that no
-    replacement has archived, within its project if it has one, and a replacement archives its match.
+    ``rows``: ``id, embedding, place, project, is_new``.  New rows come in order of (place, id),
+    after all others; each is compared with the rows before it that no replacement has archived,
+    within its project if it has one, and a replacement archives its match.  Equal vectors are one
+    node of the pair graph, so a component costs its rows and the pairs of different vectors.
     """
-    rooted = _components(pairs)
+    keyed = cut(rows.where("embedding IS NOT NULL").withColumn("key", cells.vector_key()))
+    # equal vectors once; a vector that no new row has or is near to takes no part
+    nodes = cut(keyed.groupBy("key").agg(F.first("embedding").alias("embedding"), F.bool_or("is_new").alias("fresh")))
+    apart = nodes.select(F.col("key").alias("id"), "embedding", "fresh")
+    met = cells.near_rows(apart.where("fresh").drop("fresh"), apart.drop("fresh"), merge)
+    ends = [F.least("query_id", "id").alias("id_a"), F.greatest("query_id", "id").alias("id_b")]
+    met = cut(met.select("query_id", "id", *ends, "score"))
+    pairs = cut(met.where("id_a <> id_b").select("id_a", "id_b", "score").distinct())
+    selves = met.where("query_id = id").select(F.col("id").alias("key"))  # all but zeros are near themselves
+    rooted = _components(pairs).withColumnRenamed("id", "key")
+    rooted = cut(selves.unionByName(pairs.select(F.explode(F.array("id_a", "id_b")).alias("key"))).distinct()
+                 .join(rooted, "key", "left").select("key", F.coalesce("root", "key").alias("root")))
     kind = rows.schema["id"].dataType.simpleString()
-    sides = pairs.select(F.col("id_a").alias("id"), F.col("id_b").alias("other"), "score").unionByName(
-        pairs.select(F.col("id_b").alias("id"), F.col("id_a").alias("other"), "score")
+    members = keyed.drop("embedding").join(rooted, "key")
+    sides = pairs.select(F.col("id_a").alias("key"), F.col("id_b").alias("other"), "score").unionByName(
+        pairs.select(F.col("id_b").alias("key"), F.col("id_a").alias("other"), "score")
     )
-    joined = sides.join(rooted, "id").join(rows, "id")
+    links = sides.unionByName(selves.distinct().select("key", F.col("key").alias("other"), F.lit(1.0).alias("score")))
+    links = links.join(rooted.select(F.col("key").alias("node"), F.col("root").alias("of")), F.col("key") == F.col("node"))
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
+    def run(part: pd.DataFrame, near_part: pd.DataFrame) -> pd.DataFrame:
         near: dict = {}
-        for r in part.itertuples(index=False):
-            near.setdefault(r.id, []).append((-r.score, r.other))
-        about = part.drop_duplicates("id").sort_values(["place", "id"])
-        project = dict(zip(about["id"], about["project"]))
-        before = set(about["id"][~about["is_new"]])
+        for r in near_part.itertuples(index=False):
+            near.setdefault(r.key, {}).setdefault(r.score, []).append(r.other)
+        live: dict = {}  # least live ids of a vector, of all projects and of each
         archived, found = set(), []
-        for now in about["id"][about["is_new"]]:
-            live = [(s, o) for s, o in sorted(near[now]) if o in before and o not in archived]
-            own = project[now]
-            live = [(s, o) for s, o in live if own is None or project.get(o) == own]
-            if live:
-                score, other = -live[0][0], live[0][1]
-                action = "REPLACE" if score >= replace else "MERGE_CANDIDATE"
-                if action == "REPLACE":
-                    archived.add(other)
-                found.append((now, action, other, score))
-            before.add(now)
+
+        def add(row) -> None:
+            for scope in {None, row.project}:
+                heapq.heappush(live.setdefault((row.key, scope), []), row.id)
+
+        def least(node, scope):
+            heap = live.get((node, scope), [])
+            while heap and heap[0] in archived:
+                heapq.heappop(heap)
+            return heap[0] if heap else None
+
+        part = part.assign(project=part["project"].where(part["project"].notna(), None))
+        for row in part[~part["is_new"]].itertuples(index=False):
+            add(row)
+        for row in part[part["is_new"]].sort_values(["place", "id"]).itertuples(index=False):
+            levels = near.get(row.key, {})
+            for score in sorted(levels, reverse=True):
+                others = [o for o in (least(node, row.project) for node in levels[score]) if o is not None]
+                if others:
+                    other = min(others)
+                    action = "REPLACE" if score >= replace else "MERGE_CANDIDATE"
+                    if action == "REPLACE":
+                        archived.add(other)
+                    found.append((row.id, action, other, score))
+                    break
+            add(row)
         return pd.DataFrame(found, columns=["id", "action", "existing_id", "similarity"])
 
-    return joined.groupBy("root").applyInPandas(run, f"id {kind}, action string, existing_id {kind}, similarity double")
+    schema = f"id {kind}, action string, existing_id {kind}, similarity double"
+    return members.groupBy("root").cogroup(links.groupBy("of")).applyInPandas(run, schema)
 
 
 def _with_inserts(new: DataFrame, found: DataFrame) -> DataFrame:
@@ -130,10 +156,8 @@ def fold(
     merge: float = config.MERGE_THRESHOLD,
 ) -> DataFrame:
     """``id, action, existing_id`` of rows ingested in order of (created_at, id)."""
-    pairs = cut(vector.similar_pairs(memories.where("embedding IS NOT NULL").select("id", "embedding"), merge))
-    rows = memories.select("id", F.col("created_at").alias("place"), "project", F.lit(True).alias("is_new"))
-    found = _fold_pairs(pairs, rows, replace).select("id", "action", "existing_id")
-    return _with_inserts(memories, found)
+    rows = memories.select("id", "embedding", F.col("created_at").alias("place"), "project", F.lit(True).alias("is_new"))
+    return _with_inserts(memories, _fold(rows, replace, merge).select("id", "action", "existing_id"))
 
 
 def decide_batch(
@@ -147,14 +171,10 @@ def decide_batch(
     ``new``: ``id, embedding, project, place``; ``stored``: ``id, embedding, project``.  A new row
     may replace one of its own batch, and nothing is replaced twice.
     """
-    names = ["id", "embedding", "project"]
-    every = new.select(*names).unionByName(stored.select(*names)).where("embedding IS NOT NULL").select("id", "embedding")
-    met = vector.pairs_between(new.where("embedding IS NOT NULL").select("id", "embedding"), every, merge)
-    ends = [F.least("query_id", "id").alias("id_a"), F.greatest("query_id", "id").alias("id_b")]
-    pairs = cut(met.where("query_id <> id").select(*ends, "score").distinct())
-    rows = new.select("id", F.col("place"), "project", F.lit(True).alias("is_new"))
-    old = stored.select("id", F.lit(None).cast(new.schema["place"].dataType).alias("place"), "project", F.lit(False).alias("is_new"))
-    return _with_inserts(new, _fold_pairs(pairs, rows.unionByName(old), replace))
+    rows = new.select("id", "embedding", "place", "project", F.lit(True).alias("is_new"))
+    before = F.lit(None).cast(new.schema["place"].dataType).alias("place")
+    old = stored.select("id", "embedding", before, "project", F.lit(False).alias("is_new"))
+    return _with_inserts(new, _fold(rows.unionByName(old), replace, merge))
 
 
 def consolidate(
@@ -171,7 +191,7 @@ def consolidate(
     ``merge`` only fill places among the ``k``; a row's list is cut again as rows are archived.
     """
     active = memories.where("archived_at IS NULL AND embedding IS NOT NULL").select("id", "created_at", "project", "embedding")
-    pairs = cut(vector.similar_pairs(active.select("id", "embedding"), merge))
+    pairs = cut(cells.similar_pairs(active.select("id", "embedding"), merge))
     rooted = _components(pairs)
     kind = memories.schema["id"].dataType.simpleString()
     sides = pairs.select(F.col("id_a").alias("id"), F.col("id_b").alias("other"), "score").unionByName(

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recallkit import config
-from recallkit.operators import vector
+from recallkit.operators import cells, vector
 
 
 def _pairs(first: Column, second: Column, forward: str, backward: str) -> Column:
@@ -87,16 +89,20 @@ def related_edges(
     the ``k`` nearest, itself counted if it is known, those that reach the threshold are linked.
     """
     placed = "place" in new.columns and "place" in known.columns
-    met = vector.pairs_between(
-        new.where("embedding IS NOT NULL").select("id", "embedding"), known.where("embedding IS NOT NULL").select("id", "embedding"), threshold
-    )
-    own = new.select(F.col("id").alias("query_id"), F.col("project").alias("own"), *([F.col("place").alias("at")] if placed else []))
-    other = known.select("id", "project", *(["place", "until"] if placed else []))
-    seen = met.join(own, "query_id").join(other, "id").where("own IS NULL OR own = project")
-    if placed:
-        seen = seen.where("(place IS NULL OR place < at OR query_id = id) AND (until IS NULL OR at < until)")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return _semantic(seen.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
+    names = ["id", "embedding", "project", *(["place"] if placed else [])]
+
+    def seen(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
+        own, of = left["q_project"].to_numpy()[:, None], right["v_project"].to_numpy()[None, :]
+        found = left["q_project"].isna().to_numpy()[:, None] | (own == of)
+        if placed:
+            at = left["q_place"].to_numpy()[:, None]
+            since, until = (right[c].fillna("").astype(str).to_numpy()[None, :] for c in ("v_place", "v_until"))
+            itself = left["q_id"].to_numpy()[:, None] == right["v_id"].to_numpy()[None, :]
+            found &= ((since == "") | (since < at) | itself) & ((until == "") | (at < until))
+        return found
+
+    met = cells.near_rows(new.select(*names), known.select(*names, *(["until"] if placed else [])), threshold, k, seen)
+    return _semantic(met)
 
 
 def equal_text_edges(memories: DataFrame) -> DataFrame:

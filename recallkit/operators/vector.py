@@ -115,26 +115,6 @@ def similar_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
     return _meet(a, b, block_pairs, f"id_a {kind}, id_b {kind}, score double")
 
 
-def pairs_between(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """``query_id, id, score`` of rows of ``left`` and of ``right`` at a cosine of ``threshold`` or more.
-
-    The work is the product of both sides: new rows against stored ones, not all against all.
-    """
-    a, b = _pairs_of_blocks(left, right, False)
-    kind = left.schema["id"].dataType.simpleString()
-
-    def block_pairs(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
-        if not len(one) or not len(two):
-            return pd.DataFrame({"query_id": one["query_id"][:0], "id": two["vector_id"][:0], "score": []})
-        scores = np.round(_unit(one["query"]) @ _unit(two["vector"]).T, 6)
-        i, j = np.nonzero(scores >= threshold)
-        return pd.DataFrame(
-            {"query_id": one["query_id"].to_numpy()[i], "id": two["vector_id"].to_numpy()[j], "score": scores[i, j]}
-        )
-
-    return _meet(a, b, block_pairs, f"query_id {kind}, id {kind}, score double")
-
-
 def tables_for(threshold: float, planes: int, recall: float) -> int:
     """How many tables of so many planes find a pair at ``threshold`` with probability ``recall``."""
     together = (1 - np.arccos(threshold) / np.pi) ** planes

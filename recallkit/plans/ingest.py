@@ -29,22 +29,17 @@ class Batch:
 def usable(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows to ingest, and those that cannot be (``id, error``).
 
-    A repeated row (id, text, source and project) counts once.  Other texts of an id get ids of their
-    own, ``id#hash``; the text of the smallest hash keeps the id, whatever the order of the rows.
+    A text of an id counts once, however often the batch repeats it; of repeated ones that differ in
+    source, project or metadata the last of these in order stays.  Other texts of an id are other rows.
     """
     blank = ~F.coalesce(F.trim("text") != "", F.lit(False))
     error = F.when(F.col("id").isNull(), "MISSING_ID").when(blank, "EMPTY_CONTENT")
     marked = raw.withColumn("error", error)
-    failed = marked.where("error IS NOT NULL").select("id", "error")
-    key = F.sha2(F.to_json(F.struct("text", "source_type", "project")), 256)
-    sound = marked.where("error IS NULL").drop("error").withColumn("key", key)
-    others = [c for c in sound.columns if c not in ("id", "key")]
-    # maps have no order: the metadata's entries do
-    last = F.max_by(F.struct(*others), F.to_json(F.map_entries("metadata")).alias("m")) if "metadata" in others else F.first(F.struct(*others))
-    once = cut(sound.withColumn("metadata", F.coalesce("metadata", F.create_map().cast("map<string,string>"))).groupBy("id", "key").agg(last.alias("row")))
-    least = once.groupBy("id").agg(F.min("key").alias("least"))
-    own = F.when(F.col("key") == F.col("least"), F.col("id").cast("string")).otherwise(F.concat_ws("#", "id", F.left("key", F.lit(16))))
-    return once.join(least, "id").select(own.alias("id"), "row.*"), failed
+    entries = F.map_entries(F.coalesce("metadata", F.create_map().cast("map<string,string>")))  # maps have no order
+    about = F.max(F.struct("source_type", "project", F.array_sort(entries).alias("entries"), "text")).alias("row")
+    once = marked.where("error IS NULL").groupBy("id", F.sha2("text", 256).alias("digest")).agg(about)
+    sound = once.select("id", "row.text", "row.source_type", "row.project", F.map_from_entries("row.entries").alias("metadata"))
+    return sound, marked.where("error IS NOT NULL").select("id", "error")
 
 
 def prepare(raw: DataFrame, now: str, provider: Provider = hash_vectors, promote_metadata: bool = False) -> DataFrame:
@@ -52,8 +47,9 @@ def prepare(raw: DataFrame, now: str, provider: Provider = hash_vectors, promote
 
     Identifiers are hashes of document and place, so a repeated batch gives the same rows.
     """
-    about = raw.select("id", "source_type", "project", "metadata")
-    cut = texts.chunks(raw.select("id", "text")).join(about, "id")
+    raw = raw.withColumn("document_id", texts.document_id())
+    about = raw.select("document_id", "source_type", "project", "metadata")
+    cut = texts.chunks(raw.select("id", "text")).join(about, "document_id")
     kind = classify(F.col("chunk"), F.col("source_type"))
     meta = F.map_concat(
         F.coalesce(F.col("metadata"), F.create_map().cast("map<string,string>")),

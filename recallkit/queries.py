@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable
 
@@ -13,11 +14,12 @@ from recallkit.config import ListFilter, SearchStrategy
 from recallkit.functions import classify as classes
 from recallkit.functions import scalars
 from recallkit.functions.lineage import shared_folder
-from recallkit.operators import dedup, filters, fusion, graph, keyword, links, policy, stats, vector
-from recallkit.plans import lifecycle, search
+from recallkit.operators import cells, dedup, filters, fusion, graph, keyword, links, policy, stats, vector
+from recallkit.plans import ingest, lifecycle, search
 from recallkit.sources import text as texts
 from recallkit.sources import views
 from recallkit.sources.index import Index
+from recallkit.sources.store import MEMORY
 from recallkit.streaming import jobs
 
 NOW = "2024-02-01 00:00:00"
@@ -171,7 +173,29 @@ def semantic_edges(spark, d):
     return links.related_edges(rows, rows, 0.2)
 
 
-@register("ingest_decisions")
+@register("similarity_pairs_cells", f"WITH {MEM}, {NEAR} SELECT query_id AS id_a, id AS id_b, score FROM near WHERE query_id < id AND score >= 0.4")
+def similarity_pairs_cells(spark, d):
+    return cells.similar_pairs(views.memories(spark, d).where("embedding IS NOT NULL").select("id", "embedding"), 0.4)
+
+
+def fold_sql(among: str, new: str, old: str, order: str, replace: float, merge: float, more: str = "") -> str:
+    """Decisions one after the other: a recursion that carries the rows archived so far."""
+    return f"""WITH RECURSIVE {MEM}, rows AS (SELECT * FROM memories WHERE {among}),
+    ordered AS (SELECT id, embedding, project, row_number() OVER (ORDER BY {order}) AS n FROM rows WHERE {new}),
+    known AS (SELECT id, embedding, project, n FROM ordered UNION ALL SELECT id, embedding, project, 0 FROM rows WHERE {old}),
+    pairs AS (SELECT a.n, b.id AS other, round(list_cosine_similarity(a.embedding, b.embedding), 6) AS s FROM ordered a JOIN known b
+      ON b.n < a.n AND (a.project IS NULL OR a.project = b.project) WHERE a.embedding IS NOT NULL AND b.embedding IS NOT NULL),
+    listed AS (SELECT o.n, o.id, coalesce(list({{'s': s, 'other': other}} ORDER BY s DESC, other) FILTER (s >= {merge}), []) AS near
+      FROM ordered o LEFT JOIN pairs p USING (n) GROUP BY ALL),
+    run AS (SELECT 0::BIGINT AS n, NULL::BIGINT AS id, []::BIGINT[] AS archived, NULL::BIGINT AS existing_id, NULL::DOUBLE AS similarity
+      UNION ALL SELECT n, id, CASE WHEN pick.s >= {replace} THEN list_append(archived, pick.other) ELSE archived END, pick.other, pick.s
+      FROM (SELECT l.n, l.id, r.archived, list_filter(l.near, lambda c: NOT list_contains(r.archived, c.other))[1] AS pick
+            FROM run r JOIN listed l ON l.n = r.n + 1))
+    SELECT id, CASE WHEN similarity >= {replace} THEN 'REPLACE' WHEN similarity >= {merge} THEN 'MERGE_CANDIDATE' ELSE 'INSERT' END AS action,
+      existing_id{more} FROM run WHERE n > 0"""
+
+
+@register("ingest_decisions", fold_sql("archived_at IS NULL", "id % 2 = 1", "id % 2 = 0", "id", 0.35, 0.3, ", similarity"))
 def ingest_decisions(spark, d):
     """Odd rows, in order of id, against even ones; thresholds that these vectors reach."""
     rows = views.memories(spark, d).where("archived_at IS NULL")
@@ -179,6 +203,56 @@ def ingest_decisions(spark, d):
     return dedup.decide_batch(new, rows.where("id % 2 = 0").select("id", "embedding", "project"), 0.35, 0.3)
 
 
+def digit_vectors(given: list[str]) -> list[list[float]]:
+    """Vectors that SQL can make too: the digits of a text's MD5."""
+    return [[int(c, 16) - 7.5 for c in hashlib.md5(t.encode()).hexdigest()] for t in given]
+
+
+def _ingested(spark: SparkSession, d: str) -> ingest.Batch:
+    """All turns as notes of their session, each of them twice, into an empty store."""
+    turns = spark.read.parquet(f"{d}/conversations.parquet").select(
+        F.concat_ws("-", "conv_id", "turn").alias("id"), "text", F.lit("manual").alias("source_type"),
+        F.concat(F.lit("p"), F.col("conv_id") % 7).alias("project"),
+        F.create_map(F.lit("session_id"), F.col("conv_id").cast("string"), F.lit("turn_start"), F.col("turn").cast("string")).alias("metadata"),
+    )
+    stored = spark.createDataFrame([], MEMORY)
+    return ingest.ingest(turns.unionByName(turns), stored, NOW, digit_vectors)
+
+
+INGESTED = r"""raw AS (
+  SELECT conv_id || '-' || turn AS raw_id, 'p' || conv_id % 7 AS project, conv_id, text, lpad(CAST(turn AS VARCHAR), 12, '0') || chr(9) || conv_id || '-' || turn || chr(9) || '000000000' AS place
+  FROM (SELECT DISTINCT conv_id, turn, text FROM conversations WHERE trim(text, chr(32)) <> '')),
+saved AS (
+  SELECT sha256(sha256(raw_id || '|' || text) || '|0') AS id, project, conv_id, place, text,
+    list_transform(range(1, 33), lambda i: CAST(strpos('0123456789abcdef', substr(md5(text), i, 1)) AS DOUBLE) - 8.5) AS v FROM raw),
+decided AS (
+  SELECT *, lag(id) OVER same AS older, lead(place) OVER same AS until FROM saved
+  WINDOW same AS (PARTITION BY project, text ORDER BY place, id))"""
+
+
+@register("ingest_saved", f"""WITH {INGESTED} SELECT id, CASE WHEN older IS NULL THEN 'INSERT' ELSE 'REPLACE' END AS action,
+    older AS existing_id, until IS NOT NULL AS archived FROM decided""")
+def ingest_saved(spark, d):
+    """No two texts of the table are near without being equal, so the fold is a chain of equal ones."""
+    batch = _ingested(spark, d)
+    kept = batch.memories.select("id", F.col("archived_at").isNotNull().alias("archived"))
+    return batch.decisions.select("id", "action", "existing_id").join(kept, "id")
+
+
+@register("ingest_edges", f"""WITH {INGESTED}, steps AS (
+      SELECT id, lag(id) OVER (PARTITION BY project, conv_id ORDER BY place, id) AS before FROM decided),
+    near AS (
+      SELECT a.id, b.id AS other, round(list_cosine_similarity(a.v, b.v), 6) AS s FROM decided a JOIN decided b
+      ON a.project = b.project AND (a.id = b.id OR (b.place < a.place AND (b.until IS NULL OR a.place < b.until)))),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, other) AS n FROM near WHERE s >= 0.7)
+    SELECT before AS from_id, id AS to_id, 'TEMPORAL_NEXT' AS edge_type FROM steps WHERE before IS NOT NULL
+    UNION ALL SELECT id, before, 'TEMPORAL_PREV' FROM steps WHERE before IS NOT NULL
+    UNION ALL SELECT id, other, 'SEMANTICALLY_RELATED' FROM ranked WHERE n <= 10 AND id <> other
+    UNION ALL SELECT id, older, 'SUPERSEDES' FROM decided WHERE older IS NOT NULL""")
+def ingest_edges(spark, d):
+    return _ingested(spark, d).edges.select("from_id", "to_id", "edge_type")
+
+
 # -- keywords --------------------------------------------------------------------------------
 
 
@@ -670,7 +744,7 @@ def dedup_decision(spark, d):
     return dedup.decide(m.where("id % 10 = 0"), m.where("id % 10 <> 0 AND archived_at IS NULL"), 0.3, 0.2)
 
 
-@register("dedup_fold")
+@register("dedup_fold", fold_sql("true", "true", "false", "created_at, id", 0.45, 0.40))
 def dedup_fold(spark, d):
     m = views.memories(spark, d).select("id", F.col("created_at").cast("timestamp").alias("created_at"), "project", "embedding")
     return dedup.fold(m, 0.45, 0.40)
