@@ -20,7 +20,7 @@ from recallkit.sources import text as texts
 from recallkit.sources import views
 from recallkit.sources.index import Index
 from recallkit.sources.store import MEMORY
-from recallkit.streaming import jobs
+from recallkit.streaming import jobs, state
 
 NOW = "2024-02-01 00:00:00"
 LATER = "2024-06-01 00:00:00"
@@ -838,26 +838,93 @@ def tumbling_counts(spark, d):
     return _naive(jobs.tumbling_counts(views.table(spark, d, "events")), "window_start")
 
 
+def _pieces(spark: SparkSession, d: str) -> list[DataFrame]:
+    """The events in four pieces of time, with planted deliveries.
+
+    Every tenth event comes again with the next piece, every seventh comes up to 30 minutes after
+    its neighbours (within the watermark); a last piece of one event a month later closes what is open.
+    """
+    events = views.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    bounds = events.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    step = (bounds["b"] - bounds["a"]) / 4
+    arrives = F.col("ts") + F.when(F.col("event_id") % 7 == 0, F.make_dt_interval(F.lit(0), F.lit(0), F.lit(30))).otherwise(F.make_dt_interval())
+    span = [F.lit(bounds["a"] + step * i) for i in range(5)]
+    own = [events.where((arrives >= span[i]) & ((arrives < span[i + 1]) if i < 3 else F.lit(True))) for i in range(4)]
+    again = [own[0].where("false"), *[p.where("event_id % 10 = 0") for p in own[:3]]]
+    last = events.limit(1).withColumns({"user_id": F.lit(-1).cast("bigint"), "event_id": F.lit(-1).cast("bigint"),
+                                        "ts": F.lit(bounds["b"]) + F.make_dt_interval(F.lit(31))})
+    return [*[p.unionByName(q) for p, q in zip(own, again)], last.select(*events.columns)]
+
+
+def _folder(spark: SparkSession, label: str) -> str:
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 @register("stream_tumbling", HOURLY)
 def stream_tumbling(spark, d):
-    stream = jobs.tumbling_counts(jobs.events_stream(spark, d))
-    return _naive(jobs.drain(stream, "stream_tumbling", "complete"), "window_start")
+    """Hours close as the watermark passes them; each event counts once, late ones within the hour too."""
+    found = jobs.replay(_pieces(spark, d), lambda s: jobs.tumbling_counts(jobs.deduplicated(s), late=None), _folder(spark, "tumbling"))
+    first = views.table(spark, d, "events").agg(F.max("ts")).first()[0]  # the closing event's own hour is open
+    return _naive(found, "window_start").where(F.col("window_start") <= F.lit(first))
 
 
 @register("stream_sessions", SESSIONS)
 def stream_sessions(spark, d):
-    stream = jobs.sessions(jobs.events_stream(spark, d), "6 hours")
-    return _naive(jobs.drain(stream, "stream_sessions", "complete"), "session_start", "session_end")
+    found = jobs.replay(_pieces(spark, d), lambda s: jobs.sessions(jobs.deduplicated(s), "6 hours", None), _folder(spark, "idle"))
+    return _naive(found.where("user_id >= 0"), "session_start", "session_end")
 
 
 @register("stream_every_n", NTH)
 def stream_every_n(spark, d):
-    return jobs.drain(jobs.every_nth_stream(jobs.events_stream(spark, d), 5), "stream_every_n")
+    """Each piece once, in order: a counter of micro-batches has the order of their arrival."""
+    events = views.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    day = F.dayofmonth("ts")
+    pieces = [events.where(day < 8), events.where((day >= 8) & (day < 16)), events.where(day >= 16)]
+    found = jobs.replay(pieces, lambda s: jobs.every_nth_stream(s, 5), _folder(spark, "nth"))
+    return found
 
 
 @register("stream_dedup", "SELECT event_id, user_id FROM events")
 def stream_dedup(spark, d):
-    return jobs.drain(jobs.deduplicated(jobs.events_stream(spark, d)), "stream_dedup").select("event_id", "user_id")
+    """Events delivered twice within the watermark, of ten days here, are given once."""
+    found = jobs.replay(_pieces(spark, d), lambda s: jobs.deduplicated(s, "10 days"), _folder(spark, "once"))
+    return found.where("user_id >= 0").select("event_id", "user_id")
+
+
+@register("stream_limited_sessions", """WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    w AS (SELECT user_id, n, t, t AS t0 FROM e WHERE n = 1
+      UNION ALL SELECT e.user_id, e.n, e.t, CASE WHEN e.t - w.t >= 43200000000 OR e.t - w.t0 >= 172800000000 THEN e.t ELSE w.t0 END
+      FROM w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1)
+    SELECT user_id, make_timestamp(t0) AS session_start, make_timestamp(least(max(t) + 43200000000, t0 + 172800000000)) AS session_end, count(*) AS n
+    FROM w GROUP BY user_id, t0""")
+def stream_limited_sessions(spark, d):
+    """Sessions of 12 idle hours and two days at most, over pieces with late and redelivered events."""
+    def build(stream: DataFrame) -> DataFrame:
+        return state.limited_sessions(jobs.deduplicated(stream), 43_200, 172_800, late=None)
+
+    found = jobs.replay(_pieces(spark, d), build, _folder(spark, "sessions")).where("user_id >= 0")
+    return _naive(found, "session_start", "session_end")
+
+
+@register("stream_ring", """SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 3""")
+def stream_ring(spark, d):
+    """The last three events of each user; redelivered ones take no place."""
+    found = jobs.replay_updates(_pieces(spark, d), lambda s: state.rings(s, 3), _folder(spark, "ring"), "user_id")
+    return found.where("user_id >= 0").select("user_id", "event_id")
+
+
+@register("stream_redelivery", "SELECT event_id, user_id FROM events")
+def stream_redelivery(spark, d):
+    """Pieces with repeated events, the second of them delivered whole once more at the end."""
+    pieces = _pieces(spark, d)
+    folder = _folder(spark, "ledger")
+    ledger = jobs.Ledger(spark, f"{folder}/sink")
+    write = ledger.writer("events", F.lit("events"), F.col("event_id"))
+    for piece in [*pieces[:4], pieces[1]]:
+        piece.write.mode("append").parquet(f"{folder}/in")
+        jobs.each_batch(spark.readStream.schema(piece.schema).parquet(f"{folder}/in"), write, f"{folder}/checkpoint")
+    write(pieces[0], 0)  # a micro-batch that is run again
+    return ledger.rows(pieces[0].schema).select("event_id", "user_id")
 
 
 # -- policies --------------------------------------------------------------------------------

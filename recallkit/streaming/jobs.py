@@ -6,13 +6,17 @@ beside them, and both give the same rows once a stream is drained.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from recallkit.functions.lineage import cut
+from recallkit.sources.manifest import Manifest, new_batch
+
 FAILURES = 5
 FAILURE_SECONDS = 600
 FAILURE_RUN = 3
@@ -48,19 +52,93 @@ def each_batch(stream: DataFrame, write: Callable[[DataFrame, int], None], check
     query.trigger(availableNow=True).start().awaitTermination()
 
 
-def tumbling_counts(events: DataFrame, size: str = "1 hour", late: str = "1 hour") -> DataFrame:
-    """Events by window and type; events later than the watermark are dropped, like rows behind a cursor."""
-    if events.isStreaming:
+def replay(pieces: Iterable[DataFrame], build: Callable[[DataFrame], DataFrame], folder: str) -> DataFrame:
+    """The rows that a stream in append mode gives for pieces that arrive one after the other.
+
+    Each piece is written to ``folder``, which driver and executors share, and the stream is started
+    anew from its checkpoint; its result is appended to files.
+    """
+    spark = None
+    for piece in pieces:
+        spark = piece.sparkSession
+        piece.write.mode("append").parquet(f"{folder}/in")
+        stream = build(spark.readStream.schema(piece.schema).parquet(f"{folder}/in"))
+        writer = stream.writeStream.format("parquet").option("path", f"{folder}/out")
+        writer = writer.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+        writer.start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+def replay_updates(pieces: Iterable[DataFrame], build: Callable[[DataFrame], DataFrame], folder: str, key: str) -> DataFrame:
+    """As :func:`replay` in update mode: of each key the rows of the last micro-batch that gave any."""
+    def keep(batch: DataFrame, number: int) -> None:
+        # a batch that is run again writes the same folder
+        batch.write.mode("overwrite").parquet(f"{folder}/out/number={number}")
+
+    spark = None
+    for piece in pieces:
+        spark = piece.sparkSession
+        piece.write.mode("append").parquet(f"{folder}/in")
+        stream = build(spark.readStream.schema(piece.schema).parquet(f"{folder}/in"))
+        writer = stream.writeStream.foreachBatch(keep).outputMode("update")
+        writer.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    given = spark.read.parquet(f"{folder}/out")
+    last = given.groupBy(key).agg(F.max("number").alias("last")).withColumnRenamed(key, "__key")
+    return given.join(last, (F.col(key) == F.col("__key")) & (F.col("number") == F.col("last"))).select(*stream.columns)
+
+
+class Ledger:
+    """What a sink has taken, by source and offset, listed in one step with the rows themselves.
+
+    A micro-batch that is run again, and rows that are delivered again however late, add nothing.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        self.manifest = Manifest(spark, f"{path}/manifest")
+
+    def taken(self) -> DataFrame:
+        return self.manifest.read(self.path, "taken", "source string, `offset` bigint").drop("version")
+
+    def rows(self, schema: T.StructType) -> DataFrame:
+        return self.manifest.read(self.path, "rows", schema).drop("version")
+
+    def writer(self, stream: str, source: Column, offset: Column) -> Callable[[DataFrame, int], None]:
+        """A function for ``foreachBatch``; ``stream`` names the query, whose batches are numbered."""
+
+        def write(batch: DataFrame, number: int) -> None:
+            if any((e.get("stream"), e.get("run")) == (stream, number) for e in self.manifest.entries()):
+                return
+            marked = batch.withColumns({"__source": source.cast("string"), "__offset": offset.cast("bigint")})
+            once = marked.dropDuplicates(["__source", "__offset"])
+            known = self.taken().select(F.col("source").alias("__source"), F.col("offset").alias("__offset"))
+            fresh = cut(once.join(known, ["__source", "__offset"], "left_anti"))
+            name = new_batch()
+            fresh.drop("__source", "__offset").write.parquet(f"{self.path}/rows/batch={name}")
+            keys = fresh.select(F.col("__source").alias("source"), F.col("__offset").alias("offset"))
+            keys.write.parquet(f"{self.path}/taken/batch={name}")
+            self.manifest.commit(name, ["rows", "taken"], stream=stream, run=number)
+
+        return write
+
+
+def tumbling_counts(events: DataFrame, size: str = "1 hour", late: str | None = "1 hour") -> DataFrame:
+    """Events by window and type; events later than the watermark are dropped, like rows behind a cursor.
+
+    ``late`` is None for a stream that has its watermark already.
+    """
+    if events.isStreaming and late:
         events = events.withWatermark("ts", late)
-    grouped = events.groupBy(F.window(F.col("ts").cast("timestamp"), size).alias("w"), "event_type")
+    grouped = events.groupBy(F.window("ts" if events.isStreaming else F.col("ts").cast("timestamp"), size).alias("w"), "event_type")
     return grouped.agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), "event_type", "n")
 
 
-def sessions(events: DataFrame, idle: str = IDLE, late: str = "1 hour") -> DataFrame:
+def sessions(events: DataFrame, idle: str = IDLE, late: str | None = "1 hour") -> DataFrame:
     """``user_id, session_start, session_end, n``: activity without a gap of ``idle``; each event prolongs it."""
-    if events.isStreaming:
+    if events.isStreaming and late:
         events = events.withWatermark("ts", late)
-    grouped = events.groupBy("user_id", F.session_window(F.col("ts").cast("timestamp"), idle).alias("w"))
+    time = "ts" if events.isStreaming else F.col("ts").cast("timestamp")  # a cast would lose the watermark
+    grouped = events.groupBy("user_id", F.session_window(time, idle).alias("w"))
     found = grouped.agg(F.count("*").alias("n"))
     return found.select("user_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
 
