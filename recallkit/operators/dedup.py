@@ -182,31 +182,45 @@ def consolidate(
     heal: float = config.REPLACE_THRESHOLD,
     merge: float = config.MERGE_THRESHOLD,
     k: int = config.DEDUP_TOP_K,
+    visitors: DataFrame | None = None,
 ) -> DataFrame:
     """``id, survivor, stage``: rows that consolidation archives, and the newer row that stays.
 
+    ``visitors`` (``id``) are the rows that look around, all by default: a page of them at a time,
+    in order, each on what the pages before left, gives what one run gives.
+
     Rows are visited in order of (created_at, id); each looks at its ``k`` nearest active rows of
     all projects, itself among them, keeps those of its own project, and archives the older of
     each pair: first pairs at ``heal`` or more, then those at ``merge``.  Neighbours below
     ``merge`` only fill places among the ``k``; a row's list is cut again as rows are archived.
     """
     active = memories.where("archived_at IS NULL AND embedding IS NOT NULL").select("id", "created_at", "project", "embedding")
-    pairs = cut(cells.similar_pairs(active.select("id", "embedding"), merge))
+    vectors = active.select("id", "embedding")
+    if visitors is None:
+        pairs = cut(cells.similar_pairs(vectors, merge))
+        active = active.withColumn("visits", F.lit(True))
+    else:
+        own = visitors.select("id").distinct()
+        near = cells.near_rows(vectors.join(own, "id", "left_semi"), vectors, merge).where("query_id <> id")
+        ends = [F.least("query_id", "id").alias("id_a"), F.greatest("query_id", "id").alias("id_b")]
+        pairs = cut(near.select(*ends, "score").distinct())
+        active = active.join(own.withColumn("visits", F.lit(True)), "id", "left").fillna(False, ["visits"])
     rooted = _components(pairs)
     kind = memories.schema["id"].dataType.simpleString()
     sides = pairs.select(F.col("id_a").alias("id"), F.col("id_b").alias("other"), "score").unionByName(
         pairs.select(F.col("id_b").alias("id"), F.col("id_a").alias("other"), "score")
     )
-    rows = sides.join(rooted, "id").join(active.select("id", "created_at", "project"), "id")
+    rows = sides.join(rooted, "id").join(active.select("id", "created_at", "project", "visits"), "id")
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         about = {r.id: (r.created_at, r.id, r.project) for r in part.itertuples(index=False)}
+        visiting = set(part["id"][part["visits"]])
         near: dict = {}
         for r in part.itertuples(index=False):
             near.setdefault(r.id, []).append((-r.score, r.other))
         gone: dict = {}
         for now in sorted(about, key=lambda i: about[i][:2]):
-            if now in gone:
+            if now in gone or now not in visiting:
                 continue
             # itself takes a place among the k; rows under `merge` come after all of these
             live = [(s, o) for s, o in sorted([*near[now], (-1.0, now)]) if o not in gone][:k]

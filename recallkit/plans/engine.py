@@ -193,6 +193,29 @@ class Engine:
             self.store.update(cut(embed(stayed, self.provider).select("id", "embedding")))
         return counts
 
+    def consolidate_all(self, now: str, page_rows: int = 100_000, most: int | None = None) -> int:
+        """Consolidate what was saved since the last time, page after page; gives the pages done.
+
+        Each page is one batch: rows archived, edges, and the cursor that the next one starts from,
+        so a run that dies is taken up where it stood.  ``most`` stops after as many pages.
+        """
+        if self.read_only:
+            raise ReadOnly(self.store.path)
+        held = self.manifest.latest("cursor")
+        active = cut(self.memories())
+        done = 0
+        for page in lifecycle.consolidation_pages(active, page_rows, tuple(held) if held else None):
+            name = new_batch()
+            stamp = F.create_map(F.lit("consolidated_at"), F.lit(now))
+            edges = page.merged.select(F.col("survivor").alias("from_id"), F.col("id").alias("to_id"),
+                                       F.lit(config.FREE_EDGE).alias("edge_type"), stamp.alias("props"))
+            parts = self._write_edges(name, edges)
+            self.store.commit(None, page.merged.select("id"), now, name, parts, cursor=list(page.cursor))
+            done += 1
+            if done == most:
+                break
+        return done
+
     def reindex(self) -> None:
         """Index all rows anew, as after a change of texts in the store; older postings are read no more."""
         at = self.manifest.last()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -42,6 +43,43 @@ def purge_candidates(
     return rows.select("id", "archived_at")
 
 
+@dataclass
+class Page:
+    """What one page of a consolidation archives (``id, survivor, stage``), and where the next one begins."""
+
+    merged: DataFrame
+    cursor: tuple
+    last: bool
+
+
+def consolidation_pages(
+    memories: DataFrame, page_rows: int, cursor: tuple | None = None, **thresholds: float
+) -> Iterator[Page]:
+    """Consolidate rows after ``cursor`` (``created_at, id``) in pages of ``page_rows``, until none is left.
+
+    A page is worked out when it is asked for, on what those before it left: whoever stops after a
+    page and starts again from its cursor, with its rows archived, gets the rest of the same run.
+    """
+    gone = None
+    while True:
+        state = memories if gone is None else memories.join(gone, "id", "left_anti")
+        rows = state.where("archived_at IS NULL AND embedding IS NOT NULL").select("created_at", "id")
+        if cursor is not None:
+            at = F.lit(cursor[0]).cast(memories.schema["created_at"].dataType)
+            rows = rows.where((F.col("created_at") > at) | ((F.col("created_at") == at) & (F.col("id") > F.lit(cursor[1]))))
+        page = cut(rows.orderBy("created_at", "id").limit(page_rows))
+        about = page.agg(F.count("*").alias("n"), F.max(F.struct("created_at", "id")).alias("order")).first()
+        if not about["n"]:
+            return
+        merged = cut(dedup.consolidate(state, visitors=page.select("id"), **thresholds))
+        cursor = (str(about["order"]["created_at"]), about["order"]["id"])
+        yield Page(merged, cursor, about["n"] < page_rows)
+        if about["n"] < page_rows:
+            return
+        here = merged.select("id")
+        gone = cut(here if gone is None else gone.unionByName(here))
+
+
 @dataclass
 class Cleanup:
     """What a clean-up leaves, and its counts."""

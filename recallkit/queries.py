@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from recallkit.config import ListFilter, SearchStrategy
 from recallkit.functions import classify as classes
 from recallkit.functions import scalars
-from recallkit.functions.lineage import shared_folder
+from recallkit.functions.lineage import cut, shared_folder
 from recallkit.operators import cells, dedup, filters, fusion, graph, keyword, links, policy, stats, vector
 from recallkit.plans import ingest, lifecycle, search
 from recallkit.sources import text as texts
@@ -750,10 +751,43 @@ def dedup_fold(spark, d):
     return dedup.fold(m, 0.45, 0.40)
 
 
-@register("consolidate")
+#: Rows in order; of its five nearest each archives the older ones up to the first newer one, which archives it.
+MERGED = f"""WITH RECURSIVE {MEM}, ordered AS (SELECT id, embedding, row_number() OVER (ORDER BY created_at, id) AS n
+      FROM memories WHERE archived_at IS NULL AND embedding IS NOT NULL),
+    pairs AS (SELECT a.n, b.id AS other, b.n AS m, CASE WHEN a.n = b.n THEN 1.0 ELSE round(list_cosine_similarity(a.embedding, b.embedding), 6) END AS s
+      FROM ordered a, ordered b),
+    listed AS (SELECT o.n, o.id, list({{'s': s, 'other': other, 'm': m}} ORDER BY s DESC, other) AS near
+      FROM ordered o JOIN pairs p ON p.n = o.n AND s >= 0.40 GROUP BY ALL),
+    run AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS gone, []::STRUCT(id BIGINT, survivor BIGINT, stage VARCHAR)[] AS fresh
+      UNION ALL SELECT n, list_concat(gone, list_transform(fresh, lambda f: f.id)), fresh FROM (
+        SELECT n, gone, CASE WHEN list_contains(gone, id) THEN [] ELSE list_concat(
+          list_transform(c[1:coalesce(pos - 1, len(c))], lambda x: {{'id': x.other, 'survivor': id, 'stage': CASE WHEN x.s >= 0.45 THEN 'self-healing' ELSE 'consolidation' END}}),
+          list_transform(c[coalesce(pos, len(c) + 1):coalesce(pos, 0)], lambda x: {{'id': id, 'survivor': x.other, 'stage': CASE WHEN x.s >= 0.45 THEN 'self-healing' ELSE 'consolidation' END}})) END AS fresh
+        FROM (SELECT *, list_position(list_transform(c, lambda x: x.m > n), true) AS pos FROM (
+          SELECT n, id, gone, list_concat(list_filter(live, lambda x: x.s >= 0.45), list_filter(live, lambda x: x.s < 0.45)) AS c FROM (
+            SELECT l.n, l.id, r.gone, list_filter(list_filter(l.near, lambda x: NOT list_contains(r.gone, x.other))[1:5], lambda x: x.other <> l.id) AS live
+            FROM run r JOIN listed l ON l.n = r.n + 1)))))
+    SELECT f.id, f.survivor, f.stage FROM (SELECT unnest(fresh) AS f FROM run)"""
+
+
+def _one_project(spark: SparkSession, d: str) -> DataFrame:
+    return views.memories(spark, d).withColumn("created_at", F.col("created_at").cast("timestamp")).withColumn("project", F.lit("all"))
+
+
+@register("consolidate", MERGED)
 def consolidate(spark, d):
-    m = views.memories(spark, d).withColumn("created_at", F.col("created_at").cast("timestamp")).withColumn("project", F.lit("all"))
-    return dedup.consolidate(m, 0.45, 0.40)
+    return dedup.consolidate(_one_project(spark, d), 0.45, 0.40)
+
+
+@register("cleanup_drained", MERGED)
+def cleanup_drained(spark, d):
+    """The same in pages; the first run stops after one, a second goes on from its cursor until all is done."""
+    rows = cut(_one_project(spark, d))
+    n = max(1, rows.where("archived_at IS NULL AND embedding IS NOT NULL").count() // 3)
+    first = next(lifecycle.consolidation_pages(rows, n, heal=0.45, merge=0.40))
+    left = cut(rows.join(first.merged, "id", "left_anti"))
+    rest = [p.merged for p in lifecycle.consolidation_pages(left, n, first.cursor, heal=0.45, merge=0.40)]
+    return reduce(DataFrame.unionByName, rest, first.merged)
 
 
 @register("cleanup_counts")

@@ -175,13 +175,21 @@ class Store:
         self.commit(rows, None, "")
 
     def commit(
-        self, rows: DataFrame, archived: DataFrame | None, now: str, batch: str | None = None, parts: list[str] | None = None
+        self,
+        rows: DataFrame | None,
+        archived: DataFrame | None,
+        now: str,
+        batch: str | None = None,
+        parts: list[str] | None = None,
+        **about,
     ) -> None:
         """One batch at once: new rows, and the rows they replace (``id``) archived.
 
-        ``batch`` and ``parts`` name other parts already written, which are listed with the rows.
+        ``batch`` and ``parts`` name other parts already written, which are listed with the rows;
+        ``about`` is noted in the manifest.
         """
         self._writable()
+        rows = self.spark.createDataFrame([], MEMORY) if rows is None else rows
         dimension = self.checked(rows)
         self._distinct_ids(rows)
         if self.unique_content:
@@ -193,7 +201,7 @@ class Store:
             new = new.unionByName(old.withColumn("archived_at", F.lit(now).cast("timestamp")).select(*columns))
         batch = batch or new_batch()
         self.write_rows(batch, new, counted=at)
-        self.manifest.commit(batch, ["rows", *(parts or [])], buckets=self._buckets(), dimension=dimension)
+        self.manifest.commit(batch, ["rows", *(parts or [])], buckets=self._buckets(), dimension=dimension, **about)
 
     def update(self, changes: DataFrame) -> None:
         """Replace the given columns of existing rows (``changes``: ``id`` and columns to set).
