@@ -132,7 +132,7 @@ def running(df: DataFrame, order: list, xors: list[str], sums: list[str], label:
     return joined.select(*[fixed.get(c, F.col(c)).alias(c) for c in names if c != "part"])
 
 
-def _family(heads: pa.Table, own: pa.Table) -> pa.Table:
+def _family(heads: pa.Table, own: pa.Table, near: int) -> pa.Table:
     """Steps of a family: ``n`` members at the row of the family's owner of a node, 0 at the others'."""
     head = heads.sort_by("k")
     out: dict[str, list] = {name: [] for name in (f.split()[0] for f in _STEP.split(", "))}
@@ -143,8 +143,8 @@ def _family(heads: pa.Table, own: pa.Table) -> pa.Table:
     for start, stop in zip(cuts[:-1], cuts[1:]):
         conv = int(convs[start])
         h = zlib.crc32(str(conv).encode()) % HEADS
-        mine = own.slice(start + h, max(0, min(stop - start, NEAR) - h))
-        more = stop - start > NEAR
+        mine = own.slice(start + h, max(0, min(stop - start, near) - h))
+        more = stop - start > near
         a, b, size = (np.concatenate([head.column(c).to_numpy()[:h], mine.column(c).to_numpy()]) for c in ("a", "b", "bytes"))
         depth = np.arange(len(a) + 1)
         bits = [np.r_[0, np.bitwise_xor.accumulate(v)] for v in _path_bits(depth[1:], a, b)]
@@ -170,28 +170,32 @@ def _family(heads: pa.Table, own: pa.Table) -> pa.Table:
     return pa.table({k: pa.array(v, pa.bool_() if k in ("last", "goes_on") else pa.int64()) for k, v in out.items()})
 
 
-def family_steps(numbered: DataFrame) -> DataFrame:
-    """Steps of all conversations up to ``NEAR`` own turns, by a cogroup of heads and turns by base."""
+def family_steps(numbered: DataFrame, near: int = NEAR) -> DataFrame:
+    """Steps of all conversations up to ``near`` own turns, by a cogroup of heads and turns by base."""
     base = (F.col("conv_id") - F.col("conv_id") % FAMILY).alias("base")
-    own = numbered.where(F.col("k") <= NEAR + 1).select(base, "conv_id", "k", "a", "b", "bytes")
+    own = numbered.where(F.col("k") <= near + 1).select(base, "conv_id", "k", "a", "b", "bytes")
     heads = own.where((F.col("conv_id") == F.col("base")) & (F.col("k") < HEADS)).select(
         *[F.col(c).alias(c) for c in ("base", "k", "a", "b", "bytes")]  # columns of its own, for the cogroup
     )
-    return heads.groupBy("base").cogroup(own.groupBy("base")).applyInArrow(_family, _STEP)
 
+    def build(left: pa.Table, right: pa.Table) -> pa.Table:
+        return _family(left, right, near)
 
-def _far_steps(numbered: DataFrame, near: DataFrame) -> DataFrame:
-    """Steps beyond ``NEAR`` own turns, from the last near step of their conversation."""
-    rows = numbered.where(F.col("k") > NEAR).select("conv_id", "k", "a", "b", "bytes")
+    return heads.groupBy("base").cogroup(own.groupBy("base")).applyInArrow(build, _STEP)
+
+
+def _far_steps(numbered: DataFrame, steps: DataFrame, near: int) -> DataFrame:
+    """Steps beyond ``near`` own turns, from the last near step of their conversation."""
+    rows = numbered.where(F.col("k") > near).select("conv_id", "k", "a", "b", "bytes")
     sizes = rows.groupBy("conv_id").agg(F.count("*").alias("rows"))
-    state = near.where("goes_on").groupBy("conv_id").agg(
+    state = steps.where("goes_on").groupBy("conv_id").agg(
         F.max_by(F.struct("depth", "x", "y", (F.col("before") + F.col("bytes")).alias("total")), "depth").alias("at")
     )
     long = staged(sizes.join(state, "conv_id").select("conv_id", "rows", "at"), "long")
     met = join_heavy(rows, long, ["conv_id"], "rows")
     placed = met.select(
-        "conv_id", (F.col("k") - NEAR + F.col("at.depth")).alias("depth"), "a", "b", "bytes", F.col("at.x").alias("x0"),
-        F.col("at.y").alias("y0"), F.col("at.total").alias("total"), (F.col("k") - NEAR == F.col("rows")).alias("last"),
+        "conv_id", (F.col("k") - near + F.col("at.depth")).alias("depth"), "a", "b", "bytes", F.col("at.x").alias("x0"),
+        F.col("at.y").alias("y0"), F.col("at.total").alias("total"), (F.col("k") - near == F.col("rows")).alias("last"),
     )
     at = {c: placed.columns.index(c) for c in placed.columns}
 
@@ -212,7 +216,7 @@ def _far_steps(numbered: DataFrame, near: DataFrame) -> DataFrame:
     )
 
 
-def _ends(steps: DataFrame) -> DataFrame:
+def _ends(steps: DataFrame, run: int) -> DataFrame:
     """Path and SHA-256 of the ids of the members that end there, ascending and joined by commas."""
     members = steps.where("last").select(*PATH, "conv_id")
     spread = members.repartitionByRange(*PATH, "conv_id").sortWithinPartitions(*PATH, "conv_id")
@@ -223,7 +227,7 @@ def _ends(steps: DataFrame) -> DataFrame:
             new = np.zeros(batch.num_rows, dtype=bool)
             for col in cols:
                 new[1:] |= col[1:] != col[:-1]
-            cuts = sorted({0, batch.num_rows, *np.flatnonzero(new).tolist(), *range(0, batch.num_rows, RUN)})
+            cuts = sorted({0, batch.num_rows, *np.flatnonzero(new).tolist(), *range(0, batch.num_rows, run)})
             ids = pc.cast(batch.column(3), pa.string())
             firsts = cuts[:-1]
             runs = [",".join(ids.slice(i, j - i).to_pylist()) for i, j in zip(cuts, cuts[1:])]
@@ -258,12 +262,15 @@ def _ends(steps: DataFrame) -> DataFrame:
     return map_arrow(met, digest, f"{bits}, ends_sha256 string")
 
 
-def prefix_trie(conversations: DataFrame) -> DataFrame:
-    """One row a node: ``conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256``."""
+def prefix_trie(conversations: DataFrame, near: int = NEAR, run: int = RUN) -> DataFrame:
+    """One row a node: ``conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256``.
+
+    ``near`` (``HEADS`` or more) and ``run`` bound what a task holds and do not change the rows.
+    """
     numbered = running(turns(conversations), [F.col("turn").asc_nulls_first(), "a", "b"], [], [], "turns")
-    near = staged(family_steps(numbered), "near")
-    steps = staged(near.unionByName(_far_steps(numbered, near)), "steps")
-    discard(near)
+    first_steps = staged(family_steps(numbered, near), "near")
+    steps = staged(first_steps.unionByName(_far_steps(numbered, first_steps, near)), "steps")
+    discard(first_steps)
     first = F.min(F.struct("conv_id", "goes_on")).alias("own")
     merged = steps.where("n > 0").groupBy(*PATH).agg(
         first, F.sum("n").alias("n_convs"), F.max("px").alias("px"), F.max("py").alias("py"), F.max("before").alias("before")
@@ -292,7 +299,7 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
     sums = weighed.groupBy(*PATH).agg(
         F.sum("leaf").alias("n_leaves"), F.sum(F.greatest(F.lit(0), F.col("shared") - F.col("before"))).alias("saved_tokens")
     )
-    whole = nodes.join(sums, PATH).join(_ends(steps), PATH, "left").join(above, ["conv_id", "depth"], "left")
+    whole = nodes.join(sums, PATH).join(_ends(steps, run), PATH, "left").join(above, ["conv_id", "depth"], "left")
     own_parent = F.when(F.col("depth") > 0, F.coalesce("parent_conv_id", "conv_id"))
     none = F.lit(hashlib.sha256(b"").hexdigest())
     return whole.select(

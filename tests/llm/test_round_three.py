@@ -185,9 +185,9 @@ def trie_of(rows: list[tuple]) -> list[tuple]:
 NODE = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
 
 
-def found_trie(spark, rows) -> list[tuple]:
+def found_trie(spark, rows, **bounds) -> list[tuple]:
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("depth", F.lit("clash"))
-    return sorted((tuple(r[c] for c in NODE) for r in prefix_trie.prefix_trie(df).collect()), key=repr)
+    return sorted((tuple(r[c] for c in NODE) for r in prefix_trie.prefix_trie(df, **bounds).collect()), key=repr)
 
 
 def test_trie_equals_sql(spark, sf_dir, same):
@@ -199,14 +199,12 @@ def talk(conv: int, length: int, words: str = "ab") -> list[tuple]:
 
 
 @pytest.mark.parametrize("near, run", [(64, 4096), (9, 2)])
-def test_trie_against_brute_force(spark, monkeypatch, near, run):
+def test_trie_against_brute_force(spark, near, run):
     """Copies that share all, part or none of a path; long ones that leave the cogroup of their family."""
-    monkeypatch.setattr(prefix_trie, "NEAR", near)
-    monkeypatch.setattr(prefix_trie, "RUN", run)
     rows = [r for c in (0, 1, 2, 5, 8, 11, 14, 20) for r in talk(c, 4 + c)]
     rows += [(c, t, "user", f"common {t}") for c in range(30, 60) for t in range(3 + (c % 2) * 20)]  # copies
     rows += [(c, t, "user", f"common {t}" if t < 15 else f"own {c}") for c in (60, 61, 65) for t in range(25)]
-    assert found_trie(spark, rows) == trie_of(rows)
+    assert found_trie(spark, rows, near=near, run=run) == trie_of(rows)
 
 
 def test_trie_odd_rows(spark):
