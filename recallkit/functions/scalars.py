@@ -78,6 +78,24 @@ def coerce_index(text: Column) -> Column:
     return F.coalesce(text.try_cast("int"), F.lit(0))
 
 
+def parse_time(text: Column) -> Column:
+    """A moment from ISO 8601 text, with a blank or a T, any fraction, a zone (UTC if none) or the date alone; else null."""
+    clean = F.regexp_replace(F.trim(text), r"(?i)^(\d{4}-\d{2}-\d{2})[t ]", "$1T")
+    clean = F.regexp_replace(clean, r"(?i)z$", "+00:00")
+    sound = clean.rlike(r"^\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?([+-]\d{2}:?\d{2})?)?$")
+    return F.when(sound, clean.try_cast("timestamp"))
+
+
+def format_time(moment: Column) -> Column:
+    """ISO 8601 in UTC with microseconds, as :func:`parse_time` reads it."""
+    return F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+
+
+def normalised(scores: Column, least: Column, most: Column) -> Column:
+    """Scores moved to [0, 1] by the range of their list; all equal ones are 1."""
+    return F.when(most > least, (scores - least) / (most - least)).otherwise(F.lit(1.0))
+
+
 def token_estimate(text: Column) -> Column:
     """Tokens by length: a fourth of mostly ASCII text, a third of other, times 1.5, rounded up."""
     size = F.length(text)

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,21 +12,6 @@ from pyspark.sql import functions as F
 from recallkit import config
 from recallkit.functions.lineage import cut
 
-_WALK = """
-WITH RECURSIVE walk (node_id, from_id, to_id, edge_type, logical_depth, physical_depth, seen) AS (
-  SELECT id, CAST(NULL AS {kind}), CAST(NULL AS {kind}), CAST(NULL AS STRING), 0, 0, array(id) FROM {{seeds}}
-  UNION ALL
-  SELECT e.to_id, e.from_id, e.to_id, e.edge_type,
-         w.logical_depth + CASE WHEN e.edge_type = '{free}' THEN 0 ELSE 1 END,
-         w.physical_depth + 1, array_append(w.seen, e.to_id)
-  FROM walk w JOIN {{edges}} e ON e.from_id = w.node_id
-  WHERE w.logical_depth + CASE WHEN e.edge_type = '{free}' THEN 0 ELSE 1 END <= {depth}
-    AND w.physical_depth < {hops} AND NOT array_contains(w.seen, e.to_id)
-)
-SELECT DISTINCT node_id, from_id, to_id, edge_type, logical_depth, physical_depth FROM walk
-"""
-
-
 def of_types(edges: DataFrame, types: Sequence[str] | None) -> DataFrame:
     """Edges of the types; none given means all, and only unknown ones means none."""
     return edges.where(F.col("edge_type").isin(*types)) if types else edges
@@ -47,18 +33,59 @@ def traverse(
 ) -> DataFrame:
     """Rows of all simple paths from the seeds: ``node_id, from_id, to_id, edge_type, logical_depth,
     physical_depth``.  SUPERSEDES edges cost no depth; depth is at most five.
+    """
+    return walk(edges, nodes, seeds, depth, types, hops, direction)[0]
+
+
+def walk(
+    edges: DataFrame,
+    nodes: DataFrame,
+    seeds: Sequence,
+    depth: int = 2,
+    types: Sequence[str] | None = None,
+    hops: int = config.MAX_HOPS,
+    direction: str = "out",
+    deadline: float | None = None,
+    clock: Callable[[], float] = time.monotonic,
+) -> tuple[DataFrame, bool]:
+    """As :func:`traverse`, and whether ``deadline`` seconds cut it: the rows are those of the whole hops made.
 
-    A recursive query: exact, for bounded neighbourhoods.  :func:`reachable` scales to the nodes of large ones.
+    Paths are exact and as many as they are, so this is for bounded neighbourhoods; :func:`reachable`
+    scales to the nodes of large ones.  Each hop is a join of the paths so far and is checkpointed.
     """
-    spark = edges.sparkSession
-    found = of_types(edges, types).select("from_id", "to_id", "edge_type")
-    if direction == "both":
-        found = both_ways(found)
-    found = cut(found)  # each step of the recursion reads the edges
+    step = of_types(edges, types).select("from_id", "to_id", "edge_type")
+    step = cut(both_ways(step) if direction == "both" else step)  # each hop reads the edges
     start = nodes.select("id").where(F.col("id").isin(*set(seeds))) if seeds else nodes.select("id").where("false")
-    kind = nodes.schema["id"].dataType.simpleString()
-    walk = _WALK.format(kind=kind, free=config.FREE_EDGE, depth=min(depth, config.MAX_DEPTH), hops=hops)
-    return spark.sql(walk, seeds=start, edges=found)
+    kind = nodes.schema["id"].dataType
+    paths = start.select(
+        F.col("id").alias("node_id"), *[F.lit(None).cast(kind).alias(c) for c in ("from_id", "to_id")],
+        F.lit(None).cast("string").alias("edge_type"), F.lit(0).alias("logical_depth"), F.lit(0).alias("physical_depth"),
+        F.array("id").alias("seen"),
+    )
+    made, began, late = [cut(paths)], clock(), False
+    cost = F.when(F.col("edge_type") == config.FREE_EDGE, 0).otherwise(1)
+    for hop in range(1, hops + 1):
+        if deadline is not None and clock() - began > deadline:
+            late = True
+            break
+        last = made[-1].select("node_id", F.col("logical_depth").alias("from_depth"), "seen")
+        further = last.join(step, last["node_id"] == step["from_id"]).select(
+            F.col("to_id").alias("node_id"), "from_id", "to_id", "edge_type", (F.col("from_depth") + cost).alias("logical_depth"),
+            F.lit(hop).alias("physical_depth"), F.array_append("seen", F.col("to_id")).alias("seen"),
+            F.array_contains("seen", F.col("to_id")).alias("again"),
+        )
+        further = cut(further.where((F.col("logical_depth") <= min(depth, config.MAX_DEPTH)) & ~F.col("again")).drop("again"))
+        if further.isEmpty():
+            break
+        made.append(further)
+    rows = reduce(DataFrame.unionByName, made)
+    return rows.drop("seen").distinct(), late
+
+
+def with_metadata(found: DataFrame, memories: DataFrame) -> DataFrame:
+    """Nodes of a traversal (``id`` and more) with what a graph shows of them; nodes that are no memories stay bare."""
+    about = memories.select("id", "memory_type", "project", "importance_score", "created_at", F.col("archived_at").isNotNull().alias("archived"))
+    return found.join(about, "id", "left")
 
 
 def reachable(
@@ -107,21 +134,21 @@ def reachable(
     return known, False
 
 
-def summary(walk: DataFrame, hops: int = config.MAX_HOPS) -> DataFrame:
+def summary(walked: DataFrame, hops: int = config.MAX_HOPS) -> DataFrame:
     """Depth reached, and whether the hop limit may have cut paths."""
-    return walk.agg(
+    return walked.agg(
         F.coalesce(F.max("logical_depth"), F.lit(0)).alias("depth"),
         F.coalesce(F.bool_or(F.col("physical_depth") >= hops), F.lit(False)).alias("at_limit"),
     )
 
 
-def walk_nodes(walk: DataFrame) -> DataFrame:
+def walk_nodes(walked: DataFrame) -> DataFrame:
     """Nodes of a traversal once each, with the least physical depth at which they were met."""
-    return walk.groupBy(F.col("node_id").alias("id")).agg(F.min("physical_depth").alias("depth"))
+    return walked.groupBy(F.col("node_id").alias("id")).agg(F.min("physical_depth").alias("depth"))
 
 
-def walk_edges(walk: DataFrame) -> DataFrame:
-    return walk.where("edge_type IS NOT NULL").select("from_id", "to_id", "edge_type").distinct()
+def walk_edges(walked: DataFrame) -> DataFrame:
+    return walked.where("edge_type IS NOT NULL").select("from_id", "to_id", "edge_type").distinct()
 
 
 def induced(edges: DataFrame, ids: DataFrame) -> DataFrame:

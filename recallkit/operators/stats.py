@@ -38,9 +38,9 @@ def edge_count(edges: DataFrame) -> DataFrame:
 
 
 def summary(memories: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row: counts, edges and number of projects."""
+    """One row: counts, edges, and the number and sorted names of the projects."""
     named = F.when(F.col("project") != "", F.col("project"))
-    rows = memories.agg(*_counts(), F.count_distinct(named).alias("projects"))
+    rows = memories.agg(*_counts(), F.count_distinct(named).alias("projects"), F.array_sort(F.collect_set(named)).alias("names"))
     return rows.crossJoin(edge_count(edges))  # one row each
 
 

@@ -82,11 +82,11 @@ class Engine:
         """``id, error, at`` of all texts that could not be ingested."""
         return self.manifest.read(self.path, "failures", FAILURE).drop("version")
 
-    def save_all(self, raw: DataFrame, now: str) -> DataFrame:
+    def save_all(self, raw: DataFrame, now: str, refused: DataFrame | None = None) -> DataFrame:
         """Ingest raw texts (``id, text, source_type, project, metadata``); gives the decisions.
 
         ``tags`` (with commas) and ``importance`` in the metadata set those columns.  Texts that
-        could not be ingested are in :meth:`failures`.  Rows, edges, postings and failures are one
+        could not be ingested are in :meth:`failures`, ``refused`` (``id, error``) among them.  Rows, edges, postings and failures are one
         batch: it is seen whole once the manifest lists it, and not at all if a step fails.
         """
         if self.read_only:
@@ -97,7 +97,9 @@ class Engine:
         replaced = batch.decisions.where("action = 'REPLACE'").select(F.col("existing_id").alias("id"))
         name = new_batch()
         parts = [*self.index.write(name, batch.memories), *self._write_edges(name, batch.edges), "failures"]
-        batch.failed.select(F.col("id").cast("string").alias("id"), "error", F.lit(now).cast("timestamp").alias("at")).write.parquet(
+        failed = batch.failed.select(F.col("id").cast("string").alias("id"), "error")
+        failed = failed if refused is None else failed.unionByName(refused)
+        failed.select("id", "error", F.lit(now).cast("timestamp").alias("at")).write.parquet(
             f"{self.path}/failures/batch={name}"
         )
         self.store.commit(batch.memories, replaced, now, name, parts)
@@ -137,12 +139,16 @@ class Engine:
     def save_pages(
         self, pages: DataFrame, now: str, project: str | None = None, tags: Sequence[str] = ()
     ) -> DataFrame:
-        """Save fetched pages (``page_id, url, html``)."""
+        """Save fetched pages (``page_id, url, html``, and ``content_type`` if known).
+
+        Pages that may not be ingested are in :meth:`failures` with the reason.
+        """
+        refused = texts.refused_pages(pages).select(F.concat_ws("|", F.col("id").cast("string"), "url").alias("id"), "error")
         raw = texts.documents_from_pages(pages).select(
             F.concat_ws("|", F.col("id").cast("string"), "url").alias("id"), "text", F.lit("url").alias("source_type"),
             F.lit(project).cast("string").alias("project"), F.create_map(F.lit("url"), F.col("url"), *_pairs(_given(tags))).alias("metadata"),
         )
-        return self.save_all(raw, now)
+        return self.save_all(raw, now, refused)
 
     def search(self, query: str, now: str, feedback: bool = True, **options) -> DataFrame:
         """Rows as ``memory_id, content, score, source_type, metadata``; hits count as accesses."""
@@ -155,10 +161,10 @@ class Engine:
     def answer(self, query: str, now: str, strategy: SearchStrategy | None = None, **options) -> DataFrame:
         """A search as one row: query, strategy, number of rows before the cut, and the results."""
         strategy = strategy or SearchStrategy()
-        m, vector = self.memories(), self.provider([query])[0]
+        m, vector, flags = self.memories(), self.provider([query])[0], []
         found = cut(search.search(m, self.links(), query, vector, now, strategy=strategy, with_total=True,
-                                  index=self.index, degrade=True, **options))
-        return search.answer(query, strategy, found, m)
+                                  index=self.index, degrade=True, flags=flags, **options))
+        return search.answer(query, strategy, found, m, flags)
 
     def search_graph(
         self, query: str, now: str, edge_types: Sequence[str] | None = None, depth: int = 2,

@@ -21,14 +21,16 @@ Policy = Callable[[str, SearchStrategy], SearchStrategy]
 
 def graph_hits(
     memories: DataFrame, edges: DataFrame, seeds: Sequence, depth: int, types: Sequence[str] | None = None,
-    seconds: float | None = None,
+    seconds: float | None = None, flags: list[str] | None = None,
 ) -> DataFrame:
     """``id, source, rank`` of the nodes a traversal meets (seeds included), by depth, seed order and id.
 
     Nodes that are no memories are left out.  No hop starts after ``seconds``; what was met by then ranks.
     """
     step = cut(edges.select("from_id", "to_id", "edge_type"))  # each hop reads the edges
-    found, _ = graph.reachable(step, memories.select("id"), seeds, depth, types, deadline=seconds)
+    found, late = graph.reachable(step, memories.select("id"), seeds, depth, types, deadline=seconds)
+    if late and flags is not None:
+        flags.append("graph:timed_out")
     met = found.select("id", F.col("physical_depth").alias("depth")).join(memories.select("id"), "id", "left_semi")
     place = F.coalesce(F.array_position(F.array(*map(F.lit, seeds)), F.col("id")), F.lit(0)) if seeds else F.lit(0)
     order = Window.orderBy("depth", place, "id")
@@ -52,6 +54,7 @@ def search(
     index: Index | None = None,
     degrade: bool = False,
     graph_seconds: float | None = None,
+    flags: list[str] | None = None,
 ) -> DataFrame:
     """``id, rrf_score, final_score, source`` of the best ``top_k`` rows.
 
@@ -60,6 +63,7 @@ def search(
     A source of weight 0 is not planned.  The project is tested after fusion unless
     ``pushdown_project`` asks for it within each source.  With ``index`` the keyword source reads
     stored postings.  With ``degrade`` a source that fails is logged and gives no hits.
+    ``flags`` gets what was cut short: ``graph:timed_out``, and ``<source>:failed``.
     """
     strategy = strategy or SearchStrategy()
     if policy is not None:
@@ -76,6 +80,8 @@ def search(
             return cut(make())
         except Exception as error:
             logging.getLogger(__name__).error("the %s source of a search failed: %s", name, error)
+            if flags is not None:
+                flags.append(f"{name}:failed")
             return none
 
     lists, seeds = [], []
@@ -88,7 +94,7 @@ def search(
     if strategy.keyword > 0:
         lists.append(hits("keyword", lambda: _keyword_ranks(memories, query, scope, index)))
     if seeds:
-        lists.append(hits("graph", lambda: graph_hits(memories, edges, seeds, strategy.depth, seconds=graph_seconds)))
+        lists.append(hits("graph", lambda: graph_hits(memories, edges, seeds, strategy.depth, seconds=graph_seconds, flags=flags)))
     fused = fusion.fuse(reduce(DataFrame.unionByName, lists), memories, strategy, now)
     if project is not None:
         fused = fused.where(F.col("project") == project)
@@ -145,8 +151,10 @@ def response(results: DataFrame, memories: DataFrame) -> DataFrame:
     return rows.orderBy(F.desc("score"), "memory_id")  # top_k rows
 
 
-def answer(query: str, strategy: SearchStrategy, results: DataFrame, memories: DataFrame) -> DataFrame:
-    """One row: ``query, strategy, total_count, results`` of a search made ``with_total``."""
+def answer(
+    query: str, strategy: SearchStrategy, results: DataFrame, memories: DataFrame, flags: Sequence[str] = ()
+) -> DataFrame:
+    """One row: ``query, strategy, total_count, results, flags`` of a search made ``with_total``."""
     shown = response(results, memories)
     best_first = lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).when(
         a["memory_id"] < b["memory_id"], -1
@@ -154,4 +162,5 @@ def answer(query: str, strategy: SearchStrategy, results: DataFrame, memories: D
     listed = shown.agg(F.array_sort(F.collect_list(F.struct(*shown.columns)), best_first).alias("results"))  # at most top_k rows
     total = results.agg(F.coalesce(F.max("total_count"), F.lit(0)).alias("total_count"))
     weights = F.struct(*[F.lit(getattr(strategy, n)).alias(n) for n in ("vector", "keyword", "graph", "depth", "time_decay")])
-    return listed.crossJoin(total).select(F.lit(query).alias("query"), weights.alias("strategy"), "total_count", "results")
+    return listed.crossJoin(total).select(F.lit(query).alias("query"), weights.alias("strategy"), "total_count", "results",
+                                           F.array(*map(F.lit, flags)).cast("array<string>").alias("flags"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import uuid
 from collections.abc import Callable
 from functools import reduce
@@ -420,6 +421,12 @@ _listing(
     "archived_at IS NULL AND (created_at, id) > (TIMESTAMP '2024-01-01 06:00:00', 5)",
     "ORDER BY created_at, id LIMIT 100",
 )
+_listing(
+    "list_archived_keyset",
+    ListFilter(archived=True, archived_after="2024-01-04 06:00:00", id_after=5, order_by="archived_at ASC, id ASC", limit=20),
+    "(archived_at, id) > (TIMESTAMP '2024-01-04 06:00:00', 5)",
+    "ORDER BY archived_at, id LIMIT 20",
+)
 _listing("list_offset", ListFilter(archived=False, order_by="importance_score, id ASC", offset=20, limit=15), "true", "ORDER BY importance_score DESC, id LIMIT 15 OFFSET 20")
 _listing("tags_overlap", ListFilter(tags=("fr", "purchase")), "archived_at IS NULL AND list_has_any(tags, ['fr', 'purchase'])")
 _listing("min_importance", ListFilter(min_importance=0.9), "archived_at IS NULL AND importance_score >= 0.9")
@@ -492,7 +499,7 @@ def edge_count(spark, d):
     return stats.edge_count(views.edges(spark, d))
 
 
-@register("dashboard_summary", f"WITH {MEM}, {CHUNKS}, {EDGES} SELECT {COUNTS}, count(DISTINCT project) AS projects, (SELECT count(*) FROM edges) AS edges FROM memories")
+@register("dashboard_summary", f"WITH {MEM}, {CHUNKS}, {EDGES} SELECT {COUNTS}, count(DISTINCT project) AS projects, list_sort(list_distinct(list(project))) AS names, (SELECT count(*) FROM edges) AS edges FROM memories")
 def dashboard_summary(spark, d):
     return stats.summary(views.memories(spark, d), views.edges(spark, d))
 
@@ -559,6 +566,21 @@ def traverse_nodes(spark, d):
     return graph.walk_nodes(graph.traverse(views.edges(spark, d), views.memories(spark, d), SEEDS, 3))
 
 
+@register("traverse_metadata", _walk_sql(2, tail="""SELECT w.id, w.depth, m.memory_type, m.project, m.importance_score, m.created_at, m.archived_at IS NOT NULL AS archived
+    FROM (SELECT node_id AS id, min(physical_depth) AS depth FROM walk GROUP BY node_id) w LEFT JOIN memories m USING (id)"""))
+def traverse_metadata(spark, d):
+    m = views.memories(spark, d)
+    return graph.with_metadata(graph.walk_nodes(graph.traverse(views.edges(spark, d), m, SEEDS, 2)), m)
+
+
+@register("traverse_deadline", _walk_sql(5, tail=WALKED.replace("FROM walk", ", true AS timed_out FROM walk WHERE physical_depth <= 2")))
+def traverse_deadline(spark, d):
+    """A clock that passes the deadline after two hops."""
+    ticks = itertools.count()
+    found, late = graph.walk(views.edges(spark, d), views.memories(spark, d), SEEDS, 5, deadline=2.5, clock=lambda: next(ticks))
+    return found.withColumn("timed_out", F.lit(late))
+
+
 @register("induced_edges", f"WITH {MEM}, {CHUNKS}, {EDGES} SELECT * FROM edges WHERE from_id % 3 = 0 AND to_id % 3 = 0")
 def induced_edges(spark, d):
     return graph.induced(views.edges(spark, d), views.memories(spark, d).where("id % 3 = 0"))
@@ -720,6 +742,37 @@ def html_to_text(spark, d):
     return texts.documents_from_pages(views.table(spark, d, "pages"))
 
 
+@register("page_refusals", """SELECT page_id AS id, url, CASE WHEN NOT regexp_matches(url, '(?i)^https?://[^/\\s]+') OR url IS NULL THEN 'INVALID_URL'
+    WHEN html IS NULL THEN 'EMPTY_CONTENT' WHEN page_id % 5 = 0 THEN 'CONTENT_TYPE' ELSE 'TOO_LARGE' END AS error
+    FROM pages WHERE url IS NULL OR NOT regexp_matches(url, '(?i)^https?://[^/\\s]+') OR html IS NULL OR page_id % 5 = 0 OR strlen(html) > 2000""")
+def page_refusals(spark, d):
+    kind = F.when(F.col("page_id") % 5 == 0, "image/png").otherwise("text/html; charset=utf-8")
+    return texts.refused_pages(views.table(spark, d, "pages").withColumn("content_type", kind), 2000)
+
+
+@register("parse_times", "SELECT event_id, CASE WHEN event_id % 5 = 4 THEN NULL WHEN event_id % 5 = 3 THEN date_trunc('day', ts) ELSE ts END AS moment FROM events")
+def parse_times(spark, d):
+    """The events' times as four kinds of text and one that is none."""
+    rows = views.table(spark, d, "events").withColumn("t", F.col("ts").cast("timestamp"))
+    kinds = [
+        scalars.format_time(F.col("t")), F.date_format("t", "yyyy-MM-dd HH:mm:ss.SSSSSS'Z'"),
+        F.date_format(F.col("t") + F.expr("INTERVAL 9 HOURS"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+0900'"), F.date_format("t", "yyyy-MM-dd"),
+    ]
+    text = F.lit("yesterday")
+    for i, kind in enumerate(kinds):
+        text = F.when(F.col("event_id") % 5 == i, kind).otherwise(text)
+    return _naive(rows.select("event_id", scalars.parse_time(text).alias("moment")), "moment")
+
+
+@register("normalised_scores", f"""WITH {MEM}, {VECTOR.format(where='')} SELECT id, round((score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()), 6) AS score FROM vhits""")
+def normalised_scores(spark, d):
+    m = views.memories(spark, d)
+    hits = cut(vector.top_k(m, query_vector(m)))
+    ends = hits.agg(F.min("score").alias("least"), F.max("score").alias("most"))
+    scaled = scalars.normalised(F.col("score"), F.col("least"), F.col("most"))
+    return hits.crossJoin(ends).select("id", F.round(scaled, 6).alias("score"))  # one row
+
+
 @register("conversation_windows", """WITH w AS (SELECT conv_id AS id, turn // 5 AS n, min(turn) AS turn_start, max(turn) AS turn_end,
       string_agg(CASE role WHEN 'user' THEN 'User: ' WHEN 'assistant' THEN 'Assistant: ' ELSE 'System: ' END || replace(text, chr(10), ' '), chr(10) ORDER BY turn) AS content FROM conversations GROUP BY conv_id, turn // 5)
     SELECT id, turn_start, turn_end, content FROM w""")

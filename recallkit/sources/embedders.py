@@ -26,8 +26,20 @@ def hash_vectors(texts: Sequence[str], dimension: int = 16) -> list[list[float]]
     return found
 
 
+#: Answers of a service after which a request is made again.
+RETRYABLE = frozenset({429, 500, 502, 503, 504})
+
+
+def retryable(error: BaseException) -> bool:
+    """Whether a request may be made again: it timed out, or its answer (``status_code``, of the error or its
+    ``response``) says so."""
+    answers = (error, getattr(error, "response", None))
+    codes = (getattr(x, name, None) for x in answers for name in ("status_code", "status", "code"))
+    return isinstance(error, (TimeoutError, ConnectionError)) or any(c in RETRYABLE for c in codes if isinstance(c, int))
+
+
 def with_retries(provider: Provider, tries: int = 5, wait: float = 0.5, chunk: int = 100) -> Provider:
-    """Requests of at most ``chunk`` texts, repeated with doubling waits when they time out."""
+    """Requests of at most ``chunk`` texts, repeated with doubling waits while their errors are :func:`retryable`."""
 
     def call(texts: Sequence[str]) -> list[list[float]]:
         found: list[list[float]] = []
@@ -36,8 +48,8 @@ def with_retries(provider: Provider, tries: int = 5, wait: float = 0.5, chunk: i
                 try:
                     found += provider(texts[at : at + chunk])
                     break
-                except (TimeoutError, ConnectionError):
-                    if attempt + 1 == tries:
+                except Exception as error:
+                    if attempt + 1 == tries or not retryable(error):
                         raise
                     time.sleep(wait * 2**attempt)
         return found

@@ -6,6 +6,7 @@ beside them, and both give the same rows once a stream is drained.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from recallkit.functions.lineage import cut
+from recallkit.functions.lineage import cut, shared_folder
 from recallkit.sources.manifest import Manifest, new_batch
 
 FAILURES = 5
@@ -39,10 +40,9 @@ def events_stream(spark: SparkSession, sf_dir: str, name: str = "events", files_
 
 def drain(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
     """Run a stream over what there is and return its result from a memory table."""
+    checkpoint = checkpoint or f"{shared_folder(stream.sparkSession)}/{name}-{uuid.uuid4().hex}"
     writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    writer.start().awaitTermination()
+    writer.option("checkpointLocation", checkpoint).start().awaitTermination()
     return stream.sparkSession.table(name)
 
 
