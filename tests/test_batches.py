@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import os
 import threading
 
@@ -9,6 +10,7 @@ import pytest
 
 from recallkit.plans import ingest
 from recallkit.plans.engine import RAW, Engine
+from recallkit.sources.embedders import hash_vectors, with_retries
 from recallkit.sources.manifest import Manifest
 from recallkit.sources.store import MEMORY, Store
 from test_store import row
@@ -16,6 +18,10 @@ from test_store import row
 NOW = "2024-01-01 00:00:00"
 
 
+def day(days: int) -> dt.datetime:
+    return dt.datetime(2024, 1, 1) + dt.timedelta(days=days)
+
+
 def plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
@@ -137,3 +143,54 @@ def test_repeated_ids(spark):
     retried = ingest.ingest(raw, stored, NOW)
     assert {tuple(r) for r in retried.decisions.collect()} == {tuple(r) for r in batch.decisions.collect()}
     assert "BroadcastNestedLoopJoin" not in plan_of(batch.edges) and "CartesianProduct" not in plan_of(batch.edges)
+
+
+def test_consolidation_is_taken_up_where_it_stood(spark, tmp_path):
+    vectors = {"a": [1.0, 0.0], "b": [1.0, 0.01], "c": [0.0, 1.0], "d": [0.01, 1.0], "e": [-1.0, 0.0]}
+    engine = Engine(spark, str(tmp_path / "e"), lambda texts: [vectors[t] for t in texts])
+    rows = [row(t, t, vectors[t], created_at=day(i), project="p") for i, t in enumerate("abcde")]
+    engine.store.save(spark.createDataFrame(rows, MEMORY))
+    assert engine.consolidate_all("2024-02-01 00:00:00", 2, most=1) == 1
+    assert engine.manifest.latest("cursor")[1] == "b"
+    again = Engine(spark, str(tmp_path / "e"), engine.provider)
+    assert again.consolidate_all("2024-02-01 00:00:00", 2) >= 1
+    kept = {r.id for r in again.memories().where("archived_at IS NULL").collect()}
+    assert kept == {"b", "d", "e"}
+    assert {(r.from_id, r.to_id) for r in again.edges().collect()} == {("b", "a"), ("d", "c")}
+    assert again.consolidate_all("2024-02-01 00:00:00", 2) == 0  # nothing was saved since
+
+
+def test_refused_pages_are_listed(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "e"))
+    pages = [(1, "https://a.example/", "<p>kept words</p>", "text/html"), (2, "ftp://a.example/", "<p>x</p>", "text/html"),
+             (3, "https://b.example/", "<p>x</p>", "image/png"), (4, "https://c.example/", None, "text/html"), (5, "https://d.example/", " ", "text/html")]
+    engine.save_pages(spark.createDataFrame(pages, "page_id long, url string, html string, content_type string"), NOW)
+    assert [r.content for r in engine.memories().collect()] == ["kept words"]
+    found = {r.id.split("|")[0]: r.error for r in engine.failures().collect()}
+    assert found == {"2": "INVALID_URL", "3": "CONTENT_TYPE", "4": "EMPTY_CONTENT", "5": "EMPTY_CONTENT"}
+
+
+def test_answers_tell_what_was_cut_short(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "e"))
+    engine.save("the red fox jumps", NOW, "manual", "p")
+    assert engine.answer("fox", NOW).first().flags == []
+    cut_short = engine.answer("fox", NOW, graph_seconds=-1.0).first()
+    assert cut_short.flags == ["graph:timed_out"] and len(cut_short.results) == 1
+
+
+def test_requests_are_made_again_by_status():
+    class Answer(Exception):
+        def __init__(self, code):
+            self.status_code = code
+
+    calls = []
+
+    def flaky(texts):
+        calls.append(1)
+        if len(calls) < 3:
+            raise Answer(429 if len(calls) == 1 else 503)
+        return hash_vectors(texts)
+
+    assert with_retries(flaky, wait=0)(["x"]) == hash_vectors(["x"]) and len(calls) == 3
+    with pytest.raises(Answer):
+        with_retries(lambda texts: (_ for _ in ()).throw(Answer(400)), wait=0)(["x"])

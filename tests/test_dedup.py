@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from recallkit.operators import dedup, vector
+from recallkit.operators import cells, dedup, vector
+from recallkit.plans import lifecycle
 
 START = dt.datetime(2024, 1, 1)
 
@@ -137,3 +138,57 @@ def test_planes_reach_their_recall(spark):
     exact = {(r.id_a, r.id_b) for r in vector.similar_pairs(vectors, 0.4).collect()}
     found = [(r.id_a, r.id_b) for r in vector.similar_pairs_by_planes(vectors, 0.4).collect()]
     assert len(found) == len(set(found)) and set(found) <= exact and len(found) >= 0.9 * len(exact) > 40
+
+
+def test_cells_find_every_pair(spark, monkeypatch):
+    """Clustered, equal, opposite and zero vectors, with cells and parts small enough to matter."""
+    monkeypatch.setattr(cells, "CELL_ROWS", 20)
+    monkeypatch.setattr(cells, "PART_ROWS", 15)
+    draw = np.random.default_rng(11)
+    centers = draw.normal(size=(6, 8))
+    rows = [(i, (centers[i % 6] + draw.normal(scale=0.2, size=8)).tolist()) for i in range(200)]
+    rows += [(200 + i, [1.0] + [0.0] * 7) for i in range(40)] + [(240, [0.0] * 8), (241, [0.0] * 8), (242, [-1.0] + [0.0] * 7)]
+    vectors = spark.createDataFrame([(i, v, i % 2) for i, v in rows], "id long, embedding array<double>, side int")
+    x = np.array([v for _, v in rows])
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    scores = np.round(unit @ unit.T, 6)
+    for threshold in (0.9, 0.3, 0.0, -1.0):
+        expected = {(i, j, scores[i, j]) for i in range(len(x)) for j in range(i + 1, len(x)) if scores[i, j] >= threshold}
+        found = [tuple(r) for r in cells.similar_pairs(vectors.select("id", "embedding"), threshold).collect()]
+        assert len(found) == len(expected) and {p[:2] for p in found} == {p[:2] for p in expected}
+    best = cells.near_rows(
+        vectors, vectors, 0.5, 3, lambda left, right: left["q_side"].to_numpy()[:, None] != right["v_side"].to_numpy()[None, :]
+    ).collect()
+    wanted = {}
+    for i in range(len(x)):
+        near = sorted((-scores[i, j], j) for j in range(len(x)) if i % 2 != j % 2 and scores[i, j] >= 0.5)[:3]
+        wanted |= {i: [j for _, j in near]} if near else {}
+    by_query = {}
+    for r in sorted(best, key=lambda r: (r.query_id, -r.score, r.id)):
+        by_query.setdefault(r.query_id, []).append(r.id)
+    assert by_query == wanted
+    plan = cells.near_rows(vectors, vectors, 0.5, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    assert cells.similar_pairs(vectors.select("id", "embedding").where("false"), 0.5).count() == 0
+
+
+def test_many_equal_rows_are_one_node(spark):
+    """A chain of equal rows: each replaces the one before; no pair list of all of them."""
+    n = 1500
+    new = spark.range(n).select("id", F.lit([0.5] * 4).alias("embedding"), F.lit("p").alias("project"), F.col("id").alias("place"))
+    stored = new.where("false").select("id", "embedding", "project")
+    found = {r.id: (r.action, r.existing_id) for r in dedup.decide_batch(new, stored).collect()}
+    assert found == {0: ("INSERT", None)} | {i: ("REPLACE", i - 1) for i in range(1, n)}
+
+
+def test_pages_of_a_consolidation_are_one_run(spark):
+    draw = np.random.default_rng(5)
+    rows = [(i, f"2024-01-{1 + i % 9:02d} 00:00:00", draw.normal(size=3).tolist(), "ab"[i % 2]) for i in range(60)]
+    rows += [(60 + i, "2024-01-05 00:00:00", rows[i][2], "a") for i in range(10)]
+    df = spark.createDataFrame(rows, "id long, created_at string, embedding array<double>, project string")
+    df = df.select("id", F.col("created_at").cast("timestamp").alias("created_at"), F.lit(None).cast("timestamp").alias("archived_at"), "embedding", "project")
+    whole = {tuple(r) for r in dedup.consolidate(df).collect()}
+    pages = list(lifecycle.consolidation_pages(df, 16))
+    assert {tuple(r) for p in pages for r in p.merged.collect()} == whole and whole
+    cursors = [p.cursor for p in pages]
+    assert cursors == sorted(cursors) and pages[-1].last and not pages[0].last
