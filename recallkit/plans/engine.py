@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
+from dataclasses import asdict
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,8 @@ from recallkit.config import SearchStrategy
 from recallkit.functions.lineage import cut
 from recallkit.operators import graph, stats
 from recallkit.plans import ingest, lifecycle, search
+from recallkit.plans.actions import ActionLog
+from recallkit.sources import adapters
 from recallkit.sources import text as texts
 from recallkit.sources.embedders import Provider, embed, hash_vectors
 from recallkit.sources.index import Index
@@ -44,11 +48,13 @@ def _pairs(values: dict[str, str]) -> list[Column]:
 class Engine:
     """Memories and edges under one folder; batches of any size go through the same plans."""
 
-    def __init__(self, spark: SparkSession, path: str, provider: Provider = hash_vectors, read_only: bool = False):
+    def __init__(self, spark: SparkSession, path: str, provider: Provider = hash_vectors, read_only: bool = False,
+                 log_actions: bool = False):
         self.spark, self.provider, self.read_only = spark, provider, read_only
         self.manifest = Manifest(spark, f"{path}/manifest")
         self.store = Store(spark, f"{path}/memories", read_only, manifest=self.manifest)
         self.path = path.rstrip("/")
+        self.actions = ActionLog(spark, f"{path}/log") if log_actions else None
         self.index = Index(spark, f"{path}/index", self.manifest)
 
     def memories(self) -> DataFrame:
@@ -105,6 +111,11 @@ class Engine:
         self.store.commit(batch.memories, replaced, now, name, parts)
         return batch.decisions
 
+    def ingest(self, kind: str, now: str, **tables) -> DataFrame:
+        """Save what the adapter of a kind makes of its tables; see :mod:`recallkit.sources.adapters`."""
+        raw, refused = adapters.adapt(kind, **tables)
+        return self.save_all(raw, now, refused)
+
     def save(
         self,
         content: str,
@@ -152,8 +163,15 @@ class Engine:
 
     def search(self, query: str, now: str, feedback: bool = True, **options) -> DataFrame:
         """Rows as ``memory_id, content, score, source_type, metadata``; hits count as accesses."""
-        m, vector = self.memories(), self.provider([query])[0]
-        found = cut(search.search(m, self.links(), query, vector, now, index=self.index, degrade=True, **options))
+        m, vector, began = self.memories(), self.provider([query])[0], time.monotonic()
+        flags, observed = [], {} if self.actions else None
+        found = cut(search.search(m, self.links(), query, vector, now, index=self.index, degrade=True, flags=flags,
+                                  observed=observed, **options))
+        if self.actions:
+            strategy = asdict(options.get("strategy") or SearchStrategy())
+            counts = {name: x.get["n"] for name, x in observed.items()} | {"returned": found.count()}
+            about = {"query": query, "strategy": strategy, "project": options.get("project")}
+            self.actions.record("search", now, about, counts, time.monotonic() - began, flags)
         if feedback and not self.read_only:
             self.store.touch(found.select("id"), now)
         return search.response(found, m)

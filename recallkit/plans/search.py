@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import logging
+import uuid
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from recallkit import config
@@ -55,6 +56,7 @@ def search(
     degrade: bool = False,
     graph_seconds: float | None = None,
     flags: list[str] | None = None,
+    observed: dict[str, Observation] | None = None,
 ) -> DataFrame:
     """``id, rrf_score, final_score, source`` of the best ``top_k`` rows.
 
@@ -64,6 +66,7 @@ def search(
     ``pushdown_project`` asks for it within each source.  With ``index`` the keyword source reads
     stored postings.  With ``degrade`` a source that fails is logged and gives no hits.
     ``flags`` gets what was cut short: ``graph:timed_out``, and ``<source>:failed``.
+    ``observed`` gets an observation of each source's hits (``n``), filled as they are worked out.
     """
     strategy = strategy or SearchStrategy()
     if policy is not None:
@@ -73,12 +76,20 @@ def search(
     k, scope = clamp_top_k(top_k), project if pushdown_project else None
     none = memories.select("id", F.lit("").alias("source"), F.lit(0).alias("rank")).where("false")
 
+    def counted(name: str, found: DataFrame) -> DataFrame:
+        if observed is None:
+            return found
+        observed[name] = Observation(f"{name}-{uuid.uuid4().hex}")
+        return found.observe(observed[name], F.count(F.lit(1)).alias("n"))
+
     def hits(name: str, make: Callable[[], DataFrame]) -> DataFrame:
         if not degrade:
-            return make()
+            return counted(name, make())
         try:
-            return cut(make())
+            return cut(counted(name, make()))
         except Exception as error:
+            if observed is not None:
+                observed.pop(name, None)
             logging.getLogger(__name__).error("the %s source of a search failed: %s", name, error)
             if flags is not None:
                 flags.append(f"{name}:failed")

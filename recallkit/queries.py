@@ -18,6 +18,7 @@ from recallkit.functions import scalars
 from recallkit.functions.lineage import cut, shared_folder
 from recallkit.operators import cells, dedup, filters, fusion, graph, keyword, links, policy, stats, vector
 from recallkit.plans import ingest, lifecycle, search
+from recallkit.sources import responses
 from recallkit.sources import text as texts
 from recallkit.sources import views
 from recallkit.sources.index import Index
@@ -361,6 +362,16 @@ TOKENS_OF = """CASE WHEN length(content) = 0 THEN 0
   THEN greatest(1, ceil(length(content) / 4.0::DOUBLE * 1.5)) ELSE greatest(1, ceil(length(content) / 3.0::DOUBLE * 1.5)) END"""
 
 
+@register("search_counts", _fused(tail="""SELECT (SELECT count(*) FROM v) AS vector, (SELECT count(*) FROM k) AS keyword, (SELECT count(*) FROM g) AS graph,
+    (SELECT count(*) FROM best) AS returned"""))
+def search_counts(spark, d):
+    """What a search leaves in the log of actions: the hits of its sources, observed as they are worked out."""
+    m, observed = views.memories(spark, d), {}
+    found = cut(search.search(m, views.edges(spark, d), QUERY, query_vector(m), NOW, degrade=True, observed=observed))
+    counts = [F.lit(observed[name].get["n"]).alias(name) for name in ("vector", "keyword", "graph")]
+    return found.agg(F.count("*").alias("returned")).select(*counts, "returned")
+
+
 @register(
     "token_budget",
     _fused(tail=f"""SELECT id, rrf_score, final_score, source FROM (SELECT *, sum({TOKENS_OF}) OVER (
@@ -742,6 +753,34 @@ def html_to_text(spark, d):
     return texts.documents_from_pages(views.table(spark, d, "pages"))
 
 
+@register("fetched_pages", """SELECT page_id AS id, CASE WHEN page_id % 11 = 0 THEN 'https://loop.example/' || page_id WHEN page_id % 13 = 5 THEN 'http://127.0.0.1/' || page_id
+      WHEN page_id % 3 = 0 THEN 'https://old.example/' || page_id ELSE url END AS url,
+    CASE WHEN page_id % 11 = 0 THEN 'https://loop.example/' || page_id WHEN page_id % 13 = 5 THEN 'http://127.0.0.1/' || page_id ELSE url END AS final_url,
+    CASE WHEN page_id % 11 = 0 THEN 5 WHEN page_id % 13 = 5 THEN 0 WHEN page_id % 3 = 0 THEN 2 ELSE 0 END AS hops,
+    CASE WHEN page_id % 11 = 0 THEN 'TOO_MANY_REDIRECTS' WHEN page_id % 13 = 5 THEN 'RESTRICTED_ADDRESS' WHEN page_id % 17 = 3 THEN 'HTTP_404'
+      WHEN page_id % 19 = 4 THEN 'CONTENT_TYPE' END AS error,
+    CASE WHEN page_id % 11 <> 0 AND page_id % 13 <> 5 AND page_id % 17 <> 3 AND page_id % 19 <> 4 THEN sha256(html) END AS digest FROM pages""")
+def fetched_pages(spark, d):
+    """The pages as stored responses: some moved twice, in a circle, gone, no text, or in another charset."""
+    p, none = views.table(spark, d, "pages"), F.lit(None).cast("string")
+    n, asked = F.col("page_id"), F.col("page_id").cast("string")
+    latin = F.expr("page_id % 4 = 0")
+    kind = F.when(n % 19 == 4, "image/png").when(latin, "text/html; charset=ISO-8859-1").otherwise("text/html; charset=utf-8")
+    body = F.when(latin, F.encode("html", "ISO-8859-1")).otherwise(F.encode("html", "utf-8"))
+    pages = p.select("url", F.when(n % 17 == 3, 404).otherwise(200).alias("status"), none.alias("location"), kind.alias("content_type"), body.alias("body"))
+
+    def moved(start: str, location) -> DataFrame:
+        return p.select(F.concat(F.lit(start), asked).alias("url"), F.lit(301).alias("status"), location.alias("location"),
+                        none.alias("content_type"), none.cast("binary").alias("body"))
+
+    stored = pages.unionByName(moved("https://old.example/", F.concat(F.lit("../new/"), asked)))
+    stored = stored.unionByName(moved("https://old.example/new/", F.col("url"))).unionByName(moved("https://loop.example/", F.concat(F.lit("/"), asked)))
+    first = F.when(n % 11 == 0, F.concat(F.lit("https://loop.example/"), asked)).when(n % 13 == 5, F.concat(F.lit("http://127.0.0.1/"), asked))
+    first = first.when(n % 3 == 0, F.concat(F.lit("https://old.example/"), asked)).otherwise(F.col("url"))
+    found = responses.fetched(p.select(n.alias("id"), first.alias("url")), stored)
+    return found.select("id", "url", "final_url", "hops", "error", F.sha2("page", 256).alias("digest"))
+
+
 @register("page_refusals", """SELECT page_id AS id, url, CASE WHEN NOT regexp_matches(url, '(?i)^https?://[^/\\s]+') OR url IS NULL THEN 'INVALID_URL'
     WHEN html IS NULL THEN 'EMPTY_CONTENT' WHEN page_id % 5 = 0 THEN 'CONTENT_TYPE' ELSE 'TOO_LARGE' END AS error
     FROM pages WHERE url IS NULL OR NOT regexp_matches(url, '(?i)^https?://[^/\\s]+') OR html IS NULL OR page_id % 5 = 0 OR strlen(html) > 2000""")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import os
 import threading
 
@@ -194,3 +195,40 @@ def test_requests_are_made_again_by_status():
     assert with_retries(flaky, wait=0)(["x"]) == hash_vectors(["x"]) and len(calls) == 3
     with pytest.raises(Answer):
         with_retries(lambda texts: (_ for _ in ()).throw(Answer(400)), wait=0)(["x"])
+
+
+def test_a_search_leaves_a_row(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "e"), log_actions=True)
+    engine.save("the red fox jumps", NOW, "manual", "p")
+    hit = engine.search("red fox", NOW, project="p").first()
+    action = engine.actions.actions().first()
+    assert action.action == "search" and action.counts == {"vector": 1, "keyword": 1, "graph": 1, "returned": 1}
+    assert json.loads(action.about)["strategy"]["depth"] == 2 and json.loads(action.about)["project"] == "p"
+    signals = [(hit.memory_id, action.action_id, 1.0), (hit.memory_id, action.action_id, 0.0)]
+    engine.actions.reward(spark.createDataFrame(signals, "memory_id string, action_id string, signal double"), NOW)
+    engine.search("blue", NOW)
+    engine.actions.compact()
+    assert engine.actions.actions().count() == 2 and engine.actions.rewards().count() == 2
+    assert [(r.searches, r.rewarded, r.signal) for r in engine.actions.by_strategy().collect()] == [(2, 1, 0.5)]
+
+
+def test_adapters(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "e"))
+    with pytest.raises(ValueError, match="INVALID_PARAMETER"):
+        engine.ingest("mail", NOW)
+    engine.ingest("manual", NOW, notes=spark.createDataFrame([(1, "a note")], "id int, text string"), project="p")
+    engine.ingest("conversation", NOW, logs=spark.createDataFrame([("s", "User: hi\nAI: hello")], "id string, text string"))
+    stored = [("https://a.example/x", 302, "y", None, None), ("https://a.example/y", 200, None, "text/html; charset=latin-1", "<p>café</p>".encode("latin-1")),
+              ("https://a.example/z", 200, None, "text/plain; charset=nonsense", "<b>é</b>".encode()), ("https://a.example/big", 200, None, "text/plain", b"x" * 50),
+              ("https://a.example/nowhere", 301, None, None, None), ("https://[::1]/", 200, None, "text/plain", b"x")]
+    asked = ["https://a.example/x", "https://a.example/z", "https://a.example/big", "https://a.example/nowhere", "https://[::1]/", "https://gone.example/", None, "https://user@10.0.0.1:80/"]
+    engine.ingest(
+        "url", NOW, requests=spark.createDataFrame(list(enumerate(asked)), "id int, url string"),
+        stored=spark.createDataFrame(stored, "url string, status int, location string, content_type string, body binary"), max_bytes=40,
+    )
+    rows = {r.content: dict(r.source_metadata) for r in engine.memories().where("source_type = 'url'").collect()}
+    assert set(rows) == {"café", "<b>é</b>"}
+    assert rows["café"]["final_url"] == "https://a.example/y" and rows["café"]["url"] == "https://a.example/x"
+    errors = {r.id.split("|")[0]: r.error for r in engine.failures().collect()}
+    assert errors == {"2": "TOO_LARGE", "3": "NO_LOCATION", "4": "RESTRICTED_ADDRESS", "5": "NO_RESPONSE", "6": "INVALID_URL", "7": "RESTRICTED_ADDRESS"}
+    assert engine.memories().count() == 4
