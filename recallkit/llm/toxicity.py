@@ -1,12 +1,13 @@
 """Toxicity (operator 2): a weighted finite-state pattern grammar over clauses.
 
 A text is read as symbols: a lexical transducer maps each word to insult, harm, intent, target,
-negator, report, mark of quotation, end of clause or other, the closed classes first.  Four
+possessive, negator, report, mark of quotation, end of clause or line or other, the closed
+classes first; marks of quotation are paired within a line.  Four
 transducers rewrite that string: *negation* (an insult or a verb of harm up to three words
 after a negator is negated), *threat* (intent, then harm, then a person as its object, each
 within a few words; or a clause that opens with harm: the object becomes a threat), *reported
 speech* (after a verb of saying or inside quotation marks) and *target* (an insult within four
-words of an address to someone is aimed).  They are composed once into one table, so each word
+words of an address to someone or of their possessive is aimed).  They are composed once into one table, so each word
 costs one step.
 
 What is scored is the clause: the weights of its matches are summed by path (kind and what
@@ -47,18 +48,20 @@ TARGET_REACH = 4
 INTENT_REACH = 5
 OBJECT_REACH = 3
 
-OTHER, INSULT, HARM, INTENT, TARGET, NEGATOR, REPORT, QUOTE, END, THREAT = range(10)
+OTHER, INSULT, HARM, INTENT, TARGET, POSSESSIVE, NEGATOR, REPORT, QUOTE, END, LINE, THREAT = range(12)
 #: Fixed words of the closed classes (English, French, German, Spanish).
 CLOSED = {
     HARM: "kill hurt destroy punch stab shoot strangle murder beat burn crush hang "
     "tuer frapper détruire étrangler brûler töten umbringen schlagen verprügeln erschießen matar golpear destruir quemar",
     INTENT: "will i'll we'll gonna going shall want must should let's hope wish vais veux allons werde werden will muss soll voy quiero vamos",
-    TARGET: "you your u yourself he him she her they them their tu te toi vous ils du dich ihr euch dein sie tú te ti usted vosotros tus ellos",
+    TARGET: "you u yourself he him she her they them tu te toi vous ils du dich ihr euch sie tú te ti usted vosotros ellos",
+    POSSESSIVE: "your their dein tus",
     NEGATOR: "not never no nobody don't doesn't isn't aren't wasn't won't can't ne pas jamais nicht nie kein keine nunca jamás",
     REPORT: "said says say called calls wrote claimed reported dit disait écrit sagte sagt schrieb behauptete dijo dice escribió",
 }
 _TOKEN = re.compile(r"[^\W_]+(?:'[^\W_]+)?|[.!?;\n\"“”«»]")
-_MARKS = {**dict.fromkeys(".!?;\n", END), **dict.fromkeys("\"“”«»", QUOTE)}
+_MARKS = {**dict.fromkeys(".!?;", END), "\n": LINE, **dict.fromkeys("\"“”«»", QUOTE)}
+_QUOTES = re.compile("[\"“”«»]")
 #: Weight of a verb of harm; insults have theirs from the labels.
 HARM_WEIGHT = 3.0
 #: The paths of a clause with the prior of their weights.
@@ -79,7 +82,7 @@ Step = Callable[[Hashable, tuple], tuple]
 # The symbols between transducers are (class, flags); flags gather what has been found.
 def negation(state: int, symbol: tuple) -> tuple:
     kind, flags = symbol
-    if kind == END:
+    if kind in (END, LINE):
         return 0, symbol
     if kind == NEGATOR:
         return NEGATION_REACH, symbol
@@ -91,12 +94,14 @@ def threat(state: tuple, symbol: tuple) -> tuple:
     """States: clause start, idle, (intent, steps left), (harm, steps left, its flags)."""
     kind, flags = symbol
     stage, left, held = state
-    if kind == END:
+    if kind in (END, LINE):
         return ("start", 0, frozenset()), symbol
     if kind == HARM and stage in ("start", "intent"):
         return ("harm", OBJECT_REACH, flags), symbol
     if kind == TARGET and stage == "harm":
         return ("idle", 0, frozenset()), (THREAT, flags | held)
+    if kind == POSSESSIVE and stage == "harm":  # what is harmed is a thing
+        return ("idle", 0, frozenset()), symbol
     if kind == INTENT:
         return ("intent", INTENT_REACH, frozenset()), symbol
     if stage in ("intent", "harm") and left > 1:
@@ -109,8 +114,8 @@ def threat(state: tuple, symbol: tuple) -> tuple:
 def reported(state: tuple, symbol: tuple) -> tuple:
     kind, flags = symbol
     said, quoted = state
-    if kind == END:
-        return (False, quoted), symbol
+    if kind in (END, LINE):  # a quotation goes on over sentences, to the end of its line at most
+        return (False, quoted and kind == END), symbol
     if kind == QUOTE:
         return (said, not quoted), symbol
     if kind == REPORT:
@@ -120,9 +125,9 @@ def reported(state: tuple, symbol: tuple) -> tuple:
 
 def aimed(state: int, symbol: tuple) -> tuple:
     kind, flags = symbol
-    if kind == END:
+    if kind in (END, LINE):
         return 0, symbol
-    if kind == TARGET:
+    if kind in (TARGET, POSSESSIVE):
         return TARGET_REACH, symbol
     return max(0, state - 1), (kind, flags | {"aimed"}) if state and kind == INSULT else symbol
 
@@ -188,10 +193,22 @@ class Lexicon(dict):
         return found
 
 
+def paired(text: str) -> str:
+    """The text with marks of quotation in pairs: the last of a line that has an odd number goes."""
+    if not _QUOTES.search(text):
+        return text
+    lines = text.split("\n")
+    for i, line in enumerate(lines):
+        marks = [m.start() for m in _QUOTES.finditer(line)]
+        if len(marks) % 2:
+            lines[i] = line[: marks[-1]] + " " + line[marks[-1] + 1 :]
+    return "\n".join(lines)
+
+
 def match(text: str, lexicon: Lexicon, grammar: tuple) -> list[list[float]]:
     """The clauses of the text that match: weight by path."""
     moves, paths = grammar
-    read = [lexicon[t] for t in _TOKEN.findall(text.lower())]
+    read = [lexicon[t] for t in _TOKEN.findall(paired(text.lower()))]
     if not any(kind == INSULT or kind == HARM for kind, _ in read):
         return []
     clauses, found, state = [], None, 0
@@ -201,7 +218,7 @@ def match(text: str, lexicon: Lexicon, grammar: tuple) -> list[list[float]]:
             found = found or [0.0] * len(PATHS)
             found[path] += weight or HARM_WEIGHT
         state = moves[state][kind]
-        if kind == END and found:
+        if kind in (END, LINE) and found:
             clauses.append(found)
             found = None
     return clauses + [found] if found else clauses

@@ -40,10 +40,42 @@ def test_grammar():
         assert matched(text) == [{(threat, ""): 3.0}], text
     assert matched("I will not kill you") == [{(threat, "negated"): 3.0}]
     assert matched("she said I will kill you") == [{(threat, "reported"): 3.0}]
-    for text in ("kill the process", "I will kill the process now, and then you rest", "the weather is fine", "you"):
+    # a mark without its pair quotes nothing, and a quotation ends with its line
+    assert matched('A 5" pipe. You are an idiot.') == [{(insult, "aimed"): 3.0}]
+    assert matched('"One\nYou are an idiot') == [{(insult, "aimed"): 3.0}]
+    assert matched('"Well. You idiot," she wrote. You idiot') == [{(insult, "reported"): 3.0}, {(insult, "aimed"): 3.0}]
+    assert matched("« Oh. Idiot » Idiot") == [{(insult, "reported"): 3.0, (insult, ""): 3.0}]
+    assert matched("your idiot") == [{(insult, "aimed"): 3.0}]
+    for text in ("kill your browser tab", "burn your own CD", "I will beat your personal best", "kill the process", "I will kill the process now, and then you rest", "the weather is fine", "you"):
         assert matched(text) == [], text
 
 
+def test_composed_machine_is_its_parts_one_after_the_other():
+    """Random strings of symbols: four passes over the whole string against one step a symbol."""
+    moves, paths = toxicity.compile_grammar()
+    parts = [(toxicity.negation, 0), (toxicity.threat, ("start", 0, frozenset())), (toxicity.reported, (False, False)), (toxicity.aimed, 0)]
+    draw = random.Random(8)
+    names = list(toxicity.PATHS)
+    for _ in range(3000):
+        word = [draw.randrange(toxicity.THREAT) for _ in range(draw.randrange(1, 14))]
+        symbols = [(kind, frozenset()) for kind in word]
+        for step, state in parts:
+            out = []
+            for symbol in symbols:
+                state, made = step(state, symbol)
+                out.append(made)
+            symbols = out
+        expected = []
+        for kind, flags in symbols:
+            flag = next((f for f in ("reported", "negated", "aimed") if f in flags and (kind, f) in names), "")
+            expected.append(names.index((kind, flag)) if kind in (toxicity.INSULT, toxicity.THREAT) else -1)
+        state, found = 0, []
+        for kind in word:
+            found.append(paths[state][kind])
+            state = moves[state][kind]
+        assert found == expected, word
+
+
 def test_clause_scores():
     """Noisy-or by its definition; what a text's clauses say decides, not its words alone."""
     lexicon, grammar = toxicity.Lexicon({"idiot": 3.0}), toxicity.compile_grammar()
