@@ -13,7 +13,7 @@ other; the driver holds one block, and each further block is one more scan of th
 An item is never split, so the rows do not depend on the size of the blocks.
 
 Cases: null and empty texts match nothing; a very long text is one row of the scan; items of
-under ``MIN_ITEM`` bytes after normalisation say too little and are ignored, as are null texts;
+under ``least`` bytes after normalisation say too little and are ignored, as are null texts;
 item ids of any type, null included, are carried as they are; repeated rows and repeated items
 (equal ids or equal texts) each give their own rows; of equally good places the first counts;
 an empty table on either side gives an empty result; other columns are ignored.
@@ -211,7 +211,7 @@ def _matches(index: Index, texts: list[bytes]) -> tuple[list[tuple], np.ndarray]
     return index.matches(gap.join([*texts, b""]), ends), np.append(0, ends)
 
 
-def _scan(docs: DataFrame, items: list[Item], item_type: T.DataType) -> DataFrame:
+def _scan(docs: DataFrame, items: list[Item], item_type: T.DataType, least: int) -> DataFrame:
     """Matches of one block of items; ``docs`` has ``doc_id`` and ``text``."""
     shared = docs.sparkSession.sparkContext.broadcast(items)  # at most BLOCK_BYTES
     schema = T.StructType([docs.schema["doc_id"], T.StructField("item_id", item_type)])
@@ -220,7 +220,7 @@ def _scan(docs: DataFrame, items: list[Item], item_type: T.DataType) -> DataFram
     item_kind = to_arrow_type(item_type)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(shared.value)
+        index = Index(shared.value, least)
         for batch in slices(batches, 1):
             for first, texts in _joined(texts_of(batch.column(1))):
                 found, begins = _matches(index, texts)
@@ -246,10 +246,12 @@ def find_leaks(
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
+    least: int = MIN_ITEM,
 ) -> DataFrame:
     """``doc_id, item_id, edits, start, end``: the best match of each item in each document.
 
-    Places count bytes of the normalised text.
+    Places count bytes of the normalised text.  Items of under ``least`` bytes (``Q`` at the least) are
+    not looked for: with a small value short questions are found, and so are common phrases.
     """
     source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     kind = benchmark.schema[item_col].dataType
@@ -257,12 +259,12 @@ def find_leaks(
     for items in blocks(benchmark, item_col, item_text_col):
         if parts:
             parts[-1] = staged(parts[-1], "leaks")  # a block is done before the next is fetched
-        parts.append(_scan(source, items, kind))
+        parts.append(_scan(source, items, kind, least))
     return reduce(DataFrame.unionByName, parts)
 
 
-def drop_leaked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without a match, columns unchanged.
+def drop_leaked(docs: DataFrame, benchmark: DataFrame, least: int = MIN_ITEM) -> DataFrame:
+    """The rows of ``docs`` without a match, columns unchanged; ``least`` as in :func:`find_leaks`.
 
     A scan without a shuffle while the benchmark is one block; each further block reads what
     the ones before it have kept.
@@ -273,7 +275,7 @@ def drop_leaked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         shared = rows.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = Index(shared.value)
+            index = Index(shared.value, least)
             for batch in slices(batches, at):
                 clean = np.ones(batch.num_rows, bool)
                 for first, texts in _joined(texts_of(batch.column(at))):

@@ -660,6 +660,14 @@ def test_leaks_in_blocks_and_odd_rows(spark, monkeypatch):
     assert decontaminate.find_leaks(frame(spark, []), items).count() == 0
 
 
+def test_short_items_are_found_if_asked_for(spark):
+    docs = spark.createDataFrame([(1, "So: What is the capital  of PERU? Lima."), (2, "nothing of it")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "What is the capital of Peru?")], "item_id long, text string")
+    assert decontaminate.find_leaks(docs, items).count() == 0
+    assert [(r.doc_id, r.item_id, r.edits) for r in decontaminate.find_leaks(docs, items, least=20).collect()] == [(1, 7, 0)]
+    assert [r.doc_id for r in decontaminate.drop_leaked(docs, items, 20).collect()] == [2]
+
+
 def test_leaks_against_alignment_of_whole_tables(spark):
     """The query's operator against the definition: some pattern within its budget anywhere in the text."""
     draw = random.Random(9)
