@@ -258,6 +258,14 @@ class Engine:
         self.store.update(cut(embed(self.memories().select("id", "content"), provider).select("id", "embedding")))
         self.provider = provider
 
+    def vacuum(self, hours: float = 24.0) -> int:
+        """Delete files that no reader sees any more (of batches that failed or were replaced), older than ``hours``."""
+        if self.read_only:
+            raise ReadOnly(self.store.path)
+        places = [(self.store.path, "rows"), (self.store.path, "touches"), (self.path, "edges"), (self.path, "failures"),
+                  (self.index.path, "postings"), (self.index.path, "lengths")]
+        return sum(self.manifest.vacuum(root, part, hours) for root, part in places)
+
     def stats(self, project: str | None = None) -> DataFrame:
         return stats.overall(self.memories(), project)
 

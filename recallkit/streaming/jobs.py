@@ -188,19 +188,30 @@ def every_nth(events: DataFrame, n: int = EVERY) -> DataFrame:
     return counted.where(F.col("nth") % n == 0)
 
 
-def every_nth_stream(events: DataFrame, n: int = EVERY) -> DataFrame:
-    """As :func:`every_nth`, with a counter of each user as state; order counts within a micro-batch."""
+def every_nth_stream(events: DataFrame, n: int = EVERY, ttl: str | None = None) -> DataFrame:
+    """As :func:`every_nth`, with a counter of each user as state; order counts within a micro-batch.
+
+    With ``ttl``, a delay of the watermark, the counter of a user without events for as long is dropped
+    and begins anew.
+    """
 
     def count(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         seen = state.get[0] if state.exists else 0
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         nth = seen + 1 + pd.RangeIndex(len(rows))
         state.update((seen + len(rows),))
+        if ttl is not None:
+            state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + 1)
         hit = nth % n == 0
         yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"].to_numpy()[hit], "nth": nth[hit]})
 
-    return events.groupBy("user_id").applyInPandasWithState(
-        count, "user_id bigint, event_id bigint, nth bigint", "seen bigint", "append", GroupStateTimeout.NoTimeout
+    kind = GroupStateTimeout.NoTimeout if ttl is None else GroupStateTimeout.EventTimeTimeout
+    rows = events if ttl is None else events.withWatermark("ts", ttl)
+    return rows.groupBy("user_id").applyInPandasWithState(
+        count, "user_id bigint, event_id bigint, nth bigint", "seen bigint", "append", kind
     )
 
 

@@ -232,3 +232,15 @@ def test_adapters(spark, tmp_path):
     errors = {r.id.split("|")[0]: r.error for r in engine.failures().collect()}
     assert errors == {"2": "TOO_LARGE", "3": "NO_LOCATION", "4": "RESTRICTED_ADDRESS", "5": "NO_RESPONSE", "6": "INVALID_URL", "7": "RESTRICTED_ADDRESS"}
     assert engine.memories().count() == 4
+
+
+def test_vacuum_takes_what_nobody_sees(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "e"))
+    engine.save("the red fox jumps", NOW, "manual", "p")
+    engine.save("a blue whale sings", NOW, "manual", "p")
+    engine.index.write("dead", engine.memories().limit(1))  # of a writer that died
+    assert engine.vacuum() == 0 and engine.vacuum(0) == 2
+    engine.compact()
+    assert engine.vacuum(0) >= 6
+    found = engine.search("red fox", NOW).first()
+    assert found.content == "the red fox jumps" and engine.memories().count() == 2

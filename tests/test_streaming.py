@@ -1,6 +1,25 @@
 from __future__ import annotations
 
-from recallkit.streaming import jobs
+import pytest
+from pyspark.sql import functions as F
+
+from recallkit.streaming import jobs, state
+
+
+@pytest.mark.parametrize("ttl", [None, "1 day"])
+def test_rings_and_counters_are_dropped_after_their_time(spark, tmp_path, ttl):
+    """A user comes back long after the watermark has passed their last event: ring and counter begin anew."""
+    days = [[(1, 1, 1), (2, 1, 2)], [(3, 10, 1), (4, 10, 1)], [(5, 20, 1)], [(6, 30, 2)]]
+    schema = "event_id long, day int, user_id long"
+    pieces = [
+        spark.createDataFrame(rows, schema).withColumn("ts", F.make_timestamp(F.lit(2024), F.lit(1), "day", F.lit(0), F.lit(0), F.lit(0)))
+        for rows in days
+    ]
+    found = jobs.replay_updates(pieces, lambda s: state.rings(s, 2, ttl), str(tmp_path / "ring"), "user_id").collect()
+    rings = {u: sorted(r.event_id for r in found if r.user_id == u) for u in (1, 2)}
+    assert rings == {1: [4, 5], 2: [2, 6] if ttl is None else [6]}
+    nth = jobs.replay(pieces, lambda s: jobs.every_nth_stream(s, 2, ttl), str(tmp_path / "nth")).collect()
+    assert sorted((r.user_id, r.event_id, r.nth) for r in nth) == [(1, 3, 2), (1, 5, 4)] + ([(2, 6, 2)] if ttl is None else [])
 
 
 def test_each_batch_ingests_every_row_once(spark, sf_dir, tmp_path):
