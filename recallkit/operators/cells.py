@@ -4,8 +4,12 @@ Vectors fall to the nearest of a few thousand centroids (fitted on a bounded sam
 they are changes the work, not the result).  On the unit sphere angles obey the triangle
 inequality, so a vector can only have a neighbour within an angle in the cells whose centroid
 is nearer than that angle and the cell's radius.  Rows are sent to those cells alone, cells of
-many rows are dealt in parts, and a pair of parts is one matrix product that gives at most ``k``
-rows of each query.  Where vectors have no clusters every cell is in reach, and this is the join by blocks.
+many rows are dealt in parts, and a pair of parts is one task's matrix products, tile by tile, that
+give at most ``k`` rows of each query.  Where vectors have no clusters, and most cells are in
+reach, there is one cell, and this is the join by blocks.
+
+Tiles are multiplied in single precision; what may reach the threshold, with room for the error,
+is worked out again in double precision, so results are those of double precision throughout.
 """
 
 from __future__ import annotations
@@ -18,16 +22,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from recallkit.functions.lineage import cut
+
 #: Rows that the centroids are fitted on, at most; rows of a cell on average; cells, at most.
 FIT_ROWS = 20_000
 CELL_ROWS = 2048
 MAX_CELLS = 4096
-#: Rows of a part of a cell, on average.
-PART_ROWS = 4096
+#: Rows of a part of a cell, on average; with ``k`` twice as many.
+PART_ROWS = 8192
+#: Queries and vectors of one matrix product.
+TILE = (2048, 4096)
+#: Over this share of the cells in reach of a cell on average, cells are not worth their blocks.
+MAX_REACH = 0.25
 _SLACK = 1e-6
 
-#: Of a block's queries and vectors, which vectors each query may find (a matrix of truth).
+#: Of a tile's queries and vectors, which vectors each query may find (a matrix of truth).
 Visible = Callable[[pd.DataFrame, pd.DataFrame], np.ndarray]
+#: Of a block's queries and vectors at two lists of positions, which pairs may be found.
+Allowed = Callable[[pd.DataFrame, pd.DataFrame, np.ndarray, np.ndarray], np.ndarray]
 
 
 def unit(column: pd.Series) -> np.ndarray:
@@ -68,7 +80,7 @@ def _angles(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
 
 
 def _sizes(vectors: DataFrame, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Radius and number of parts of each cell; an empty one has no part."""
+    """Radius and number of rows of each cell."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -80,19 +92,19 @@ def _sizes(vectors: DataFrame, centroids: np.ndarray) -> tuple[np.ndarray, np.nd
                 yield pd.DataFrame({"cell": own.astype(np.int32), "angle": angle})
 
     found = vectors.select("embedding").mapInPandas(run, "cell int, angle double")
-    radius, parts = np.zeros(len(centroids)), np.zeros(len(centroids), dtype=int)
+    radius, counts = np.zeros(len(centroids)), np.zeros(len(centroids), dtype=int)
     for row in found.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).collect():  # a row a cell
-        radius[row["cell"]], parts[row["cell"]] = row["radius"], -(-row["n"] // PART_ROWS)
-    return radius, parts
+        radius[row["cell"]], counts[row["cell"]] = row["radius"], row["n"]
+    return radius, counts
 
 
 def _sent(
     rows: DataFrame, side: str, centroids: np.ndarray, reach: float, own_parts: np.ndarray, radius: np.ndarray, parts: np.ndarray
 ) -> DataFrame:
     """Rows with the blocks they go to: their own cell and part, and those of the other side in reach."""
-    keys = T.ArrayType(T.StructType([T.StructField(c, T.IntegerType()) for c in ("own", "own_part", "far", "far_part")]))
-    schema = T.StructType([*rows.schema, T.StructField("keys", keys)])
-    filled = np.flatnonzero(parts)
+    added = [T.StructField("own", T.IntegerType()), T.StructField("own_part", T.IntegerType()), T.StructField("cells", T.ArrayType(T.IntegerType()))]
+    schema = T.StructType([*rows.schema, *added])
+    filled = np.flatnonzero(parts).astype(np.int32)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
@@ -102,18 +114,83 @@ def _sent(
             own = angles.argmin(axis=1)
             dealt = pd.util.hash_array(part["id"].to_numpy()) % np.maximum(own_parts[own], 1).astype(np.uint64)
             near = angles[:, filled] <= reach + radius[filled] + _SLACK
-            lists = []
-            for i in range(len(part)):
-                mine = (int(own[i]), int(dealt[i]))
-                lists.append([(*mine, int(j), p) for j in filled[near[i]] for p in range(parts[j])])
-            yield part.assign(keys=lists)
-
-    sent = rows.mapInPandas(run, schema).select(*rows.columns, F.explode("keys").alias("key"))
-    renamed = [F.col(c).alias(f"{side}_{c}") for c in rows.columns]
+            yield part.assign(own=own.astype(np.int32), own_part=dealt.astype(np.int32), cells=[filled[x] for x in near])
+
+    names = [F.col(c).alias(f"{side}_{c}") for c in rows.columns]
+    own = [F.col("own").alias("own"), F.col("own_part").alias("own_part")]
+    of = F.array(*[F.lit(int(n)) for n in parts])  # parts of each cell
+    sent = rows.mapInPandas(run, schema).select(*names, *own, F.explode("cells").alias("far"))
+    sent = sent.select("*", F.explode(F.sequence(F.lit(0), of[F.col("far")] - 1)).alias("far_part"))
     first, second = ("own", "far") if side == "q" else ("far", "own")
-    return sent.select(
-        *renamed, *[F.col(f"key.{c}{p}").alias(f"{side}{i}") for i, (c, p) in enumerate((c, p) for c in (first, second) for p in ("", "_part"))]
-    )
+    keys = [first, f"{first}_part", second, f"{second}_part"]
+    return sent.select(*[f"{side}_{c}" for c in rows.columns], *[F.col(c).alias(f"{side}{i}") for i, c in enumerate(keys)])
+
+
+def _dealt(queries: DataFrame, vectors: DataFrame, scope: str, part_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides dealt to the pairs of parts of each scope; scopes that only one side has meet nothing."""
+    def sized(rows: DataFrame, name: str) -> DataFrame:
+        n = F.ceil(F.count("*") / part_rows).cast("int").alias(name)
+        return rows.groupBy(F.col(scope).alias("__scope")).agg(n)
+
+    parts = cut(sized(queries, "__q").join(sized(vectors, "__v"), "__scope"))  # a row a scope
+
+    def side(rows: DataFrame, side: str, other: str) -> DataFrame:
+        part = F.pmod(F.xxhash64("id"), F.col(f"__{side}")).cast("int")
+        far = F.explode(F.sequence(F.lit(0), F.col(f"__{other}") - 1))
+        names = [F.col(c).alias(f"{side}_{c}") for c in rows.columns]
+        met = rows.join(parts, F.col(scope) == F.col("__scope")).select(*names, F.col("__scope").alias(f"{side}0"), part.alias("own"), far.alias("far"))
+        first, second = ("own", "far") if side == "q" else ("far", "own")
+        return met.select(*[f"{side}_{c}" for c in rows.columns], f"{side}0", F.col(first).alias(f"{side}1"), F.col(second).alias(f"{side}2"))
+
+    return side(queries, "q", "v"), side(vectors, "v", "q")
+
+
+def _found(left: pd.DataFrame, right: pd.DataFrame, threshold: float, k: int | None, visible: Visible | None, allowed: Allowed | None):
+    """Positions and scores of a block's pairs at the threshold, the ``k`` best of each query; ``right`` in order of id."""
+    x, y = unit(left["q_embedding"]), unit(right["v_embedding"])
+    low, narrow = x.astype(np.float32), y.astype(np.float32)
+    slack = 1e-5 + 2.4e-7 * x.shape[1]
+    rows, columns, values = [], [], []
+    for a in range(0, len(x), TILE[0]):
+        b = min(a + TILE[0], len(x))
+        floor = np.full(b - a, threshold - slack, np.float32)
+        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        for c in range(0, len(y), TILE[1]):
+            d = min(c + TILE[1], len(y))
+            about = low[a:b] @ narrow[c:d].T
+            if visible is not None:
+                about = np.where(visible(left.iloc[a:b], right.iloc[c:d]), about, -np.inf)
+            over = about >= floor[:, None]
+            if k is not None and allowed is None and k < d - c and np.count_nonzero(over) > 8 * k * (b - a):
+                floor = np.maximum(floor, np.partition(about, -k, axis=1)[:, -k] - 2 * slack)
+                over = about >= floor[:, None]
+            i, j = np.nonzero(over)
+            if not len(i):
+                continue
+            if allowed is not None:
+                may = allowed(left, right, i + a, j + c)
+                i, j = i[may], j[may]
+            if 16 * len(i) > over.size:
+                score = np.round((x[a:b] @ y[c:d].T)[i, j], 6)
+            else:
+                score = np.round(np.einsum("ij,ij->i", x[i + a], y[j + c]), 6)
+            keep = score >= threshold
+            i, j, score = i[keep], j[keep] + c, score[keep]
+            if k is None:
+                rows.append(i + a), columns.append(j), values.append(score)
+                continue
+            i, j, score = (np.concatenate(z) for z in zip(held, (i, j, score)))
+            order = np.lexsort((j, -score, i))
+            i, j, score = i[order], j[order], score[order]
+            start = np.searchsorted(i, np.arange(b - a))
+            place = np.arange(len(i)) - start[i]
+            full = place == k - 1
+            floor[i[full]] = np.maximum(floor[i[full]], score[full] - slack)
+            held = tuple(z[place < k] for z in (i, j, score))
+        if k is not None:
+            rows.append(held[0] + a), columns.append(held[1]), values.append(held[2])
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(rows or none), np.concatenate(columns or none), np.concatenate(values or [np.zeros(0)])
 
 
 def near_rows(
@@ -124,50 +201,61 @@ def near_rows(
     visible: Visible | None = None,
     once: bool = False,
     centroids: np.ndarray | None = None,
+    scope: str | None = None,
+    allowed: Allowed | None = None,
 ) -> DataFrame:
     """``query_id, id, score`` of vectors at a cosine of ``threshold`` or more, the ``k`` best of each query.
 
-    Exact.  Both sides hold ``id, embedding`` and what ``visible`` looks at (its frames have the
-    columns of the queries as ``q_*`` and of the vectors as ``v_*``).  ``once``: the sides are the
-    same rows, and each pair is wanted one way, ``query_id < id``.  Scores have six places; ties go
-    by id.  Rows without a vector find nothing; a null vector of zeros has score 0.
+    Exact.  Both sides hold ``id, embedding`` and what ``visible`` and ``allowed`` look at (their frames
+    have the columns of the queries as ``q_*`` and of the vectors as ``v_*``): the first says for all pairs
+    of a tile which may be found, the second for those that reach the threshold.  With ``scope``, a column
+    of both, a query finds the vectors of its scope alone, one without finds all, and scopes do not meet.
+    ``once``: the sides are the same rows, and each pair is wanted one way, ``query_id < id``.  Scores have
+    six places; ties go by id.  Rows without a vector find nothing; a null vector of zeros has score 0.
     """
-    queries, vectors = (x.where("embedding IS NOT NULL") for x in (queries, vectors))
+    alike = queries is vectors
+    queries = cut(queries.where("embedding IS NOT NULL"))
+    vectors = queries if alike else cut(vectors.where("embedding IS NOT NULL"))
+    if scope is not None:
+        bound, free = (queries.where(F.col(scope).isNotNull()), queries.where(F.col(scope).isNull()))
+        a, b = _dealt(bound, vectors.where(F.col(scope).isNotNull()), scope, PART_ROWS * (1 if k is None else 2))
+        found = _met(a, b, 3, threshold, k, visible, once, allowed, queries.schema["id"].dataType.simpleString())
+        return found if free.isEmpty() else found.unionByName(near_rows(free, vectors, threshold, k, visible, False, centroids, None, allowed))
     if centroids is None:
         centroids = fit(vectors.select("id", "embedding"))
     reach = float(np.arccos(np.clip(threshold - _SLACK, -1, 1))) if threshold > 0 else np.pi
-    one, two = _sizes(queries, centroids) if not once else (None, None), _sizes(vectors, centroids)
-    one = two if once else one
-    kind = queries.schema["id"].dataType.simpleString()
+    two = _sizes(vectors, centroids)
+    one = two if once or alike else _sizes(queries, centroids)
+    if len(centroids) > 1 and (_angles(centroids, centroids) <= reach + two[0] + _SLACK).mean() > MAX_REACH:
+        centroids = np.zeros((1, centroids.shape[1]))
+        one, two = ((np.array([np.pi]), np.array([x[1].sum()])) for x in (one, two))
+    one, two = ((x[0], -(-x[1] // (PART_ROWS * (1 if k is None else 2)))) for x in (one, two))
     a = _sent(queries, "q", centroids, reach, one[1], *two)
     b = _sent(vectors, "v", centroids, reach, two[1], *one)
     if once:
         a, b = a.where("(q0, q1) <= (q2, q3)"), b.where("(v0, v1) <= (v2, v3)")
+    return _met(a, b, 4, threshold, k, visible, once, allowed, queries.schema["id"].dataType.simpleString())
+
+
+def _met(
+    a: DataFrame, b: DataFrame, n_keys: int, threshold: float, k: int | None, visible: Visible | None, once: bool, allowed: Allowed | None, kind: str
+) -> DataFrame:
+    """Pairs of two sides dealt to blocks, ``k`` of each query over all its blocks."""
+    keys = [[f"{s}{i}" for i in range(n_keys)] for s in "qv"]
+    half = n_keys // 2
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": left["q_id"][:0], "id": right["v_id"][:0], "score": []})
+        at = left[keys[0]].iloc[0].tolist()
         right = right.sort_values("v_id").reset_index(drop=True)
-        scores = np.round(unit(left["q_embedding"]) @ unit(right["v_embedding"]).T, 6)
-        found = scores >= threshold
-        if visible is not None:
-            found &= visible(left, right)
-        x, y = left["q_id"].to_numpy(), right["v_id"].to_numpy()
-        if k is not None and found.any():
-            held = np.where(found, scores, -np.inf)
-            best = np.argsort(-held, axis=1, kind="stable")[:, :k]
-            kept = np.zeros_like(found)
-            np.put_along_axis(kept, best, True, axis=1)
-            found &= kept
-        i, j = np.nonzero(found)
-        x, y, score = x[i], y[j], scores[i, j]
+        i, j, score = _found(left, right, threshold, k, visible, allowed)
+        x, y = left["q_id"].to_numpy()[i], right["v_id"].to_numpy()[j]
         if once:
-            same = (left["q0"].iloc[0], left["q1"].iloc[0]) == (left["q2"].iloc[0], left["q3"].iloc[0])
-            keep = x < y if same else x != y
-            x, y, score = np.minimum(x, y)[keep], np.maximum(x, y)[keep], score[keep]
+            keep = x < y if n_keys == 3 or at[:half] == at[half:] else x != y
+            x, y, score = np.where(x < y, x, y)[keep], np.where(x < y, y, x)[keep], score[keep]
         return pd.DataFrame({"query_id": x, "id": y, "score": score})
 
-    keys = [[f"{s}{i}" for i in range(4)] for s in "qv"]
     found = a.groupBy(*keys[0]).cogroup(b.groupBy(*keys[1])).applyInPandas(meet, f"query_id {kind}, id {kind}, score double")
     if k is None:
         return found

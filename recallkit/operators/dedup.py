@@ -50,11 +50,8 @@ def decide(
 def _nearest_in_project(new: DataFrame, stored: DataFrame) -> DataFrame:
     """``query_id, id, score`` of the nearest stored row of each new row's project, whatever its score."""
     names = ["id", "embedding", "project"]
-    near = cells.near_rows(
-        new.where("project IS NOT NULL").select(*names), stored.where("project IS NOT NULL").select(*names), -1.0, 1,
-        lambda left, right: left["q_project"].to_numpy()[:, None] == right["v_project"].to_numpy()[None, :],
-    )
-    return near
+    new, stored = (x.where("project IS NOT NULL").select(*names) for x in (new, stored))
+    return cells.near_rows(new, stored, -1.0, 1, scope="project")
 
 
 def _components(pairs: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recallkit import config
-from recallkit.operators import cells, vector
+from recallkit.operators import cells
 
 
 def _pairs(first: Column, second: Column, forward: str, backward: str) -> Column:
@@ -75,7 +75,7 @@ def _semantic(near: DataFrame) -> DataFrame:
 
 def semantic_edges(vectors: DataFrame, threshold: float = config.SEMANTIC_THRESHOLD, k: int = config.SEMANTIC_TOP_K) -> DataFrame:
     """SEMANTICALLY_RELATED to those of the ``k`` nearest of all rows (itself counted) that reach the threshold."""
-    return _semantic(vector.nearest(vectors, vectors, k).where(F.col("score") >= threshold))
+    return _semantic(cells.near_rows(vectors, vectors, threshold, k))
 
 
 def related_edges(
@@ -91,17 +91,14 @@ def related_edges(
     placed = "place" in new.columns and "place" in known.columns
     names = ["id", "embedding", "project", *(["place"] if placed else [])]
 
-    def seen(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
-        own, of = left["q_project"].to_numpy()[:, None], right["v_project"].to_numpy()[None, :]
-        found = left["q_project"].isna().to_numpy()[:, None] | (own == of)
-        if placed:
-            at = left["q_place"].to_numpy()[:, None]
-            since, until = (right[c].fillna("").astype(str).to_numpy()[None, :] for c in ("v_place", "v_until"))
-            itself = left["q_id"].to_numpy()[:, None] == right["v_id"].to_numpy()[None, :]
-            found &= ((since == "") | (since < at) | itself) & ((until == "") | (at < until))
-        return found
-
-    met = cells.near_rows(new.select(*names), known.select(*names, *(["until"] if placed else [])), threshold, k, seen)
+    def seen(left: pd.DataFrame, right: pd.DataFrame, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        at = left["q_place"].to_numpy()[i]
+        since, until = (right[c].fillna("").astype(str).to_numpy()[j] for c in ("v_place", "v_until"))
+        itself = left["q_id"].to_numpy()[i] == right["v_id"].to_numpy()[j]
+        return ((since == "") | (since < at) | itself) & ((until == "") | (at < until))
+
+    known = known.select(*names, *(["until"] if placed else []))
+    met = cells.near_rows(new.select(*names), known, threshold, k, scope="project", allowed=seen if placed else None)
     return _semantic(met)
 
 

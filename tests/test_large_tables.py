@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+
+from recallkit.operators import cells, links
 from recallkit.sources import responses
 
 
@@ -16,3 +19,30 @@ def test_requests_of_one_address_have_their_own_responses(spark):
     assert found == {1: (None, "one"), 2: ("HTTP_404", None), 3: (None, "three"), 4: ("NO_RESPONSE", None)}
     alike = {r.id: r.error for r in responses.resolved(asked, stored.drop("id")).collect()}
     assert alike == {1: "HTTP_404", 2: "HTTP_404", 3: "HTTP_404", 4: "HTTP_404"}
+
+
+def test_vectors_without_clusters_meet_in_blocks_of_one_cell(spark, monkeypatch):
+    monkeypatch.setattr(cells, "CELL_ROWS", 20)
+    monkeypatch.setattr(cells, "PART_ROWS", 60)
+    monkeypatch.setattr(cells, "TILE", (64, 32))
+    draw, sent, send = np.random.default_rng(3), [], cells._sent
+    monkeypatch.setattr(cells, "_sent", lambda rows, side, centroids, *rest: sent.append(len(centroids)) or send(rows, side, centroids, *rest))
+    x = draw.normal(size=(300, 12))
+    x[250:] = x[:50]  # ties
+    projects = [None, "a", "b"]
+    rows = [(i, v.tolist(), projects[i % 3]) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>, project string")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    scores = np.round(unit @ unit.T, 6)
+
+    def best(i, sees):
+        near = sorted((-scores[i, j], j) for j in range(300) if sees(i, j) and scores[i, j] >= 0.3)[:4]
+        return [(i, j, -s) for s, j in near]
+
+    found = {(r.query_id, r.id, r.score) for r in cells.near_rows(df, df, 0.3, 4).collect()}
+    assert found == {p for i in range(300) for p in best(i, lambda i, j: True)} and sent == [1, 1]
+    scoped = cells.near_rows(df, df, 0.3, 4, scope="project", allowed=lambda left, right, i, j: left["q_id"].to_numpy()[i] != right["v_id"].to_numpy()[j])
+    wanted = {p for i in range(300) for p in best(i, lambda i, j: i != j and (i % 3 == 0 or i % 3 == j % 3))}
+    assert {(r.query_id, r.id, r.score) for r in scoped.collect()} == wanted
+    edges = {(r.from_id, r.to_id) for r in links.semantic_edges(df, 0.3, 4).collect()}
+    assert edges == {(i, j) for i, j, _ in found if i != j}
