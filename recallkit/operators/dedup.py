@@ -76,58 +76,74 @@ def _components(pairs: DataFrame) -> DataFrame:
             return roots
 
 
+#: Rows of small components that one task folds, on average; pairs of a component that is folded in rounds.
+GROUP_ROWS = 5_000
+ROUND_PAIRS = 500_000
+
+
+def _grouped(rows: DataFrame, root: str, groups: int) -> DataFrame:
+    return rows.withColumn("group", F.pmod(F.xxhash64(root), F.lit(groups)).cast("int"))
+
+
 def _fold(rows: DataFrame, replace: float, merge: float) -> DataFrame:
     """``id, action, existing_id, similarity`` of the new rows that have a similar row before them.
 
-    ``rows``: ``id, embedding, place, project, is_new``.  New rows come in order of (place, id),
+    ``rows``: ``id, embedding, place, project, is_new``, ids distinct.  New rows come in order of (place, id),
     after all others; each is compared with the rows before it that no replacement has archived,
-    within its project if it has one, and a replacement archives its match.  Equal vectors are one
-    node of the pair graph, so a component costs its rows and the pairs of different vectors.
+    within its project if it has one, and a replacement archives its match.  Equal vectors of a project are
+    one node of the pair graph, named by its least id, so a component costs its rows and the pairs of
+    different vectors.  Small components are folded many a task; one of over ``ROUND_PAIRS`` pairs in rounds.
     """
-    keyed = cut(rows.where("embedding IS NOT NULL").withColumn("key", cells.vector_key()))
-    # equal vectors once; a vector that no new row has or is near to takes no part
-    nodes = cut(keyed.groupBy("key").agg(F.first("embedding").alias("embedding"), F.bool_or("is_new").alias("fresh")))
-    apart = nodes.select(F.col("key").alias("id"), "embedding", "fresh")
-    met = cells.near_rows(apart.where("fresh").drop("fresh"), apart.drop("fresh"), merge)
-    ends = [F.least("query_id", "id").alias("id_a"), F.greatest("query_id", "id").alias("id_b")]
-    met = cut(met.select("query_id", "id", *ends, "score"))
-    pairs = cut(met.where("id_a <> id_b").select("id_a", "id_b", "score").distinct())
-    selves = met.where("query_id = id").select(F.col("id").alias("key"))  # all but zeros are near themselves
-    rooted = _components(pairs).withColumnRenamed("id", "key")
-    rooted = cut(selves.unionByName(pairs.select(F.explode(F.array("id_a", "id_b")).alias("key"))).distinct()
-                 .join(rooted, "key", "left").select("key", F.coalesce("root", "key").alias("root")))
     kind = rows.schema["id"].dataType.simpleString()
-    members = keyed.drop("embedding").join(rooted, "key")
-    sides = pairs.select(F.col("id_a").alias("key"), F.col("id_b").alias("other"), "score").unionByName(
-        pairs.select(F.col("id_b").alias("key"), F.col("id_a").alias("other"), "score")
+    rows = cut(rows.where("embedding IS NOT NULL"))
+    # equal vectors once; a vector that no new row has or is near to takes no part
+    named = rows.groupBy(cells.vector_key().alias("key"), "project").agg(
+        F.min("id").alias("node"), F.first("embedding").alias("embedding"), F.bool_or("is_new").alias("fresh"), F.count("*").alias("n")
     )
-    links = sides.unionByName(selves.distinct().select("key", F.col("key").alias("other"), F.lit(1.0).alias("score")))
-    links = links.join(rooted.select(F.col("key").alias("node"), F.col("root").alias("of")), F.col("key") == F.col("node"))
-
-    def run(part: pd.DataFrame, near_part: pd.DataFrame) -> pd.DataFrame:
+    nodes = cut(named)
+    keyed = rows.withColumn("key", cells.vector_key()).drop("embedding").alias("r").join(
+        nodes.select("key", "project", "node", "n").alias("n"), (F.col("r.key") == F.col("n.key")) & F.col("r.project").eqNullSafe(F.col("n.project"))
+    )
+    keyed = cut(keyed.select("node", "n", "r.id", "r.place", "r.is_new"))
+    apart = nodes.select(F.col("node").alias("id"), "embedding", "project", "fresh")
+    met = cells.near_rows(apart.where("fresh").drop("fresh"), apart.drop("fresh"), merge, scope="project")
+    met = cut(met.select(F.col("query_id").alias("node"), F.col("id").alias("other"), "score"))
+    pairs = met.where("node <> other").select(F.least("node", "other").alias("id_a"), F.greatest("node", "other").alias("id_b"))
+    rooted = _components(pairs).withColumnRenamed("id", "node")
+    # a vector that stands alone in one row has nothing to be compared with
+    members = cut(keyed.join(rooted, "node", "left").where("root IS NOT NULL OR n > 1").select("node", "id", "place", "is_new", F.coalesce("root", "node").alias("root")))
+    roots = members.groupBy("node").agg(F.first("root").alias("root"))
+    met = cut(met.join(roots, "node"))
+    large = met.groupBy("root").agg(F.count("*").alias("pairs")).where(F.col("pairs") > ROUND_PAIRS).select("root")
+    large = cut(large)
+    found = _fold_small(members.join(large, "root", "left_anti"), met.join(large, "root", "left_anti"), replace, kind)
+    if large.isEmpty():
+        return found
+    return found.unionByName(_fold_in_rounds(members.join(large, "root", "left_semi"), met.join(large, "root", "left_semi"), replace))
+
+
+def _fold_small(members: DataFrame, met: DataFrame, replace: float, kind: str) -> DataFrame:
+    """The fold of components (``root``) that each fit a task: rows by node, and what each node finds."""
+
+    def run(part: pd.DataFrame, near_part: pd.DataFrame) -> list[tuple]:
         near: dict = {}
-        for r in near_part.itertuples(index=False):
-            near.setdefault(r.key, {}).setdefault(r.score, []).append(r.other)
-        live: dict = {}  # least live ids of a vector, of all projects and of each
+        for node, other, score in zip(near_part["node"], near_part["other"], near_part["score"]):
+            near.setdefault(node, {}).setdefault(score, []).append(other)
+        live: dict = {}  # least live ids of a node
         archived, found = set(), []
 
-        def add(row) -> None:
-            for scope in {None, row.project}:
-                heapq.heappush(live.setdefault((row.key, scope), []), row.id)
-
-        def least(node, scope):
-            heap = live.get((node, scope), [])
+        def least(node):
+            heap = live.get(node, [])
             while heap and heap[0] in archived:
                 heapq.heappop(heap)
             return heap[0] if heap else None
 
-        part = part.assign(project=part["project"].where(part["project"].notna(), None))
         for row in part[~part["is_new"]].itertuples(index=False):
-            add(row)
+            heapq.heappush(live.setdefault(row.node, []), row.id)
         for row in part[part["is_new"]].sort_values(["place", "id"]).itertuples(index=False):
-            levels = near.get(row.key, {})
+            levels = near.get(row.node, {})
             for score in sorted(levels, reverse=True):
-                others = [o for o in (least(node, row.project) for node in levels[score]) if o is not None]
+                others = [o for o in map(least, levels[score]) if o is not None]
                 if others:
                     other = min(others)
                     action = "REPLACE" if score >= replace else "MERGE_CANDIDATE"
@@ -135,11 +151,45 @@ def _fold(rows: DataFrame, replace: float, merge: float) -> DataFrame:
                         archived.add(other)
                     found.append((row.id, action, other, score))
                     break
-            add(row)
-        return pd.DataFrame(found, columns=["id", "action", "existing_id", "similarity"])
+            heapq.heappush(live.setdefault(row.node, []), row.id)
+        return found
+
+    def fold_all(part: pd.DataFrame, near_part: pd.DataFrame) -> pd.DataFrame:
+        # components do not meet, so those of a task are folded as one
+        return pd.DataFrame(run(part, near_part), columns=["id", "action", "existing_id", "similarity"])
 
+    groups = max(1, members.count() // GROUP_ROWS)
     schema = f"id {kind}, action string, existing_id {kind}, similarity double"
-    return members.groupBy("root").cogroup(links.groupBy("of")).applyInPandas(run, schema)
+    left, right = _grouped(members, "root", groups), _grouped(met, "root", groups)
+    return left.groupBy("group").cogroup(right.groupBy("group")).applyInPandas(fold_all, schema)
+
+
+def _fold_in_rounds(members: DataFrame, met: DataFrame, replace: float) -> DataFrame:
+    """The fold of large components, as many rounds as replacements displace one another.
+
+    Each new row has its list of rows before it, best first.  It asks for the first that no row before it
+    is known to replace; of the rows that ask to replace one, the first in order holds it, and the others go on
+    down their lists.  Holders only become earlier, so what is refused stays refused, and when none is
+    refused every row has what it gets one after the other.
+    """
+    old = members.select(F.col("node").alias("other"), F.col("id").alias("existing_id"), F.col("place").alias("p"), F.col("is_new").alias("late"))
+    own = members.where("is_new").select("node", "id", F.struct("place", "id").alias("turn"))
+    lists = own.join(met.select("node", "other", "score"), "node").join(old, "other")
+    lists = lists.where(~F.col("late") | (F.struct(F.col("p").alias("place"), F.col("existing_id").alias("id")) < F.col("turn")))
+    lists = cut(lists.select("id", "turn", "score", "existing_id"))
+    pick = F.min(F.struct((-F.col("score")).alias("worse"), "existing_id")).alias("pick")
+    asked = cut(lists.groupBy("id").agg(F.first("turn").alias("turn"), pick))
+    while True:
+        wants = asked.select("id", "turn", F.col("pick.existing_id").alias("existing_id"), (-F.col("pick.worse")).alias("score"))
+        held = cut(wants.where(F.col("score") >= replace).groupBy(F.col("existing_id").alias("of")).agg(F.min("turn").alias("holder")))
+        refused = cut(wants.join(held, (F.col("existing_id") == F.col("of")) & (F.col("holder") < F.col("turn"))).select("id"))
+        if refused.isEmpty():
+            break
+        free = lists.join(refused, "id", "left_semi").join(held, (F.col("existing_id") == F.col("of")) & (F.col("holder") < F.col("turn")), "left_anti")
+        again = free.groupBy("id").agg(F.first("turn").alias("turn"), pick)
+        asked = cut(asked.join(refused, "id", "left_anti").unionByName(again))
+    action = F.when(F.col("score") >= replace, "REPLACE").otherwise("MERGE_CANDIDATE")
+    return wants.select("id", action.alias("action"), "existing_id", F.col("score").alias("similarity"))
 
 
 def _with_inserts(new: DataFrame, found: DataFrame) -> DataFrame:

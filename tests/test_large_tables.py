@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 
-from recallkit.operators import cells, links
+from pyspark.sql import functions as F
+
+from recallkit.operators import cells, dedup, links
 from recallkit.sources import responses
 
 
@@ -46,3 +48,19 @@ def test_vectors_without_clusters_meet_in_blocks_of_one_cell(spark, monkeypatch)
     assert {(r.query_id, r.id, r.score) for r in scoped.collect()} == wanted
     edges = {(r.from_id, r.to_id) for r in links.semantic_edges(df, 0.3, 4).collect()}
     assert edges == {(i, j) for i, j, _ in found if i != j}
+
+
+def test_one_large_component_is_folded_in_rounds(spark, monkeypatch):
+    draw = np.random.default_rng(8)
+    rows = [(i, draw.normal(size=4).tolist(), [None, "a", "b"][i % 3], i % 4 == 0) for i in range(240)]
+    rows += [(240 + i, rows[i][1], "a", False) for i in range(20)]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>, project string, is_stored boolean")
+    new = df.where("NOT is_stored").select("id", "embedding", "project", (F.col("id") * 7 % 260).alias("place"))
+    stored = df.where("is_stored").select("id", "embedding", "project")
+    whole = {tuple(r) for r in dedup.decide_batch(new, stored, 0.9, 0.7).collect()}
+    monkeypatch.setattr(dedup, "ROUND_PAIRS", 50)
+    rounds = dedup._fold_in_rounds
+    called = []
+    monkeypatch.setattr(dedup, "_fold_in_rounds", lambda *a: called.append(1) or rounds(*a))
+    assert {tuple(r) for r in dedup.decide_batch(new, stored, 0.9, 0.7).collect()} == whole and called
+    assert {"REPLACE", "MERGE_CANDIDATE", "INSERT"} == {r[1] for r in whole}
