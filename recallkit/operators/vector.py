@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from recallkit import config
 from recallkit.functions import scalars
+from recallkit.operators import cells
 from recallkit.operators.filters import active
 
 BLOCK_ROWS = 4096
@@ -134,14 +135,19 @@ def similar_pairs_by_planes(
 
     ``planes`` grows with the logarithm of the number of vectors, so buckets hold some
     ``BUCKET_ROWS`` rows on average; crowded ones are dealt in parts.  The lower the threshold the
-    more tables it takes: far below 0.7 the exact join is the cheaper one.  A pair is compared in
-    the first table that brings it together only.
+    more tables it takes: where these would move more bytes than the exact join (far below 0.7), the
+    exact join is made, unless ``tables`` or ``planes`` are given.  A pair is compared in the first
+    table that brings it together only.
     """
     about = vectors.agg(F.max(F.size("embedding")).alias("dimension"), F.count("*").alias("n")).first()
     if not about["n"]:
         return similar_pairs(vectors, threshold)
+    given = tables or planes
     planes = planes or max(4, int(np.ceil(np.log2(max(1, about["n"] / BUCKET_ROWS)))))
     tables = tables or tables_for(threshold, planes, recall)
+    width = 4 * about["dimension"]
+    if not given and tables * (PARTS + 1) * (width + 8 * tables) > 2 * width * max(1, about["n"] / cells.PART_ROWS):
+        return cells.similar_pairs(vectors, threshold)
     normals = np.random.default_rng(seed).normal(size=(tables * planes, about["dimension"]))
     kind = vectors.schema["id"].dataType.simpleString()
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from recallkit import queries
 from recallkit.llm import quality
-from recallkit.operators import cells, dedup, links
+from recallkit.operators import cells, dedup, links, vector
 from recallkit.sources import responses
 
 
@@ -90,3 +90,11 @@ def test_bands_are_fitted_on_all_good_documents(spark, monkeypatch):
     low, high = quality.band(int(2**8.5), quality.fit_bands(docs, labels))
     assert len(ratios) >= quality.MIN_FIT
     assert abs(low - (ratios[0] - quality.MARGIN)) < 1e-3 and abs(high - (ratios[-1] + quality.MARGIN)) < 1e-3
+
+
+def test_planes_that_move_more_than_the_exact_join_are_not_drawn(spark):
+    rows = [(i, v.tolist()) for i, v in enumerate(np.random.default_rng(4).normal(size=(120, 16)))]
+    df = spark.createDataFrame(rows, "id long, embedding array<float>")
+    found = vector.similar_pairs_by_planes(df, 0.4)
+    assert {r[:2] for r in found.collect()} == {r[:2] for r in vector.similar_pairs(df, 0.4).collect()}
+    assert "Generate explode(keys" not in found._jdf.queryExecution().toString()
