@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from recallkit import config
 from recallkit.functions.lineage import cut
-from recallkit.functions.tokens import query_phrases, tokenize
+from recallkit.functions.tokens import query_phrases
 from recallkit.operators import keyword
 from recallkit.sources.manifest import Manifest, new_batch
 
 
+#: Parts that the postings of one term are dealt in by id.
+SHARDS = 16
 POSTING = "term string, id string, positions array<int>"
 LENGTH = "id string, dl int"
 
@@ -22,8 +24,8 @@ class Index:
     """Postings and lengths under a path, in the batches of a manifest.
 
     Of an id that was added again the last batch counts, and ids that the searched rows lack do not.
-    Postings lie in order of (term, id), so a search reads the row groups of its terms alone, and a
-    frequent term is spread over files by id.  A rebuild replaces all batches before it.
+    The postings of a file lie in order of (term, id), so a search reads the row groups of its terms alone,
+    and a frequent term is spread over files by id.  Those of the null term are lengths.  A rebuild replaces all batches before it.
     """
 
     def __init__(self, spark: SparkSession, path: str, manifest: Manifest | None = None):
@@ -33,10 +35,13 @@ class Index:
     def write(self, batch: str, memories: DataFrame) -> list[str]:
         """Files of rows (``id, content``) for a batch that is not listed yet; gives the parts it has then."""
         rows = memories.select(F.col("id").cast("string").alias("id"), "content")
-        lists = keyword.postings(rows).select("term", "id", "positions")
-        lists = lists.repartitionByRange("term", "id").sortWithinPartitions("term", "id")
-        lists.write.parquet(f"{self.path}/postings/batch={batch}")
-        sizes = rows.select("id", F.size(tokenize("content")).alias("dl"))
+        # lengths come with the postings, so that texts are split once; a term is dealt in SHARDS parts by id
+        places = keyword.term_places(rows).withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(SHARDS)))
+        lists = places.repartition("term", "shard").groupBy("term", "shard", "id").agg(F.collect_list("positions").alias("lists"))
+        lists = lists.select("term", "id", F.array_sort(F.flatten("lists")).alias("positions"))
+        lists.sortWithinPartitions("term", "id").write.parquet(f"{self.path}/postings/batch={batch}")
+        written = self.spark.read.schema(POSTING).parquet(f"{self.path}/postings/batch={batch}")
+        sizes = written.where("term IS NULL").select("id", F.explode("positions").alias("dl"))
         sizes.write.parquet(f"{self.path}/lengths/batch={batch}")
         return ["postings", "lengths"]
 

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from recallkit import queries
 from recallkit.llm import quality
-from recallkit.operators import cells, dedup, links, vector
+from recallkit.operators import cells, dedup, keyword, links, vector
 from recallkit.sources import responses
+from recallkit.sources.index import Index
 
 
 def test_requests_of_one_address_have_their_own_responses(spark):
@@ -98,3 +99,25 @@ def test_planes_that_move_more_than_the_exact_join_are_not_drawn(spark):
     found = vector.similar_pairs_by_planes(df, 0.4)
     assert {r[:2] for r in found.collect()} == {r[:2] for r in vector.similar_pairs(df, 0.4).collect()}
     assert "Generate explode(keys" not in found._jdf.queryExecution().toString()
+
+
+def test_an_index_splits_each_text_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(keyword, "HELD_TOKENS", 3)
+    seen = spark.sparkContext.accumulator(0)
+    split = keyword.tokens_of
+
+    def counted(text):
+        seen.add(1)
+        return split(text)
+
+    monkeypatch.setattr(keyword, "tokens_of", counted)
+    rows = [(1, "a b a c"), (2, ""), (3, None), (4, "b b b b b b"), (5, "c a")]
+    df = spark.createDataFrame(rows, "id long, content string").withColumns({"project": F.lit("p"), "archived_at": F.lit(None).cast("timestamp")})
+    index = Index(spark, str(tmp_path / "index"))
+    index.add(df)
+    assert seen.value == len(rows)
+    lengths = {r.id: r.dl for r in spark.read.parquet(f"{index.path}/lengths").collect()}
+    assert lengths == {"1": 4, "2": 0, "3": 0, "4": 6, "5": 2}
+    places = {(r.term, r.id): r.positions for r in keyword.postings(df).collect()}
+    assert places[("a", 1)] == [0, 2] and places[("b", 4)] == list(range(6)) and len(places) == 6
+    assert {tuple(r) for r in index.bm25(df, "a c", None).collect()} == {tuple(r) for r in keyword.bm25(df, "a c", None).collect()}
