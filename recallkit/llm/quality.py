@@ -10,8 +10,8 @@ in bytes, interpolated between the points of a band table on the logarithm of th
 
 ``BANDS`` are limits for any text: prose, tables and source code pass, pages of one repeated
 line and random or encoded bytes do not.  :func:`fit_bands` narrows them to a corpus: the
-limits of each power of two of length are quantiles over at most ``MAX_FIT`` labelled good
-documents and their chunks; lengths with too few of them keep the general limits.
+limits of each power of two of length are quantiles over all labelled good documents and their
+chunks; lengths with too few of them keep the general limits.
 
 Cases: a null or empty text has no words and fails the base rules; a very long text is cut
 into chunks like any other, its last chunk joined to the one before if it is under a quarter
@@ -27,11 +27,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recallkit.llm.common import add_columns, bounded_labels, filter_rows, map_arrow, slices, texts_of
+from recallkit.llm.common import add_columns, filter_rows, map_arrow, slices, texts_of
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 WINDOW = 8
@@ -49,8 +49,8 @@ BANDS: Bands = (
     (16384, 0.12, 0.73),
     (65536, 0.10, 0.72),
 )
-#: Labelled good documents that limits are fitted on, at most; and what they leave out at either end.
-MAX_FIT = 20_000
+#: What limits leave out at either end, and to how many parts of one they are worked out.
+STEPS = 10_000
 TAIL = 0.003
 MARGIN = 0.015
 MIN_FIT = 30
@@ -137,24 +137,31 @@ def compression_verdict(
 
 def fit_bands(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Bands:
     """Limits from labelled good documents (``labels``: ``doc_id, quality``) by length; ``BANDS`` elsewhere."""
-    known = bounded_labels(labels, "quality", MAX_FIT).where("quality = 1").select(F.col("doc_id").alias("__id"))
-    source = docs.select(F.col(f"`{id_col}`").alias("__doc"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    good = source.join(F.broadcast(known), F.col("__doc") == F.col("__id"))  # at most MAX_FIT ids
+    known = labels.where(F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").alias("__id")).agg(F.max("quality").alias("quality"))
+    source = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{id_col}`").alias("__doc"))
 
     def ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=LEVEL)
         for batch in slices(batches, 0):
-            parts = []
-            for text in filter(None, texts_of(batch.column(0))):
+            owners, sizes, found = [], [], []
+            for row, text in enumerate(texts_of(batch.column(0))):
                 chunks = chunks_of(text)
-                parts += [text, *chunks] if len(chunks) > 1 else chunks
-            found = [len(press.compress(x)) / len(x) for x in parts]
-            sizes = [int(np.log2(len(x))) for x in parts]
-            yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int32()), pa.array(found, pa.float64())], names=["bin", "ratio"])
-
-    limits = good.select("text").transform(map_arrow, ratios, "bin int, ratio double").groupBy("bin").agg(
-        F.count("*").alias("n"), F.percentile_approx("ratio", [TAIL, 1 - TAIL], 10_000).alias("at")
-    )
+                for part in [text, *chunks] if len(chunks) > 1 else filter(None, chunks):
+                    owners.append(row)
+                    sizes.append(int(np.log2(len(part))))
+                    found.append(round(STEPS * len(press.compress(part)) / len(part)))
+            columns = [batch.column(1).take(pa.array(owners, pa.int64())), pa.array(sizes, pa.int32()), pa.array(found, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["__doc", "bin", "step"])
+
+    # every text is measured, so that no text has to meet its label
+    kind = source.schema["__doc"].dataType.simpleString()
+    measured = source.transform(map_arrow, ratios, f"__doc {kind}, bin int, step int")
+    good = measured.join(known.where("quality = 1"), F.col("__doc") == F.col("__id"))
+    counts = good.groupBy("bin", "step").agg(F.count("*").alias("n"))  # bounded: lengths by steps
+    rising, whole = Window.partitionBy("bin").orderBy("step"), Window.partitionBy("bin")
+    placed = counts.select("bin", "step", F.sum("n").over(rising).alias("upto"), F.sum("n").over(whole).alias("all"))
+    ends = [F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("step"))) / STEPS for q in (TAIL, 1 - TAIL)]
+    limits = placed.groupBy("bin").agg(F.first("all").alias("n"), F.array(*ends).alias("at"))
     fitted = {r["bin"]: r["at"] for r in limits.collect() if r["n"] >= MIN_FIT}  # a row a power of two
     if not fitted:
         return BANDS
