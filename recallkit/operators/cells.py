@@ -145,15 +145,21 @@ def _dealt(queries: DataFrame, vectors: DataFrame, scope: str, part_rows: int) -
     return side(queries, "q", "v"), side(vectors, "v", "q")
 
 
-def _found(left: pd.DataFrame, right: pd.DataFrame, threshold: float, k: int | None, visible: Visible | None, allowed: Allowed | None):
-    """Positions and scores of a block's pairs at the threshold, the ``k`` best of each query; ``right`` in order of id."""
+def _found(
+    left: pd.DataFrame, right: pd.DataFrame, threshold: float, k: int | None, visible: Visible | None, allowed: Allowed | None, upto: Allowed | None = None
+):
+    """Positions and scores of a block's pairs at the threshold, the ``k`` best of each query; ``right`` in order of id.
+
+    With ``upto``, none worse than the best that ends its query's list, and a fourth array: which ones end it.
+    """
     x, y = unit(left["q_embedding"]), unit(right["v_embedding"])
     low, narrow = x.astype(np.float32), y.astype(np.float32)
     slack = 1e-5 + 2.4e-7 * x.shape[1]
-    rows, columns, values = [], [], []
+    rows, columns, values, last = [], [], [], []
     for a in range(0, len(x), TILE[0]):
         b = min(a + TILE[0], len(x))
         floor = np.full(b - a, threshold - slack, np.float32)
+        end = np.full(b - a, -np.inf)
         held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         for c in range(0, len(y), TILE[1]):
             d = min(c + TILE[1], len(y))
@@ -176,6 +182,13 @@ def _found(left: pd.DataFrame, right: pd.DataFrame, threshold: float, k: int | N
                 score = np.round(np.einsum("ij,ij->i", x[i + a], y[j + c]), 6)
             keep = score >= threshold
             i, j, score = i[keep], j[keep] + c, score[keep]
+            if upto is not None:
+                ends = upto(left, right, i + a, j)
+                np.maximum.at(end, i[ends], score[ends])
+                floor = np.maximum(floor, (end - slack).astype(np.float32))
+                keep = score >= end[i]
+                rows.append(i[keep] + a), columns.append(j[keep]), values.append(score[keep]), last.append(ends[keep])
+                continue
             if k is None:
                 rows.append(i + a), columns.append(j), values.append(score)
                 continue
@@ -190,7 +203,8 @@ def _found(left: pd.DataFrame, right: pd.DataFrame, threshold: float, k: int | N
         if k is not None:
             rows.append(held[0] + a), columns.append(held[1]), values.append(held[2])
     none = [np.zeros(0, np.int64)]
-    return np.concatenate(rows or none), np.concatenate(columns or none), np.concatenate(values or [np.zeros(0)])
+    found = np.concatenate(rows or none), np.concatenate(columns or none), np.concatenate(values or [np.zeros(0)])
+    return found if upto is None else (*found, np.concatenate(last or [np.zeros(0, bool)]))
 
 
 def near_rows(
@@ -203,6 +217,7 @@ def near_rows(
     centroids: np.ndarray | None = None,
     scope: str | None = None,
     allowed: Allowed | None = None,
+    upto: Allowed | None = None,
 ) -> DataFrame:
     """``query_id, id, score`` of vectors at a cosine of ``threshold`` or more, the ``k`` best of each query.
 
@@ -210,6 +225,7 @@ def near_rows(
     have the columns of the queries as ``q_*`` and of the vectors as ``v_*``): the first says for all pairs
     of a tile which may be found, the second for those that reach the threshold.  With ``scope``, a column
     of both, a query finds the vectors of its scope alone, one without finds all, and scopes do not meet.
+    ``upto`` says of pairs which end a query's list: rows of a lower score than such a one are left out.
     ``once``: the sides are the same rows, and each pair is wanted one way, ``query_id < id``.  Scores have
     six places; ties go by id.  Rows without a vector find nothing; a null vector of zeros has score 0.
     """
@@ -229,16 +245,17 @@ def near_rows(
     if len(centroids) > 1 and (_angles(centroids, centroids) <= reach + two[0] + _SLACK).mean() > MAX_REACH:
         centroids = np.zeros((1, centroids.shape[1]))
         one, two = ((np.array([np.pi]), np.array([x[1].sum()])) for x in (one, two))
-    one, two = ((x[0], -(-x[1] // (PART_ROWS * (1 if k is None else 2)))) for x in (one, two))
+    one, two = ((x[0], -(-x[1] // (PART_ROWS * (1 if k is None and upto is None else 2)))) for x in (one, two))
     a = _sent(queries, "q", centroids, reach, one[1], *two)
     b = _sent(vectors, "v", centroids, reach, two[1], *one)
     if once:
         a, b = a.where("(q0, q1) <= (q2, q3)"), b.where("(v0, v1) <= (v2, v3)")
-    return _met(a, b, 4, threshold, k, visible, once, allowed, queries.schema["id"].dataType.simpleString())
+    return _met(a, b, 4, threshold, k, visible, once, allowed, queries.schema["id"].dataType.simpleString(), upto)
 
 
 def _met(
-    a: DataFrame, b: DataFrame, n_keys: int, threshold: float, k: int | None, visible: Visible | None, once: bool, allowed: Allowed | None, kind: str
+    a: DataFrame, b: DataFrame, n_keys: int, threshold: float, k: int | None, visible: Visible | None, once: bool, allowed: Allowed | None, kind: str,
+    upto: Allowed | None = None,
 ) -> DataFrame:
     """Pairs of two sides dealt to blocks, ``k`` of each query over all its blocks."""
     keys = [[f"{s}{i}" for i in range(n_keys)] for s in "qv"]
@@ -246,17 +263,24 @@ def _met(
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": left["q_id"][:0], "id": right["v_id"][:0], "score": []})
+            ended = {} if upto is None else {"ended": np.zeros(0, bool)}
+            return pd.DataFrame({"query_id": left["q_id"][:0], "id": right["v_id"][:0], "score": [], **ended})
         at = left[keys[0]].iloc[0].tolist()
         right = right.sort_values("v_id").reset_index(drop=True)
-        i, j, score = _found(left, right, threshold, k, visible, allowed)
+        i, j, score, *ended = _found(left, right, threshold, k, visible, allowed, upto)
         x, y = left["q_id"].to_numpy()[i], right["v_id"].to_numpy()[j]
+        if upto is not None:
+            return pd.DataFrame({"query_id": x, "id": y, "score": score, "ended": ended[0]})
         if once:
             keep = x < y if n_keys == 3 or at[:half] == at[half:] else x != y
             x, y, score = np.where(x < y, x, y)[keep], np.where(x < y, y, x)[keep], score[keep]
         return pd.DataFrame({"query_id": x, "id": y, "score": score})
 
-    found = a.groupBy(*keys[0]).cogroup(b.groupBy(*keys[1])).applyInPandas(meet, f"query_id {kind}, id {kind}, score double")
+    schema = f"query_id {kind}, id {kind}, score double{'' if upto is None else ', ended boolean'}"
+    found = a.groupBy(*keys[0]).cogroup(b.groupBy(*keys[1])).applyInPandas(meet, schema)
+    if upto is not None:
+        end = F.max(F.when(F.col("ended"), F.col("score"))).over(Window.partitionBy("query_id"))
+        return found.withColumn("end", end).where("end IS NULL OR score >= end").select("query_id", "id", "score")
     if k is None:
         return found
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")

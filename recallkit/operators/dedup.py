@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import heapq
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -241,49 +242,128 @@ def consolidate(
     each pair: first pairs at ``heal`` or more, then those at ``merge``.  Neighbours below
     ``merge`` only fill places among the ``k``; a row's list is cut again as rows are archived.
     """
-    active = memories.where("archived_at IS NULL AND embedding IS NOT NULL").select("id", "created_at", "project", "embedding")
-    vectors = active.select("id", "embedding")
+    # equal vectors of a project once; rows without a project have one of their own
+    of = F.coalesce(F.concat(F.lit("="), F.col("project").cast("string")), F.lit(""))
+    active = memories.where("archived_at IS NULL AND embedding IS NOT NULL").select("id", "created_at", of.alias("of"), "embedding")
     if visitors is None:
-        pairs = cut(cells.similar_pairs(vectors, merge))
         active = active.withColumn("visits", F.lit(True))
     else:
-        own = visitors.select("id").distinct()
-        near = cells.near_rows(vectors.join(own, "id", "left_semi"), vectors, merge).where("query_id <> id")
-        ends = [F.least("query_id", "id").alias("id_a"), F.greatest("query_id", "id").alias("id_b")]
-        pairs = cut(near.select(*ends, "score").distinct())
-        active = active.join(own.withColumn("visits", F.lit(True)), "id", "left").fillna(False, ["visits"])
-    rooted = _components(pairs)
-    kind = memories.schema["id"].dataType.simpleString()
-    sides = pairs.select(F.col("id_a").alias("id"), F.col("id_b").alias("other"), "score").unionByName(
-        pairs.select(F.col("id_b").alias("id"), F.col("id_a").alias("other"), "score")
-    )
-    rows = sides.join(rooted, "id").join(active.select("id", "created_at", "project", "visits"), "id")
+        own = visitors.select("id").distinct().withColumn("visits", F.lit(True))
+        active = active.join(own, "id", "left").fillna(False, ["visits"])
+    active = cut(active.withColumn("key", cells.vector_key()))
+    turn = F.struct("created_at", "id")
+    nodes = active.groupBy("key", "of").agg(
+        F.min("id").alias("node"), F.first("embedding").alias("embedding"), F.count("*").alias("n"),
+        F.max(turn).alias("last"), F.max(F.when(F.col("visits"), turn)).alias("seen"),
+    )
+    nodes = cut(nodes)
+    rows = active.drop("embedding").join(nodes.select("key", "of", "node"), ["key", "of"]).drop("key")
+
+    def newer(left: pd.DataFrame, right: pd.DataFrame, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        at, before = (x[c].to_numpy() for x, c in ((right, "v_at"), (left, "q_at")))
+        tie, under = (x[c].to_numpy() for x, c in ((right, "v_last"), (left, "q_last")))
+        after = (at[j] > before[i]) | ((at[j] == before[i]) & (tie[j] > under[i]))
+        return after & (right["v_of"].to_numpy()[j] == left["q_of"].to_numpy()[i])
+
+    def side(which: str) -> DataFrame:
+        return nodes.select(F.col("node").alias("id"), "embedding", "of", F.col(f"{which}.created_at").alias("at"), F.col(f"{which}.id").alias("last"))
+
+    looking = nodes.where("seen IS NOT NULL").select("node")
+    asks = side("seen").join(looking, F.col("id") == F.col("node"), "left_semi")
+    lists = cells.near_rows(asks, side("last"), merge, upto=newer).select(F.col("query_id").alias("node"), F.col("id").alias("other"), "score")
+    # a vector that is near to none and stands alone in one row does nothing
+    lists = lists.join(nodes.select("node", "n"), "node").where("node <> other OR n > 1").drop("n")
+    return _consolidate_in_turns(rows, cut(lists), heal, k, memories.schema["id"].dataType.simpleString())
+
+
+#: Entries of the lists that one task of a consolidation goes through, on average.
+TURN_ENTRIES = 1_000_000
+
+
+def _turns(rows: DataFrame, lists: DataFrame) -> tuple[DataFrame, int]:
+    """Visiting rows in order of (created_at, id), dealt to ranges (``turn``) of some ``TURN_ENTRIES`` entries, and how many."""
+    weights = lists.groupBy("node").agg(F.count("*").alias("entries"))
+    visits = rows.where("visits").join(weights, "node")
+    placed = visits.repartitionByRange("created_at", "id").withColumn("part", F.spark_partition_id())
+    placed = cut(placed.select("part", "created_at", "id", "node", "entries"))
+    sums = sorted(placed.groupBy("part").agg(F.sum("entries").alias("n")).collect())  # a row a partition
+    before, total = {}, 0
+    for part, n in sums:
+        before[part] = total
+        total += n
+    if not total:
+        return placed.select("id", "node", F.lit(0).alias("turn")), 0
+    offset = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
+    order = Window.partitionBy("part").orderBy("created_at", "id")
+    place = offset[F.col("part")] + F.sum("entries").over(order) - 1
+    return placed.select("id", "node", F.floor(place / TURN_ENTRIES).cast("int").alias("turn")), int((total - 1) // TURN_ENTRIES) + 1
+
+
+def _consolidate_in_turns(rows: DataFrame, lists: DataFrame, heal: float, k: int, kind: str) -> DataFrame:
+    """The visits of a consolidation, range by range in order; each range is one task on what those before left.
+
+    A visit archives older rows and the visiting row itself, so whoever is newer is alive, and a list that ends
+    at the first newer row of the project holds all that a visit can come to.  ``rows``: ``id, created_at, of,
+    visits, node``; ``lists``: ``node, other, score``.
+    """
+    dealt, turns = _turns(rows, lists)
+    dealt, schema = cut(dealt), f"id {kind}, survivor {kind}, stage string"
+    done = rows.sparkSession.createDataFrame([], schema)
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        about = {r.id: (r.created_at, r.id, r.project) for r in part.itertuples(index=False)}
-        visiting = set(part["id"][part["visits"]])
-        near: dict = {}
+    def run(part: pd.DataFrame, near_part: pd.DataFrame) -> pd.DataFrame:
+        live: dict = {}  # heaps of the ids of a node
+        about = {}
         for r in part.itertuples(index=False):
-            near.setdefault(r.id, []).append((-r.score, r.other))
+            about[r.id] = (r.created_at, r.id, r.of)
+            live.setdefault(r.node, []).append(r.id)
+        for ids in live.values():
+            heapq.heapify(ids)
+        near_part = near_part.sort_values(["node", "score"], ascending=[True, False])
+        names, others, scores = (near_part[c].to_numpy() for c in ("node", "other", "score"))
+        starts = np.flatnonzero(np.r_[True, names[1:] != names[:-1]]) if len(names) else []
+        spans = {names[a]: (a, b) for a, b in zip(starts, [*starts[1:], len(names)])}
         gone: dict = {}
-        for now in sorted(about, key=lambda i: about[i][:2]):
-            if now in gone or now not in visiting:
+
+        def least(node: object) -> list:
+            """The first rows of a node that are not archived: more than ``k`` cannot count."""
+            heap, taken = live.get(node, []), []
+            while heap and len(taken) <= k:
+                first = heapq.heappop(heap)
+                if first not in gone:
+                    taken.append(first)
+            for first in taken:
+                heapq.heappush(heap, first)
+            return taken
+
+        visits = part[part["turns"]]
+        for now, node in sorted(zip(visits["id"], visits["node"]), key=lambda v: about[v[0]][:2]):
+            if now in gone:
                 continue
-            # itself takes a place among the k; rows under `merge` come after all of these
-            live = [(s, o) for s, o in sorted([*near[now], (-1.0, now)]) if o not in gone][:k]
-            live = [(-s, o) for s, o in live if o != now and about[o][2] == about[now][2]]
-            for stage, chosen in (
-                ("self-healing", [o for s, o in live if s >= heal]),
-                ("consolidation", [o for s, o in live if s < heal]),
-            ):
-                for other in chosen:
-                    if now in gone:
-                        break
-                    if other in gone:
-                        continue
-                    old, new = sorted((now, other), key=lambda i: about[i][:2])
-                    gone[old] = (new, stage)
+            # itself takes a place among the k
+            met, (a, b) = [(-1.0, now)], spans[node]
+            while a < b and len(met) < k + 1:
+                score = scores[a]
+                while a < b and scores[a] == score:
+                    met += [(-score, o) for o in least(others[a]) if o != now]
+                    a += 1
+            for s, other in sorted(met)[:k]:
+                if other == now or about[other][2] != about[now][2]:
+                    continue
+                stage = "self-healing" if -s >= heal else "consolidation"
+                if about[other][:2] > about[now][:2]:
+                    gone[now] = (other, stage)
+                    break
+                gone[other] = (now, stage)
         found = [(old, new, stage) for old, (new, stage) in gone.items()]
         return pd.DataFrame(found, columns=["id", "survivor", "stage"])
 
-    return rows.groupBy("root").applyInPandas(run, f"id {kind}, survivor {kind}, stage string")
+    for turn in range(turns):
+        here = dealt.where(F.col("turn") == turn)
+        near = lists.join(here.select("node").distinct(), "node", "left_semi")
+        ends = near.select("other").union(near.select("node")).distinct()
+        alive = rows.join(ends, F.col("node") == F.col("other"), "left_semi").join(done.select("id"), "id", "left_anti")
+        alive = alive.join(here.select("id", F.lit(True).alias("turns")), "id", "left").fillna(False, ["turns"])
+        left, right = (x.withColumn("one", F.lit(0)) for x in (alive.drop("visits"), near))
+        found = left.groupBy("one").cogroup(right.groupBy("one")).applyInPandas(run, schema)
+        done = cut(done.unionByName(found))
+    return done

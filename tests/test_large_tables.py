@@ -121,3 +121,26 @@ def test_an_index_splits_each_text_once(spark, tmp_path, monkeypatch):
     places = {(r.term, r.id): r.positions for r in keyword.postings(df).collect()}
     assert places[("a", 1)] == [0, 2] and places[("b", 4)] == list(range(6)) and len(places) == 6
     assert {tuple(r) for r in index.bm25(df, "a c", None).collect()} == {tuple(r) for r in keyword.bm25(df, "a c", None).collect()}
+
+
+def test_a_large_component_is_consolidated_in_ranges_of_turns(spark, monkeypatch):
+    """Against a row-at-a-time version; pairs of a component, and of copies, are never one task's."""
+    draw = np.random.default_rng(6)
+    vectors = [*draw.normal(size=(150, 4)), *[[1.0, 2.0, 3.0, 4.0]] * 120]
+    rows = [(i, int(at), "ab"[i % 7 == 0] if i % 11 else None, [float(x) for x in v]) for i, (v, at) in enumerate(zip(vectors, draw.integers(0, 90, 270)))]
+    unit = np.array([r[3] for r in rows])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    scores, gone = np.round(unit @ unit.T, 6), {}
+    for now in sorted(range(270), key=lambda i: (rows[i][1], i)):
+        live = sorted((-1.0 if o == now else -scores[now, o], o) for o in range(270) if o not in gone and (o == now or scores[now, o] >= 0.7))[:5]
+        for s, o in live:
+            if o != now and rows[o][2] == rows[now][2] and now not in gone:
+                old, new = sorted((now, o), key=lambda i: (rows[i][1], i))
+                gone[old] = (new, "self-healing" if -s >= 0.9 else "consolidation")
+    df = spark.createDataFrame(rows, "id long, at long, project string, embedding array<double>")
+    df = df.select("id", F.timestamp_seconds("at").alias("created_at"), "project", "embedding", F.lit(None).cast("timestamp").alias("archived_at"))
+    seen, dealt = [], dedup._turns
+    monkeypatch.setattr(dedup, "TURN_ENTRIES", 2_000)
+    monkeypatch.setattr(dedup, "_turns", lambda r, lists: seen.append(lists.count()) or dealt(r, lists))
+    assert {r.id: (r.survivor, r.stage) for r in dedup.consolidate(df, 0.9, 0.7).collect()} == gone
+    assert seen[0] < 0.25 * (scores >= 0.7).sum()
