@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,3 +43,29 @@ def test_sliding_windows_stream_as_in_batch(spark, sf_dir):
     stream = jobs.failure_counts(jobs.events_stream(spark, sf_dir), "1 day", "6 hours")
     drained = jobs.drain(stream, "failure_counts", "complete")
     assert sorted(map(tuple, batch.collect())) == sorted(map(tuple, drained.collect()))
+
+
+def test_users_of_a_bucket_have_their_own_sessions(spark, tmp_path):
+    """Few states for many users, a null one among them; events come out of order within the watermark."""
+    draw = random.Random(3)
+    events = [(None if i % 17 == 0 else i % 23, draw.randrange(0, 40_000)) for i in range(900)] + [(5, None)]
+    expected = []
+    for user in {u for u, _ in events}:
+        first = last = n = None
+        for at in sorted(a for u, a in events if u == user and a is not None) + [10**6]:
+            if n and (at - last >= 600 or at - first >= 3000):
+                expected.append((user, first, min(last + 600, first + 3000), n))
+                n = None
+            first, last, n = (first if n else at), at, (n or 0) + 1
+    rows = spark.createDataFrame(events, "user_id long, at long").withColumn("ts", F.timestamp_seconds("at"))
+    arrives = F.col("at") - F.col("at") % 7 * 60
+    pieces = [rows.where("at IS NULL"), *[rows.where((arrives >= a) & (arrives < b)) for a, b in ((-1000, 15_000), (15_000, 30_000), (30_000, 50_000))]]
+    pieces.append(spark.createDataFrame([(-1, 10**6)], "user_id long, at long").withColumn("ts", F.timestamp_seconds("at")))
+    found = jobs.replay(pieces, lambda s: state.limited_sessions(s, 600, 3000, "1 hour", buckets=3), str(tmp_path / "sessions"))
+    found = found.where("user_id IS NULL OR user_id >= 0").select("user_id", F.unix_seconds("session_start"), F.unix_seconds("session_end"), "n")
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, expected))
+    # one row of state for a bucket, and one for null, not one for each user
+    query = state.limited_sessions(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "sessions/in")), 600, 3000, "1 hour", buckets=3)
+    run = query.writeStream.format("memory").queryName("bucketed").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "again")).start()
+    run.awaitTermination()
+    assert max(sum(o["numRowsTotal"] for o in p["stateOperators"]) for p in run.recentProgress) <= 4
