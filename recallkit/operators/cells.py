@@ -28,10 +28,10 @@ from recallkit.functions.lineage import cut
 FIT_ROWS = 20_000
 CELL_ROWS = 2048
 MAX_CELLS = 4096
-#: Rows of a part of a cell, on average; with ``k`` twice as many.
+#: Rows of a part of a cell, on average; with ``k`` twice as many, and up to four times in tables of many parts.
 PART_ROWS = 8192
 #: Queries and vectors of one matrix product.
-TILE = (2048, 4096)
+TILE = (1024, 2048)
 #: Over this share of the cells in reach of a cell on average, cells are not worth their blocks.
 MAX_REACH = 0.25
 _SLACK = 1e-6
@@ -145,41 +145,92 @@ def _dealt(queries: DataFrame, vectors: DataFrame, scope: str, part_rows: int) -
     return side(queries, "q", "v"), side(vectors, "v", "q")
 
 
+def _part_rows(rows: int, k: int | None) -> int:
+    """Rows of a part, of so many.  What is moved and ranked grows with their number, so with ``k`` there are fewer in large tables."""
+    return PART_ROWS if k is None else PART_ROWS * min(4, max(2, rows // (8 * PART_ROWS)))
+
+
+def _places(over: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of what is true, in order; few are, so eight cells are looked at together."""
+    flat = over.ravel()
+    whole = flat.size - flat.size % 8
+    words = np.flatnonzero(flat[:whole].view(np.uint64))
+    at = (8 * words[:, None] + np.arange(8))[flat[:whole].reshape(-1, 8)[words]]
+    return np.divmod(np.concatenate((at, whole + np.flatnonzero(flat[whole:]))), over.shape[1])
+
+
+def _scores(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray, most: int) -> np.ndarray:
+    """Scores of pairs of a tile's rows, in double precision."""
+    if 16 * len(i) > most:
+        return np.round((x @ y.T)[i, j], 6)
+    return np.round(np.einsum("ij,ij->i", x[i], y[j]), 6)
+
+
+def _best(held: tuple, found: tuple, floor: np.ndarray, k: int, slack: float) -> tuple:
+    """The ``k`` best of each query of those held and those found (query, other, score); full lists raise the query's floor."""
+    i, j, score = (np.concatenate(z) for z in zip(held, found))
+    order = np.lexsort((j, -score, i))
+    i, j, score = i[order], j[order], score[order]
+    place = np.arange(len(i)) - np.searchsorted(i, np.arange(len(floor)))[i]
+    full = place == k - 1
+    floor[i[full]] = np.maximum(floor[i[full]], score[full] - slack)
+    return tuple(z[place < k] for z in (i, j, score))
+
+
 def _found(
-    left: pd.DataFrame, right: pd.DataFrame, threshold: float, k: int | None, visible: Visible | None, allowed: Allowed | None, upto: Allowed | None = None
+    left: pd.DataFrame, right: pd.DataFrame, threshold: float, k: int | None, visible: Visible | None, allowed: Allowed | None, upto: Allowed | None = None,
+    mirror: bool = False,
 ):
     """Positions and scores of a block's pairs at the threshold, the ``k`` best of each query; ``right`` in order of id.
 
     With ``upto``, none worse than the best that ends its query's list, and a fourth array: which ones end it.
+    With ``mirror``, and ``left`` in order of id too, what the rows of ``right`` find in ``left`` follows (three
+    more arrays, of positions in ``right`` and ``left``): one product serves both sides.
     """
     x, y = unit(left["q_embedding"]), unit(right["v_embedding"])
     low, narrow = x.astype(np.float32), y.astype(np.float32)
     slack = 1e-5 + 2.4e-7 * x.shape[1]
     rows, columns, values, last = [], [], [], []
+    nothing = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    starts = range(0, len(y), TILE[1])
+    back = {c: nothing for c in starts}
+    back_floor = {c: np.full(min(TILE[1], len(y) - c), threshold - slack, np.float32) for c in starts}
+    # every product is written to the same place: fresh memory for each costs more than the product
+    most = min(TILE[0], len(x)) * min(TILE[1], len(y))
+    products, truths = np.empty(most, np.float32), np.empty(most, bool)
     for a in range(0, len(x), TILE[0]):
         b = min(a + TILE[0], len(x))
         floor = np.full(b - a, threshold - slack, np.float32)
         end = np.full(b - a, -np.inf)
-        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        for c in range(0, len(y), TILE[1]):
+        held = nothing
+        for c in starts:
             d = min(c + TILE[1], len(y))
-            about = low[a:b] @ narrow[c:d].T
+            size, shape = (b - a) * (d - c), (b - a, d - c)
+            about = np.matmul(low[a:b], narrow[c:d].T, out=products[:size].reshape(shape))
             if visible is not None:
-                about = np.where(visible(left.iloc[a:b], right.iloc[c:d]), about, -np.inf)
-            over = about >= floor[:, None]
+                about[~visible(left.iloc[a:b], right.iloc[c:d])] = -np.inf
+            over = truths[:size].reshape(shape)
+            if mirror:
+                np.greater_equal(about, back_floor[c], out=over)
+                if k < b - a and np.count_nonzero(over) > 8 * k * (d - c):
+                    back_floor[c] = np.maximum(back_floor[c], np.partition(about, -k, axis=0)[-k] - 2 * slack)
+                    np.greater_equal(about, back_floor[c], out=over)
+                i, j = _places(over)
+                if len(i):
+                    score = _scores(x[a:b], y[c:d], i, j, size)
+                    keep = score >= threshold
+                    back[c] = _best(back[c], (j[keep], i[keep] + a, score[keep]), back_floor[c], k, slack)
+            np.greater_equal(about, floor[:, None], out=over)
             if k is not None and allowed is None and k < d - c and np.count_nonzero(over) > 8 * k * (b - a):
                 floor = np.maximum(floor, np.partition(about, -k, axis=1)[:, -k] - 2 * slack)
-                over = about >= floor[:, None]
-            i, j = np.nonzero(over)
+                np.greater_equal(about, floor[:, None], out=over)
+            i, j = _places(over)
             if not len(i):
                 continue
             if allowed is not None:
                 may = allowed(left, right, i + a, j + c)
                 i, j = i[may], j[may]
-            if 16 * len(i) > over.size:
-                score = np.round((x[a:b] @ y[c:d].T)[i, j], 6)
-            else:
-                score = np.round(np.einsum("ij,ij->i", x[i + a], y[j + c]), 6)
+            score = _scores(x[a:b], y[c:d], i, j, size)
             keep = score >= threshold
             i, j, score = i[keep], j[keep] + c, score[keep]
             if upto is not None:
@@ -192,18 +243,14 @@ def _found(
             if k is None:
                 rows.append(i + a), columns.append(j), values.append(score)
                 continue
-            i, j, score = (np.concatenate(z) for z in zip(held, (i, j, score)))
-            order = np.lexsort((j, -score, i))
-            i, j, score = i[order], j[order], score[order]
-            start = np.searchsorted(i, np.arange(b - a))
-            place = np.arange(len(i)) - start[i]
-            full = place == k - 1
-            floor[i[full]] = np.maximum(floor[i[full]], score[full] - slack)
-            held = tuple(z[place < k] for z in (i, j, score))
+            held = _best(held, (i, j, score), floor, k, slack)
         if k is not None:
             rows.append(held[0] + a), columns.append(held[1]), values.append(held[2])
     none = [np.zeros(0, np.int64)]
     found = np.concatenate(rows or none), np.concatenate(columns or none), np.concatenate(values or [np.zeros(0)])
+    if mirror:
+        met = [(back[c][0] + c, back[c][1], back[c][2]) for c in starts]
+        return (*found, *(np.concatenate(z) for z in zip(nothing, *met)))
     return found if upto is None else (*found, np.concatenate(last or [np.zeros(0, bool)]))
 
 
@@ -226,15 +273,15 @@ def near_rows(
     of a tile which may be found, the second for those that reach the threshold.  With ``scope``, a column
     of both, a query finds the vectors of its scope alone, one without finds all, and scopes do not meet.
     ``upto`` says of pairs which end a query's list: rows of a lower score than such a one are left out.
-    ``once``: the sides are the same rows, and each pair is wanted one way, ``query_id < id``.  Scores have
-    six places; ties go by id.  Rows without a vector find nothing; a null vector of zeros has score 0.
+    ``once``: the sides are the same rows, and each pair is wanted one way, ``query_id < id``.  Where they are the
+    same rows, a pair of blocks meets once in any case.  Scores have six places; ties go by id.  Rows without a vector find nothing; a null vector of zeros has score 0.
     """
     alike = queries is vectors
     queries = cut(queries.where("embedding IS NOT NULL"))
     vectors = queries if alike else cut(vectors.where("embedding IS NOT NULL"))
     if scope is not None:
         bound, free = (queries.where(F.col(scope).isNotNull()), queries.where(F.col(scope).isNull()))
-        a, b = _dealt(bound, vectors.where(F.col(scope).isNotNull()), scope, PART_ROWS * (1 if k is None else 2))
+        a, b = _dealt(bound, vectors.where(F.col(scope).isNotNull()), scope, _part_rows(0, k))
         found = _met(a, b, 3, threshold, k, visible, once, allowed, queries.schema["id"].dataType.simpleString())
         return found if free.isEmpty() else found.unionByName(near_rows(free, vectors, threshold, k, visible, False, centroids, None, allowed))
     if centroids is None:
@@ -245,17 +292,19 @@ def near_rows(
     if len(centroids) > 1 and (_angles(centroids, centroids) <= reach + two[0] + _SLACK).mean() > MAX_REACH:
         centroids = np.zeros((1, centroids.shape[1]))
         one, two = ((np.array([np.pi]), np.array([x[1].sum()])) for x in (one, two))
-    one, two = ((x[0], -(-x[1] // (PART_ROWS * (1 if k is None and upto is None else 2)))) for x in (one, two))
+    kept = k or (upto and 1)  # lists are cut in either case
+    one, two = ((x[0], -(-x[1] // _part_rows(0 if k is None else x[1].max(initial=0), kept))) for x in (one, two))
     a = _sent(queries, "q", centroids, reach, one[1], *two)
     b = _sent(vectors, "v", centroids, reach, two[1], *one)
-    if once:
+    mirror = alike and k is not None and not once and visible is None and allowed is None and upto is None
+    if once or mirror:
         a, b = a.where("(q0, q1) <= (q2, q3)"), b.where("(v0, v1) <= (v2, v3)")
-    return _met(a, b, 4, threshold, k, visible, once, allowed, queries.schema["id"].dataType.simpleString(), upto)
+    return _met(a, b, 4, threshold, k, visible, once, allowed, queries.schema["id"].dataType.simpleString(), upto, mirror)
 
 
 def _met(
     a: DataFrame, b: DataFrame, n_keys: int, threshold: float, k: int | None, visible: Visible | None, once: bool, allowed: Allowed | None, kind: str,
-    upto: Allowed | None = None,
+    upto: Allowed | None = None, mirror: bool = False,
 ) -> DataFrame:
     """Pairs of two sides dealt to blocks, ``k`` of each query over all its blocks."""
     keys = [[f"{s}{i}" for i in range(n_keys)] for s in "qv"]
@@ -267,6 +316,11 @@ def _met(
             return pd.DataFrame({"query_id": left["q_id"][:0], "id": right["v_id"][:0], "score": [], **ended})
         at = left[keys[0]].iloc[0].tolist()
         right = right.sort_values("v_id").reset_index(drop=True)
+        if mirror and at[:half] != at[half:]:
+            left = left.sort_values("q_id").reset_index(drop=True)
+            i, j, score, back_i, back_j, back = _found(left, right, threshold, k, None, None, None, True)
+            x, y = left["q_id"].to_numpy(), right["v_id"].to_numpy()
+            return pd.DataFrame({"query_id": np.concatenate((x[i], y[back_i])), "id": np.concatenate((y[j], x[back_j])), "score": np.concatenate((score, back))})
         i, j, score, *ended = _found(left, right, threshold, k, visible, allowed, upto)
         x, y = left["q_id"].to_numpy()[i], right["v_id"].to_numpy()[j]
         if upto is not None:

@@ -144,3 +144,24 @@ def test_a_large_component_is_consolidated_in_ranges_of_turns(spark, monkeypatch
     monkeypatch.setattr(dedup, "_turns", lambda r, lists: seen.append(lists.count()) or dealt(r, lists))
     assert {r.id: (r.survivor, r.stage) for r in dedup.consolidate(df, 0.9, 0.7).collect()} == gone
     assert seen[0] < 0.25 * (scores >= 0.7).sum()
+
+
+def test_a_pair_of_blocks_of_one_table_meets_once(spark, monkeypatch):
+    """Its product serves the rows of both; the rows sent are about half of those of two tables."""
+    monkeypatch.setattr(cells, "PART_ROWS", 30)
+    monkeypatch.setattr(cells, "TILE", (32, 16))
+    x = np.random.default_rng(5).normal(size=(240, 8))
+    x[200:] = x[:40]  # ties
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>")
+    met, meet = [], cells._met
+    monkeypatch.setattr(cells, "_met", lambda a, b, *rest: met.append(a.count() + b.count()) or meet(a, b, *rest))
+    centroids = np.zeros((1, 8))
+    for threshold in (0.3, -1.0):
+        once, twice = cells.near_rows(df, df, threshold, 5, centroids=centroids), cells.near_rows(df, df.select("*"), threshold, 5, centroids=centroids)
+        assert sorted(map(tuple, once.collect())) == sorted(map(tuple, twice.collect()))
+    assert met[0] < 0.7 * met[1] and met[2:] == met[:2]
+
+
+def test_large_tables_are_dealt_to_fewer_parts():
+    assert [cells._part_rows(n, 10) // cells.PART_ROWS for n in (1_000, 102_564, 300_000, 615_000, 10**8)] == [2, 2, 4, 4, 4]
+    assert cells._part_rows(10**8, None) == cells.PART_ROWS
