@@ -65,9 +65,9 @@ def fuse_single(hits: DataFrame, memories: DataFrame, now: str, decay: bool = Tr
 
 
 def within_budget(results: DataFrame, memories: DataFrame, max_tokens: int | None) -> DataFrame:
-    """The longest prefix of the results whose texts fit a number of tokens."""
+    """The longest prefix of the results, a top-k list, whose texts fit a number of tokens."""
     if max_tokens is None:
         return results
     order = Window.orderBy(F.desc("final_score"), "id").rowsBetween(Window.unboundedPreceding, 0)
-    sized = results.join(memories.select("id", scalars.token_estimate(F.col("content")).alias("tokens")), "id")
+    sized = F.broadcast(results).join(memories.select("id", scalars.token_estimate(F.col("content")).alias("tokens")), "id")
     return sized.withColumn("running", F.sum("tokens").over(order)).where(F.col("running") <= max_tokens)

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from recallkit import config
 from recallkit.functions.lineage import cut
 
+#: Rows of a frontier that is sent to all edges.
+SENT_ROWS = 100_000
+
+
 def of_types(edges: DataFrame, types: Sequence[str] | None) -> DataFrame:
     """Edges of the types; none given means all, and only unknown ones means none."""
     return edges.where(F.col("edge_type").isin(*types)) if types else edges
@@ -100,38 +104,37 @@ def reachable(
     """``id, logical_depth, physical_depth`` (least of each) by frontier, and whether time ran out.
 
     Each hop is one join of the frontier; the set so far is checkpointed, so the plan stays short
-    and the hops survive lost executors.
+    and the hops survive lost executors.  A frontier of at most ``SENT_ROWS`` rows goes to the edges,
+    which stay where they are; a larger one meets them by a shuffle.
     """
     step = of_types(edges, types).select("from_id", "to_id", "edge_type")
     cost = F.when(F.col("edge_type") == config.FREE_EDGE, 0).otherwise(1)
     start = nodes.select("id").where(F.col("id").isin(*set(seeds))) if seeds else nodes.select("id").where("false")
-    known = start.select("id", F.lit(0).alias("logical_depth"), F.lit(0).alias("physical_depth"))
-    frontier, began = known, time.monotonic()
+    known = cut(start.select("id", F.lit(0).alias("logical_depth"), F.lit(0).alias("physical_depth"), F.lit(True).alias("fresh")))
+    rows, began = len(set(seeds)), time.monotonic()
     for hop in range(1, hops + 1):
         if deadline is not None and time.monotonic() - began > deadline:
-            return known, True
+            return known.drop("fresh"), True
+        frontier = known.where("fresh").select("id", "logical_depth")
+        frontier = F.broadcast(frontier) if rows <= SENT_ROWS else frontier
         moved = (
             frontier.join(step, frontier["id"] == step["from_id"])
-            .select(F.col("to_id").alias("id"), (F.col("logical_depth") + cost).alias("logical_depth"))
-            .where(F.col("logical_depth") <= min(depth, config.MAX_DEPTH))
-            .groupBy("id")
-            .agg(F.min("logical_depth").alias("logical_depth"))
+            .select(F.col("to_id").alias("id"), (F.col("logical_depth") + cost).alias("now"))
+            .where(F.col("now") <= min(depth, config.MAX_DEPTH))
         )
-        better = cut(
-            moved.alias("m")
-            .join(known.alias("k"), F.col("m.id") == F.col("k.id"), "left")
-            .where(F.col("k.id").isNull() | (F.col("m.logical_depth") < F.col("k.logical_depth")))
-            .select("m.id", "m.logical_depth", F.lit(hop).alias("physical_depth"))
-        )
-        if better.isEmpty():
-            break
+        met = known.drop("fresh").unionByName(moved, allowMissingColumns=True).groupBy("id")
+        least = met.agg(F.min("logical_depth").alias("was"), F.min("physical_depth").alias("at"), F.min("now").alias("now"))
+        better = F.col("now").isNotNull() & (F.col("was").isNull() | (F.col("now") < F.col("was")))
         known = cut(
-            known.unionByName(better)
-            .groupBy("id")
-            .agg(F.min("logical_depth").alias("logical_depth"), F.min("physical_depth").alias("physical_depth"))
-        )
-        frontier = better
-    return known, False
+            least.select(
+                "id", F.least("was", "now").alias("logical_depth"), F.coalesce("at", F.lit(hop)).alias("physical_depth"),
+                better.alias("fresh"),
+            )
+        )
+        rows = known.where("fresh").count()
+        if not rows:
+            break
+    return known.drop("fresh"), False
 
 
 def summary(walked: DataFrame, hops: int = config.MAX_HOPS) -> DataFrame:

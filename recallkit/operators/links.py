@@ -102,9 +102,14 @@ def related_edges(
     return _semantic(met)
 
 
+def text_digest(content: str = "content") -> Column:
+    """What equal texts share."""
+    return F.sha2(content, 256)
+
+
 def equal_text_edges(memories: DataFrame) -> DataFrame:
-    """SUPERSEDES from each row to the next lower id with the same text."""
-    order = Window.partitionBy(F.sha2("content", 256)).orderBy("id")
+    """SUPERSEDES from each row to the next lower id with the same text (``content``, or its ``digest``)."""
+    order = Window.partitionBy("digest" if "digest" in memories.columns else text_digest()).orderBy("id")
     older = memories.select("id", F.lag("id").over(order).alias("older")).where("older IS NOT NULL")
     return older.select(
         F.col("id").alias("from_id"), F.col("older").alias("to_id"), F.lit(config.FREE_EDGE).alias("edge_type")

@@ -57,6 +57,7 @@ def search(
     graph_seconds: float | None = None,
     flags: list[str] | None = None,
     observed: dict[str, Observation] | None = None,
+    texts: DataFrame | None = None,
 ) -> DataFrame:
     """``id, rrf_score, final_score, source`` of the best ``top_k`` rows.
 
@@ -66,6 +67,7 @@ def search(
     ``pushdown_project`` asks for it within each source.  With ``index`` the keyword source reads
     stored postings.  With ``degrade`` a source that fails is logged and gives no hits.
     ``flags`` gets what was cut short: ``graph:timed_out``, and ``<source>:failed``.
+    ``texts`` (``id, content``) holds the texts, if ``memories`` are a join that should not move them.
     ``observed`` gets an observation of each source's hits (``n``), filled as they are worked out.
     """
     strategy = strategy or SearchStrategy()
@@ -103,7 +105,7 @@ def search(
         if strategy.graph > 0:
             seeds = [r["id"] for r in nearest.where(F.col("rank") < config.SEED_COUNT).orderBy("rank").collect()]  # three rows
     if strategy.keyword > 0:
-        lists.append(hits("keyword", lambda: _keyword_ranks(memories, query, scope, index)))
+        lists.append(hits("keyword", lambda: _keyword_ranks(memories, query, scope, index, texts)))
     if seeds:
         lists.append(hits("graph", lambda: graph_hits(memories, edges, seeds, strategy.depth, seconds=graph_seconds, flags=flags)))
     fused = fusion.fuse(reduce(DataFrame.unionByName, lists), memories, strategy, now)
@@ -113,18 +115,21 @@ def search(
         kinds = memories.where(F.col("memory_type") == memory_type).select("id")
         fused = fused.join(kinds, "id", "left_semi")
     best = fused.orderBy(F.desc("final_score"), "id").limit(k)
-    best = fusion.within_budget(best, memories, clamp_max_tokens(max_tokens))
+    best = fusion.within_budget(best, memories if texts is None else texts, clamp_max_tokens(max_tokens))
     names = ["id", "rrf_score", "final_score", "source"]
     if not with_total:
         return best.select(*names)
     return best.select(*names).crossJoin(fused.agg(F.count("*").alias("total_count")))  # one row
 
 
-def _keyword_ranks(memories: DataFrame, query: str, project: str | None, index: Index | None = None) -> DataFrame:
+def _keyword_ranks(
+    memories: DataFrame, query: str, project: str | None, index: Index | None = None, texts: DataFrame | None = None
+) -> DataFrame:
     """Keyword hits with their rank; a blank query ranks by time."""
     if query.strip():
-        find = keyword.bm25 if index is None else index.bm25
-        return fusion.ranked(find(memories, query, config.TOP_K, project), "keyword")
+        if index is not None:
+            return fusion.ranked(index.bm25(memories, query, config.TOP_K, project), "keyword")
+        return fusion.ranked(keyword.bm25(memories, query, config.TOP_K, project, texts), "keyword")
     rows = keyword.all_rows(memories, config.TOP_K, project).join(memories.select("id", "created_at"), "id")
     order = Window.orderBy(F.desc("created_at"), F.desc("id"))
     return rows.select("id", F.lit("keyword").alias("source"), (F.row_number().over(order) - 1).alias("rank"))

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from recallkit import queries
 from recallkit.llm import quality
-from recallkit.operators import cells, dedup, keyword, links, vector
-from recallkit.sources import responses
+from recallkit.operators import cells, dedup, graph, keyword, links, vector
+from recallkit.sources import responses, views
 from recallkit.sources.index import Index
 
 
@@ -165,3 +165,31 @@ def test_a_pair_of_blocks_of_one_table_meets_once(spark, monkeypatch):
 def test_large_tables_are_dealt_to_fewer_parts():
     assert [cells._part_rows(n, 10) // cells.PART_ROWS for n in (1_000, 102_564, 300_000, 615_000, 10**8)] == [2, 2, 4, 4, 4]
     assert cells._part_rows(10**8, None) == cells.PART_ROWS
+
+
+def test_joins_of_edges_and_searches_do_not_move_texts(spark, sf_dir, monkeypatch):
+    def plan(df):
+        return df._jdf.queryExecution().optimizedPlan().toString()
+
+    edges = [line for line in plan(views.edges(spark, sf_dir)).splitlines() if "Project" in line and "text#" in line]
+    assert edges and all("sha2(" in line for line in edges)
+    counted, cut = [], keyword.cut
+    monkeypatch.setattr(keyword, "cut", lambda df: counted.append(plan(df)) or cut(df))
+    m = views.memories(spark, sf_dir)
+    apart = keyword.bm25(m, "of the", None, texts=views.texts(spark, sf_dir)).collect()
+    assert counted[0].index("Join") < counted[0].index("counts(")
+    assert apart and apart == keyword.bm25(m, "of the", None).collect()
+
+
+def test_a_small_frontier_goes_to_the_edges(spark, monkeypatch):
+    draw = np.random.default_rng(9)
+    kinds = ["CHUNK_NEXT", "SUPERSEDES"]
+    edges = spark.createDataFrame([(int(a), int(b), kinds[int(a + b) % 2]) for a, b in draw.integers(0, 120, (200, 2))], "from_id long, to_id long, edge_type string")
+    plans, cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or cut(df))
+    sent = sorted(map(tuple, graph.reachable(edges, spark.range(120), [3, 4], 2)[0].collect()))
+    joins = [p for p in plans if "Join Inner" in p]
+    assert len(sent) > 5 and joins and all("strategy=broadcast" in p for p in joins) and len(plans) == len(joins) + 1
+    monkeypatch.setattr(graph, "SENT_ROWS", 0)
+    assert sent == sorted(map(tuple, graph.reachable(edges, spark.range(120), [3, 4], 2)[0].collect()))
+    assert any("Join Inner" in p and "strategy=broadcast" not in p for p in plans)
